@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from .common import table
 
@@ -18,6 +19,21 @@ def vocabulary(name: str = "word_bpe_49k.json") -> str:
     return public_tokenizers.path(name)
 
 
+def op1_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .decontaminate import overlaps
+
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    found = overlaps(docs, table(spark, sf_dir, "benchmark"))
+    return found.select(
+        "doc_id",
+        "n_words",
+        "n_hit",
+        F.size("items").cast("bigint").alias("n_items"),
+        F.sha2(F.array_join("items", ","), 256).alias("items_sha256"),
+        (F.col("n_hit") > 0).alias("contaminated"),
+    )
+
+
 def op2_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .bpe import round_trip
 
@@ -25,6 +41,13 @@ def op2_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return round_trip(docs, vocabulary()).drop("text")
 
 
+def op3_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from . import token_files as files
+
+    folder, made = files.write(table(spark, sf_dir, "documents"), vocabulary(), END_ID)
+    return files.read_digests(spark, folder, files.offsets(made)).withColumnRenamed("key", "doc_id")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {name: f for name, f in globals().items() if name.startswith("op") and callable(f)}
 
