@@ -4,16 +4,14 @@ from __future__ import annotations
 
 import tempfile
 import uuid
-from collections.abc import Callable, Iterator
+from collections.abc import Callable
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+from ..session import ship, table  # noqa: F401  (table: for the queries)
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -30,13 +28,23 @@ def shared_dir(spark: SparkSession) -> str:
 
 def scratch(spark: SparkSession, what: str) -> str:
     """A new path below the shared folder."""
+    ship(spark)
     return f"{shared_dir(spark)}/tessera/{what}-{uuid.uuid4().hex}"
 
 
+#: Removes a query's shuffle files when it ends.
+CLEAN = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 def written(df: DataFrame, what: str) -> DataFrame:
-    """Cuts lineage: the rows, written to the shared folder and read back."""
-    spark = df.sparkSession
-    df.write.parquet(path := scratch(spark, what))
+    """Cuts lineage: the rows, written to the shared folder and read back. The write's shuffle files go when it has ended."""
+    spark = ship(df.sparkSession)
+    before = spark.conf.get(CLEAN, "false")
+    spark.conf.set(CLEAN, "true")
+    try:
+        df.write.parquet(path := scratch(spark, what))
+    finally:
+        spark.conf.set(CLEAN, before)
     return spark.read.schema(df.schema).parquet(path)
 
 
@@ -45,22 +53,12 @@ def delete(spark: SparkSession, path: str) -> None:
     p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
 
 
-def map_rows(df: DataFrame, fn: Callable[[pa.RecordBatch], pa.RecordBatch | None], schema: T.StructType | str) -> DataFrame:
-    """mapInArrow with one output batch for each input batch."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            if (out := fn(b)) is not None:
-                yield out
-
-    return df.mapInArrow(run, schema)
-
-
 def append_columns(df: DataFrame, inputs: list[str], fn: Callable[..., pa.StructArray], fields: str) -> DataFrame:
     """df with the struct fields that fn makes from the input columns; its own columns stay in the JVM.
 
     Columns of df with the name of a new field are replaced (names compare as Spark compares them).
     """
+    ship(df.sparkSession)
     out = F.arrow_udf(fn, fields)
     new = [f.name for f in T._parse_datatype_string(fields).fields]
     kept = [c for c in df.columns if c.lower() not in {n.lower() for n in new}]

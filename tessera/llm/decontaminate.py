@@ -222,26 +222,39 @@ def overlaps(docs: DataFrame, bench: DataFrame, window: int = WINDOW, text_col:
     out, blocks = docs, _blocks(bench, item_col, bench_col)
     key = scratch(docs.sparkSession, "benchmark")
     for k, block in enumerate(blocks or [docs.sparkSession.sparkContext.broadcast([])]):
-
-        def run(texts: pa.Array, *before: pa.Array, block=block, key=f"{key}/{k}") -> pa.Array:
-            b = _benchmark(key, block, window)
-            n, spans, items = [], [], []
-            found = scan(texts.to_pylist(), b)
-            old = zip(*(x.to_pylist() for x in before)) if before else (([], []) for _ in found)
-            for (size, runs, owners), (old_runs, old_items) in zip(found, old):
-                n.append(size)
-                spans.append(_merged([*((s["first"], s["end"]) for s in old_runs), *runs]) if old_runs else runs)
-                items.append(sorted([*old_items, *(b.names[o] for o in owners)]))
-            kind = pa.list_(pa.struct([("first", pa.int64()), ("end", pa.int64())]))
-            return pa.StructArray.from_arrays(
-                [pa.array(n, pa.int64()), pa.array([sum(z - a for a, z in s) for s in spans], pa.int64()), pa.array([[{"first": a, "end": z} for a, z in s] for s in spans], kind), pa.array(items, pa.list_(pa.string()))],
-                ["n_words", "n_hit", "spans", "items"],
-            )
-
-        out = append_columns(out, [text_col, *(["spans", "items"] if k else [])], run, "n_words bigint, n_hit bigint, spans array<struct<first: bigint, end: bigint>>, items array<string>")
+        first, more = _scanners(block, f"{key}/{k}", window)
+        out = append_columns(out, [text_col, "spans", "items"], more, FIELDS) if k else append_columns(out, [text_col], first, FIELDS)
     return out
 
 
+FIELDS = "n_words bigint, n_hit bigint, spans array<struct<first: bigint, end: bigint>>, items array<string>"
+
+
+def _scanners(block, key: str, window: int):
+    """Column functions that scan texts for one block of the benchmark; the second adds to what other blocks gave."""
+    kind = pa.list_(pa.struct([("first", pa.int64()), ("end", pa.int64())]))
+
+    def found(texts: pa.Array, before: list[tuple[list, list]] | None) -> pa.Array:
+        b = _benchmark(key, block, window)
+        n, spans, items = [], [], []
+        for i, (size, runs, owners) in enumerate(scan(texts.to_pylist(), b)):
+            old_runs, old_items = before[i] if before else ([], [])
+            n.append(size)
+            spans.append(_merged([*((s["first"], s["end"]) for s in old_runs), *runs]))
+            items.append(sorted([*old_items, *(b.names[o] for o in owners)]))
+        hit = pa.array([sum(z - a for a, z in s) for s in spans], pa.int64())
+        places = pa.array([[{"first": a, "end": z} for a, z in s] for s in spans], kind)
+        return pa.StructArray.from_arrays([pa.array(n, pa.int64()), hit, places, pa.array(items, pa.list_(pa.string()))], ["n_words", "n_hit", "spans", "items"])
+
+    def first(texts: pa.Array) -> pa.Array:
+        return found(texts, None)
+
+    def more(texts: pa.Array, spans: pa.Array, items: pa.Array) -> pa.Array:
+        return found(texts, list(zip(spans.to_pylist(), items.to_pylist())))
+
+    return first, more
+
+
 def _merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
     out: list[tuple[int, int]] = []
     for a, z in sorted(spans):
