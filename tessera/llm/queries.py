@@ -48,6 +48,13 @@ def op3_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return files.read_digests(spark, folder, files.offsets(made)).withColumnRenamed("key", "doc_id")
 
 
+def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .line_dedup import deduplicate
+
+    found = deduplicate(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return found.select("doc_id", "n_lines", "n_exact", "n_near", F.sha2("text", 256).alias("text_sha256"))
+
+
 def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .simhash import groups
 
@@ -95,6 +102,28 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {name: f for name, f in globals().items() if name.startswith("op") and callable(f)}
 
 
+OP4_SQL = """
+WITH d AS (SELECT doc_id, string_split(text, chr(10)) AS ls FROM documents WHERE text IS NOT NULL),
+l AS (SELECT doc_id, unnest(ls) AS line, unnest(range(len(ls))) AS i FROM d),
+u AS (
+  SELECT line, count(*) AS n, min(struct_pack(a := doc_id, b := i)) AS first, octet_length(encode(line)) AS size
+  FROM l WHERE trim(line, ' ') <> '' GROUP BY line
+), late AS (
+  SELECT DISTINCT y.line FROM u x JOIN u y ON x.first < y.first AND x.size BETWEEN y.size - 2 AND y.size + 2
+  WHERE x.size >= 40 AND y.size >= 40 AND levenshtein(x.line, y.line) <= 2
+), m AS (
+  SELECT l.doc_id, l.i, l.line, late.line IS NOT NULL AS near,
+    late.line IS NULL AND u.line IS NOT NULL AND struct_pack(a := l.doc_id, b := l.i) <> u.first AS exact
+  FROM l LEFT JOIN u ON l.line = u.line LEFT JOIN late ON l.line = late.line
+), g AS (
+  SELECT doc_id, count(*) AS n_lines, count(*) FILTER (WHERE exact) AS n_exact, count(*) FILTER (WHERE near) AS n_near,
+    coalesce(string_agg(line, chr(10) ORDER BY i) FILTER (WHERE NOT exact AND NOT near), '') AS text
+  FROM m GROUP BY doc_id
+)
+SELECT doc_id, coalesce(n_lines, 0) AS n_lines, coalesce(n_exact, 0) AS n_exact, coalesce(n_near, 0) AS n_near, sha256(g.text) AS text_sha256
+FROM documents LEFT JOIN g USING (doc_id)
+"""
+
 OP8_SQL = """
 WITH p AS (
   SELECT page_id, coalesce(html, '') AS html, CAST(octet_length(encode(coalesce(html, ''))) AS BIGINT) AS payload_bytes FROM pages
@@ -119,4 +148,4 @@ SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, score FROM r WHERE rank
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op8_warc": OP8_SQL, "op10_topk": OP10_SQL}
+    return {"op4_line_dedup": OP4_SQL, "op8_warc": OP8_SQL, "op10_topk": OP10_SQL}
