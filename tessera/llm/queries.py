@@ -66,6 +66,15 @@ def _crc_mod(column: str, n: int) -> Column:
     return F.crc32(F.col(column).cast("string")) % n
 
 
+def op6_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .license_scan import scan
+
+    found = scan(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    names = F.array_sort(F.array_distinct(F.transform("licenses", lambda x: x.getField("name"))))
+    least = F.array_min(F.transform("licenses", lambda x: x.getField("differing")))
+    return found.select("doc_id", F.size("licenses").cast("bigint").alias("n_finds"), F.array_join(names, ",").alias("names"), least.alias("least_differing"))
+
+
 def op7_language_model(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .language_model import score
 
