@@ -207,3 +207,12 @@ def identify(docs: DataFrame, labelled: Column | None = None, id_col: str = "doc
         return pa.StructArray.from_arrays([pa.array(langs, pa.string()), pa.array(scores, pa.float64())], ["lang_pred", "score"])
 
     return append_columns(docs, [text_col], run, "lang_pred string, score double")
+
+
+def filtered(docs: DataFrame, **options) -> DataFrame:
+    """docs without those in which no language is found; their columns as they were."""
+    names = [f"c{i}" for i in range(len(docs.columns))]
+    at = {c: n for c, n in zip(docs.columns, names)}
+    columns = {k: at[options.pop(k, d)] for k, d in (("id_col", "doc_id"), ("text_col", "text"), ("lang_col", "lang"))}
+    found = identify(docs.toDF(*names), **columns, **options).where(F.col("lang_pred") != UND)
+    return found.select(*[F.col(n).alias(c) for c, n in at.items()])

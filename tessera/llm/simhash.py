@@ -194,7 +194,182 @@ def groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", radi
     return marked.join(by_print, "print").select("doc_id", "print", "component_id")
 
 
-def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", radius: int = RADIUS, shingle: int = SHINGLE) -> DataFrame:
-    """docs with one document of each group: the one with the smallest id. Rows with a null id stay only if their group has no other id."""
-    kept = groups(docs, id_col, text_col, radius, shingle).where("doc_id <=> component_id").select(F.col("doc_id").alias("__kept")).distinct()
+# Near-duplicates by similarity ------------------------------------------------------------------------------------------
+#
+# At a Jaccard similarity of 0.8, fingerprints differ in about ten bits, and no pieces of 64 bits stay equal. Documents are
+# then dealt by bands of minimum hashes of the same shingles; in a bucket the bit-sliced comparison at WIDE bits leaves the
+# pairs whose similarity is estimated from SKETCH minimum hashes.
+
+SIMILARITY = 0.8
+NEAR_SHINGLE = 5
+WIDE = 17
+BANDS, ROWS = 16, 4
+SKETCH = 128
+#: What an estimate may be below the similarity asked for: 1.5 standard errors at 0.8.
+SLACK = 0.05
+#: Of a fingerprint in a block of a bucket, so many closest ones are looked at; it meets others in other bands and blocks.
+CLOSEST = 4
+#: Buckets of up to so many fingerprints are compared pair by pair, many buckets in one bit-sliced pass.
+SMALL = 16
+_MULTIPLY = np.random.default_rng(11).integers(0, 1 << 63, SKETCH, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+
+
+def sketches(texts: list[str | None], size: int = NEAR_SHINGLE) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of each text the fingerprint, its bands' keys and SKETCH minimum hashes of 16 bits. Texts without words share them."""
+    from xxhash import xxh64_intdigest
+
+    prints = np.zeros(len(texts), np.uint64)
+    least = np.zeros((SKETCH, len(texts)), np.uint32)
+    first = 0
+    while first < len(texts):
+        hashes: list[int] = []
+        ends, last = [], first
+        while last < len(texts) and len(hashes) < HASHES_AT_ONCE:
+            hashes += [xxh64_intdigest(s, SEED) for s in shingles(texts[last], size)]
+            ends.append(len(hashes))
+            last += 1
+        h, e = np.array(hashes, "<u8"), np.array(ends)
+        prints[first:last] = _majority(h, e)
+        some = np.diff(e, prepend=0) > 0
+        if some.any():
+            starts, own = (e - np.diff(e, prepend=0))[some], np.nonzero(some)[0] + first
+            for k in range(SKETCH):
+                least[k, own] = np.minimum.reduceat((h * _MULTIPLY[k] >> np.uint64(32)).astype(np.uint32), starts)
+        first = last
+    keys = np.zeros((len(texts), BANDS), np.uint64)
+    for b in range(BANDS):
+        key = np.full(len(texts), b + 1, np.uint64)
+        for r in range(ROWS):
+            key = (key ^ least[b * ROWS + r]) * np.uint64(0x9E3779B97F4A7C15)
+            key ^= key >> np.uint64(29)
+        keys[:, b] = key
+    return prints, keys.view(np.int64), np.ascontiguousarray(least.T.astype("<u2"))
+
+
+def sketched(docs: DataFrame, text_col: str = "text", shingle: int = NEAR_SHINGLE) -> DataFrame:
+    """docs with print, bands and sketch."""
+
+    def run(texts: pa.Array) -> pa.Array:
+        prints, keys, least = sketches(texts.to_pylist(), shingle)
+        lists = pa.ListArray.from_arrays(np.arange(0, keys.size + 1, BANDS, dtype=np.int32), keys.ravel())
+        return pa.StructArray.from_arrays([pa.array(prints.view(np.int64)), lists, pa.array([r.tobytes() for r in least], pa.binary())], ["print", "bands", "sketch"])
+
+    return append_columns(docs, [text_col], run, "print bigint, bands array<bigint>, sketch binary")
+
+
+def pairs_within(left: np.ndarray, right: np.ndarray, radius: int) -> np.ndarray:
+    """Which pairs left[i], right[i] differ in radius or fewer bits: 64 pairs in a word, counted with carry-save."""
+    a, b = Planes(left), Planes(right)
+    counters = [np.zeros(a.planes.shape[1], np.uint64) for _ in range(7)]
+    for i in range(64):
+        carry = a.planes[i] ^ b.planes[i]
+        for c in counters:
+            c ^= carry
+            carry &= ~c
+    far = Planes._over(counters, radius)
+    return np.unpackbits((~far).view(np.uint8), bitorder="little")[: len(left)].astype(bool)
+
+
+def _close(nodes: np.ndarray, prints: np.ndarray, mine: np.ndarray, same: bool, radius: int) -> Iterator[np.ndarray]:
+    """(a, b) rows: each fingerprint's closest ones within the radius, in a chunk or between two."""
+    left, right = (slice(None), slice(None)) if same else (mine == mine.min(), mine != mine.min())
+    ln, lp, rn, rp = nodes[left], prints[left], nodes[right], prints[right]
+    for b in range(0, len(rp), BLOCK):
+        planes = Planes(rp[b : b + BLOCK])
+        for a in range(0, len(lp), 512):
+            q, f = planes.within(lp[a : a + 512], radius)
+            x, y = ln[q + a], rn[f + b]
+            apart = np.bitwise_count(lp[q + a] ^ rp[f + b])
+            other = x != y
+            q, x, y, apart = q[other], x[other], y[other], apart[other]
+            order = np.lexsort((y, apart, q))
+            q, x, y = q[order], x[order], y[order]
+            starts = np.nonzero(np.diff(q, prepend=-1))[0]
+            place = np.arange(len(q)) - np.repeat(starts, np.diff(np.append(starts, len(q))))
+            yield np.stack([x, y], 1)[place < CLOSEST]
+
+
+def _bucketed(radius: int):
+    """mapInArrow over rows sorted by (key, i, j): one bucket's pair of chunks after the other."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def out(edges: np.ndarray) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(edges[:, 0])), pa.array(np.ascontiguousarray(edges[:, 1]))], ["a", "b"])
+
+        def bucket(rows: np.ndarray) -> Iterator[pa.RecordBatch]:
+            for e in _close(rows[:, 4], np.ascontiguousarray(rows[:, 5]).view(np.uint64), rows[:, 3], rows[0, 1] == rows[0, 2], radius):
+                if len(e):
+                    yield out(e)
+
+        rest = np.zeros((0, 6), np.int64)
+        for b in batches:
+            rows = np.concatenate([rest, np.stack([c.to_numpy() for c in b.columns], 1)])
+            cuts = np.nonzero((np.diff(rows[:, :3], axis=0) != 0).any(1))[0] + 1
+            if not len(cuts):
+                rest = rows
+                continue
+            starts = np.concatenate([[0], cuts])
+            sizes = np.diff(starts)  # the last bucket may go on in the next batch
+            yield from _small(rows, starts[:-1][sizes <= SMALL], sizes[sizes <= SMALL], radius, out)
+            for k in np.nonzero(sizes > SMALL)[0].tolist():
+                yield from bucket(rows[starts[k] : starts[k + 1]])
+            rest = rows[cuts[-1] :]
+        if len(rest):
+            yield from bucket(rest)
+
+    return run
+
+
+def _small(rows: np.ndarray, starts: np.ndarray, sizes: np.ndarray, radius: int, out) -> Iterator[pa.RecordBatch]:
+    left, right = [], []
+    for n in np.unique(sizes[sizes > 1]).tolist():
+        at = starts[sizes == n]
+        i, j = np.triu_indices(n, 1)
+        left.append((at[:, None] + i).ravel())
+        right.append((at[:, None] + j).ravel())
+    if left:
+        x, y = rows[np.concatenate(left)], rows[np.concatenate(right)]
+        meet = (x[:, 1] == x[:, 2]) | (x[:, 3] != y[:, 3])  # between two chunks, pairs of one chunk are another task's
+        near = pairs_within(np.ascontiguousarray(x[:, 5]).view(np.uint64), np.ascontiguousarray(y[:, 5]).view(np.uint64), radius) & meet & (x[:, 4] != y[:, 4])
+        yield out(np.stack([x[near, 4], y[near, 4]], 1))
+
+
+def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", similarity: float = SIMILARITY, shingle: int = NEAR_SHINGLE) -> DataFrame:
+    """doc_id and component_id (the smallest id reachable by links of the similarity) for each row of docs."""
+    ids = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("__text"))
+    marked = sketched(ids, "__text", shingle).drop("__text").withColumn("node", F.xxhash64("print", "sketch"))
+    marked = written(marked, "sketches")
+    least = written(marked.groupBy("node").agg(F.min("doc_id").alias("least")), "nodes")
+    one = marked.select("node", "print", "bands").groupBy("node", "print", "bands").count().drop("count")
+    dealt = one.select("node", "print", F.explode("bands").alias("key"))
+    sizes = dealt.groupBy("key").count().where("count > 1").withColumn("chunks", F.ceil(F.col("count") / CHUNK))
+    tasks = (
+        dealt.join(sizes, "key")
+        .withColumn("mine", F.pmod(F.xxhash64("node", F.lit(1)), F.col("chunks")))
+        .withColumn("other", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("chunks") - 1)))
+        .select("key", F.least("mine", "other").alias("i"), F.greatest("mine", "other").alias("j"), "mine", "node", "print")
+    )
+    place = ["key", "i", "j"]
+    found = tasks.repartition(*place).sortWithinPartitions(*place, "mine", "node").mapInArrow(_bucketed(WIDE), "a bigint, b bigint")
+    pairs = written(found.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "near-pairs")
+    sketch = marked.groupBy("node").agg(F.first("sketch").alias("sketch"))
+    both = pairs.join(sketch.select(F.col("node").alias("a"), F.col("sketch").alias("x")), "a").join(sketch.select(F.col("node").alias("b"), F.col("sketch").alias("y")), "b")
+
+    def alike(x: pa.Array, y: pa.Array) -> pa.Array:
+        m = [np.frombuffer(b"".join(c.to_pylist()), "<u2").reshape(-1, SKETCH) for c in (x, y)]
+        return pa.StructArray.from_arrays([pa.array((m[0] == m[1]).mean(1))], ["alike"])
+
+    links = append_columns(both, ["x", "y"], alike, "alike double").where(F.col("alike") >= similarity - SLACK).select("a", "b")
+    joined = components(links)
+    named = least.join(joined, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    smallest = named.groupBy("component").agg(F.min("least").alias("component_id"))
+    by_node = named.join(smallest, "component").select("node", "component_id")
+    return marked.select("doc_id", "node").join(by_node, "node").select("doc_id", "component_id")
+
+
+def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", similarity: float = SIMILARITY, shingle: int = NEAR_SHINGLE) -> DataFrame:
+    """docs with one document of each group of near-duplicates: the one with the smallest id. Rows that repeat an id are one
+    document. Rows with a null id stay only if no document of their group has an id."""
+    found = near_groups(docs, id_col, text_col, similarity, shingle)
+    kept = found.where("doc_id <=> component_id").select(F.col("doc_id").alias("__kept")).distinct()
     return docs.join(kept, F.col(f"`{id_col}`").eqNullSafe(F.col("__kept")), "left_semi")
