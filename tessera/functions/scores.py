@@ -24,8 +24,8 @@ def reliability(r: Column) -> Column:
 def composite(vector: Column, date: Column, confidence: Column, as_of: Column, lexical_only: bool = False) -> Column:
     """Semantic score x recency x reliability."""
     semantic = F.lit(1.0) if lexical_only else F.coalesce(vector, F.lit(LEXICAL_ONLY))
-    age = F.greatest(F.datediff(as_of, date), F.lit(0))
-    decay = F.coalesce(F.pow(F.lit(0.5), age / CLAIM_HALF_LIFE_DAYS), F.lit(UNDATED_DECAY))
+    age = F.greatest(F.datediff(as_of, date), F.lit(0))  # greatest() skips nulls: undated rows need their own case
+    decay = F.when(date.isNull(), F.lit(UNDATED_DECAY)).otherwise(F.pow(F.lit(0.5), age / CLAIM_HALF_LIFE_DAYS))
     return semantic * decay * (F.lit(0.5) + F.lit(0.5) * F.coalesce(confidence, F.lit(0.5)))
 
 
@@ -35,7 +35,8 @@ def age_hours(at: Column, as_of: Column) -> Column:
 
 def group_score(independent: Column, reliability: Column, size: Column, latest: Column, as_of: Column) -> Column:
     """How much a group of claims is worth: corroboration, reliability, size, recency."""
-    recency = F.coalesce(F.exp(-math.log(2) * F.greatest(age_hours(latest, as_of), F.lit(0.0)) / GROUP_HALF_LIFE_HOURS), F.lit(UNDATED_RECENCY))
+    age = F.greatest(age_hours(latest, as_of), F.lit(0.0))
+    recency = F.when(latest.isNull(), F.lit(UNDATED_RECENCY)).otherwise(F.exp(age * (-math.log(2) / GROUP_HALF_LIFE_HOURS)))
     return (1 + F.log1p(independent)) * (F.lit(0.3) + reliability) * (1 + F.log1p(size)) * (F.lit(0.4) + F.lit(0.6) * recency)
 
 

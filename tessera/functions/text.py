@@ -38,6 +38,11 @@ HEDGING_WEIGHTS = {"confirmed": 1.0, "assessed": 0.75, "unknown": 0.5, "claimed"
 HEDGING_LADDER = ("confirmed", "claimed", "unverified", "assessed", "unknown")
 
 
+def let(value: Column, body) -> Column:
+    """body(value) with value computed once: inside a lambda, Catalyst would compute it for every element."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
 def normalized(text: Column) -> Column:
     """Lower case, without URLs, only letters, digits and single spaces."""
     bare = F.regexp_replace(F.regexp_replace(F.lower(text), r"https?://\S+", " "), r"[^\p{L}\p{N} ]", " ")
@@ -47,9 +52,13 @@ def normalized(text: Column) -> Column:
 def word_shingles(text: Column, size: int = 3) -> Column:
     """The distinct runs of `size` words; the whole text if it has fewer words, nothing if it has none."""
     words = F.filter(F.split(normalized(text), " "), lambda w: w != "")
-    runs = F.transform(F.sequence(F.lit(1), F.size(words) - size + 1), lambda i: F.array_join(F.slice(words, i, size), " "))
-    some = F.when(F.size(words) > 0, F.array(F.array_join(words, " "))).otherwise(F.array().cast("array<string>"))
-    return F.when(F.size(words) >= size, F.array_distinct(runs)).otherwise(some)
+
+    def runs(words: Column) -> Column:
+        all_runs = F.transform(F.sequence(F.lit(1), F.size(words) - size + 1), lambda i: F.array_join(F.slice(words, i, size), " "))
+        some = F.when(F.size(words) > 0, F.array(F.array_join(words, " "))).otherwise(F.array().cast("array<string>"))
+        return F.when(F.size(words) >= size, F.array_distinct(all_runs)).otherwise(some)
+
+    return let(words, runs)
 
 
 def token_set(text: Column) -> Column:

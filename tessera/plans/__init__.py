@@ -1,3 +1,3 @@
 """Queries over the driver tables, by subject."""
 
-from . import relational  # noqa: F401
+from . import analytics, relational  # noqa: F401
