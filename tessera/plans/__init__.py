@@ -1,3 +1,3 @@
 """Queries over the driver tables, by subject."""
 
-from . import analytics, documents, relational  # noqa: F401
+from . import analytics, documents, evidence, relational  # noqa: F401
