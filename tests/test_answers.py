@@ -25,3 +25,41 @@ def test_votes(spark):
     assert (m["title"], m["kind"], m["votes"], m["claims"]) == ("A3", "strike", 3, [1, 2, 3])
     df = spark.createDataFrame([("d", *r) for r in rows], "cell string, vote int, place int, title string, kind string, size int, claims array<bigint>")
     assert [r.title for r in votes.merged_votes(df, "cell").collect()] == ["A3"]
+
+
+def test_publication(spark):
+    from tessera.operators import answers
+
+    rows = [
+        ("X was convicted of fraud", True, "claimed", 1, "drop"),
+        ("X was convicted of fraud", True, "claimed", 2, "attribute"),
+        ("State media claims X was convicted of fraud", True, "claimed", 2, "publish"),
+        ("X died, with reports suggesting an accident", True, "unverified", 3, "attribute"),
+        ("X was killed", True, "confirmed", 1, "publish"),
+        ("A depot was hit", False, "claimed", 1, "publish"),
+    ]
+    df = spark.createDataFrame(rows, "t string, p boolean, h string, n int, want string")
+    got = df.select(answers.publication(F.col("t"), F.col("p"), F.col("h"), F.col("n")).alias("x"), "want").collect()
+    assert [r.x for r in got] == [r.want for r in got]
+
+
+def test_rerank_and_trim(spark):
+    from tessera.operators import answers
+
+    df = spark.createDataFrame([([1, 2, 3, 4], [4, 9, 4, 2]), ([1, 2, 3, 4], [9, 4])], "c array<int>, g array<int>")
+    assert [r.x for r in df.select(answers.reranked(F.col("c"), F.col("g"), 3).alias("x")).collect()] == [[4, 2, 1], [1, 2, 3]]
+    many = spark.createDataFrame([(list(range(20)), 3), (list(range(20)), 12), (list(range(20)), None)], "i array<int>, n int")
+    assert [len(r.x) for r in many.select(answers.trimmed(F.col("i"), F.col("n")).alias("x")).collect()] == [8, 12, 20]
+
+
+def test_gate_and_coverage(spark):
+    from tessera.operators import answers
+
+    old = spark.createDataFrame([(39.4, 69.2)], "recall_pct double, citation_pct double")
+    new = spark.createDataFrame([(97.0, 96.9, 1.0)], "recall_pct double, citation_pct double, honesty double")
+    assert answers.gate(old, new).head().passed and not answers.gate(old, new.withColumn("honesty", F.lit(0.5))).head().passed
+    m = spark.createDataFrame([("d", 1, 5, 4), ("d", 9, 5, 4), ("d", None, 5, 4)], "k string, f int, p int, n int")
+    assert tuple(answers.at_publish(m, ["k"], "f", "p", F.col("n")).head()) == ("d", 3, 1, 4, 25.0)
+    c = spark.createDataFrame([(1, 0.9), (2, 0.7), (3, 0.4)], "id int, s double")
+    assert [r.id for r in answers.related(c, c.where("id = 1"), "id", "s").collect()] == [2]
+    assert answers.cells(spark.createDataFrame([("ru", ["a", "b"])], "country string, tracks array<string>")).count() == 2
