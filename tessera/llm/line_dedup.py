@@ -30,8 +30,8 @@ DISTANCE = 2
 FUZZY_BYTES = 40
 #: Ids of candidate lines that are sent to all executors; more of them are joined by a shuffle.
 SENT_IDS = 1_000_000
-#: Bytes that are counted for the comparison in the join.
-COUNTED = "etnraoi "
+#: Characters that are counted, modulo 16, for the comparison in the join.
+COUNTED = "etnraoi shldcumf"
 
 
 def _let(value: Column, body: Callable[[Column], Column]) -> Column:
@@ -82,7 +82,44 @@ def within(a: Column, b: Column, distance: int = DISTANCE) -> Column:
     rows = F.concat(none, codes(a, m), none)
     x = _let(rows, lambda r: masks(r, codes(b, n)))
     found = F.aggregate(x, start, lambda s, v: step(s, v, m), lambda s: s.getField("d") <= distance)
-    return F.when(F.abs(m - n) > distance, F.lit(False)).when(a == b, F.lit(True)).otherwise(found)
+    return F.when(F.abs(m - n) > distance, F.lit(False)).when(a == b, F.lit(True)).when(~plausible(a, b, k), F.lit(False)).otherwise(found)
+
+
+def _common(a: Column, b: Column, most: Column, back: bool) -> Column:
+    """Bytes that two binary columns have in common at the start (or, back, at the end), at most `most`, by halving steps."""
+    m, n = F.octet_length(a), F.octet_length(b)
+
+    def longer(p: Column, step: Column) -> Column:
+        x, y = (m - p - step + 1, n - p - step + 1) if back else (p + 1, p + 1)
+        return F.when(p + step > most, p).when(F.substring(a, x.cast("int"), step) == F.substring(b, y.cast("int"), step), p + step).otherwise(p)
+
+    steps = F.array(*[F.lit(1 << k) for k in range(29, -1, -1)])
+    return F.aggregate(steps, F.lit(0), longer)
+
+
+def plausible(a: Column, b: Column, distance: int = DISTANCE) -> Column:
+    """False only for binary columns that are over distance apart.
+
+    Without what they share at both ends, an edit is at the start and one at the end. The others, distance - 2 at most, leave one
+    of distance - 1 pieces in between whole, in a place that is distance off at most.
+    """
+    least = F.least(F.octet_length(a), F.octet_length(b))
+
+    def middle(t: Column) -> Column:
+        head, tail = t.getField("head"), t.getField("tail")
+        size = F.octet_length(a) - head - tail - 2
+        parts = max(1, distance - 1)
+        whole = F.lit(False)
+        for i in range(parts):
+            start, length = _segment(size, i, parts)
+            at = head + 1 + start + 1
+            piece = F.substring(a, at.cast("int"), length)
+            for shift in range(-distance, distance + 1):
+                whole = whole | ((at + shift >= 1) & (piece == F.substring(b, F.greatest(at + shift, F.lit(1)).cast("int"), length)))
+        return F.when(size < 2 * parts, F.lit(True)).otherwise(whole)
+
+    ends = lambda head: F.struct(head.alias("head"), _common(a, b, least - head, True).alias("tail"))
+    return _let(_let(_common(a, b, least, False), ends), middle)
 
 
 def _segment(size: Column, i: int, parts: int) -> tuple[Column, Column]:
@@ -129,23 +166,28 @@ def distinct_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     return found.groupBy("text").agg(F.count("*").alias("n"), F.min(F.struct("doc", "hash", "line")).alias("first"))
 
 
+def counted(distinct: DataFrame) -> DataFrame:
+    """distinct with the counts of COUNTED characters in each line, four bits each."""
+    counts = F.lit(0).cast("bigint")
+    for i, c in enumerate(COUNTED):
+        n = (F.octet_length("text") - F.octet_length(F.replace(F.col("text"), F.lit(c), F.lit("")))).bitwiseAND(F.lit(15)).cast("bigint")
+        counts = counts.bitwiseOR(F.shiftleft(n, 4 * i))
+    return distinct.withColumn("counts", counts)
+
+
 def links(distinct: DataFrame, distance: int = DISTANCE, fuzzy_bytes: int = FUZZY_BYTES) -> DataFrame:
-    """Pairs of different lines within distance: a and b, each a struct of text, n and first; each pair once."""
+    """Pairs of different lines (of counted()) within distance: a and b, each a struct of text, n and first; each pair once."""
     long = distinct.where(F.octet_length("text") >= fuzzy_bytes)
     data = F.encode("text", "UTF-8")
     size = F.octet_length("text").cast("int")
-    counts = F.lit(0).cast("bigint")
-    for i, c in enumerate(COUNTED):
-        n = (F.length("text") - F.length(F.replace(F.col("text"), F.lit(c), F.lit("")))).bitwiseAND(F.lit(255)).cast("bigint")
-        counts = counts.bitwiseOR(F.shiftleft(n, 8 * i))
-    entry = long.select(F.xxhash64("text").alias("id"), counts.alias("counts"), size.alias("size"), data.alias("data"))
+    entry = long.select(F.xxhash64("text").alias("id"), "counts", size.alias("size"), data.alias("data"))
     index = entry.select("id", "counts", F.explode(index_keys(F.col("data"), F.col("size"), distance)).alias("key")).alias("x")
     probe = entry.select("id", "counts", F.explode(probe_keys(F.col("data"), F.col("size"), distance)).alias("key")).alias("y")
 
     def apart(i: int) -> Column:
-        one = lambda t: F.shiftrightunsigned(F.col(f"{t}.counts"), 8 * i).bitwiseAND(F.lit(255))
+        one = lambda t: F.shiftrightunsigned(F.col(f"{t}.counts"), 4 * i).bitwiseAND(F.lit(15))
         d = F.abs(one("x") - one("y"))
-        return F.least(d, F.lit(256) - d)  # counts are known up to multiples of 256
+        return F.least(d, F.lit(16) - d)  # counts are known up to multiples of 16
 
     near = sum((apart(i) for i in range(1, len(COUNTED))), apart(0)) <= 2 * distance  # an edit changes two counts by one
     met = index.join(probe, (F.col("x.key") == F.col("y.key")) & (F.col("x.id") != F.col("y.id")) & near)
@@ -162,7 +204,7 @@ def links(distinct: DataFrame, distance: int = DISTANCE, fuzzy_bytes: int = FUZZ
 
 def decisions(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", distance: int = DISTANCE, fuzzy_bytes: int = FUZZY_BYTES) -> DataFrame:
     """Of each document with lines to drop: doc, hash, exact and near (sorted line numbers)."""
-    distinct = written(distinct_lines(docs, id_col, text_col), "lines")
+    distinct = written(counted(distinct_lines(docs, id_col, text_col)), "lines")
     linked = written(links(distinct, distance, fuzzy_bytes), "line-links")
     ends = linked.select(F.col("a").alias("own"), F.col("b.first").alias("other")).unionByName(linked.select(F.col("b").alias("own"), F.col("a.first").alias("other")))
     late = ends.where(F.col("other") < F.col("own.first")).select(F.col("own.text").alias("text"), F.col("own.first").alias("first")).distinct()
