@@ -5,6 +5,7 @@ from __future__ import annotations
 import io
 import os
 import tempfile
+import uuid
 import zipfile
 from pathlib import Path
 
@@ -31,3 +32,17 @@ def ship(spark: SparkSession) -> SparkSession:
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return ship(spark).read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def written(df: DataFrame, what: str) -> DataFrame:
+    """Cuts lineage: the rows, written to the folder that the cluster shares (spark.checkpoint.dir) and read back.
+
+    Only where that setting is absent, as in tests, a folder of this machine is made and set.
+    """
+    spark = df.sparkSession
+    root = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
+    if not root:
+        root = "file://" + tempfile.mkdtemp(prefix="tessera-")
+        spark.conf.set("spark.checkpoint.dir", root)
+    df.write.parquet(path := f"{root.rstrip('/')}/tessera/{what}-{uuid.uuid4().hex}")
+    return spark.read.schema(df.schema).parquet(path)
