@@ -18,6 +18,7 @@ import hashlib
 import json
 import re
 from array import array
+from collections.abc import Callable, Iterable
 from functools import lru_cache
 
 import numpy as np
@@ -44,6 +45,32 @@ def words(text: str) -> list[str]:
     return [w for w in SPACE.split(text) if w] if ODD.search(text) else text.split()
 
 
+class Kept:
+    """Bytes by string, made as they are asked for. At most `most` are kept: when half of them are new, those not asked for since go."""
+
+    def __init__(self, most: int):
+        self.young: dict[str, bytes] = {}
+        self.old: dict[str, bytes] = {}
+        self.half = most // 2
+
+    def join(self, found: list[str], make: Callable[[list[str]], Iterable[bytes]]) -> bytes:
+        """The bytes of all strings, one after the other."""
+        self.load(found, make)
+        return b"".join(map(self.young.__getitem__, found))
+
+    def load(self, found: Iterable[str], make: Callable[[list[str]], Iterable[bytes]]) -> None:
+        new = set(found).difference(self.young)
+        if not new:
+            return
+        if len(self.young) + len(new) > self.half:
+            self.old, self.young = self.young, {}
+            new = set(found)
+        old = self.old
+        missing = [w for w in new if w not in old]
+        self.young.update([(w, old[w]) for w in new if w in old])
+        self.young.update(zip(missing, make(missing)))
+
+
 class OffsetTable:
     """Strings by id in one buffer: the bytes of id i, and a space, start at offsets[i]."""
 
@@ -104,7 +131,7 @@ class WordBpe:
         self.automaton.make_automaton()
         self.ids, self.checked = ids, {}
         self.packed = [array("i", [i]).tobytes() for i in range(len(strings))]
-        self.kept: dict[str, bytes] = {}
+        self.kept = Kept(KEPT_WORDS)
         self.pieces = lru_cache(KEPT_WORDS)(self.piece)
         symbols = [self.pre_tokenize(chr(c))[0][0] if 0x20 < c < 0x7F else "" for c in range(256)]
         for c in range(0x80, 0x800, 0x40):  # each lead byte and, below, each byte that follows one
@@ -202,17 +229,7 @@ class WordBpe:
         """Ids as 32-bit integers."""
         if not text:
             return b""
-        found, kept = words(text), self.kept
-        new = set(found).difference(kept)
-        if len(kept) + len(new) > KEPT_WORDS:
-            kept.clear()
-            new = set(found)
-        for w in new:
-            kept[w] = self.word(w)
-        out = b"".join(map(kept.__getitem__, found))
-        if len(kept) > KEPT_WORDS:  # one text with more words than that
-            kept.clear()
-        return out
+        return self.kept.join(words(text), lambda missing: map(self.word, missing))
 
     def decode(self, ids: np.ndarray, ends: np.ndarray) -> list[bytes]:
         return self.texts.join(ids, ends)

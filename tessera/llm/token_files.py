@@ -4,9 +4,10 @@ Rows are range-partitioned by id and each task writes its documents' ids, in ord
 ids are cut into blocks of BLOCK; a block keeps its minimum, packs what is left of each id at the width that PERCENTILE of
 them need, and lists the others (place and whole difference) as exceptions. An index holds where each block starts.
 
-Layout, little-endian: MAGIC; block size (u32), blocks (u32), ids (u64), documents (u64); document ids (i64) and whether
-they are null (u8); where each document ends (u64); each block's minimum (u32), width (u8), start in the packed bytes (u64,
-one more than blocks) and first exception (u64, one more); exceptions' places (u8) and differences (u32); packed bytes.
+Layout, little-endian: MAGIC; block size (u32), blocks (u32), ids (u64), documents (u64), packed bytes (u64); document ids (i64)
+and whether they are null (u8); where each document ends (u64); each block's minimum (u32), width (u8), start in the packed
+bytes (u64) and first exception (u64, one more than blocks); exceptions' places (u8) and differences (u32); packed bytes, where
+blocks of one width lie together in their order, so that they are packed and read at once.
 
 Results: null and empty texts have only the end id; null document ids come first; rows with equal document ids all keep
 their own entry, side by side, ordered by a hash of the text; an empty table makes no file.
@@ -14,6 +15,7 @@ their own entry, side by side, ordered by a hash of the text; an empty table mak
 
 from __future__ import annotations
 
+import json
 import struct
 import zlib
 from collections.abc import Iterator
@@ -24,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .bpe import KEPT_WORDS, words
+from .bpe import KEPT_WORDS, PLAIN, PLAIN_TOKENS, Kept, words
 from .common import scratch, upload
 
 MAGIC = b"TSPFOR1\0"
@@ -32,21 +34,21 @@ BLOCK = 128
 PERCENTILE = 90
 #: Ids in a file, beyond which the next document starts another one.
 FILE_IDS = 4_000_000
+TEXTS_AT_ONCE = 64
 #: Rows for each file's task.
 TASK_ROWS = 20_000
 
 
 def _packed(values: np.ndarray, width: int) -> np.ndarray:
     """Rows of BLOCK values below 2**width as rows of 4 * width 32-bit words: value i of a row starts at bit i * width."""
-    out = np.zeros((BLOCK * width // 32, len(values)), np.uint64)
-    columns = np.ascontiguousarray(values.T).astype(np.uint64)
+    out = np.zeros((BLOCK * width // 32, len(values)), np.uint32)
+    columns = np.ascontiguousarray(values.T.astype(np.uint32))
     for i in range(BLOCK):
         word, shift = divmod(i * width, 32)
-        wide = columns[i] << np.uint64(shift)
-        out[word] |= wide & np.uint64(0xFFFFFFFF)
+        out[word] |= columns[i] << np.uint32(shift)
         if shift + width > 32:
-            out[word + 1] |= wide >> np.uint64(32)
-    return np.ascontiguousarray(out.astype("<u4").T)
+            out[word + 1] |= columns[i] >> np.uint32(32 - shift)
+    return np.ascontiguousarray(out.astype("<u4", copy=False).T)
 
 
 def _unpacked(packed: np.ndarray, width: int) -> np.ndarray:
@@ -62,28 +64,30 @@ def _unpacked(packed: np.ndarray, width: int) -> np.ndarray:
 def write_file(ids: np.ndarray, ends: np.ndarray, keys: list[int | None]) -> bytes:
     """One file of all ids; document i ends before ids[ends[i]]."""
     n = -(-len(ids) // BLOCK)
-    padded = np.zeros(n * BLOCK, np.int64)
+    padded = np.zeros(n * BLOCK, np.int32)  # ids of vocabularies are far below 2**31
     padded[: len(ids)] = ids
     if len(ids) % BLOCK:
         padded[len(ids) :] = padded[len(ids) - 1]
     rows = padded.reshape(n, BLOCK)
-    least = rows.min(1) if n else np.zeros(0, np.int64)
+    least = rows.min(1) if n else np.zeros(0, np.int32)
     rest = rows - least[:, None]
-    typical = np.partition(rest, BLOCK * PERCENTILE // 100 - 1, axis=1)[:, BLOCK * PERCENTILE // 100 - 1] if n else least
-    width = np.ceil(np.log2(typical + 1)).astype(np.uint8)
-    over = rest >> width[:, None].astype(np.int64) > 0
-    starts = np.concatenate([[0], np.cumsum(width.astype(np.int64) * BLOCK // 8)])
+    place = BLOCK * PERCENTILE // 100 - 1
+    typical = np.partition(rest, place, axis=1)[:, place] if n else least
+    width = np.ceil(np.log2(typical + 1.0)).astype(np.uint8)
+    over = rest >= (1 << width.astype(np.int32))[:, None]
     first = np.concatenate([[0], np.cumsum(over.sum(1))]) if n else np.zeros(1, np.int64)
     places = np.nonzero(over)[1].astype(np.uint8)
     outliers = rest[over].astype("<u4")
     rest[over] = 0
-    body = np.zeros(int(starts[-1]), np.uint8)
+    body, starts, at = [], np.zeros(n, np.int64), 0
     for w in np.unique(width[width > 0]).tolist():
         of = np.nonzero(width == w)[0]
-        body[starts[of][:, None] + np.arange(w * BLOCK // 8)] = _packed(rest[of], w).view(np.uint8)
+        body.append(_packed(rest[of], w))
+        starts[of] = at + np.arange(len(of)) * (w * BLOCK // 8)
+        at += body[-1].nbytes
     null = np.array([k is None for k in keys], np.uint8)
-    head = MAGIC + struct.pack("<IIQQ", BLOCK, n, len(ids), len(keys))
-    parts = [np.array([k or 0 for k in keys], "<i8"), null, np.asarray(ends, "<u8"), least.astype("<u4"), width, starts.astype("<u8"), first.astype("<u8"), places, outliers, body]
+    head = MAGIC + struct.pack("<IIQQQ", BLOCK, n, len(ids), len(keys), at)
+    parts = [np.array([k or 0 for k in keys], "<i8"), null, np.asarray(ends, "<u8"), least.astype("<u4"), width, starts.astype("<u8"), first.astype("<u8"), places, outliers, *body]
     return head + b"".join(p.tobytes() for p in parts)
 
 
@@ -93,10 +97,10 @@ class TokenFile:
     def __init__(self, data: bytes):
         if data[:8] != MAGIC:
             raise ValueError("not a token file")
-        block, n, self.count, docs = struct.unpack_from("<IIQQ", data, 8)
+        block, n, self.count, docs, size = struct.unpack_from("<IIQQQ", data, 8)
         if block != BLOCK:
             raise ValueError(f"blocks of {block} ids")
-        at = 32
+        at = 40
 
         def take(kind: str, size: int) -> np.ndarray:
             nonlocal at
@@ -108,9 +112,9 @@ class TokenFile:
         self.keys = [None if x else k for k, x in zip(keys.tolist(), null.tolist())]
         self.ends = take("<u8", docs).astype(np.int64)
         self.least, self.width = take("<u4", n), take("u1", n)
-        self.starts, self.first = take("<u8", n + 1).astype(np.int64), take("<u8", n + 1).astype(np.int64)
+        self.starts, self.first = take("<u8", n).astype(np.int64), take("<u8", n + 1).astype(np.int64)
         self.places, self.outliers = take("u1", int(self.first[-1])), take("<u4", int(self.first[-1]))
-        self.body = take("u1", int(self.starts[-1]))
+        self.body = take("u1", size)
 
     def blocks(self, lo: int, hi: int) -> np.ndarray:
         """The ids of blocks lo to hi - 1, padding included."""
@@ -118,8 +122,8 @@ class TokenFile:
         width, starts = self.width[lo:hi], self.starts[lo:hi]
         for w in np.unique(width[width > 0]).tolist():
             of = np.nonzero(width == w)[0]
-            raw = self.body[starts[of][:, None] + np.arange(w * BLOCK // 8)]
-            out[of] = _unpacked(np.ascontiguousarray(raw).view("<u4"), w)
+            a, size = int(starts[of[0]]), w * BLOCK // 8
+            out[of] = _unpacked(self.body[a : a + len(of) * size].reshape(len(of), size).view("<u4"), w)
         a, b = self.first[lo], self.first[hi]
         of = np.repeat(np.arange(hi - lo), np.diff(self.first[lo : hi + 1]))
         out[of, self.places[a:b]] = self.outliers[a:b]
@@ -133,31 +137,58 @@ class TokenFile:
         return self.blocks(lo, hi)[a - lo * BLOCK : b - lo * BLOCK]
 
 
+class Library:
+    """A tokenizer of the tokenizers library that is asked for each word or piece once, where white space parts what it encodes."""
+
+    def __init__(self, path: str):
+        from tokenizers import Tokenizer
+
+        self.tokenizer = Tokenizer.from_file(path)
+        self.tokenizer.no_truncation()
+        self.tokenizer.no_padding()
+        with open(path, encoding="utf-8") as f:
+            suffix = json.load(f)["model"].get("end_of_word_suffix")
+        self.parted = bool(suffix) and self._encode("ab cd  ef") == self._encode("ab") + self._encode("cd") + self._encode("ef")
+        size = self.tokenizer.get_vocab_size()
+        self.last = np.array([bool(suffix) and (self.tokenizer.id_to_token(i) or "").endswith(suffix) for i in range(size)])
+        self.words, self.pieces = Kept(KEPT_WORDS), Kept(KEPT_WORDS)
+
+    def _encode(self, text: str) -> list[int]:
+        return self.tokenizer.encode(text, add_special_tokens=False).ids
+
+    def encode(self, text: str | None) -> bytes:
+        """Ids as 32-bit integers."""
+        if not text:
+            return b""
+        return self.encode_many([text])[0]
+
+    def encode_many(self, texts: list[str | None]) -> list[bytes]:
+        if not self.parted:
+            return [np.array(self._encode(t), "<i4").tobytes() if t else b"" for t in texts]
+        found = [words(t) if t else [] for t in texts]
+        self.words.load({w for ws in found for w in ws}, self._words)
+        kept = self.words.young.__getitem__
+        return [b"".join(map(kept, ws)) for ws in found]
+
+    def _words(self, missing: list[str]) -> list[bytes]:
+        parts = [PLAIN_TOKENS.findall(w.lower()) if PLAIN.fullmatch(w) and "<" not in w else None for w in missing]
+        self.pieces.load([p for ps in parts if ps for p in ps], self._pieces)
+        kept = self.pieces.young
+        return [np.array(self._encode(w), "<i4").tobytes() if ps is None else b"".join([kept[p] for p in ps]) for w, ps in zip(missing, parts)]
+
+    def _pieces(self, missing: list[str]) -> list[bytes]:
+        """One call for all pieces: each ends in the only token with a word end that it has."""
+        ids = np.array(self.tokenizer.encode_batch_fast([" ".join(missing)], add_special_tokens=False)[0].ids, "<i4")
+        ends = np.nonzero(self.last[ids])[0] + 1 if len(ids) else np.zeros(0, int)
+        if len(ends) != len(missing):
+            return [np.array(self._encode(p), "<i4").tobytes() for p in missing]
+        raw, cuts = ids.tobytes(), [0, *(4 * ends).tolist()]
+        return [raw[a:z] for a, z in zip(cuts, cuts[1:])]
+
+
 @lru_cache(1)
-def _library(path: str):
-    from tokenizers import Tokenizer
-
-    tokenizer = Tokenizer.from_file(path)
-    tokenizer.no_truncation()
-    tokenizer.no_padding()
-    return tokenizer, {}
-
-
-def library_ids(path: str, text: str | None) -> bytes:
-    """The library's ids of a text, as 32-bit integers. It is asked for each word once: white space parts what it encodes."""
-    tokenizer, kept = _library(path)
-    found = words(text or "")
-    new = set(found).difference(kept)
-    if len(kept) + len(new) > KEPT_WORDS:
-        kept.clear()
-        new = set(found)
-    new = list(new)
-    for w, e in zip(new, tokenizer.encode_batch_fast(new, add_special_tokens=False)):
-        kept[w] = np.array(e.ids, "<i4").tobytes()
-    out = b"".join(map(kept.__getitem__, found))
-    if len(kept) > KEPT_WORDS:
-        kept.clear()
-    return out
+def _library(path: str) -> Library:
+    return Library(path)
 
 
 def write(docs: DataFrame, path: str, end_id: int, id_col: str = "doc_id", text_col: str = "text") -> tuple[str, DataFrame]:
@@ -188,13 +219,15 @@ def write(docs: DataFrame, path: str, end_id: int, id_col: str = "doc_id", text_
             return out
 
         for b in batches:
-            for k, t in zip(b.column(0).to_pylist(), b.column(1)):
-                ids = library_ids(path, t.as_py()) + tail
-                if runs and size + len(ids) // 4 > FILE_IDS:
-                    yield flush()
-                keys.append(k)
-                runs.append(ids)
-                size += len(ids) // 4
+            for a in range(0, b.num_rows, TEXTS_AT_ONCE):
+                some = b.slice(a, TEXTS_AT_ONCE)
+                for k, ids in zip(some.column(0).to_pylist(), _library(path).encode_many(some.column(1).to_pylist())):
+                    ids += tail
+                    if runs and size + len(ids) // 4 > FILE_IDS:
+                        yield flush()
+                    keys.append(k)
+                    runs.append(ids)
+                    size += len(ids) // 4
         if runs:
             yield flush()
 
