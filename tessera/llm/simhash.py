@@ -197,29 +197,37 @@ def groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", radi
 # Near-duplicates by similarity ------------------------------------------------------------------------------------------
 #
 # At a Jaccard similarity of 0.8, fingerprints differ in about ten bits, and no pieces of 64 bits stay equal. Documents are
-# then dealt by bands of minimum hashes of the same shingles; in a bucket the bit-sliced comparison at WIDE bits leaves the
-# pairs whose similarity is estimated from SKETCH minimum hashes.
+# then dealt by bands of minimum hashes of the same shingles; in a bucket the bit-sliced comparison at WIDE bits joins
+# candidates to clusters. In a cluster all texts are compared by the exact similarity of their sets of shingles: from each
+# text on, what is similar is joined and followed in turn, and only what isn't joined yet is compared, so a cluster of copies
+# takes one pass and each link that is given was checked.
 
 SIMILARITY = 0.8
 NEAR_SHINGLE = 5
 WIDE = 17
 BANDS, ROWS = 16, 4
-SKETCH = 128
-#: What an estimate may be below the similarity asked for: 1.5 standard errors at 0.8.
-SLACK = 0.05
-#: Of a fingerprint in a block of a bucket, so many closest ones are looked at; it meets others in other bands and blocks.
-CLOSEST = 4
 #: Buckets of up to so many fingerprints are compared pair by pair, many buckets in one bit-sliced pass.
 SMALL = 16
-_MULTIPLY = np.random.default_rng(11).integers(0, 1 << 63, SKETCH, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+#: Clusters of candidates are cut in chunks of about so many texts and shingles; each pair of chunks is a task.
+CLUSTER = 2048
+CLUSTER_SHINGLES = 1 << 22
+_MULTIPLY = np.random.default_rng(11).integers(0, 1 << 63, BANDS * ROWS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+
+
+def node_of(hashes: np.ndarray) -> int:
+    """What stands for a set of shingles, given by its ascending hashes."""
+    from xxhash import xxh64_intdigest
+
+    return int(np.uint64(xxh64_intdigest(hashes.tobytes(), SEED)).astype(np.int64))
 
 
 def sketches(texts: list[str | None], size: int = NEAR_SHINGLE) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Of each text the fingerprint, its bands' keys and SKETCH minimum hashes of 16 bits. Texts without words share them."""
+    """Of each text the fingerprint, its bands' keys and the node of its set of shingles. Texts without words share them."""
     from xxhash import xxh64_intdigest
 
     prints = np.zeros(len(texts), np.uint64)
-    least = np.zeros((SKETCH, len(texts)), np.uint32)
+    least = np.zeros((BANDS * ROWS, len(texts)), np.uint32)
+    nodes = np.zeros(len(texts), np.int64)
     first = 0
     while first < len(texts):
         hashes: list[int] = []
@@ -229,11 +237,13 @@ def sketches(texts: list[str | None], size: int = NEAR_SHINGLE) -> tuple[np.ndar
             ends.append(len(hashes))
             last += 1
         h, e = np.array(hashes, "<u8"), np.array(ends)
+        for k, (a, z) in enumerate(zip((e - np.diff(e, prepend=0)).tolist(), ends)):
+            nodes[first + k] = node_of(np.unique(h[a:z]))
         prints[first:last] = _majority(h, e)
         some = np.diff(e, prepend=0) > 0
         if some.any():
             starts, own = (e - np.diff(e, prepend=0))[some], np.nonzero(some)[0] + first
-            for k in range(SKETCH):
+            for k in range(len(least)):
                 least[k, own] = np.minimum.reduceat((h * _MULTIPLY[k] >> np.uint64(32)).astype(np.uint32), starts)
         first = last
     keys = np.zeros((len(texts), BANDS), np.uint64)
@@ -243,18 +253,18 @@ def sketches(texts: list[str | None], size: int = NEAR_SHINGLE) -> tuple[np.ndar
             key = (key ^ least[b * ROWS + r]) * np.uint64(0x9E3779B97F4A7C15)
             key ^= key >> np.uint64(29)
         keys[:, b] = key
-    return prints, keys.view(np.int64), np.ascontiguousarray(least.T.astype("<u2"))
+    return prints, keys.view(np.int64), nodes
 
 
 def sketched(docs: DataFrame, text_col: str = "text", shingle: int = NEAR_SHINGLE) -> DataFrame:
-    """docs with print, bands and sketch."""
+    """docs with print, bands and node."""
 
     def run(texts: pa.Array) -> pa.Array:
-        prints, keys, least = sketches(texts.to_pylist(), shingle)
+        prints, keys, nodes = sketches(texts.to_pylist(), shingle)
         lists = pa.ListArray.from_arrays(np.arange(0, keys.size + 1, BANDS, dtype=np.int32), keys.ravel())
-        return pa.StructArray.from_arrays([pa.array(prints.view(np.int64)), lists, pa.array([r.tobytes() for r in least], pa.binary())], ["print", "bands", "sketch"])
+        return pa.StructArray.from_arrays([pa.array(prints.view(np.int64)), lists, pa.array(nodes)], ["print", "bands", "node"])
 
-    return append_columns(docs, [text_col], run, "print bigint, bands array<bigint>, sketch binary")
+    return append_columns(docs, [text_col], run, "print bigint, bands array<bigint>, node bigint")
 
 
 def pairs_within(left: np.ndarray, right: np.ndarray, radius: int) -> np.ndarray:
@@ -270,23 +280,33 @@ def pairs_within(left: np.ndarray, right: np.ndarray, radius: int) -> np.ndarray
     return np.unpackbits((~far).view(np.uint8), bitorder="little")[: len(left)].astype(bool)
 
 
-def _close(nodes: np.ndarray, prints: np.ndarray, mine: np.ndarray, same: bool, radius: int) -> Iterator[np.ndarray]:
-    """(a, b) rows: each fingerprint's closest ones within the radius, in a chunk or between two."""
-    left, right = (slice(None), slice(None)) if same else (mine == mine.min(), mine != mine.min())
-    ln, lp, rn, rp = nodes[left], prints[left], nodes[right], prints[right]
-    for b in range(0, len(rp), BLOCK):
-        planes = Planes(rp[b : b + BLOCK])
-        for a in range(0, len(lp), 512):
-            q, f = planes.within(lp[a : a + 512], radius)
-            x, y = ln[q + a], rn[f + b]
-            apart = np.bitwise_count(lp[q + a] ^ rp[f + b])
-            other = x != y
-            q, x, y, apart = q[other], x[other], y[other], apart[other]
-            order = np.lexsort((y, apart, q))
-            q, x, y = q[order], x[order], y[order]
-            starts = np.nonzero(np.diff(q, prepend=-1))[0]
-            place = np.arange(len(q)) - np.repeat(starts, np.diff(np.append(starts, len(q))))
-            yield np.stack([x, y], 1)[place < CLOSEST]
+def _joined(nodes: np.ndarray, prints: np.ndarray, mine: np.ndarray, same: bool, radius: int) -> Iterator[np.ndarray]:
+    """(a, b) rows that join all within the radius, in a chunk or between two: at most one for each fingerprint."""
+    left = np.arange(len(nodes)) if same else np.nonzero(mine == mine.min())[0]
+    right = left if same else np.nonzero(mine != mine.min())[0]
+    root = np.arange(len(nodes))
+
+    def find(x: int) -> int:
+        while root[x] != x:
+            root[x] = root[root[x]]
+            x = int(root[x])
+        return x
+
+    edges = []
+    for b in range(0, len(right), BLOCK):
+        planes = Planes(prints[right[b : b + BLOCK]])
+        for a in range(0, len(left), 64):
+            q, f = planes.within(prints[left[a : a + 64]], radius)
+            x, y = left[q + a], right[f + b]
+            apart = root[x] != root[y]
+            for u, v in zip(x[apart].tolist(), y[apart].tolist()):
+                if (i := find(u)) != (j := find(v)):
+                    root[max(i, j)] = min(i, j)
+                    edges.append((u, v))
+            while (root != (up := root[root])).any():
+                root = up
+    if edges:
+        yield nodes[np.array(edges)]
 
 
 def _bucketed(radius: int):
@@ -297,7 +317,7 @@ def _bucketed(radius: int):
             return pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(edges[:, 0])), pa.array(np.ascontiguousarray(edges[:, 1]))], ["a", "b"])
 
         def bucket(rows: np.ndarray) -> Iterator[pa.RecordBatch]:
-            for e in _close(rows[:, 4], np.ascontiguousarray(rows[:, 5]).view(np.uint64), rows[:, 3], rows[0, 1] == rows[0, 2], radius):
+            for e in _joined(rows[:, 4], np.ascontiguousarray(rows[:, 5]).view(np.uint64), rows[:, 3], rows[0, 1] == rows[0, 2], radius):
                 if len(e):
                     yield out(e)
 
@@ -334,13 +354,113 @@ def _small(rows: np.ndarray, starts: np.ndarray, sizes: np.ndarray, radius: int,
         yield out(np.stack([x[near, 4], y[near, 4]], 1))
 
 
+def distinct_shingles(text: str | None, size: int = NEAR_SHINGLE) -> np.ndarray:
+    """The ascending hashes of a text's different shingles."""
+    from xxhash import xxh64_intdigest
+
+    return np.unique(np.array([xxh64_intdigest(s, SEED) for s in set(shingles(text, size))], "<u8"))
+
+
+def similar_forest(sets: list[np.ndarray], similarity: float) -> list[tuple[int, int]]:
+    """Places (i, j) that join all sets linked by a Jaccard similarity of at least this; each of them has it."""
+    sizes = np.array([len(s) for s in sets])
+    _, ids = np.unique(np.concatenate(sets), return_inverse=True)
+    at = np.append(0, np.cumsum(sizes))
+    mark = np.zeros(int(ids.max()) + 1 if len(ids) else 1, bool)
+    order = np.argsort(-sizes, kind="stable")
+    rest = order[sizes[order] > 0].astype(np.int64)  # not joined yet; sets without members are like no other
+    flat, starts = np.zeros(0, np.int64), np.zeros(0, np.int64)
+    live, held = np.zeros(0, bool), np.zeros(0, np.int64)
+
+    def hold() -> None:
+        nonlocal flat, starts, live, held
+        held, live = rest, np.ones(len(rest), bool)
+        flat = np.concatenate([ids[at[i] : at[i + 1]] for i in rest.tolist()]) if len(rest) else flat[:0]
+        starts = np.cumsum(sizes[rest]) - sizes[rest]
+
+    edges: list[tuple[int, int]] = []
+    hold()
+    place = 0
+    while place < len(held):
+        if not live[place]:
+            place += 1
+            continue
+        live[place] = False
+        open_ = [int(held[place])]
+        while open_ and live.any():
+            p = open_.pop()
+            own = ids[at[p] : at[p + 1]]
+            mark[own] = True
+            shared = np.add.reduceat(mark[flat], starts, dtype=np.int64)
+            mark[own] = False
+            near = np.nonzero(live & (shared / (sizes[held] + sizes[p] - shared) >= similarity))[0]
+            live[near] = False
+            found = held[near].tolist()
+            edges += [(p, x) for x in found]
+            open_ += found
+            if 2 * live.sum() < len(live):
+                rest, place = held[live], 0
+                hold()
+    return edges
+
+
+def _verified(similarity: float):
+    """mapInArrow over rows sorted by (cluster, i, j): the links of one pair of a cluster's chunks after the other."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def out(nodes: list[int], sets: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
+            edges = similar_forest(sets, similarity)
+            if edges:
+                n = np.array(nodes, np.int64)[np.array(edges)]
+                yield pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(n[:, 0])), pa.array(np.ascontiguousarray(n[:, 1]))], ["a", "b"])
+
+        now, nodes, sets = None, [], []
+        for b in batches:
+            for cluster, i, j, node, data in zip(*(c.to_pylist() for c in b.columns)):
+                if now != (cluster, i, j):
+                    if len(nodes) > 1:
+                        yield from out(nodes, sets)
+                    now, nodes, sets = (cluster, i, j), [], []
+                nodes.append(node)
+                sets.append(np.frombuffer(data, "<u8"))
+        if len(nodes) > 1:
+            yield from out(nodes, sets)
+
+    return run
+
+
+def _links(docs: DataFrame, clusters: DataFrame, similarity: float, shingle: int) -> DataFrame:
+    """Edges (a, b) of texts of a cluster of candidates that join all of the exact similarity. docs: doc_id, __text; clusters: node, least, component."""
+
+    def run(texts: pa.Array) -> pa.Array:
+        sets = [distinct_shingles(t, shingle) for t in texts.to_pylist()]
+        fields = [pa.array([node_of(s) for s in sets], pa.int64()), pa.array([len(s) for s in sets], pa.int64()), pa.array([s.tobytes() for s in sets], pa.binary())]
+        return pa.StructArray.from_arrays(fields, ["node", "n", "shingles"])
+
+    members = docs.join(clusters.select(F.col("least").alias("__least")).distinct(), F.col("doc_id").eqNullSafe(F.col("__least")), "left_semi")
+    sets = append_columns(members, ["__text"], run, "node bigint, n bigint, shingles binary").select("node", "n", "shingles")
+    sets = written(sets.join(clusters.select("node", F.col("component").alias("cluster")), "node").dropDuplicates(["node"]), "shingles")
+    parts = F.greatest(F.ceil(F.count("*") / CLUSTER), F.ceil(F.sum("n") / CLUSTER_SHINGLES))
+    sizes = sets.groupBy("cluster").agg(F.count("*").alias("texts"), parts.alias("chunks")).where("texts > 1").drop("texts")
+    last = F.col("chunks") - 1
+    # a pair of chunks is compared within the chunks too, so a chunk has a task of its own only where there is no other
+    others = F.when(last == 0, F.array(F.lit(0).cast("bigint"))).otherwise(F.filter(F.sequence(F.lit(0).cast("bigint"), last), lambda k: k != F.col("mine")))
+    tasks = (
+        sets.join(sizes, "cluster")
+        .withColumn("mine", F.pmod(F.xxhash64("node", F.lit(2)), F.col("chunks")))
+        .withColumn("other", F.explode(others))
+        .select("cluster", F.least("mine", "other").alias("i"), F.greatest("mine", "other").alias("j"), "node", "shingles")
+    )
+    place = ["cluster", "i", "j"]
+    return tasks.repartition(*place).sortWithinPartitions(*place).mapInArrow(_verified(similarity), "a bigint, b bigint")
+
+
 def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", similarity: float = SIMILARITY, shingle: int = NEAR_SHINGLE) -> DataFrame:
     """doc_id and component_id (the smallest id reachable by links of the similarity) for each row of docs."""
     ids = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("__text"))
-    marked = sketched(ids, "__text", shingle).drop("__text").withColumn("node", F.xxhash64("print", "sketch"))
-    marked = written(marked, "sketches")
+    marked = written(sketched(ids, "__text", shingle).drop("__text"), "sketches")
     least = written(marked.groupBy("node").agg(F.min("doc_id").alias("least")), "nodes")
-    one = marked.select("node", "print", "bands").groupBy("node", "print", "bands").count().drop("count")
+    one = marked.groupBy("node").agg(F.first("print").alias("print"), F.first("bands").alias("bands"))
     dealt = one.select("node", "print", F.explode("bands").alias("key"))
     sizes = dealt.groupBy("key").count().where("count > 1").withColumn("chunks", F.ceil(F.col("count") / CHUNK))
     tasks = (
@@ -351,16 +471,8 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     )
     place = ["key", "i", "j"]
     found = tasks.repartition(*place).sortWithinPartitions(*place, "mine", "node").mapInArrow(_bucketed(WIDE), "a bigint, b bigint")
-    pairs = written(found.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "near-pairs")
-    sketch = marked.groupBy("node").agg(F.first("sketch").alias("sketch"))
-    both = pairs.join(sketch.select(F.col("node").alias("a"), F.col("sketch").alias("x")), "a").join(sketch.select(F.col("node").alias("b"), F.col("sketch").alias("y")), "b")
-
-    def alike(x: pa.Array, y: pa.Array) -> pa.Array:
-        m = [np.frombuffer(b"".join(c.to_pylist()), "<u2").reshape(-1, SKETCH) for c in (x, y)]
-        return pa.StructArray.from_arrays([pa.array((m[0] == m[1]).mean(1))], ["alike"])
-
-    links = append_columns(both, ["x", "y"], alike, "alike double").where(F.col("alike") >= similarity - SLACK).select("a", "b")
-    joined = components(links)
+    clusters = written(components(found).withColumnRenamed("node", "member").join(least, F.col("member") == F.col("node")).select("node", "least", "component"), "clusters")
+    joined = components(_links(ids, clusters, similarity, shingle))
     named = least.join(joined, "node", "left").withColumn("component", F.coalesce("component", "node"))
     smallest = named.groupBy("component").agg(F.min("least").alias("component_id"))
     by_node = named.join(smallest, "component").select("node", "component_id")

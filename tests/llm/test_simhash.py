@@ -108,3 +108,33 @@ def test_near_duplicates(spark, monkeypatch):
     kept = S.deduplicate(df)
     assert kept.columns == df.columns and {r.doc_id for r in kept.collect()} == set(least.values())
     assert S.deduplicate(df.limit(0)).count() == 0
+
+
+def shingle_set(text):
+    w = text.split()
+    return {tuple(w[i : i + 5]) for i in range(len(w) - 4)}
+
+
+def components_by_jaccard(rows, similarity=0.8):
+    sets = [shingle_set(t) for _, t in rows]
+    pairs = [(i, j) for i in range(len(rows)) for j in range(i) if len(sets[i] & sets[j]) / len(sets[i] | sets[j]) >= similarity]
+    return {rows[i][0]: rows[r][0] for i, r in enumerate(roots(len(rows), pairs))}
+
+
+def test_variants_with_many_copies_are_one_group(spark, monkeypatch):
+    # two variants of a page at about 0.82, each with many closer copies: the copies' nearest ones are all of their own variant
+    rng = random.Random(5)
+    base = [f"w{rng.randrange(10**6)}" for _ in range(400)]
+    other = list(base)
+    for k in range(8):
+        other[50 * k + 7] = "variant"
+    rows = []
+    for words in (base, other):
+        for c in range(30):
+            rows.append((len(rows), " ".join(words + [f"end{len(rows)}"])))
+    want = components_by_jaccard(rows)
+    assert set(want.values()) == {0}
+    df = spark.createDataFrame(rows, "doc_id bigint, text string")
+    for chunk in (S.CLUSTER, 16):
+        monkeypatch.setattr(S, "CLUSTER", chunk)
+        assert {r.doc_id: r.component_id for r in S.near_groups(df).collect()} == want
