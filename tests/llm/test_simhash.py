@@ -130,7 +130,7 @@ def test_variants_with_many_copies_are_one_group(spark, monkeypatch):
         other[50 * k + 7] = "variant"
     rows = []
     for words in (base, other):
-        for c in range(30):
+        for c in range(90):
             rows.append((len(rows), " ".join(words + [f"end{len(rows)}"])))
     want = components_by_jaccard(rows)
     assert set(want.values()) == {0}
@@ -138,3 +138,38 @@ def test_variants_with_many_copies_are_one_group(spark, monkeypatch):
     for chunk in (S.CLUSTER, 16):
         monkeypatch.setattr(S, "CLUSTER", chunk)
         assert {r.doc_id: r.component_id for r in S.near_groups(df).collect()} == want
+
+
+def test_links_are_at_the_similarity_asked_for(spark):
+    # pairs around 0.8 on both sides, short texts, and texts whose shingles repeat
+    rng = random.Random(6)
+    text = lambda n: [f"w{rng.randrange(10**6)}" for _ in range(n)]
+    rows = []
+    add = lambda words: rows.append((len(rows), " ".join(words)))
+    for n, step in ((200, 4), (200, 5), (200, 6), (200, 8), (9, 1), (8, 1)):
+        for _ in range(40):
+            words = text(n)
+            add(words)
+            add(words + text(1) if n < 10 else words[: n - step * 4] + text(step * 4 - 4))
+    for _ in range(40):
+        once, tail = text(30), text(40)
+        add(once + tail)
+        add(once * 6 + tail)
+        add(once + tail * 6)
+    want = components_by_jaccard(rows)
+    assert 0.2 < sum(a != b for a, b in want.items()) / len(rows) < 0.8
+    df = spark.createDataFrame(rows, "doc_id bigint, text string")
+    assert {r.doc_id: r.component_id for r in S.near_groups(df).collect()} == want
+
+
+def test_few_pairs_at_the_border_are_missed():
+    rng = random.Random(7)
+    missed = wide = 0
+    for k in range(2000):
+        n = (5, 45, 225)[k % 3]  # n - n / 10 of n shingles shared, or 4 of 5: about 0.8
+        words = [f"{k} {j} {rng.random()}".replace(" ", "_") for j in range(n + 4)]
+        other = words[: n + 3] if n == 5 else words[: n + 4 - n // 9] + [f"x{rng.random()}" for _ in range(n // 9)]
+        prints, keys, _ = S.sketches([" ".join(words), " ".join(other)])
+        missed += not (keys[0] == keys[1]).any()
+        wide += (int(prints[0]) ^ int(prints[1])).bit_count() > S.WIDE
+    assert missed <= 3 and wide <= 1
