@@ -2,12 +2,13 @@
 
 A document's candidate blocks are the words around trigger words, which every template holds. Each block is compressed alone
 and with each template as a raw Zstandard dictionary; the bytes that a template saves, as a share of what it costs to say the
-template itself, rank the templates. The RANKED best are confirmed by exact wording: the words of the template are aligned with
+template itself, rank the templates. Saved bytes shrink where a block repeats itself, so they only order: all templates of which
+a block has enough words, in any order, are confirmed, best first, by exact wording: the words of the template are aligned with
 the block's, and words that are missing, added or replaced inside the matched span are counted. A template is found where
 they are at most DIFFERING of its words. Of overlapping finds, the one with fewer differing words stays (ties: the longer template,
 then the name).
 
-Blocks are cut for short notices and for long texts apart, so that each has a width that fits its templates; they overlap by
+Blocks are cut for short notices, headers and whole texts apart, so that each has a width that fits its templates; they overlap by
 the longest template, so each occurrence lies whole in one, and their size is bounded whatever the text.
 
 Results: words are runs of letters and digits, A-Z in lower case. Null and empty texts, and texts without a trigger, have no
@@ -18,6 +19,7 @@ column are replaced.
 from __future__ import annotations
 
 import re
+from collections import Counter
 from dataclasses import dataclass, field
 from difflib import SequenceMatcher
 from functools import lru_cache
@@ -28,14 +30,30 @@ from pyspark.sql import DataFrame
 from .common import append_columns
 
 WORD = re.compile(r"[^\W_]+")
-RANKED = 8
 DIFFERING = 0.1
-#: A share of a template's own bytes that a block must save, at least, for the template to be ranked.
-LEAST_SAVED = 0.3
 #: A level whose search finds short repeats, at any place of the dictionary.
 LEVEL = 19
 #: Parts of words, one of which each template has.
 TRIGGERS = ("licens", "licenc", "copyright", "permission", "redistribut", "warrant", "public domain")
+_GNU = (
+    "This {} is free software{} you can redistribute it and/or modify it under the terms of the GNU {} Public License as published by the Free Software Foundation{}{}{}"
+)
+_LATER = " of the License, or (at your option) any later version."
+_OFFICE = "51 Franklin Street, Fifth Floor, Boston, MA 02110-1301 USA "
+_VERBATIM = "Everyone is permitted to copy and distribute verbatim copies of this license document, but changing it is not allowed."
+_BSD = (
+    "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met: "
+    "1. Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer. "
+    "2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation "
+    "and/or other materials provided with the distribution. "
+)
+_DISCLAIMER = (
+    'THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS "AS IS" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED '
+    "WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED. IN NO EVENT SHALL THE COPYRIGHT HOLDER OR CONTRIBUTORS BE LIABLE FOR ANY DIRECT, "
+    "INDIRECT, INCIDENTAL, SPECIAL, EXEMPLARY, OR CONSEQUENTIAL DAMAGES (INCLUDING, BUT NOT LIMITED TO, PROCUREMENT OF SUBSTITUTE GOODS OR SERVICES; LOSS OF USE, DATA, OR "
+    "PROFITS; OR BUSINESS INTERRUPTION) HOWEVER CAUSED AND ON ANY THEORY OF LIABILITY, WHETHER IN CONTRACT, STRICT LIABILITY, OR TORT (INCLUDING NEGLIGENCE OR OTHERWISE) "
+    "ARISING IN ANY WAY OUT OF THE USE OF THIS SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE."
+)
 #: Notices and texts by which works are put under public licenses (name, wording).
 TEMPLATES = (
     ("MIT", "Released under the MIT License."),
@@ -74,25 +92,35 @@ TEMPLATES = (
         "Licensed under the Apache License, Version 2.0 (the License); you may not use this file except in compliance with the License. You may obtain a copy "
         "of the License at http://www.apache.org/licenses/LICENSE-2.0",
     ),
-    (
-        "GPL-3.0",
-        "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free "
-        "Software Foundation, either version 3 of the License, or (at your option) any later version.",
-    ),
+    ("GPL-3.0", _GNU.format("program", ":", "General", ",", " either version 3", _LATER)),
+    ("GPL-2.0", _GNU.format("program", ";", "General", ";", " either version 2", _LATER)),
+    ("GPL-2.0", _GNU.format("program", ";", "General", ";", " version 2", " of the License.")),
+    ("AGPL-3.0", _GNU.format("program", ":", "Affero General", ",", " either version 3", _LATER)),
+    ("LGPL-3.0", _GNU.format("library", ":", "Lesser General", ",", " either version 3", _LATER)),
+    ("LGPL-2.1", _GNU.format("library", ";", "Lesser General", ";", " either version 2.1", _LATER)),
+    ("LGPL-2.0", _GNU.format("library", ";", "Library General", ";", " either version 2", _LATER)),
+    ("GPL-3.0", "GNU GENERAL PUBLIC LICENSE Version 3, 29 June 2007 Copyright (C) 2007 Free Software Foundation, Inc. " + _VERBATIM),
+    ("GPL-2.0", "GNU GENERAL PUBLIC LICENSE Version 2, June 1991 Copyright (C) 1989, 1991 Free Software Foundation, Inc., " + _OFFICE + _VERBATIM),
+    ("LGPL-3.0", "GNU LESSER GENERAL PUBLIC LICENSE Version 3, 29 June 2007 Copyright (C) 2007 Free Software Foundation, Inc. " + _VERBATIM),
+    ("LGPL-2.1", "GNU LESSER GENERAL PUBLIC LICENSE Version 2.1, February 1999 Copyright (C) 1991, 1999 Free Software Foundation, Inc. " + _OFFICE + _VERBATIM),
+    ("AGPL-3.0", "GNU AFFERO GENERAL PUBLIC LICENSE Version 3, 19 November 2007 Copyright (C) 2007 Free Software Foundation, Inc. " + _VERBATIM),
+    ("BSD-2-Clause", _BSD + _DISCLAIMER),
     (
         "BSD-3-Clause",
-        "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met: "
-        "Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer.",
+        _BSD + "Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software "
+        "without specific prior written permission. " + _DISCLAIMER,
     ),
 )
-#: Templates of more words are long texts.
+#: Templates of more words are headers, and of more than WHOLE_WORDS whole texts.
 NOTICE_WORDS = 24
+WHOLE_WORDS = 120
 
 
 @dataclass
 class Template:
     name: str
     words: list[str]
+    counts: Counter[str]
     cost: int = 0
     compressor: object = None
 
@@ -112,16 +140,16 @@ class Scanner:
         self.differing = differing
         self.trigger = re.compile("|".join(TRIGGERS))
         self.plain = zstandard.ZstdCompressor(level=LEVEL, write_content_size=False)
-        self.groups = [Group(), Group()]
+        self.groups = [Group(), Group(), Group()]
         for name, wording in templates:
             words = WORD.findall(wording.lower())
             if not self.trigger.search(" ".join(words)):
                 raise ValueError(f"no trigger in {wording!r}")
             data = " ".join(words).encode()
             raw = zstandard.ZstdCompressionDict(data, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
-            template = Template(name, words, compressor=zstandard.ZstdCompressor(level=LEVEL, dict_data=raw, write_content_size=False))
+            template = Template(name, words, Counter(words), compressor=zstandard.ZstdCompressor(level=LEVEL, dict_data=raw, write_content_size=False))
             template.cost = max(1, len(self.plain.compress(data)) - len(template.compressor.compress(data)))
-            group = self.groups[len(words) > NOTICE_WORDS]
+            group = self.groups[(len(words) > NOTICE_WORDS) + (len(words) > WHOLE_WORDS)]
             group.templates.append(template)
             group.width = max(group.width, len(words) + int(differing * len(words)) + 1)
 
@@ -165,22 +193,29 @@ class Scanner:
         return sorted(out, key=lambda f: f[1])
 
     def ranked(self, group: Group, block: list[str]) -> list[Template]:
-        """The templates that save the block most, as a share of what they are long; ties in their given order."""
+        """The templates that may be in the block, by what they save it as a share of what they are long; ties in their given order."""
+        held = Counter(block)
+        may = [t for t in group.templates if (t.counts & held).total() >= len(t.words) - int(self.differing * len(t.words))]
+        if len(may) < 2:
+            return may
         data = " ".join(block).encode()
         alone = len(self.plain.compress(data))
-        saved = [((alone - len(t.compressor.compress(data))) / t.cost, -k) for k, t in enumerate(group.templates)]
-        return [group.templates[-k] for s, k in sorted(saved, reverse=True)[:RANKED] if s >= LEAST_SAVED]
+        return sorted(may, key=lambda t: (len(t.compressor.compress(data)) - alone) / t.cost)
 
     def confirm(self, t: Template, block: list[str]) -> list[tuple[int, int, int]]:
         """(differing words, first word, word after the last) of the template's occurrences in the block."""
         n, most = len(t.words), int(self.differing * len(t.words))
+        first = set(t.words[: most + 1])
         out, a = [], 0
         while a < len(block):
             # an occurrence starts at one of the template's first words, as no more than `most` are missing
-            start = next((i for i in range(a, len(block)) if block[i] in t.words[: most + 1]), None)
+            start = next((i for i in range(a, len(block)) if block[i] in first), None)
             if start is None:
                 break
             part = block[start : start + n + most]
+            if (t.counts & Counter(part)).total() < n - most:  # no alignment can match more
+                a = start + 1
+                continue
             matched = [m for m in SequenceMatcher(None, t.words, part, autojunk=False).get_matching_blocks() if m.size]
             best = None
             for k in range(len(matched), 0, -1):  # words after the last match aren't the find's

@@ -52,3 +52,19 @@ def test_operator(spark):
     assert found.columns == ["doc_id", "text", "licenses"]
     assert sorted(len(r.licenses) for r in found.collect()) == [0, 0, 1, 1]
     assert L.scan(df.limit(0)).count() == 0
+
+
+def test_licenses_are_told_apart():
+    s = L.Scanner()
+    bsd2, bsd3 = (next(w for n, w in L.TEMPLATES if n == name and len(w) > 900) for name in ("BSD-2-Clause", "BSD-3-Clause"))
+    gpl = "This program is free software; you can redistribute it and/or modify it under the terms of the GNU {} as published by the Free Software Foundation; either version {} of the License, or (at your option) any later version."
+    cases = [(bsd2, "BSD-2-Clause"), (bsd3, "BSD-3-Clause"), (gpl.format("General Public License", "2"), "GPL-2.0"), (gpl.format("General Public License", "3"), "GPL-3.0")]
+    cases += [(gpl.format("Lesser General Public License", "2.1"), "LGPL-2.1"), (gpl.format("Affero General Public License", "3"), "AGPL-3.0")]
+    for text, name in cases:
+        assert [f[0] for f in s.scan(FILLER + text + " " + FILLER)] == [name], name
+
+
+def test_a_page_of_many_notices():
+    short = [(n, w) for n, w in L.TEMPLATES if len(L.WORD.findall(w)) <= L.NOTICE_WORDS]
+    found = L.Scanner().scan(" ".join(w for _, w in short))
+    assert sorted(f[0] for f in found) == sorted(n for n, _ in short)
