@@ -5,10 +5,15 @@ space). A linear model's value is then the mean of its weights over the text's t
 model and needs no feature vectors. Family models are one against the rest; in a family each pair of languages has an SVM,
 and the language with the most won pairs (ties: largest sum of margins, then the name) is predicted.
 
-Training: at most PER_LANGUAGE labelled documents of each of at most LANGUAGES languages (the most frequent ones), drawn by the
-smallest hashes of their ids, so the sample's size doesn't depend on the input's. SVMs are fitted by averaged stochastic
+Training: at most PER_LANGUAGE labelled documents of each language, drawn by the smallest hashes of their ids, so the sample's
+size depends on the number of languages and not on the input's. SVMs are fitted by averaged stochastic
 subgradient steps on the hinge loss with a fixed order: results repeat.
 
+Filtering also drops what the predicted language doesn't fit: a text whose mean log-probability of trigrams there is far below
+that of the language's own pieces. Half of the sample's pieces give the probabilities and the other half the border: the lowest
+of them or FAR standard deviations below their mean, whichever is lower, and for shorter texts more by the square root of
+their length. A language of fewer than JUDGED pieces rejects nothing; without labels all texts with letters stay.
+
 Results: und and score 0 for null, empty and texts without a letter. Languages outside FAMILIES are families of their own.
 Without labelled documents everything is und. One labelled language: all texts with letters get it, with score 1. Repeated
 rows get the same prediction. Columns of the input with the name of a new column are replaced.
@@ -35,10 +40,12 @@ FAMILIES = {
     "semitic": ["ar", "he", "mt"],
 }
 PER_LANGUAGE = 300
-LANGUAGES = 16
 #: Of a text in the sample, so many pieces of so many characters are learned, evenly spaced (all of it, if it is shorter).
 PIECE = 400
 PIECES = 4
+#: How far below its language's pieces a text is dropped, and the pieces that a language needs for that.
+FAR = 6.0
+JUDGED = 40
 BITS = 12
 EPOCHS = 8
 PENALTY = 1e-5
@@ -102,6 +109,20 @@ class Model:
     family_models: list[tuple[np.ndarray, float]] = field(default_factory=list)
     pair_models: dict[tuple[str, str], tuple[np.ndarray, float]] = field(default_factory=dict)
 
+    #: Of each language that judges: log-probabilities of trigrams, the mean of its pieces and how far below a text may be.
+    borders: dict[str, tuple[np.ndarray, float, float]] = field(default_factory=dict)
+
+    def strange(self, texts: list[str | None], langs: list[str]) -> np.ndarray:
+        """Which texts don't fit the language predicted for them."""
+        h, size = trigrams(texts)
+        ends, out = np.cumsum(size), np.zeros(len(texts), bool)
+        for i, lang in enumerate(langs):
+            if lang in self.borders:
+                logs, mean, far = self.borders[lang]
+                own = logs[h[ends[i] - size[i] : ends[i]]]
+                out[i] = own.mean(dtype=np.float64) < mean - far * max(1.0, (PIECE / size[i]) ** 0.5)
+        return out
+
     def predict(self, texts: list[str | None]) -> tuple[list[str], list[float]]:
         h, size = trigrams(texts)
         starts = np.cumsum(size) - size
@@ -152,6 +173,13 @@ def fit(rows: list[tuple[str, str]], families: dict[str, list[str]] | None = Non
     for lang in sorted(set(labels)):
         names.setdefault(of.get(lang, lang), []).append(lang)
     model.families = list(names.values())
+    for lang in sorted(set(labels)):
+        own = np.nonzero(labels_at == lang)[0]
+        if len(own) >= JUDGED:
+            counts = (x[own[::2]] * PIECE).sum(0, dtype=np.float64) + 0.5
+            logs = np.log(counts / counts.sum()).astype(np.float32)
+            values = (x[own[1::2]] @ logs).astype(np.float64)
+            model.borders[lang] = (logs, float(values.mean()), max(FAR * float(values.std()), float(values.mean() - values.min())))
     if len(names) > 1:
         model.family_models = [_svm(x, np.where(np.isin(labels_at, langs), 1, -1).astype(np.float32)) for langs in model.families]
     for langs in model.families:
@@ -170,20 +198,17 @@ def sample(docs: DataFrame, labelled: Column, id_col: str = "doc_id", text_col:
     rows = docs.where(labelled & F.col(lang_col).isNotNull() & F.col(id_col).isNotNull())
     place = F.xxhash64(F.col(id_col)).bitwiseAND(F.lit((1 << 63) - 1))
     mark = F.floor(F.log2(place.cast("double") + 1) * 8).cast("int")
-    top = [r[0] for r in rows.groupBy(F.col(lang_col).cast("string").alias("lang")).count().orderBy(F.desc("count"), "lang").limit(LANGUAGES).collect()]
-    counts = rows.where(F.col(lang_col).isin(top)).groupBy(F.col(lang_col).alias("lang"), mark.alias("mark")).count().collect()
-    keep = None
-    for lang in sorted(top):
-        total, last = 0, None
-        for r in sorted((r for r in counts if r.lang == lang), key=lambda r: r.mark):
-            if total + r["count"] > PER_LANGUAGE and total:
-                break
-            total, last = total + r["count"], r.mark
-        if last is not None:
-            one = (F.col(lang_col) == lang) & (mark <= last)
-            keep = one if keep is None else keep | one
-    if keep is None:
+    counts = rows.groupBy(F.col(lang_col).cast("string").alias("lang"), mark.alias("mark")).count().collect()
+    last, total, full = {}, {}, set()
+    for r in sorted(counts, key=lambda r: r.mark):
+        if r.lang in full or (r.lang in last and total[r.lang] + r["count"] > PER_LANGUAGE):
+            full.add(r.lang)
+            continue
+        last[r.lang], total[r.lang] = r.mark, total.get(r.lang, 0) + r["count"]
+    if not last:
         return []
+    ends = F.create_map(*[F.lit(x) for pair in sorted(last.items()) for x in pair])
+    keep = mark <= ends[F.col(lang_col).cast("string")]
     text, size = F.col(text_col), F.length(text_col)
     at = F.sequence(F.lit(0), F.lit(PIECES - 1))
     even = F.transform(at, lambda k: F.substring(text, F.floor(k * (size - PIECE) / (PIECES - 1)).cast("int") + 1, F.lit(PIECE)))
@@ -193,15 +218,24 @@ def sample(docs: DataFrame, labelled: Column, id_col: str = "doc_id", text_col:
     return [(r.lang, r.piece) for r in kept.collect()]
 
 
-def identify(docs: DataFrame, labelled: Column | None = None, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", families: dict[str, list[str]] | None = None) -> DataFrame:
-    """docs with lang_pred and score, learned from the rows of docs where labelled holds (all, if None) and lang_col isn't null."""
+def identify(docs: DataFrame, labelled: Column | None = None, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", families: dict[str, list[str]] | None = None, fitting: bool = False) -> DataFrame:
+    """docs with lang_pred and score, learned from the rows of docs where labelled holds (all, if None) and lang_col isn't null.
+
+    fitting: texts that don't fit their language are und with score 0; without any language, lang_pred is null for texts with letters.
+    """
     model = fit(sample(docs, F.lit(True) if labelled is None else labelled, id_col, text_col, lang_col), families)
     sent = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(texts: pa.Array) -> pa.Array:
         langs, scores = [], []
         for k in range(0, len(texts), 1000):  # bounds the memory of trigrams
-            a, b = sent.value.predict(texts[k : k + 1000].to_pylist())
+            some = texts[k : k + 1000].to_pylist()
+            a, b = sent.value.predict(some)
+            if fitting and not sent.value.families:
+                a = [None if t and LETTER.search(t) else UND for t in some]
+            elif fitting:
+                strange = sent.value.strange(some, a).tolist()
+                a, b = [UND if s else x for s, x in zip(strange, a)], [0.0 if s else x for s, x in zip(strange, b)]
             langs += a
             scores += b
         return pa.StructArray.from_arrays([pa.array(langs, pa.string()), pa.array(scores, pa.float64())], ["lang_pred", "score"])
@@ -210,9 +244,9 @@ def identify(docs: DataFrame, labelled: Column | None = None, id_col: str = "doc
 
 
 def filtered(docs: DataFrame, **options) -> DataFrame:
-    """docs without those in which no language is found; their columns as they were."""
+    """docs without those in which no language is found or that don't fit the one that is; their columns as they were."""
     names = [f"c{i}" for i in range(len(docs.columns))]
     at = {c: n for c, n in zip(docs.columns, names)}
     columns = {k: at[options.pop(k, d)] for k, d in (("id_col", "doc_id"), ("text_col", "text"), ("lang_col", "lang"))}
-    found = identify(docs.toDF(*names), **columns, **options).where(F.col("lang_pred") != UND)
+    found = identify(docs.toDF(*names), **columns, **options, fitting=True).where(~F.col("lang_pred").eqNullSafe(UND))
     return found.select(*[F.col(n).alias(c) for c, n in at.items()])

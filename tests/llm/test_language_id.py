@@ -1,5 +1,7 @@
 """Language ID: held-out accuracy, undetermined texts, small training sets."""
 
+import random
+
 from pyspark.sql import functions as F
 
 from tessera.llm import language_id as L
@@ -32,3 +34,22 @@ def test_undetermined(spark):
     assert {r.lang_pred for r in L.identify(df.where("doc_id = 1")).collect()} == {"en"}
     assert {r.lang_pred for r in L.identify(df.withColumn("lang", F.lit(None).cast("string"))).collect()} == {"und"}
     assert L.identify(df.limit(0)).count() == 0
+
+
+def test_filter_rejects_gibberish_and_needs_no_labels(spark, sf):
+    docs = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text", "lang").where("text rlike '[A-Za-z]'")
+    rng = random.Random(3)
+    noise = [(-k, " ".join("".join(rng.choices("qxzjkvwbpfgh", k=7)) for _ in range(120)), None) for k in range(1, 21)]
+    mixed = docs.unionByName(spark.createDataFrame(noise, docs.schema))
+    kept = {r.doc_id for r in L.filtered(mixed).select("doc_id").collect()}
+    assert not any(d in kept for d, _, _ in noise)
+    ids = [r.doc_id for r in docs.select("doc_id").collect()]
+    assert sum(d in kept for d in ids) >= 0.999 * len(ids)
+    blank = docs.withColumn("lang", F.lit(None).cast("string"))
+    assert L.filtered(blank).count() == docs.count()
+
+
+def test_every_label_is_learned(spark):
+    rows = [(20 * k + j, " ".join(f"{chr(97 + k)}{chr(97 + (k * 7 + i) % 26)}{chr(97 + k)}" for i in range(30)), f"l{k:02}") for k in range(20) for j in range(3)]
+    found = L.identify(spark.createDataFrame(rows, "doc_id bigint, text string, lang string"))
+    assert found.where("lang <> lang_pred").count() == 0
