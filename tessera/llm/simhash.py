@@ -212,7 +212,7 @@ BITS = 64
 SMALL = 16
 #: Clusters of candidates are cut in chunks of about so many texts and shingles; each pair of chunks is a task.
 CLUSTER = 2048
-CLUSTER_SHINGLES = 1 << 22
+CLUSTER_SHINGLES = 1 << 19
 _MULTIPLY = np.random.default_rng(11).integers(0, 1 << 63, BANDS * ROWS + BITS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
 
@@ -262,6 +262,7 @@ def sketched(docs: DataFrame, text_col: str = "text", shingle: int = NEAR_SHINGL
 
     def run(texts: pa.Array) -> pa.Array:
         prints, keys, nodes = sketches(texts.to_pylist(), shingle)
+        _give_back()
         lists = pa.ListArray.from_arrays(np.arange(0, keys.size + 1, BANDS, dtype=np.int32), keys.ravel())
         return pa.StructArray.from_arrays([pa.array(prints.view(np.int64)), lists, pa.array(nodes)], ["print", "bands", "node"])
 
@@ -417,7 +418,7 @@ def _verified(similarity: float):
 
         now, nodes, sets = None, [], []
         for b in batches:
-            for cluster, i, j, node, data in zip(*(c.to_pylist() for c in b.columns)):
+            for cluster, i, j, node, data in (tuple(v.as_py() for v in row) for row in zip(*b.columns)):
                 if now != (cluster, i, j):
                     if len(nodes) > 1:
                         yield from out(nodes, sets)
@@ -426,16 +427,34 @@ def _verified(similarity: float):
                 sets.append(np.frombuffer(data, "<u8"))
         if len(nodes) > 1:
             yield from out(nodes, sets)
+        del nodes, sets
+        _give_back()
 
     return run
 
 
+def _give_back() -> None:
+    """Returns freed memory to the system: workers are kept, and later stages need it."""
+    import ctypes
+
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):  # another C library
+        pass
+
+
 def _links(docs: DataFrame, clusters: DataFrame, similarity: float, shingle: int) -> DataFrame:
     """Edges (a, b) of texts of a cluster of candidates that join all of the exact similarity. docs: doc_id, __text; clusters: node, least, component."""
 
     def run(texts: pa.Array) -> pa.Array:
-        sets = [distinct_shingles(t, shingle) for t in texts.to_pylist()]
-        fields = [pa.array([node_of(s) for s in sets], pa.int64()), pa.array([len(s) for s in sets], pa.int64()), pa.array([s.tobytes() for s in sets], pa.binary())]
+        nodes, sizes, sets = [], [], []
+        for t in texts:  # one text at a time, to bound memory
+            found = distinct_shingles(t.as_py(), shingle)
+            nodes.append(node_of(found))
+            sizes.append(len(found))
+            sets.append(found.tobytes())
+        fields = [pa.array(nodes, pa.int64()), pa.array(sizes, pa.int64()), pa.array(sets, pa.binary())]
         return pa.StructArray.from_arrays(fields, ["node", "n", "shingles"])
 
     members = docs.join(clusters.select(F.col("least").alias("__least")).distinct(), F.col("doc_id").eqNullSafe(F.col("__least")), "left_semi")
