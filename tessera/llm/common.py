@@ -62,8 +62,35 @@ def append_columns(df: DataFrame, inputs: list[str], fn: Callable[..., pa.Struct
     out = F.arrow_udf(fn, fields)
     new = [f.name for f in T._parse_datatype_string(fields).fields]
     kept = [c for c in df.columns if c.lower() not in {n.lower() for n in new}]
-    made = df.withColumn("__tessera", out(*[F.col(f"`{c}`") for c in inputs]))
-    return made.select(*[F.col(f"`{c}`") for c in kept], *[F.col("__tessera").getField(n).alias(n) for n in new])
+    inner = [f"c{i}" for i in range(len(kept))]
+    made = df.select(*[F.col(f"`{c}`").alias(i) for c, i in zip(kept, inner)], out(*[F.col(f"`{c}`") for c in inputs]).alias("made"))
+    return made.select(*[F.col(i).alias(c) for c, i in zip(kept, inner)], *[F.col("made").getField(n).alias(n) for n in new])
+
+
+def own_names(df: DataFrame) -> tuple[DataFrame, dict[str, str]]:
+    """df with columns c0, c1, ..., which clash with no operator's, and the place of each name: for operators that give df's columns back."""
+    names = [f"c{i}" for i in range(len(df.columns))]
+    return df.toDF(*names), dict(zip(df.columns, names))
+
+
+#: Rows of one key in one task, above which a key is hot, and hot keys in one broadcast.
+HOT_ROWS = 100_000
+HOT_KEYS = 100_000
+
+
+def spread_join(rows: DataFrame, facts: DataFrame, key: str, weight: str) -> DataFrame:
+    """rows joined with facts, which has one row a key with how many of rows have it (weight), so that no task gets a hot key's rows.
+
+    Facts of keys of more than HOT_ROWS rows are broadcast and their rows stay where they are; where rows are very many, the border
+    rises with them, so that there are never more than HOT_KEYS. All other rows meet their facts in a shuffle. facts is read more than once.
+    """
+    total, most = facts.agg(F.coalesce(F.sum(weight), F.lit(0)), F.coalesce(F.max(weight), F.lit(0))).head()
+    border = max(HOT_ROWS, total // HOT_KEYS)
+    if most <= border:
+        return rows.join(facts, key)
+    hot = facts.where(F.col(weight) > border)
+    others = rows.join(F.broadcast(hot.select(key)), key, "left_anti").join(facts.where(F.col(weight) <= border), key)
+    return rows.join(F.broadcast(hot), key).unionByName(others)
 
 
 def upload(uri: str, data: bytes) -> None:

@@ -6,16 +6,21 @@ escape leads to the next shorter context. Escapes are estimated by the number of
 in a longer context are excluded in shorter ones (full symbol exclusion), and counts of shorter contexts are those of update
 exclusion: in how many longer contexts a byte was seen. What no context knows is coded evenly over the remaining bytes.
 
-The trie is pretrained: all (ORDER + 1)-grams of all training texts are counted where the texts are and summed in a shuffle;
-the NODES most frequent ones (a bound of the model, not of the counts) are sent to the executors. Since the trie is fixed
-then, escapes and exclusions are numbers of a context, and a document is scored by a few table lookups a byte.
+The trie is pretrained and kept whole, as one table for each depth: all (ORDER + 1)-grams of all training texts with their counts,
+and for each shorter length the grams that end them. It grows with the corpus and nothing is cut from it. Since it is fixed when texts
+are scored, a byte's code length hangs on the (ORDER + 1)-gram that it ends and on nothing else; so code lengths are worked out in
+tables, once for each gram that is asked for: known grams from their context's counts, others down the escapes of their contexts.
 
-The unigram baseline needs each word's count. Words are counted over all training texts in the same way. At most
-FREQUENT words (those above a count) are sent to the executors; all other words of documents meet their counts in a join,
-where no word is hot, as hot ones are frequent.
+The code lengths of the SENT most frequent grams (a bound of what is sent, not of the model) go to the executors, which add them
+up; grams that a text has beside these meet their code lengths in a join. Contexts have at most 256 bytes after them, so no
+group of the trie is hot; grams that very many texts ask for are broadcast, below a bound (common.spread_join).
+
+The unigram baseline needs each word's count. Words are counted over all training texts in the same way. The FREQUENT most
+frequent ones of at most WORD_BYTES are sent to the executors; all other words of documents meet their counts in a join.
 
 Results: null and empty texts are one end. Rows are scored each by itself, repeated ones alike. Without training texts N and V
-are 0, base_score is 0 and every byte costs log10(256). Columns of the input with the name of a new column are replaced.
+are 0, base_score is 0 and every byte costs log10(256). Columns of the input with the name of a new column are replaced. A long text
+is handled in pieces of BYTES_AT_ONCE.
 """
 
 from __future__ import annotations
@@ -25,19 +30,21 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import scratch, written
+from .common import scratch, spread_join, written
 
 ORDER = 5
-NODES = 1_000_000
+#: Grams whose code lengths are sent to executors, and words whose counts are (and these words' bytes at most).
+SENT = 1_000_000
 FREQUENT = 131_072
-#: Entries of a trie level that are kept as an array; larger levels are hashed.
-DENSE = 1 << 23
+WORD_BYTES = 64
 #: Bytes handled at once.
 BYTES_AT_ONCE = 1 << 21
+#: Different grams that a task keeps before it passes them on.
+GRAMS_AT_ONCE = 1 << 21
 END = "\n"
 #: What precedes a text as context; white space is in no word, so neither it nor the end is taken for text.
 START = b"\n" * ORDER
@@ -48,73 +55,51 @@ def tokens(text: str | None) -> list[bytes]:
     return [*(text.encode().lower().split() if text else []), b"\n"]
 
 
-def _stream(texts: list[list[bytes]]) -> tuple[bytes, np.ndarray]:
-    """Texts' bytes, each after START, and how many each has with it."""
-    runs = [START + b" ".join(t[:-1]) + b"\n" for t in texts]
-    return b"".join(runs), np.array([len(r) for r in runs])
-
-
-def _own(size: np.ndarray) -> np.ndarray:
-    """Which bytes of a stream aren't START."""
-    out = np.ones(int(size.sum()), bool)
-    starts = np.cumsum(size) - size
-    for k in range(ORDER):
-        out[starts + k] = False
-    return out
-
-
-def _chunks(texts: list[list[bytes]]) -> Iterator[list[list[bytes]]]:
-    some: list[list[bytes]] = []
-    size = 0
-    for t in texts:
-        some.append(t)
-        size += sum(map(len, t)) + len(t)
-        if size >= BYTES_AT_ONCE:
-            yield some
-            some, size = [], 0
-    if some:
-        yield some
+def codes(texts: list[list[bytes]]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Packed (ORDER + 1)-grams that end in a text's own byte, with the text's place, in pieces of about BYTES_AT_ONCE."""
+    first = 0
+    while first < len(texts):
+        runs, size, last = [], 0, first
+        while last < len(texts) and (last == first or size < BYTES_AT_ONCE):
+            runs.append(START + b" ".join(texts[last][:-1]) + b"\n")
+            size += len(runs[-1])
+            last += 1
+        raw = np.frombuffer(b"".join(runs), np.uint8)
+        ends = np.cumsum([len(r) for r in runs])
+        starts = ends - [len(r) for r in runs]
+        for a in range(ORDER, len(raw), BYTES_AT_ONCE):
+            z = min(a + BYTES_AT_ONCE, len(raw))
+            code = np.zeros(z - a, np.int64)
+            for k in range(ORDER, -1, -1):
+                code = code << 8 | raw[a - k : z - k]
+            owner = np.repeat(np.arange(len(runs)), np.diff(np.clip(ends, a, z), prepend=a))
+            own = np.arange(a, z) - starts[owner] >= ORDER
+            yield code[own], owner[own] + first
+        first = last
+
+
+def _merged(found: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
+    u, at = np.unique(np.concatenate([np.zeros(0, np.int64), *(c for c, _ in found)]), return_inverse=True)
+    return u, np.bincount(at, np.concatenate([np.zeros(0, np.int64), *(n for _, n in found)]), len(u)).astype(np.int64)
 
 
 def grams(texts: list[list[bytes]]) -> tuple[np.ndarray, np.ndarray]:
-    """Packed (ORDER + 1)-grams that end in a text's own byte, and their counts."""
-    found, counts = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
-    for some in _chunks(texts):
-        raw, size = _stream(some)
-        b = np.frombuffer(raw, np.uint8).astype(np.int64)
-        code = np.zeros(len(b) - ORDER, np.int64)
-        for k in range(ORDER + 1):
-            code = code << 8 | b[k : len(b) - ORDER + k]
-        u, n = np.unique(code[_own(size)[ORDER:]], return_counts=True)
-        found.append(u)
-        counts.append(n)
-    u, at = np.unique(np.concatenate(found), return_inverse=True)
-    return u, np.bincount(at, np.concatenate(counts), len(u)).astype(np.int64)
-
-
-class _Dense:
-    """Places of keys from 1, 0 for others, in an array of all keys."""
-
-    def __init__(self, keys: np.ndarray, size: int):
-        self.at = np.zeros(size, np.int32)
-        self.at[keys] = np.arange(1, len(keys) + 1)
-
-    def get(self, keys: np.ndarray) -> np.ndarray:
-        return self.at[keys]
+    """The different grams of all texts and their counts."""
+    return _merged([np.unique(c, return_counts=True) for c, _ in codes(texts)])
 
 
-class _Hashed:
-    """The same in an open hash table, for key ranges that are too large for an array."""
+class Hashed:
+    """Values by key in an open hash table."""
 
-    def __init__(self, keys: np.ndarray, size: int):
-        self.mask = (1 << int(3 * len(keys)).bit_length()) - 1
-        self.keys, self.at = np.full(self.mask + 1, -1, np.int64), np.zeros(self.mask + 1, np.int32)
+    def __init__(self, keys: np.ndarray, values: np.ndarray):
+        self.mask = (1 << int(2 * len(keys) + 1).bit_length()) - 1
+        self.keys, self.values = np.full(self.mask + 1, -1, np.int64), np.full(self.mask + 1, np.nan)
         todo, slot = np.arange(len(keys)), self._slot(keys)
         while len(todo):
             free = np.nonzero(self.keys[slot] < 0)[0]
             _, first = np.unique(slot[free], return_index=True)
             put = free[first]
-            self.keys[slot[put]], self.at[slot[put]] = keys[todo[put]], todo[put] + 1
+            self.keys[slot[put]], self.values[slot[put]] = keys[todo[put]], values[todo[put]]
             rest = np.ones(len(todo), bool)
             rest[put] = False
             todo, slot = todo[rest], slot[rest] + 1 & self.mask
@@ -123,178 +108,157 @@ class _Hashed:
         return (keys.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(20)).astype(np.int64) & self.mask
 
     def get(self, keys: np.ndarray) -> np.ndarray:
+        """The keys' values; nan for others."""
         slot = self._slot(keys)
         found = self.keys[slot]
-        out = np.where(found == keys, self.at[slot], 0)
+        out = np.where(found == keys, self.values[slot], np.nan)
         todo = np.nonzero((found != keys) & (found >= 0))[0]
         slot = slot[todo]
         while len(todo):
             slot = slot + 1 & self.mask
             found = self.keys[slot]
             same = found == keys[todo]
-            out[todo[same]] = self.at[slot[same]]
+            out[todo[same]] = self.values[slot[same]]
             more = ~same & (found >= 0)
             todo, slot = todo[more], slot[more]
         return out
 
 
-def _table(keys: np.ndarray, size: int) -> _Dense | _Hashed:
-    return (_Dense if size <= DENSE else _Hashed)(keys, size)
-
-
-class Trie:
-    """Contexts of up to ORDER bytes with the bytes seen after them, from (ORDER + 1)-grams and their counts."""
-
-    def __init__(self, codes: np.ndarray, counts: np.ndarray):
-        order = np.argsort(codes)
-        codes, counts = codes[order].astype(np.int64), counts[order].astype(np.float64)
-        seen = np.unique(np.concatenate([codes >> 8 * k & 255 for k in range(ORDER + 1)])) if len(codes) else np.zeros(0, np.int64)
-        #: A byte's class; 0 for bytes that were never seen.
-        self.classes = np.zeros(256, np.int64)
-        self.classes[seen] = np.arange(1, len(seen) + 1)
-        self.width = len(seen) + 1
-        # gram[k]: packed k-grams with ids from 1; count[k]: how often (the longest) or in how many longer contexts
-        gram: list[np.ndarray] = [np.zeros(1, np.int64)] * (ORDER + 2)
-        count: list[np.ndarray] = [np.zeros(1)] * (ORDER + 2)
-        gram[ORDER + 1], count[ORDER + 1] = codes, counts
-        for k in range(ORDER, 0, -1):
-            tails, heads = gram[k + 1] & (1 << 8 * k) - 1, np.unique(codes >> 8 * (ORDER + 1 - k))
-            every = np.union1d(tails, heads)
-            # a gram that is only a context has count 0, and doesn't count for its own tail
-            ends, n = np.unique(tails[count[k + 1] > 0], return_counts=True)
-            c = np.zeros(len(every))
-            c[np.searchsorted(every, ends)] = n
-            gram[k], count[k] = every, c
-        # ids and next-tables: next[k][id of a (k-1)-gram, class of a byte] is the id of the k-gram, 0 if there is none
-        self.next = [None]
-        #: log10 of a byte's share at its context, by k-gram, before what is excluded: its count
-        self.count = [np.concatenate([[0.0], c]) for c in count]
-        sums: list[tuple[np.ndarray, np.ndarray]] = []
-        parent: list[np.ndarray] = [np.zeros(1, np.int64)] * (ORDER + 2)
-        for k in range(1, ORDER + 2):
-            heads = gram[k] >> 8
-            up = np.searchsorted(gram[k - 1], heads) + 1 if k > 1 else np.ones(len(heads), np.int64)
-            size = len(gram[k - 1]) if k > 1 else 1
-            self.next.append(_table(up * self.width + self.classes[gram[k] & 255], (size + 1) * self.width))
-            parent[k] = up
-            n = np.bincount(up, count[k], size + 1)
-            d = np.bincount(up, count[k] > 0, size + 1)
-            sums.append((n, d))
-        # for a context of k bytes: the escape with nothing excluded, and shares' divisor
-        self.divisor, self.escape = [], []
-        for n, d in sums:
-            self.divisor.append(n + d)
-            with np.errstate(divide="ignore", invalid="ignore"):
-                self.escape.append(np.where(d > 0, np.log10(d / (n + d)), 0.0))
-        # after a context w of k + 1 bytes: the divisor and the escape at its end of k bytes, where w's bytes are excluded
-        self.after, self.after_escape = [], []
-        for k in range(ORDER):
-            n, d = sums[k]
-            n_w, d_w = sums[k + 1]
-            w = gram[k + 1]
-            end = np.searchsorted(gram[k], w & (1 << 8 * k) - 1) + 1 if k else np.ones(len(w), np.int64)
-            known = gram[k + 2]
-            low = np.searchsorted(gram[k + 1], known & (1 << 8 * (k + 1)) - 1)
-            mass = np.bincount(parent[k + 2], np.where(count[k + 2] > 0, count[k + 1][low], 0), len(w) + 1)
-            left_n, left_d = np.zeros(len(w) + 1), np.zeros(len(w) + 1)
-            left_n[1:] = n[end] - mass[1:]
-            left_d[1:] = d[end] - d_w[1:]
-            total = left_n + left_d
-            with np.errstate(divide="ignore", invalid="ignore"):
-                self.after.append(total)
-                self.after_escape.append(np.where(left_d > 0, np.log10(left_d / total), 0.0))
-        self.rest = -np.log10(max(256 - int(sums[0][1][1]), 1)) if len(codes) else -np.log10(256)
-
-    def log10(self, raw: bytes, size: np.ndarray) -> np.ndarray:
-        """log10 of each byte's probability in a stream; 0 for START."""
-        b = self.classes[np.frombuffer(raw, np.uint8)]
-        ids = [np.ones(len(b), np.int32)]
-        for k in range(1, ORDER + 2):
-            before = np.concatenate([ids[-1][:1] * 0 + (k == 1), ids[-1][:-1]]).astype(np.int64)
-            ids.append(self.next[k].get(before * self.width + b))
-        # the end of a text before is no context; START has as many bytes as the longest context
-        out = np.zeros(len(b))
-        todo = np.nonzero(_own(size))[0]
-        excluded = np.zeros(len(todo), bool)
-        for k in range(ORDER, -1, -1):
-            context = ids[k][todo - 1] if k else np.ones(len(todo), np.int32)
-            known = context > 0
-            symbol = ids[k + 1][todo]
-            count = self.count[k + 1][symbol]
-            if k < ORDER:
-                wider = ids[k + 1][todo - 1]
-                divisor = np.where(excluded, self.after[k][wider], self.divisor[k][context])
-                escape = np.where(excluded, self.after_escape[k][wider], self.escape[k][context])
-            else:
-                divisor, escape = self.divisor[k][context], self.escape[k][context]
-            hit = known & (symbol > 0) & (count > 0)
-            out[todo[hit]] += np.log10(count[hit] / divisor[hit])
-            out[todo[~hit]] += np.where(known[~hit], escape[~hit], 0.0)
-            seen = known & (self.divisor[k][context] > 0)
-            todo, excluded = todo[~hit], (excluded | seen)[~hit]
-        out[todo] += self.rest
-        return out
-
-    def scores(self, texts: list[list[bytes]]) -> np.ndarray:
-        out = [np.zeros(0)]
-        for some in _chunks(texts):
-            raw, size = _stream(some)
-            out.append(np.add.reduceat(self.log10(raw, size), np.cumsum(size) - size))
-        return np.concatenate(out)
-
-
-_KEPT: dict[str, tuple[Trie, dict[bytes, float]]] = {}
+_KEPT: dict[str, tuple[Hashed, dict[bytes, float]]] = {}
 
 
-def _model(key: str, sent) -> tuple[Trie, dict[bytes, float]]:
+def _sent(key: str, sent) -> tuple[Hashed, dict[bytes, float]]:
     if key not in _KEPT:
-        codes, counts, words, logs = sent.value
+        keys, lengths, words, logs = sent.value
         _KEPT.clear()
-        _KEPT[key] = Trie(codes, counts), dict(zip(words, logs.tolist()))
+        _KEPT[key] = Hashed(keys, lengths), dict(zip(words, logs.tolist()))
     return _KEPT[key]
 
 
-def _count(docs: DataFrame, column: str, fn, schema: str) -> DataFrame:
+def word_counts(docs: DataFrame, text_col: str = "text") -> DataFrame:
+    """key (the word's bytes) and n over all texts."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            keys, counts = fn([tokens(t) for t in b.column(0).to_pylist()])
+            c: Counter[bytes] = Counter()
+            for t in b.column(0):
+                c.update(tokens(t.as_py()))
+            keys, counts = pa.array(c.keys(), pa.binary()), pa.array(c.values(), pa.int64())
             for k in range(0, len(keys), 100_000):
                 yield pa.RecordBatch.from_arrays([keys[k : k + 100_000], counts[k : k + 100_000]], ["key", "n"])
 
-    return docs.select(column).mapInArrow(run, schema).groupBy("key").agg(F.sum("n").alias("n"))
-
-
-def word_counts(docs: DataFrame, text_col: str = "text") -> DataFrame:
-    """key (the word's bytes) and n over all texts."""
-
-    def fn(texts: list[list[bytes]]):
-        c: Counter[bytes] = Counter()
-        for t in texts:
-            c.update(t)
-        return pa.array(c.keys(), pa.binary()), pa.array(c.values(), pa.int64())
-
-    return _count(docs, text_col, fn, "key binary, n bigint")
+    return docs.select(F.col(f"`{text_col}`")).mapInArrow(run, "key binary, n bigint").groupBy("key").agg(F.sum("n").alias("n"))
 
 
 def gram_counts(docs: DataFrame, text_col: str = "text") -> DataFrame:
     """key (a packed (ORDER + 1)-gram) and n over all texts."""
 
-    def fn(texts: list[list[bytes]]):
-        codes, n = grams(texts)
-        return pa.array(codes), pa.array(n)
-
-    return _count(docs, text_col, fn, "key bigint, n bigint")
-
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def out(found: list[tuple[np.ndarray, np.ndarray]]) -> Iterator[pa.RecordBatch]:
+            keys, n = _merged(found)
+            for k in range(0, len(keys), 100_000):
+                yield pa.RecordBatch.from_arrays([pa.array(keys[k : k + 100_000]), pa.array(n[k : k + 100_000])], ["key", "n"])
 
-def _most(counts: DataFrame, most: int) -> tuple[DataFrame, int | None]:
-    """The rows whose count is over a cutoff that at most `most` rows pass, and the cutoff. The driver gets a histogram only."""
+        found: list[tuple[np.ndarray, np.ndarray]] = []
+        for b in batches:
+            for code, _ in codes([tokens(t.as_py()) for t in b.column(0)]):
+                found.append(np.unique(code, return_counts=True))
+                if sum(len(c) for c, _ in found) > GRAMS_AT_ONCE:
+                    found = [_merged(found)]
+                    if len(found[0][0]) > GRAMS_AT_ONCE // 2:
+                        yield from out(found)
+                        found = []
+        yield from out(found)
+
+    return docs.select(F.col(f"`{text_col}`")).mapInArrow(run, "key bigint, n bigint").groupBy("key").agg(F.sum("n").alias("n"))
+
+
+def _tail(key: Column, size: int) -> Column:
+    """The last bytes of a packed gram."""
+    return key.bitwiseAND(F.lit((1 << 8 * size) - 1))
+
+
+def _context(key: Column) -> Column:
+    """A packed gram without its last byte."""
+    return F.shiftright(key, 8)
+
+
+def trie(counts: DataFrame) -> list[DataFrame]:
+    """The nodes of depth k at place k (place 0 is empty): key, a packed k-gram, and n, how often it was seen (the longest) or in how many contexts one byte longer."""
+    nodes = [None] * (ORDER + 1) + [counts]
+    for k in range(ORDER, 0, -1):
+        nodes[k] = written(nodes[k + 1].groupBy(_tail(F.col("key"), k).alias("key")).agg(F.count("*").alias("n")), f"nodes-{k}")
+    return nodes
+
+
+def contexts(nodes: list[DataFrame]) -> tuple[tuple[int, int], list[DataFrame]]:
+    """n and d of the empty context, and the contexts of k bytes at place k: context; n and d, the counts and the number of bytes seen
+    after it; and next_n and next_d, the same at its end of k - 1 bytes without the bytes that were seen after the context itself."""
+    root = tuple(nodes[1].agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).head())
+    out: list[DataFrame] = [None]
+    for k in range(1, ORDER + 1):
+        shorter = nodes[k].select(F.col("key").alias("end"), F.col("n").alias("m"))
+        seen = nodes[k + 1].withColumn("end", _tail(F.col("key"), k)).join(shorter, "end")
+        own = seen.groupBy(_context(F.col("key")).alias("context")).agg(F.sum("n").alias("n"), F.count("*").alias("d"), F.sum("m").alias("mass"))
+        if k == 1:
+            both = own.select("*", F.lit(root[0]).alias("up_n"), F.lit(root[1]).alias("up_d"))
+        else:
+            up = out[k - 1].select(F.col("context").alias("end"), F.col("n").alias("up_n"), F.col("d").alias("up_d"))
+            both = own.withColumn("end", _tail(F.col("context"), k - 1)).join(F.broadcast(up) if k == 2 else up, "end")
+        out.append(written(both.select("context", "n", "d", (F.col("up_n") - F.col("mass")).alias("next_n"), (F.col("up_d") - F.col("d")).alias("next_d")), f"contexts-{k}"))
+    return root, out
+
+
+def known_lengths(counts: DataFrame) -> DataFrame:
+    """counts with value, the log10 of the probability of each gram's last byte. At most 256 grams share a context."""
+    same = Window.partitionBy("context")
+    rows = counts.withColumn("context", _context(F.col("key")))
+    return rows.withColumn("value", F.log10(F.col("n") / (F.sum("n").over(same) + F.count("*").over(same)))).drop("context")
+
+
+def unknown_lengths(asked: DataFrame, nodes: list[DataFrame], root: tuple[int, int], after: list[DataFrame]) -> DataFrame:
+    """asked (key: grams that no training text has) with value: down the escapes of their contexts.
+
+    Contexts of one byte and grams of up to two are at most 65,536, so they are broadcast.
+    """
+    none = F.lit(None).cast("double")
+    rows = asked.select("*", F.lit(0.0).alias("value"), none.alias("found"), F.lit(False).alias("wide"), none.alias("next_n"), none.alias("next_d"))
+    for k in range(ORDER, -1, -1):
+        if k:
+            here = after[k].select(F.col("context").alias("at"), F.col("n").alias("own_n"), F.col("d").alias("own_d"), F.col("next_n").alias("then_n"), F.col("next_d").alias("then_d"))
+            rows = rows.withColumn("at", _tail(_context(F.col("key")), k)).join(F.broadcast(here) if k == 1 else here, "at", "left")
+        else:
+            own = F.lit(root[0]) if root[1] else F.lit(None).cast("bigint")
+            rows = rows.select("*", own.alias("own_n"), F.lit(root[1]).alias("own_d"), none.alias("then_n"), none.alias("then_d"))
+        if k < ORDER:
+            seen = nodes[k + 1].select(F.col("key").alias("gram"), F.col("n").alias("count"))
+            rows = rows.withColumn("gram", _tail(F.col("key"), k + 1)).join(F.broadcast(seen) if k <= 1 else seen, "gram", "left")
+        else:
+            rows = rows.withColumn("count", none)
+        n, d = F.when(F.col("wide"), F.col("next_n")).otherwise(F.col("own_n")), F.when(F.col("wide"), F.col("next_d")).otherwise(F.col("own_d"))
+        open_, known = F.col("found").isNull(), F.col("own_n").isNotNull()
+        rows = rows.select(
+            *asked.columns,
+            F.when(open_ & F.col("count").isNull() & known & (d > 0), F.col("value") + F.log10(d / (n + d))).otherwise(F.col("value")).alias("value"),
+            F.when(open_ & F.col("count").isNotNull() & known, F.log10(F.col("count") / (n + d))).otherwise(F.col("found")).alias("found"),
+            (F.col("wide") | known).alias("wide"),
+            F.col("then_n").cast("double").alias("next_n"),
+            F.col("then_d").cast("double").alias("next_d"),
+        )
+    rest = F.lit(-float(np.log10(256 - root[1])) if root[1] < 256 else 0.0)
+    return rows.select(*asked.columns, (F.col("value") + F.coalesce("found", rest)).alias("value"))
+
+
+def _most(counts: DataFrame, most: int) -> Column:
+    """Which rows are the `most` ones of the largest counts; where counts tie, a hash decides. The driver gets a histogram only."""
     mark = F.floor(F.log2("n") * 16).cast("int")
-    total, last = 0, None
+    total = 0
     for r in sorted(counts.groupBy(mark.alias("mark")).count().collect(), key=lambda r: -r.mark):
         if total + r["count"] > most:
-            break
-        total, last = total + r["count"], r.mark
-    return counts.where(F.lit(False) if last is None else mark >= last), last
+            share = int((most - total) / r["count"] * (1 << 20) * 0.99)
+            return (mark > r.mark) | ((mark == r.mark) & (F.pmod(F.xxhash64("key"), F.lit(1 << 20)) < share))
+        total += r["count"]
+    return F.lit(True)
 
 
 def score(docs: DataFrame, train: DataFrame, text_col: str = "text") -> DataFrame:
@@ -302,24 +266,25 @@ def score(docs: DataFrame, train: DataFrame, text_col: str = "text") -> DataFram
     spark = docs.sparkSession
     words = written(word_counts(train, text_col), "word-counts")
     total, kinds = words.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).head()
-    codes = written(gram_counts(train, text_col), "gram-counts")
-    trie = _most(codes, NODES)[0].toArrow()
-    often, cutoff = _most(words, FREQUENT)
-    frequent = often.toArrow()
-    logs = np.log10(frequent.column("n").to_numpy() + 1)
-    sent = spark.sparkContext.broadcast((trie.column("key").to_numpy(), trie.column("n").to_numpy(), frequent.column("key").to_pylist(), logs))
+    counts = written(known_lengths(gram_counts(train, text_col)), "grams")
+    often = counts.where(_most(counts, SENT)).select("key", "value").toArrow()
+    short = F.octet_length("key") <= WORD_BYTES
+    frequent = short & _most(words.where(short), FREQUENT)
+    told = words.where(frequent).toArrow()
+    logs = np.log10(told.column("n").to_numpy() + 1)
+    sent = spark.sparkContext.broadcast((often.column("key").to_numpy(), often.column("value").to_numpy(), told.column("key").to_pylist(), logs))
     key = scratch(spark, "model")
     new = {"n_tokens", "n_known", "train_tokens", "base_score", "score"}
     kept = [f for f in docs.schema.fields if f.name.lower() not in new]
     names = [f"c{i}" for i in range(len(kept))]
     rows = docs.select(*[F.col(f"`{f.name}`").alias(c) for f, c in zip(kept, names)], F.col(f"`{text_col}`").alias("__text"))
     inner = [T.StructField(c, f.dataType, True) for f, c in zip(kept, names)]
-    extra = T._parse_datatype_string("row bigint, n_tokens bigint, n_known bigint, base double, score double, rare array<struct<word: binary, n: bigint>>")
+    extra = T._parse_datatype_string("row bigint, n_tokens bigint, n_known bigint, base double, score double, rare array<struct<word: binary, n: bigint>>, grams array<struct<gram: bigint, n: bigint>>")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        trie, log = _model(key, sent)
+        lengths, log = _sent(key, sent)
         row = TaskContext.get().partitionId() << 40
         for whole in batches:
             for k in range(0, whole.num_rows, 2000):
@@ -336,15 +301,20 @@ def score(docs: DataFrame, train: DataFrame, text_col: str = "text") -> DataFram
                     sizes.append(len(t))
                     known.append(len(found))
                     base.append(float(sum(found)))
-                arrays = [pa.array(range(row, row + len(texts)), pa.int64()), pa.array(sizes, pa.int64()), pa.array(known, pa.int64()), pa.array(base, pa.float64()), pa.array(trie.scores(texts)), pa.array(rare, pa.list_(pa.struct([("word", pa.binary()), ("n", pa.int64())])))]
+                ids = pa.array(range(row, row + len(texts)), pa.int64())
+                bits, others = _code_lengths(texts, lengths)
+                arrays = [ids, pa.array(sizes, pa.int64()), pa.array(known, pa.int64()), pa.array(base, pa.float64()), pa.array(bits), pa.array(rare, pa.list_(pa.struct([("word", pa.binary()), ("n", pa.int64())]))), others]
                 row += len(texts)
                 yield pa.RecordBatch.from_arrays([*b.columns[:-1], *arrays], [*names, *(f.name for f in extra.fields)])
 
     scored = written(rows.mapInArrow(run, T.StructType([*inner, *extra.fields])), "scored")
-    others = words if cutoff is None else words.where(F.floor(F.log2("n") * 16).cast("int") < cutoff)
+    sent.destroy()
     each = scored.select("row", F.explode("rare").alias("r")).select("row", F.col("r.word").alias("key"), F.col("r.n").alias("times"))
-    found = each.join(others, "key").groupBy("row").agg(F.sum("times").alias("more"), F.sum(F.col("times") * F.log10(F.col("n") + 1)).alias("gain"))
-    joined = scored.drop("rare").join(found, "row", "left")
+    by_word = each.join(words.where(~frequent), "key").select("row", F.col("times").alias("more"), (F.col("times") * F.log10(F.col("n") + 1)).alias("gain"), F.lit(0.0).alias("bits"))
+    missing = scored.select("row", F.explode("grams").alias("g")).select("row", F.col("g.gram").alias("key"), F.col("g.n").alias("times"))
+    by_gram = spread_join(missing, _asked(missing, counts), "key", "rows").select("row", F.lit(0).cast("bigint").alias("more"), F.lit(0.0).alias("gain"), (F.col("times") * F.col("value")).alias("bits"))
+    found = by_word.unionByName(by_gram).groupBy("row").agg(F.sum("more").alias("more"), F.sum("gain").alias("gain"), F.sum("bits").alias("bits"))
+    joined = scored.drop("rare", "grams").join(found, "row", "left")
     base = F.col("base") + F.coalesce("gain", F.lit(0.0)) - F.col("n_tokens") * float(np.log10(total + kinds + 1))
     return joined.select(
         *[F.col(c).alias(f.name) for f, c in zip(kept, names)],
@@ -352,5 +322,32 @@ def score(docs: DataFrame, train: DataFrame, text_col: str = "text") -> DataFram
         (F.col("n_known") + F.coalesce("more", F.lit(0))).alias("n_known"),
         F.lit(total).cast("bigint").alias("train_tokens"),
         base.alias("base_score"),
-        "score",
+        (F.col("score") + F.coalesce("bits", F.lit(0.0))).alias("score"),
     )
+
+
+def _code_lengths(texts: list[list[bytes]], lengths: Hashed) -> tuple[np.ndarray, pa.Array]:
+    """The sum of each text's log10 probabilities that were sent, and its other grams with how often it has them."""
+    out, others = np.zeros(len(texts)), []
+    for code, owner in codes(texts):
+        value = lengths.get(code)
+        miss = np.isnan(value)
+        value[miss] = 0
+        out += np.bincount(owner, value, len(texts))
+        others.append(np.unique(np.stack([owner[miss], code[miss]]), axis=1, return_counts=True))
+    owner, code = np.concatenate([x for x, _ in others], axis=1) if others else np.zeros((2, 0), np.int64)
+    n = np.concatenate([n for _, n in others]) if others else np.zeros(0, np.int64)
+    ends = np.cumsum(np.bincount(owner, minlength=len(texts)))
+    pairs = pa.StructArray.from_arrays([pa.array(code, pa.int64()), pa.array(n, pa.int64())], ["gram", "n"])
+    return out, pa.ListArray.from_arrays(np.append(0, ends).astype(np.int32), pairs)
+
+
+def _asked(missing: DataFrame, counts: DataFrame) -> DataFrame:
+    """key, rows (how many ask for it) and value of each gram that is missing in some text."""
+    asked = missing.groupBy("key").agg(F.count("*").alias("rows"))
+    asked = written(asked.join(counts.select("key", "value"), "key", "left"), "asked")
+    have, others = asked.where("value is not null"), asked.where("value is null").drop("value")
+    if others.isEmpty():
+        return have
+    nodes = trie(counts.select("key", "n"))
+    return written(have.unionByName(unknown_lengths(others, nodes, *contexts(nodes))), "asked-lengths")

@@ -51,28 +51,50 @@ def brute(level, text):
     return total
 
 
-@pytest.mark.parametrize("dense", [M.DENSE, 10])
-def test_trie_against_brute_force(monkeypatch, dense):
-    monkeypatch.setattr(M, "DENSE", dense)
-    train = texts(1)
-    level = contexts(train)
-    trie = M.Trie(*M.grams([M.tokens(t) for t in train]))
-    some = train[:10] + texts(2)[:20] + ["", None, "ZZ \x01 漢字"]
-    assert np.allclose(trie.scores([M.tokens(t) for t in some]), [brute(level, t) for t in some])
-
-
-def test_probabilities_of_a_context_sum_to_one():
-    train = texts(3)
-    trie = M.Trie(*M.grams([M.tokens(t) for t in train]))
-    for before in (b"", b"ta", b"re on ta", b"zz"):
-        raw = b"".join(M.START + before + bytes([x]) for x in range(256))
-        size = np.full(256, M.ORDER + len(before) + 1)
-        each = trie.log10(raw, size).reshape(256, -1)[:, -1]
-        assert abs(sum(10**each) - 1) < 1e-9
+def gram(raw):
+    return int.from_bytes(raw[-M.ORDER - 1 :], "big")
+
+
+def test_code_lengths_of_a_context_sum_to_one(spark):
+    train = spark.createDataFrame([(t,) for t in texts(3)], "text string")
+    counts = M.known_lengths(M.gram_counts(train)).cache()
+    nodes = M.trie(counts.select("key", "n"))
+    before = [(M.START + b)[-M.ORDER :] for b in (b"", b"ta", b"re on ta", b"zz", "é x".encode())]
+    asked = spark.createDataFrame([(gram(b + bytes([x])),) for b in before for x in range(256)], "key bigint")
+    others = M.unknown_lengths(asked.join(counts, "key", "left_anti"), nodes, *M.contexts(nodes))
+    value = {r.key: r.value for r in asked.join(counts, "key").select("key", "value").unionByName(others).collect()}
+    for b in before:
+        assert abs(sum(10 ** value[gram(b + bytes([x]))] for x in range(256)) - 1) < 1e-9
+
+
+def test_long_texts_are_cut_in_pieces_without_change(monkeypatch):
+    some = [M.tokens(t) for t in [*texts(7, 20), "a " * 3000, "", None]]
+    whole = M.grams(some)
+    monkeypatch.setattr(M, "BYTES_AT_ONCE", 64)
+    assert all((a == b).all() for a, b in zip(whole, M.grams(some)))
+    owners = np.concatenate([o for _, o in M.codes(some)])
+    assert np.bincount(owners, minlength=len(some)).tolist() == [len(b" ".join(t[:-1])) + 1 for t in some]
+
+
+@pytest.mark.parametrize("sent", [0, 20, 10_000])
+def test_nothing_hangs_on_what_is_sent(spark, monkeypatch, sent):
+    """The model is whole however little of it goes to the executors, also where all grams are seen once."""
+    monkeypatch.setattr(M, "SENT", sent)
+    rows = [*enumerate(texts(11)), (99, "ZZ \x01 漢字 ta")]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string")
+    level = contexts([t for d, t in rows if d % 2])
+    assert all(math.isclose(r.score, brute(level, r.text), rel_tol=1e-9) for r in M.score(df, df.where("doc_id % 2 = 1")).collect())
+
+
+def test_the_most_frequent_fill_the_bound_where_counts_tie(spark):
+    df = spark.createDataFrame([(k, 5 if k < 100 else 1) for k in range(20_000)], "key bigint, n bigint")
+    kept = df.where(M._most(df, 10_000))
+    assert 9_000 < kept.count() <= 10_000 and kept.where("n = 5").count() == 100
 
 
 def test_scores_of_a_table(spark, monkeypatch):
     monkeypatch.setattr(M, "FREQUENT", 5)
+    monkeypatch.setattr(M, "SENT", 100)
     rows = [*enumerate(texts(5)), (100, None), (101, ""), (None, "ta re"), (101, ""), (102, "unseen Words")]
     df = spark.createDataFrame([(d, t, "x") for d, t in rows], "doc_id bigint, text string, score string")
     train = df.where("doc_id % 3 <> 0")
