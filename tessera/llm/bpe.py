@@ -39,6 +39,25 @@ ODD = re.compile("[\x1c-\x1f]")
 PLAIN = re.compile("[!-~\xa1-\u012f]+")
 PLAIN_TOKENS = re.compile("'s|'t|'re|'ve|'m|'ll|'d|[a-z\xaa\xb5\xba\xdf-\xf6\xf8-\u012f]+|[0-9\xb2\xb3\xb9\xbc-\xbe]|[^a-z\xaa\xb5\xba\xdf-\xf6\xf8-\u012f0-9\xb2\xb3\xb9\xbc-\xbe]+")
 
+#: The normalizer and pre-tokenizer of vocabularies with word ends, in the library's JSON.
+NORMALIZER = {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": "\\s+"}, "content": " "}, {"type": "Lowercase"}]}
+PRE_TOKENIZER = {
+    "type": "Sequence",
+    "pretokenizers": [
+        {"type": "Split", "pattern": {"Regex": "'s|'t|'re|'ve|'m|'ll|'d|[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+"}, "behavior": "Removed", "invert": True},
+        {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False},
+    ],
+}
+
+
+def by_words(config: dict) -> bool:
+    """Whether a tokenizer, as the library's JSON gives it, takes the words of a text one by one, in lower case, as words() and PLAIN_TOKENS part them."""
+    model = config["model"]
+    added = all(t["content"].split() == [t["content"]] and not (t["lstrip"] or t["rstrip"] or t["normalized"] or t["single_word"]) for t in config["added_tokens"])
+    plain = not any(model.get(k) for k in ("dropout", "unk_token", "continuing_subword_prefix", "ignore_merges", "byte_fallback"))
+    same = config["normalizer"] == NORMALIZER and config["pre_tokenizer"] == PRE_TOKENIZER and not config["post_processor"] and not config["decoder"]
+    return bool(added and plain and same and model["type"] == "BPE" and model.get("end_of_word_suffix"))
+
 
 def words(text: str) -> list[str]:
     """Runs of what isn't white space."""
@@ -105,6 +124,8 @@ class WordBpe:
 
         with open(path, encoding="utf-8") as f:
             config = json.load(f)
+        if not by_words(config):
+            raise ValueError(f"{path} isn't a lower-case vocabulary with word ends")
         model, library = config["model"], Tokenizer.from_file(path)
         self.normalize, self.pre_tokenize = library.normalizer.normalize_str, library.pre_tokenizer.pre_tokenize_str
         self.added = {t["content"]: t["id"] for t in config["added_tokens"]}

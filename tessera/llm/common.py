@@ -78,14 +78,14 @@ HOT_ROWS = 100_000
 HOT_KEYS = 100_000
 
 
-def spread_join(rows: DataFrame, facts: DataFrame, key: str, weight: str) -> DataFrame:
+def spread_join(rows: DataFrame, facts: DataFrame, key: str, weight: str, hot_rows: int = HOT_ROWS) -> DataFrame:
     """rows joined with facts, which has one row a key with how many of rows have it (weight), so that no task gets a hot key's rows.
 
-    Facts of keys of more than HOT_ROWS rows are broadcast and their rows stay where they are; where rows are very many, the border
+    Facts of keys of more than hot_rows rows are broadcast and their rows stay where they are; where rows are very many, the border
     rises with them, so that there are never more than HOT_KEYS. All other rows meet their facts in a shuffle. facts is read more than once.
     """
     total, most = facts.agg(F.coalesce(F.sum(weight), F.lit(0)), F.coalesce(F.max(weight), F.lit(0))).head()
-    border = max(HOT_ROWS, total // HOT_KEYS)
+    border = max(hot_rows, total // HOT_KEYS)
     if most <= border:
         return rows.join(facts, key)
     hot = facts.where(F.col(weight) > border)
@@ -111,3 +111,15 @@ def upload(uri: str, data: bytes) -> None:
     with store.open_output_stream(tmp := f"{path.rpartition('/')[0]}/.{uuid.uuid4().hex}.tmp") as f:
         f.write(data)
     store.move(tmp, path)
+
+
+def fetch(uri: str) -> bytes:
+    """A whole file that upload() wrote."""
+    if "://" not in uri or uri.startswith("file:"):
+        with open("/" + uri.removeprefix("file:").lstrip("/") if uri.startswith("file:") else uri, "rb") as f:
+            return f.read()
+    from pyarrow import fs
+
+    store, path = fs.FileSystem.from_uri(uri)
+    with store.open_input_stream(path) as f:
+        return f.read()

@@ -2,28 +2,33 @@
 
 Each task turns its documents into one sequence of word ids (a shard) and sorts the places of the shard by the words that
 follow them: a suffix array, to the depth of the longest benchmark item. Every suffix of every item is then searched in it
-by bisection. That gives its longest verbatim match in the shard with a location, and all places of each window.
+by bisection. That gives its longest verbatim match in the shard with a location. Where it is as long as a window or longer, the
+window with which the suffix starts occurs, and a second bisection gives the range of all its places.
 
 Words outside the benchmark's vocabulary can't be in a match; they and the ends of documents are breaks, and places with
 fewer words before the next break than the shortest window has are left out of the array.
 
-The benchmark is sent to the executors in blocks of at most BLOCK_BYTES; with more than one block, the scans follow each
-other in the same stage, so its size is no limit.
+The benchmark is sent to the executors in blocks of at most BLOCK_BYTES, one after the other: of each, the driver and the executors
+hold one at a time, and what documents have is written to the shared folder in between.
 
 Results: words are [^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+ after lower-casing A-Z; null and empty texts have none. An item of
 fewer words than a window is one window, an item without words (or null) is none. Repeated items and documents count each;
-items with a null id count and are named "null". An empty benchmark or table gives no hits or no rows. Of documents'
-columns, those with the name of a new column are replaced.
+items with a null id count and are named "null". An empty benchmark or table gives no hits or no rows. A text of more words than
+a shard is a shard of its own, and is searched whole. overlaps() replaces columns with the name of a new one; decontaminate() keeps
+all columns as they are.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
+from pyspark.core.broadcast import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import append_columns, scratch
+from .common import append_columns, own_names, scratch, written
 
 WINDOW = 10
 #: Benchmark text in one broadcast.
@@ -64,6 +69,7 @@ class Benchmark:
         self.depth = int(np.diff(np.nonzero(self.words < 0)[0], prepend=-1).max(initial=2)) - 1
         kinds: dict[bytes, int] = {}
         self.at, self.size, self.items = [], [], []
+        owner_kinds = []
         for a, n, owner in zip(starts, sizes, owners):
             kind = kinds.setdefault(self.words[a : a + n].tobytes(), len(self.at))
             if kind == len(self.at):
@@ -71,9 +77,14 @@ class Benchmark:
                 self.size.append(n)
                 self.items.append(set())
             self.items[kind].add(owner)
+            owner_kinds.append(kind)
         self.at, self.size = np.array(self.at, np.int64), np.array(self.size, np.int64)
-        #: All suffixes of items: places in words that aren't ends.
+        #: All suffixes of items: places in words that aren't ends, their words, and the window each starts with (-1: too short).
         self.suffixes = np.nonzero(self.words >= 0)[0]
+        ends = np.nonzero(self.words < 0)[0]
+        self.sizes = ends[np.searchsorted(ends, self.suffixes)] - self.suffixes
+        self.kinds = np.full(len(self.suffixes), -1, np.int64)
+        self.kinds[np.searchsorted(self.suffixes, np.array(starts, np.int64))] = owner_kinds
 
 
 class Shard:
@@ -134,14 +145,12 @@ class Shard:
         return out
 
     def longest(self, b: Benchmark) -> tuple[np.ndarray, np.ndarray]:
-        """For each suffix of each item: its longest verbatim match of shortest or more words, and the first place it has in the array."""
+        """For each suffix of each item: its longest verbatim match of shortest or more words, and a place that has it (-1: none)."""
         sizes, at = np.zeros(len(b.suffixes), np.int64), np.full(len(b.suffixes), -1, np.int64)
         if not len(self.places):
             return sizes, at
-        ends = np.nonzero(b.words < 0)[0]
         for k in range(0, len(b.suffixes), QUERIES_AT_ONCE):
-            q = b.suffixes[k : k + QUERIES_AT_ONCE]
-            size = ends[np.searchsorted(ends, q)] - q
+            q, size = b.suffixes[k : k + QUERIES_AT_ONCE], b.sizes[k : k + QUERIES_AT_ONCE]
             after = self.bisect(b.words, q, size, False)
             for near in (np.maximum(after - 1, 0), np.minimum(after, len(self.places) - 1)):
                 place = self.places[near]
@@ -152,14 +161,17 @@ class Shard:
 
     def windows(self, b: Benchmark) -> tuple[np.ndarray, np.ndarray]:
         """All (window, place) with an occurrence; at a place, the windows are of different sizes, so there are few."""
-        kinds, places = [], []
-        for k in range(0, len(b.at), QUERIES_AT_ONCE):
-            at, size = b.at[k : k + QUERIES_AT_ONCE], b.size[k : k + QUERIES_AT_ONCE]
-            lo = self.bisect(b.words, at, size, False)
-            n = self.bisect(b.words, at, size, True) - lo
-            kinds.append(np.repeat(np.arange(k, k + len(at)), n))
+        sizes, _ = self.longest(b)
+        whole = (b.kinds >= 0) & (sizes >= b.size[b.kinds]) if len(b.size) else np.zeros(0, bool)
+        found = np.unique(b.kinds[whole])
+        kinds, places = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+        for k in range(0, len(found), QUERIES_AT_ONCE):
+            own = found[k : k + QUERIES_AT_ONCE]
+            lo = self.bisect(b.words, b.at[own], b.size[own], False)
+            n = self.bisect(b.words, b.at[own], b.size[own], True) - lo
+            kinds.append(np.repeat(own, n))
             places.append(self.places[np.repeat(lo - np.cumsum(n) + n, n) + np.arange(n.sum())])
-        return (np.concatenate(kinds), np.concatenate(places)) if kinds else (np.zeros(0, np.int64), np.zeros(0, np.int64))
+        return np.concatenate(kinds), np.concatenate(places)
 
 
 def scan(texts: list[str | None], b: Benchmark) -> list[tuple[int, list[tuple[int, int]], set[int]]]:
@@ -208,23 +220,34 @@ def _benchmark(key: str, items, window: int) -> Benchmark:
     return _KEPT[key]
 
 
-def _blocks(bench: DataFrame, item_col: str, text_col: str) -> list:
-    """Broadcast item lists of at most BLOCK_BYTES of text each, unless one item alone is larger."""
+def _blocks(bench: DataFrame, item_col: str, text_col: str) -> Iterator[tuple[Broadcast, bool]]:
+    """Broadcast item lists of at most BLOCK_BYTES of text each, unless one item alone is larger; and whether it is the last one."""
     rows = bench.select(F.col(item_col).cast("string").alias("item"), F.col(text_col).alias("text"))
     size = rows.agg(F.coalesce(F.sum(F.octet_length("text") + F.lit(64)), F.lit(0))).head()[0]
-    n = -(-size // BLOCK_BYTES)
+    n = max(1, -(-size // BLOCK_BYTES))
     part = F.pmod(F.xxhash64("item", "text"), F.lit(n)) if n > 1 else F.lit(0)
-    return [bench.sparkSession.sparkContext.broadcast([(r.item, r.text) for r in rows.filter(part == k).collect()]) for k in range(n)]
+    for k in range(n):
+        yield bench.sparkSession.sparkContext.broadcast([(r.item, r.text) for r in rows.filter(part == k).collect()]), k == n - 1
 
 
 def overlaps(docs: DataFrame, bench: DataFrame, window: int = WINDOW, text_col: str = "text", item_col: str = "item_id", bench_col: str = "text") -> DataFrame:
     """docs with n_words, n_hit, spans (array of first word and word after the last), items (sorted ids as strings)."""
-    out, blocks = docs, _blocks(bench, item_col, bench_col)
+    new = {"n_words", "n_hit", "spans", "items"}
+    rows, names = own_names(docs.select(*[F.col(f"`{c}`") for c in docs.columns if c.lower() not in new], F.col(f"`{text_col}`").alias(_free(docs))))
+    *kept, text = names.items()
     key = scratch(docs.sparkSession, "benchmark")
-    for k, block in enumerate(blocks or [docs.sparkSession.sparkContext.broadcast([])]):
+    for k, (block, last) in enumerate(_blocks(bench, item_col, bench_col)):
         first, more = _scanners(block, f"{key}/{k}", window)
-        out = append_columns(out, [text_col, "spans", "items"], more, FIELDS) if k else append_columns(out, [text_col], first, FIELDS)
-    return out
+        rows = append_columns(rows, [text[1], "spans", "items"], more, FIELDS) if k else append_columns(rows, [text[1]], first, FIELDS)
+        if not last:
+            rows = written(rows, "overlaps")
+            block.destroy()
+    return rows.select(*[F.col(i).alias(c) for c, i in kept], "n_words", "n_hit", "spans", "items")
+
+
+def _free(df: DataFrame) -> str:
+    """A name that no column of df has."""
+    return "_" * (1 + max((len(c) for c in df.columns), default=0))
 
 
 FIELDS = "n_words bigint, n_hit bigint, spans array<struct<first: bigint, end: bigint>>, items array<string>"
@@ -271,31 +294,35 @@ def longest_matches(docs: DataFrame, bench: DataFrame, window: int = WINDOW, id_
     schema = "item string, first bigint, size bigint, doc string, word bigint"
     found = None
     key = scratch(docs.sparkSession, "benchmark")
-    for k, block in enumerate(_blocks(bench, item_col, bench_col)):
+    best = F.max_by(F.struct("size", "doc", "word"), F.struct("size", "doc", "word")).alias("m")
+    for k, (block, last) in enumerate(_blocks(bench, item_col, bench_col)):
 
         def run(batches, block=block, key=f"{key}/longest/{k}"):
             b = _benchmark(key, block, window)
             ends = np.nonzero(b.words < 0)[0]
+            kind = pa.schema([("item", pa.string()), ("first", pa.int64()), ("size", pa.int64()), ("doc", pa.string()), ("word", pa.int64())])
             for batch in batches:
                 names, texts = batch.column(0).to_pylist(), [words(t) for t in batch.column(1).to_pylist()]
                 at = np.concatenate([[0], np.cumsum([len(t) + 1 for t in texts])])
                 shard = Shard(np.array([i for t in texts for i in [*(b.vocabulary.get(w, -1) for w in t), -1]], np.int32), b.depth, b.shortest)
                 sizes, places = shard.longest(b)
-                for i in np.nonzero(sizes >= b.shortest)[0].tolist():
-                    s, d = int(b.suffixes[i]), int(np.searchsorted(at, places[i], "right")) - 1
-                    item = int(np.searchsorted(ends, s))
-                    yield pa.RecordBatch.from_pylist([{"item": b.names[item], "first": s - (int(ends[item - 1]) + 1 if item else 0), "size": int(sizes[i]), "doc": names[d], "word": int(places[i] - at[d])}], schema=pa.schema([("item", pa.string()), ("first", pa.int64()), ("size", pa.int64()), ("doc", pa.string()), ("word", pa.int64())]))
+                own = np.nonzero(sizes >= b.shortest)[0]
+                item, doc = np.searchsorted(ends, b.suffixes[own]), np.searchsorted(at, places[own], "right") - 1
+                first = b.suffixes[own] - np.where(item > 0, ends[item - 1] + 1, 0)
+                columns = [[b.names[i] for i in item.tolist()], first, sizes[own], [names[d] for d in doc.tolist()], places[own] - at[doc]]
+                yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, kind)], schema=kind)
 
         part = docs.select(F.col(id_col).cast("string"), F.col(text_col)).mapInArrow(run, schema)
+        part = part.groupBy("item", "first").agg(best).select("item", "first", "m.size", "m.doc", "m.word")
+        if not last:
+            part = written(part, "longest")
+            block.destroy()
         found = part if found is None else found.unionByName(part)
-    if found is None:
-        return docs.sparkSession.createDataFrame([], schema)
-    best = F.max_by(F.struct("size", "doc", "word"), F.struct("size", "doc", "word")).alias("m")
     return found.groupBy("item", "first").agg(best).select("item", "first", "m.size", "m.doc", "m.word")
 
 
-def decontaminate(docs: DataFrame, bench: DataFrame, window: int = WINDOW, **columns: str) -> DataFrame:
-    """docs without those that hold a window of the benchmark; their columns as they were."""
-    marked = docs.withColumn("__text", F.col(columns.pop("text_col", "text")))
-    return overlaps(marked, bench, window, text_col="__text", **columns).filter("n_hit = 0").select(*[F.col(f"`{c}`") for c in docs.columns])
-
+def decontaminate(docs: DataFrame, bench: DataFrame, window: int = WINDOW, text_col: str = "text", item_col: str = "item_id", bench_col: str = "text") -> DataFrame:
+    """docs without those that hold a window of the benchmark; all their columns as they were, whatever their names."""
+    rows, names = own_names(docs)
+    found = overlaps(rows, bench, window, names[text_col], item_col, bench_col).filter("n_hit = 0")
+    return found.select(*[F.col(i).alias(c) for c, i in names.items()])

@@ -5,18 +5,21 @@ space). A linear model's value is then the mean of its weights over the text's t
 model and needs no feature vectors. Family models are one against the rest; in a family each pair of languages has an SVM,
 and the language with the most won pairs (ties: largest sum of margins, then the name) is predicted.
 
-Training: at most PER_LANGUAGE labelled documents of each language, drawn by the smallest hashes of their ids, so the sample's
-size depends on the number of languages and not on the input's. SVMs are fitted by averaged stochastic
-subgradient steps on the hinge loss with a fixed order: results repeat.
+Training: PER_LANGUAGE labelled documents of each language at most, drawn by the smallest hashes of their ids (ties: of their texts), so
+the sample's size depends on the number of languages and not on the input's. Of these the whole texts are learned: each is cut in
+pieces of PIECE characters, which are dealt in turn to PIECES vectors of frequencies, and only these leave the executors. SVMs are
+fitted by averaged stochastic subgradient steps on the hinge loss with a fixed order: results repeat.
 
 Filtering also drops what the predicted language doesn't fit: a text whose mean log-probability of trigrams there is far below
-that of the language's own pieces. Half of the sample's pieces give the probabilities and the other half the border: the lowest
-of them or FAR standard deviations below their mean, whichever is lower, and for shorter texts more by the square root of
-their length. A language of fewer than JUDGED pieces rejects nothing; without labels all texts with letters stay.
+that of the language's own texts. Half of the sample's vectors give the probabilities and the other half the border: the lowest
+of them or FAR standard deviations below their mean, whichever is lower, as for texts of PIECE characters, and for shorter texts
+more by the square root of their length. A language of fewer than JUDGED vectors rejects nothing; without labels all texts with
+letters stay.
 
 Results: und and score 0 for null, empty and texts without a letter. Languages outside FAMILIES are families of their own.
 Without labelled documents everything is und. One labelled language: all texts with letters get it, with score 1. Repeated
-rows get the same prediction. Columns of the input with the name of a new column are replaced.
+rows get the same prediction. Ties of won pairs and of margins go to the name that sorts first. Long texts are read whole. Columns of
+the input with the name of a new column are replaced.
 """
 
 from __future__ import annotations
@@ -27,10 +30,10 @@ from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import append_columns
+from .common import append_columns, own_names
 
 #: Families of ISO 639-1 codes.
 FAMILIES = {
@@ -40,10 +43,10 @@ FAMILIES = {
     "semitic": ["ar", "he", "mt"],
 }
 PER_LANGUAGE = 300
-#: Of a text in the sample, so many pieces of so many characters are learned, evenly spaced (all of it, if it is shorter).
+#: A sampled text is cut in pieces of so many characters, which make up so many vectors (one for each piece, if it has fewer).
 PIECE = 400
 PIECES = 4
-#: How far below its language's pieces a text is dropped, and the pieces that a language needs for that.
+#: How far below its language's own texts a text is dropped, and the vectors that a language needs for that.
 FAR = 6.0
 JUDGED = 40
 BITS = 12
@@ -66,12 +69,19 @@ def trigrams(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
     return (h >> np.uint32(32 - BITS)).astype(np.int32), size
 
 
-def _features(texts: list[str]) -> np.ndarray:
-    h, size = trigrams(texts)
-    rows = np.repeat(np.arange(len(texts)), size)
-    x = np.zeros((len(texts), 1 << BITS), np.float32)
-    np.add.at(x, (rows, h[: len(rows)]), 1)
-    return x / size[:, None].astype(np.float32)
+def vectors(text: str | None) -> list[tuple[int, np.ndarray]]:
+    """How many trigrams each of the text's vectors counts, and their numbers; all of the text is in one of them."""
+    pieces = [text[k : k + PIECE] for k in range(0, len(text), PIECE)] if text else []
+    out = []
+    for g in range(min(PIECES, len(pieces))):
+        own = pieces[g::PIECES]
+        if any(LETTER.search(p) for p in own):
+            n = np.zeros(1 << BITS, np.int64)
+            for k in range(0, len(own), 1000):  # bounds the memory of trigrams
+                h, size = trigrams(own[k : k + 1000])
+                n += np.bincount(h[: int(size.sum())], minlength=1 << BITS)
+            out.append((int(n.sum()), n))
+    return out
 
 
 def _svm(x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, float]:
@@ -126,7 +136,7 @@ class Model:
     def predict(self, texts: list[str | None]) -> tuple[list[str], list[float]]:
         h, size = trigrams(texts)
         starts = np.cumsum(size) - size
-        value = lambda m: np.add.reduceat(m[0][h[: int(size.sum())]], starts).astype(np.float64) / size + m[1]
+        value = lambda m: np.add.reduceat(m[0][h[: int(size.sum())]], starts, dtype=np.float64) / size + m[1]
         langs, scores = [UND] * len(texts), [0.0] * len(texts)
         if not self.families or not texts:
             return langs, scores
@@ -157,18 +167,19 @@ def _sigmoid(x: np.ndarray) -> np.ndarray:
 
 
 def fit(rows: list[tuple[str, str]], families: dict[str, list[str]] | None = None) -> Model:
-    """A model of labelled pieces of text (language, piece)."""
+    """A model of labelled texts (language, text)."""
+    found = [(lang, size, n) for lang, text in sorted(rows) for size, n in vectors(text)]
+    x = np.stack([n / size for _, size, n in found]).astype(np.float32) if found else np.zeros((0, 1 << BITS), np.float32)
+    return fitted([lang for lang, _, _ in found], np.array([size for _, size, _ in found]), x, families)
+
+
+def fitted(labels: list[str], size: np.ndarray, x: np.ndarray, families: dict[str, list[str]] | None = None) -> Model:
+    """A model of vectors of relative frequencies, the trigrams that each counts, and their languages."""
     of = {lang: name for name, langs in (families or FAMILIES).items() for lang in langs}
-    pieces: list[str] = []
-    labels: list[str] = []
-    for lang, text in sorted(rows):
-        if LETTER.search(text):
-            pieces.append(text)
-            labels.append(lang)
     model = Model()
-    if not pieces:
+    if not labels:
         return model
-    x, labels_at = _features(pieces), np.array(labels)
+    labels_at = np.array(labels)
     names: dict[str, list[str]] = {}
     for lang in sorted(set(labels)):
         names.setdefault(of.get(lang, lang), []).append(lang)
@@ -179,7 +190,9 @@ def fit(rows: list[tuple[str, str]], families: dict[str, list[str]] | None = Non
             counts = (x[own[::2]] * PIECE).sum(0, dtype=np.float64) + 0.5
             logs = np.log(counts / counts.sum()).astype(np.float32)
             values = (x[own[1::2]] @ logs).astype(np.float64)
-            model.borders[lang] = (logs, float(values.mean()), max(FAR * float(values.std()), float(values.mean() - values.min())))
+            # a vector of more trigrams is nearer to the mean: as far as one of PIECE would be
+            off = (values - values.mean()) * np.sqrt(np.maximum(size[own[1::2]] / PIECE, 1))
+            model.borders[lang] = (logs, float(values.mean()), max(FAR * float(off.std()), -float(off.min())))
     if len(names) > 1:
         model.family_models = [_svm(x, np.where(np.isin(labels_at, langs), 1, -1).astype(np.float32)) for langs in model.families]
     for langs in model.families:
@@ -189,33 +202,41 @@ def fit(rows: list[tuple[str, str]], families: dict[str, list[str]] | None = Non
     return model
 
 
-def sample(docs: DataFrame, labelled: Column, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> list[tuple[str, str]]:
-    """Language and text of at most about PER_LANGUAGE documents of each language, by the smallest hashes of their ids.
+def sample(docs: DataFrame, labelled: Column, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> tuple[list[str], np.ndarray, np.ndarray]:
+    """The vectors of at most PER_LANGUAGE documents of each language, by the smallest hashes of their ids: languages, sizes, frequencies.
 
     Hashes are counted by their magnitude, to an eighth of a power of two, so the driver gets a few hundred counts for each
-    language, whatever the input's size, and reads off where each language's sample ends.
+    language, whatever the input's size, and reads off about where each language's sample ends. What is left is ranked.
     """
-    rows = docs.where(labelled & F.col(lang_col).isNotNull() & F.col(id_col).isNotNull())
+    lang = F.col(lang_col).cast("string")
+    rows = docs.where(labelled & F.col(lang_col).isNotNull() & F.col(id_col).isNotNull() & F.col(text_col).isNotNull())
     place = F.xxhash64(F.col(id_col)).bitwiseAND(F.lit((1 << 63) - 1))
     mark = F.floor(F.log2(place.cast("double") + 1) * 8).cast("int")
-    counts = rows.groupBy(F.col(lang_col).cast("string").alias("lang"), mark.alias("mark")).count().collect()
-    last, total, full = {}, {}, set()
+    counts = rows.groupBy(lang.alias("lang"), mark.alias("mark")).count().collect()
+    last, total = {}, {}
     for r in sorted(counts, key=lambda r: r.mark):
-        if r.lang in full or (r.lang in last and total[r.lang] + r["count"] > PER_LANGUAGE):
-            full.add(r.lang)
-            continue
-        last[r.lang], total[r.lang] = r.mark, total.get(r.lang, 0) + r["count"]
+        if total.get(r.lang, 0) < PER_LANGUAGE:
+            last[r.lang], total[r.lang] = r.mark, total.get(r.lang, 0) + r["count"]
     if not last:
-        return []
+        return [], np.zeros(0, np.int64), np.zeros((0, 1 << BITS), np.float32)
     ends = F.create_map(*[F.lit(x) for pair in sorted(last.items()) for x in pair])
-    keep = mark <= ends[F.col(lang_col).cast("string")]
-    text, size = F.col(text_col), F.length(text_col)
-    at = F.sequence(F.lit(0), F.lit(PIECES - 1))
-    even = F.transform(at, lambda k: F.substring(text, F.floor(k * (size - PIECE) / (PIECES - 1)).cast("int") + 1, F.lit(PIECE)))
-    short = F.transform(at, lambda k: F.substring(text, k * PIECE + 1, F.lit(PIECE)))
-    pieces = F.explode(F.when(size > PIECE * PIECES, even).otherwise(F.filter(short, lambda x: x != ""))).alias("piece")
-    kept = rows.where(keep).where(text.isNotNull()).select(F.col(lang_col).cast("string").alias("lang"), pieces)
-    return [(r.lang, r.piece) for r in kept.collect()]
+    few = rows.where(mark <= ends[lang]).select(lang.alias("lang"), place.alias("place"), F.xxhash64(F.col(text_col)).alias("tie"), F.col(text_col).alias("text"))
+    few = few.withColumn("rank", F.row_number().over(Window.partitionBy("lang").orderBy("place", "tie"))).where(F.col("rank") <= PER_LANGUAGE)
+    kind = pa.struct([("size", pa.int64()), ("at", pa.binary()), ("n", pa.binary())])
+
+    def run(texts: pa.Array) -> pa.Array:
+        out = []
+        for t in texts:
+            found = [(size, n, np.nonzero(n)[0]) for size, n in vectors(t.as_py())]
+            out.append([{"size": size, "at": at.astype("<u2").tobytes(), "n": (n[at] / size).astype("<f4").tobytes()} for size, n, at in found])
+        return pa.StructArray.from_arrays([pa.array(out, pa.list_(kind))], ["vectors"])
+
+    made = append_columns(few, ["text"], run, "vectors array<struct<size: bigint, at: binary, n: binary>>")
+    found = made.select("lang", "place", "tie", F.posexplode("vectors").alias("i", "v")).orderBy("lang", "place", "tie", "i").select("lang", "v.size", "v.at", "v.n").toArrow()
+    x = np.zeros((found.num_rows, 1 << BITS), np.float32)
+    for i, (at, n) in enumerate(zip(found.column("at"), found.column("n"))):
+        x[i, np.frombuffer(at.as_py(), "<u2")] = np.frombuffer(n.as_py(), "<f4")
+    return found.column("lang").to_pylist(), found.column("size").to_numpy(), x
 
 
 def identify(docs: DataFrame, labelled: Column | None = None, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", families: dict[str, list[str]] | None = None, fitting: bool = False) -> DataFrame:
@@ -223,7 +244,7 @@ def identify(docs: DataFrame, labelled: Column | None = None, id_col: str = "doc
 
     fitting: texts that don't fit their language are und with score 0; without any language, lang_pred is null for texts with letters.
     """
-    model = fit(sample(docs, F.lit(True) if labelled is None else labelled, id_col, text_col, lang_col), families)
+    model = fitted(*sample(docs, F.lit(True) if labelled is None else labelled, id_col, text_col, lang_col), families)
     sent = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(texts: pa.Array) -> pa.Array:
@@ -245,8 +266,7 @@ def identify(docs: DataFrame, labelled: Column | None = None, id_col: str = "doc
 
 def filtered(docs: DataFrame, **options) -> DataFrame:
     """docs without those in which no language is found or that don't fit the one that is; their columns as they were."""
-    names = [f"c{i}" for i in range(len(docs.columns))]
-    at = {c: n for c, n in zip(docs.columns, names)}
+    rows, at = own_names(docs)
     columns = {k: at[options.pop(k, d)] for k, d in (("id_col", "doc_id"), ("text_col", "text"), ("lang_col", "lang"))}
-    found = identify(docs.toDF(*names), **columns, **options, fitting=True).where(~F.col("lang_pred").eqNullSafe(UND))
+    found = identify(rows, **columns, **options, fitting=True).where(~F.col("lang_pred").eqNullSafe(UND))
     return found.select(*[F.col(n).alias(c) for c, n in at.items()])

@@ -42,9 +42,9 @@ SENT = 1_000_000
 FREQUENT = 131_072
 WORD_BYTES = 64
 #: Bytes handled at once.
-BYTES_AT_ONCE = 1 << 21
+BYTES_AT_ONCE = 1 << 18
 #: Different grams that a task keeps before it passes them on.
-GRAMS_AT_ONCE = 1 << 21
+GRAMS_AT_ONCE = 1 << 20
 END = "\n"
 #: What precedes a text as context; white space is in no word, so neither it nor the end is taken for text.
 START = b"\n" * ORDER
@@ -89,37 +89,43 @@ def grams(texts: list[list[bytes]]) -> tuple[np.ndarray, np.ndarray]:
 
 
 class Hashed:
-    """Values by key in an open hash table."""
+    """Values by key in an open hash table; a key and its value lie side by side."""
 
     def __init__(self, keys: np.ndarray, values: np.ndarray):
-        self.mask = (1 << int(2 * len(keys) + 1).bit_length()) - 1
-        self.keys, self.values = np.full(self.mask + 1, -1, np.int64), np.full(self.mask + 1, np.nan)
+        bits = int(2 * len(keys) + 1).bit_length()
+        self.shift, self.mask = np.uint64(64 - bits), (1 << bits) - 1
+        self.rows = np.full((1 << bits, 2), -1, np.int64)
+        raw = np.ascontiguousarray(values, np.float64).view(np.int64)
         todo, slot = np.arange(len(keys)), self._slot(keys)
         while len(todo):
-            free = np.nonzero(self.keys[slot] < 0)[0]
+            free = np.nonzero(self.rows[slot, 0] < 0)[0]
             _, first = np.unique(slot[free], return_index=True)
             put = free[first]
-            self.keys[slot[put]], self.values[slot[put]] = keys[todo[put]], values[todo[put]]
+            self.rows[slot[put], 0], self.rows[slot[put], 1] = keys[todo[put]], raw[todo[put]]
             rest = np.ones(len(todo), bool)
             rest[put] = False
             todo, slot = todo[rest], slot[rest] + 1 & self.mask
 
     def _slot(self, keys: np.ndarray) -> np.ndarray:
-        return (keys.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(20)).astype(np.int64) & self.mask
+        h = keys.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+        h >>= self.shift
+        return h.view(np.int64)
 
     def get(self, keys: np.ndarray) -> np.ndarray:
-        """The keys' values; nan for others."""
+        """The values of keys (a contiguous array); nan for those that aren't there."""
         slot = self._slot(keys)
-        found = self.keys[slot]
-        out = np.where(found == keys, self.values[slot], np.nan)
-        todo = np.nonzero((found != keys) & (found >= 0))[0]
-        slot = slot[todo]
+        rows = self.rows.take(slot, axis=0)
+        out = np.ascontiguousarray(rows[:, 1]).view(np.float64)
+        todo = np.nonzero(rows[:, 0] != keys)[0]
+        out[todo] = np.nan
+        held = rows[todo, 0] >= 0
+        todo, slot = todo[held], slot[todo[held]]
         while len(todo):
             slot = slot + 1 & self.mask
-            found = self.keys[slot]
-            same = found == keys[todo]
-            out[todo[same]] = self.values[slot[same]]
-            more = ~same & (found >= 0)
+            rows = self.rows.take(slot, axis=0)
+            same = rows[:, 0] == keys[todo]
+            out[todo[same]] = np.ascontiguousarray(rows[same, 1]).view(np.float64)
+            more = ~same & (rows[:, 0] >= 0)
             todo, slot = todo[more], slot[more]
         return out
 

@@ -1,6 +1,8 @@
 """License scan by conditional compression (operator 6).
 
-A document's candidate blocks are the words around trigger words, which every template holds. Each block is compressed alone
+A template is cut in one more pieces than its differing words can spoil: each word that is missing and each that is added spoils one
+at most. So every occurrence has a whole piece, and an Aho-Corasick automaton finds all of them in one pass: a document's candidate
+blocks are the words around them, and no occurrence is outside. Each block is compressed alone
 and with each template as a raw Zstandard dictionary; the bytes that a template saves, as a share of what it costs to say the
 template itself, rank the templates. Saved bytes shrink where a block repeats itself, so they only order: all templates of which
 a block has enough words, in any order, are confirmed, best first, by exact wording: the words of the template are aligned with
@@ -11,7 +13,7 @@ then the name).
 Blocks are cut for short notices, headers and whole texts apart, so that each has a width that fits its templates; they overlap by
 the longest template, so each occurrence lies whole in one, and their size is bounded whatever the text.
 
-Results: words are runs of letters and digits, A-Z in lower case. Null and empty texts, and texts without a trigger, have no
+Results: words are runs of letters and digits in lower case. Null and empty texts, and texts without a piece, have no
 finds. Repeated rows are scanned alike, and each occurrence in a text is a find. Columns of the input with the name of a new
 column are replaced.
 """
@@ -24,17 +26,17 @@ from dataclasses import dataclass, field
 from difflib import SequenceMatcher
 from functools import lru_cache
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from .common import append_columns
 
 WORD = re.compile(r"[^\W_]+")
+OTHERS = re.compile(r"[\W_]+")
 DIFFERING = 0.1
 #: A level whose search finds short repeats, at any place of the dictionary.
 LEVEL = 19
-#: Parts of words, one of which each template has.
-TRIGGERS = ("licens", "licenc", "copyright", "permission", "redistribut", "warrant", "public domain")
 _GNU = (
     "This {} is free software{} you can redistribute it and/or modify it under the terms of the GNU {} Public License as published by the Free Software Foundation{}{}{}"
 )
@@ -135,29 +137,41 @@ class Group:
 
 class Scanner:
     def __init__(self, templates: tuple[tuple[str, str], ...] = TEMPLATES, differing: float = DIFFERING):
+        import ahocorasick
         import zstandard
 
         self.differing = differing
-        self.trigger = re.compile("|".join(TRIGGERS))
+        #: By piece: the kinds of template that have it, with the words around it that may be the template's, of each kind the widest.
+        near: dict[str, dict[int, tuple[int, int]]] = {}
         self.plain = zstandard.ZstdCompressor(level=LEVEL, write_content_size=False)
         self.groups = [Group(), Group(), Group()]
         for name, wording in templates:
             words = WORD.findall(wording.lower())
-            if not self.trigger.search(" ".join(words)):
-                raise ValueError(f"no trigger in {wording!r}")
             data = " ".join(words).encode()
             raw = zstandard.ZstdCompressionDict(data, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
             template = Template(name, words, Counter(words), compressor=zstandard.ZstdCompressor(level=LEVEL, dict_data=raw, write_content_size=False))
             template.cost = max(1, len(self.plain.compress(data)) - len(template.compressor.compress(data)))
-            group = self.groups[(len(words) > NOTICE_WORDS) + (len(words) > WHOLE_WORDS)]
+            kind, most = (len(words) > NOTICE_WORDS) + (len(words) > WHOLE_WORDS), int(differing * len(words))
+            group = self.groups[kind]
             group.templates.append(template)
-            group.width = max(group.width, len(words) + int(differing * len(words)) + 1)
+            group.width = max(group.width, len(words) + most + 1)
+            parts = 2 * most + 1
+            for i in range(parts):
+                a, z = len(words) * i // parts, len(words) * (i + 1) // parts
+                piece = f" {' '.join(words[a:z])} "
+                first, last = -a - most, len(words) + 2 * most - a
+                x, y = near.setdefault(piece, {}).get(kind, (first, last))
+                near[piece][kind] = min(first, x), max(last, y)
+        self.automaton = ahocorasick.Automaton()
+        for piece, kinds in near.items():
+            self.automaton.add_word(piece, (len(piece), tuple(kinds.items())))
+        self.automaton.make_automaton()
 
-    def blocks(self, triggers: list[int], n: int, width: int) -> list[tuple[int, int]]:
-        """Word ranges of at most 4 * width around the triggers; neighbours overlap by width."""
+    def blocks(self, around: list[tuple[int, int]], n: int, width: int) -> list[tuple[int, int]]:
+        """The ranges of words, in pieces of at most 4 * width; neighbours overlap by width."""
         runs: list[list[int]] = []
-        for t in triggers:
-            a, z = max(0, t - width), min(n, t + width + 1)
+        for a, z in sorted(around):
+            a, z = max(0, a), min(n, z)
             if runs and a <= runs[-1][1]:
                 runs[-1][1] = max(z, runs[-1][1])
             else:
@@ -166,21 +180,25 @@ class Scanner:
 
     def scan(self, text: str | None) -> list[tuple[str, int, int, int]]:
         """(name, first character, character after the last, differing words) of each find, ascending."""
-        if not text or not self.trigger.search(low := text.lower()):
+        if not text:
+            return []
+        low = text.lower()
+        if len(low) != len(text):  # places are the text's
+            low = "".join(c.lower() if len(c.lower()) == 1 else c for c in text)
+        spaced = f" {OTHERS.sub(' ', low).strip()} "
+        hits = list(self.automaton.iter(spaced))
+        if not hits:
             return []
         found = list(WORD.finditer(low))
         words = [m.group() for m in found]
-        spaced, at = " ".join(words), [0]
-        for w in words:
-            at.append(at[-1] + len(w) + 1)
-        triggers, k = [], 0
-        for m in self.trigger.finditer(spaced):
-            while at[k + 1] <= m.start():
-                k += 1
-            triggers.append(k)
+        starts = np.cumsum([0, *(len(w) + 1 for w in words)])  # of the space before each word
+        around: list[list[tuple[int, int]]] = [[] for _ in self.groups]
+        for p, (end, (size, kinds)) in zip(np.searchsorted(starts, [end - size + 1 for end, (size, _) in hits]).tolist(), hits):
+            for kind, (a, z) in kinds:
+                around[kind].append((p + a, p + z))
         finds: set[tuple[int, int, int, int, str]] = set()
-        for group in self.groups:
-            for a, z in self.blocks(triggers, len(words), group.width) if group.templates else []:
+        for group, near in zip(self.groups, around):
+            for a, z in self.blocks(near, len(words), group.width):
                 block = words[a:z]
                 for t in self.ranked(group, block):
                     finds.update((d, -len(t.words), a + i, a + j, t.name) for d, i, j in self.confirm(t, block))

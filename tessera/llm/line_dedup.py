@@ -1,20 +1,23 @@
 """Line dedup by segment-partition edit join (operator 4), in DataFrame functions only.
 
-A line goes if the same line came earlier in the corpus, or if a line came earlier whose bytes are DISTANCE edits away or fewer.
-Lines come in the order of document id, then line number. Lines below FUZZY_BYTES meet only equal ones; blank lines stay.
+A line goes if the same line came earlier in the corpus, or if a line came earlier that is only a few edits of bytes away: one edit
+for each BYTES_PER_EDIT bytes of the shorter line, DISTANCE at most. So a line of fewer bytes goes only if it is the same.
+Lines come in the order of document id, then line number. Blank lines stay.
 
-The edit join is over distinct lines. Each is cut into DISTANCE + 1 even segments: within the distance, one segment at least
-is left whole, and only a few places can hold it. So each line is indexed by its segments (with number and the line's length
+The edit join is over distinct lines. Each is cut into one more even segments than it may have edits: within the distance, one
+segment at least is left whole, and only a few places can hold it. So each line is indexed by its segments (with number and the line's length
 in the key), and probes, for each length up to its own, the substrings that a match could leave there (multi-match-aware
 selection). Pairs that share a key are compared by counts of a few bytes first, in the join itself, so it puts out few pairs
-where many lines share a segment. A banded bit-parallel edit distance (vertical deltas of the band in one word) decides.
+where many lines share a segment. Keys that more than HOT_LINES lines have are dealt: their lines are cut in chunks by a hash, and
+each pair of chunks is a key of its own, so no key's comparisons are one task's. A banded bit-parallel edit distance (vertical deltas of the band in one word) decides.
 
 Only keys, hashes and counts are shuffled for the join; texts are shuffled once, pre-aggregated, to find distinct lines.
 Decisions are joined back by a 128-bit hash of the line.
 
 Results: null texts have no lines and stay null. An empty text is one blank line. Rows with equal id and text are one
 document for what came earlier and are all treated alike; rows with equal ids and different texts are ordered by a hash of
-the text. Null ids come first. Other columns are kept as they are.
+the text. Null ids come first. Other columns are kept as they are, but for those with the name of a new one. Long lines are compared
+whole: the distance's cost is in proportion to their bytes.
 """
 
 from __future__ import annotations
@@ -24,10 +27,12 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import written
+from .common import HOT_KEYS, own_names, written
 
 DISTANCE = 2
-FUZZY_BYTES = 40
+BYTES_PER_EDIT = 20
+#: Lines of one key, beyond which they are compared in chunks of about so many, and keys of which that is told at most.
+HOT_LINES = 4096
 #: Ids of candidate lines that are sent to all executors; more of them are joined by a shuffle.
 SENT_IDS = 1_000_000
 #: Characters that are counted, modulo 16, for the comparison in the join.
@@ -132,22 +137,33 @@ def _key(i: int, indexed: Column, text: Column, start: Column, size: Column) ->
     return F.xxhash64(F.lit(i), indexed, F.substring(text, start + 1, size))
 
 
-def index_keys(text: Column, size: Column, distance: int = DISTANCE) -> Column:
-    parts = distance + 1
-    return F.array(*[_key(i, size, text, *_segment(size, i, parts)) for i in range(parts)])
+def _allows(size: Column, edits: int, distance: int, per_edit: int) -> Column:
+    """Whether a line of this size may have so many edits, and no more."""
+    least = size >= per_edit * edits
+    return least if edits == distance else least & (size < per_edit * (edits + 1))
 
 
-def probe_keys(text: Column, size: Column, distance: int = DISTANCE) -> Column:
-    """Keys of all substrings that can be segment i of a line of size - shorter bytes within distance."""
-    parts, keys = distance + 1, []
-    for shorter in range(distance + 1):
-        indexed = (size - shorter).cast("int")
-        for i in range(parts):
-            start, length = _segment(indexed, i, parts)
-            rest = distance - i
-            for shift in range(max(-i, shorter - rest), min(i, shorter + rest) + 1):
-                keys.append(_key(i, indexed, text, start + shift, length))
-    return F.array(*keys)
+def index_keys(text: Column, size: Column, distance: int = DISTANCE, per_edit: int = BYTES_PER_EDIT) -> Column:
+    keys = F.array().cast("array<bigint>")
+    for edits in range(1, distance + 1):
+        own = F.array(*[_key(i, size, text, *_segment(size, i, edits + 1)) for i in range(edits + 1)])
+        keys = F.when(_allows(size, edits, distance, per_edit), own).otherwise(keys)
+    return keys
+
+
+def probe_keys(text: Column, size: Column, distance: int = DISTANCE, per_edit: int = BYTES_PER_EDIT) -> Column:
+    """Keys of all substrings that can be a segment of a line that is shorter or as long and within distance."""
+    none, found = F.array().cast("array<bigint>"), []
+    for edits in range(1, distance + 1):
+        for shorter in range(edits + 1):
+            indexed, keys = (size - shorter).cast("int"), []
+            for i in range(edits + 1):
+                start, length = _segment(indexed, i, edits + 1)
+                rest = edits - i
+                for shift in range(max(-i, shorter - rest), min(i, shorter + rest) + 1):
+                    keys.append(_key(i, indexed, text, start + shift, length))
+            found.append(F.when(_allows(indexed, edits, distance, per_edit), F.array(*keys)).otherwise(none))
+    return F.concat(*found)
 
 
 def lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -175,14 +191,32 @@ def counted(distinct: DataFrame) -> DataFrame:
     return distinct.withColumn("counts", counts)
 
 
-def links(distinct: DataFrame, distance: int = DISTANCE, fuzzy_bytes: int = FUZZY_BYTES) -> DataFrame:
+def _dealt(index: DataFrame, probe: DataFrame) -> tuple[DataFrame, DataFrame, list[str]]:
+    """index and probe with what else than the key must be equal: for hot keys, a pair of chunks."""
+    counts = written(index.groupBy("key").count(), "line-keys")
+    total, most = counts.agg(F.coalesce(F.sum("count"), F.lit(0)), F.coalesce(F.max("count"), F.lit(0))).head()
+    border = max(HOT_LINES, total // HOT_KEYS)  # so that no more than HOT_KEYS are told
+    if most <= border:
+        return index, probe, []
+    hot = F.broadcast(counts.where(F.col("count") > border).select("key", F.ceil(F.col("count") / HOT_LINES).alias("chunks")))
+
+    def cut(rows: DataFrame, own: str, other: str) -> DataFrame:
+        chunks = F.coalesce("chunks", F.lit(1))
+        rows = rows.join(hot, "key", "left").withColumn(own, F.pmod(F.xxhash64("id", F.lit(3)), chunks))
+        return rows.withColumn(other, F.explode(F.sequence(F.lit(0).cast("bigint"), chunks - 1))).drop("chunks")
+
+    return cut(index, "i", "j"), cut(probe, "j", "i"), ["i", "j"]
+
+
+def links(distinct: DataFrame, distance: int = DISTANCE, per_edit: int = BYTES_PER_EDIT) -> DataFrame:
     """Pairs of different lines (of counted()) within distance: a and b, each a struct of text, n and first; each pair once."""
-    long = distinct.where(F.octet_length("text") >= fuzzy_bytes)
+    long = distinct.where(F.octet_length("text") >= per_edit)
     data = F.encode("text", "UTF-8")
     size = F.octet_length("text").cast("int")
     entry = long.select(F.xxhash64("text").alias("id"), "counts", size.alias("size"), data.alias("data"))
-    index = entry.select("id", "counts", F.explode(index_keys(F.col("data"), F.col("size"), distance)).alias("key")).alias("x")
-    probe = entry.select("id", "counts", F.explode(probe_keys(F.col("data"), F.col("size"), distance)).alias("key")).alias("y")
+    index = entry.select("id", F.explode(index_keys(F.col("data"), F.col("size"), distance, per_edit)).alias("key"), "counts")
+    probe = entry.select("id", F.explode(probe_keys(F.col("data"), F.col("size"), distance, per_edit)).alias("key"), "counts")
+    index, probe, also = _dealt(index, probe)
 
     def apart(i: int) -> Column:
         one = lambda t: F.shiftrightunsigned(F.col(f"{t}.counts"), 4 * i).bitwiseAND(F.lit(15))
@@ -190,7 +224,10 @@ def links(distinct: DataFrame, distance: int = DISTANCE, fuzzy_bytes: int = FUZZ
         return F.least(d, F.lit(16) - d)  # counts are known up to multiples of 16
 
     near = sum((apart(i) for i in range(1, len(COUNTED))), apart(0)) <= 2 * distance  # an edit changes two counts by one
-    met = index.join(probe, (F.col("x.key") == F.col("y.key")) & (F.col("x.id") != F.col("y.id")) & near)
+    same = (F.col("x.id") != F.col("y.id")) & near
+    for c in ["key", *also]:
+        same = same & (F.col(f"x.{c}") == F.col(f"y.{c}"))
+    met = index.alias("x").join(probe.alias("y"), same)
     pairs = written(met.select(F.least("x.id", "y.id").alias("i"), F.greatest("x.id", "y.id").alias("j")).distinct(), "line-candidates")
     ids = pairs.select(F.col("i").alias("id")).union(pairs.select(F.col("j").alias("id"))).distinct()
     if ids.count() <= SENT_IDS:
@@ -199,13 +236,16 @@ def links(distinct: DataFrame, distance: int = DISTANCE, fuzzy_bytes: int = FUZZ
     texts = written(texts.select("id", F.struct("text", "n", "first").alias("of")), "line-texts")
     both = pairs.join(texts.select(F.col("id").alias("i"), F.col("of").alias("a")), "i").join(texts.select(F.col("id").alias("j"), F.col("of").alias("b")), "j")
     longer = lambda t, u: F.when(F.octet_length("a.text") >= F.octet_length("b.text"), F.encode(t, "UTF-8")).otherwise(F.encode(u, "UTF-8"))
-    return both.where(within(longer("a.text", "b.text"), longer("b.text", "a.text"), distance)).select("a", "b")
+    shorter, close = F.least(F.octet_length("a.text"), F.octet_length("b.text")), F.lit(False)
+    for edits in range(1, distance + 1):
+        close = F.when(_allows(shorter, edits, distance, per_edit), within(longer("a.text", "b.text"), longer("b.text", "a.text"), edits)).otherwise(close)
+    return both.where(close).select("a", "b")
 
 
-def decisions(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", distance: int = DISTANCE, fuzzy_bytes: int = FUZZY_BYTES) -> DataFrame:
+def decisions(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", distance: int = DISTANCE, per_edit: int = BYTES_PER_EDIT) -> DataFrame:
     """Of each document with lines to drop: doc, hash, exact and near (sorted line numbers)."""
     distinct = written(counted(distinct_lines(docs, id_col, text_col)), "lines")
-    linked = written(links(distinct, distance, fuzzy_bytes), "line-links")
+    linked = written(links(distinct, distance, per_edit), "line-links")
     ends = linked.select(F.col("a").alias("own"), F.col("b.first").alias("other")).unionByName(linked.select(F.col("b").alias("own"), F.col("a.first").alias("other")))
     late = ends.where(F.col("other") < F.col("own.first")).select(F.col("own.text").alias("text"), F.col("own.first").alias("first")).distinct()
     again = distinct.where("n > 1").select("text", "first")
@@ -219,23 +259,24 @@ def decisions(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", d
     return found.groupBy("doc", "hash").agg(pick(False).alias("exact"), pick(True).alias("near"))
 
 
-def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", distance: int = DISTANCE, fuzzy_bytes: int = FUZZY_BYTES) -> DataFrame:
+def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", distance: int = DISTANCE, per_edit: int = BYTES_PER_EDIT) -> DataFrame:
     """docs with text_col less its dropped lines, and n_lines, n_exact, n_near (lines dropped) as longs."""
-    told = written(decisions(docs, id_col, text_col, distance, fuzzy_bytes), "dropped-lines")
-    told = told.select(F.col("doc").alias("__doc"), F.col("hash").alias("__hash"), F.col("exact").alias("__exact"), F.col("near").alias("__near"))
-    text = F.col(f"`{text_col}`")
-    joined = docs.join(told, F.col(f"`{id_col}`").eqNullSafe(F.col("__doc")) & (F.xxhash64(text) == F.col("__hash")), "left")
+    told = written(decisions(docs, id_col, text_col, distance, per_edit), "dropped-lines")
+    told = told.select("doc", F.col("hash").alias("of"), "exact", "near")
+    rows, names = own_names(docs)
+    text = F.col(names[text_col])
+    joined = rows.join(told, F.col(names[id_col]).eqNullSafe(F.col("doc")) & (F.xxhash64(text) == F.col("of")), "left")
     all_lines = F.split(text, "\n")
     # a line stays if it isn't in the set of dropped ones: equal pairs of number and line fall out in array_except
     numbered = F.transform(all_lines, lambda x, i: F.struct(i.alias("i"), x.alias("x")))
-    gone = F.transform(F.concat("__exact", "__near"), lambda i: F.struct(i.alias("i"), F.get(all_lines, i).alias("x")))
+    gone = F.transform(F.concat("exact", "near"), lambda i: F.struct(i.alias("i"), F.get(all_lines, i).alias("x")))
     left = F.array_join(F.transform(F.array_except(numbered, gone), lambda s: s.getField("x")), "\n")
-    kept = [c for c in docs.columns if c.lower() not in {"n_lines", "n_exact", "n_near"}]
-    new = F.when(F.col("__hash").isNull(), text).otherwise(left)
+    kept = {c: i for c, i in names.items() if c.lower() not in {"n_lines", "n_exact", "n_near"}}
+    new = F.when(F.col("of").isNull(), text).otherwise(left)
     size = lambda c: F.coalesce(F.size(c), F.lit(0)).cast("bigint")
     return joined.select(
-        *[new.alias(c) if c == text_col else F.col(f"`{c}`") for c in kept],
+        *[(new if c == text_col else F.col(i)).alias(c) for c, i in kept.items()],
         F.when(text.isNull(), F.lit(0)).otherwise(F.size(all_lines)).cast("bigint").alias("n_lines"),
-        F.when(F.col("__hash").isNull(), F.lit(0)).otherwise(size("__exact")).cast("bigint").alias("n_exact"),
-        F.when(F.col("__hash").isNull(), F.lit(0)).otherwise(size("__near")).cast("bigint").alias("n_near"),
+        F.when(F.col("of").isNull(), F.lit(0)).otherwise(size("exact")).cast("bigint").alias("n_exact"),
+        F.when(F.col("of").isNull(), F.lit(0)).otherwise(size("near")).cast("bigint").alias("n_near"),
     )

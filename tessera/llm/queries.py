@@ -87,8 +87,7 @@ def op7_language_model(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op8_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     from . import warc
 
-    folder = warc.write(table(spark, sf_dir, "pages"))
-    found = warc.read(spark, folder)
+    found = warc.read(spark, *warc.write(table(spark, sf_dir, "pages")))
     return found.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
@@ -119,7 +118,7 @@ u AS (
   FROM l WHERE trim(line, ' ') <> '' GROUP BY line
 ), late AS (
   SELECT DISTINCT y.line FROM u x JOIN u y ON x.first < y.first AND x.size BETWEEN y.size - 2 AND y.size + 2
-  WHERE x.size >= 40 AND y.size >= 40 AND levenshtein(x.line, y.line) <= 2
+  WHERE x.size >= 20 AND y.size >= 20 AND levenshtein(x.line, y.line) <= CASE WHEN least(x.size, y.size) >= 40 THEN 2 ELSE 1 END
 ), m AS (
   SELECT l.doc_id, l.i, l.line, late.line IS NOT NULL AS near,
     late.line IS NULL AND u.line IS NOT NULL AND struct_pack(a := l.doc_id, b := l.i) <> u.first AS exact

@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import append_columns, written
+from .common import append_columns, own_names, spread_join, written
 from .components import components
 
 RADIUS = 2
@@ -152,10 +152,10 @@ def links(prints: DataFrame, radius: int = RADIUS) -> DataFrame:
     pairs = [(i, j) for i in range(4) for j in range(i)]
     keys = F.array(*[F.lit(k << 32).bitwiseOR(F.shiftleft(part[i], 16)).bitwiseOR(part[j]) for k, (i, j) in enumerate(pairs)])
     dealt = prints.select("print", F.explode(keys).alias("key"))
-    sizes = dealt.groupBy("key").count().where("count > 1").withColumn("chunks", F.ceil(F.col("count") / CHUNK))
+    sizes = written(dealt.groupBy("key").count().where("count > 1").withColumn("chunks", F.ceil(F.col("count") / CHUNK)), "buckets")
     mine = F.pmod(F.xxhash64("print", F.lit(1)), F.col("chunks"))
     tasks = (
-        dealt.join(sizes, "key")
+        spread_join(dealt, sizes, "key", "count")
         .withColumn("mine", mine)
         .withColumn("other", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("chunks") - 1)))
         .select("key", F.least("mine", "other").alias("i"), F.greatest("mine", "other").alias("j"), "mine", "print")
@@ -199,9 +199,9 @@ def groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", radi
 # At a Jaccard similarity of 0.8, fingerprints differ in about ten bits, and no pieces of 64 bits stay equal. Documents are
 # then dealt by bands of minimum hashes of the same shingles; in a bucket the bit-sliced comparison at WIDE bits joins
 # candidates to clusters. It reads one bit of each of 64 further minimum hashes: unlike majorities, they depend on the set of
-# shingles only, and each differs with half of what two sets are apart, 0.1 at 0.8, whatever their size. In a cluster all texts are compared by the exact similarity of their sets of shingles: from each
-# text on, what is similar is joined and followed in turn, and only what isn't joined yet is compared, so a cluster of copies
-# takes one pass and each link that is given was checked.
+# shingles only, and each differs with half of what two sets are apart, 0.1 at 0.8, whatever their size. In a cluster all texts are compared
+# by the exact similarity of their sets of shingles: from each text on, what is similar is joined and followed in turn, and only
+# what isn't joined yet is compared, so a cluster of copies takes one pass and each link that is given was checked.
 
 SIMILARITY = 0.8
 NEAR_SHINGLE = 5
@@ -461,12 +461,12 @@ def _links(docs: DataFrame, clusters: DataFrame, similarity: float, shingle: int
     sets = append_columns(members, ["__text"], run, "node bigint, n bigint, shingles binary").select("node", "n", "shingles")
     sets = written(sets.join(clusters.select("node", F.col("component").alias("cluster")), "node").dropDuplicates(["node"]), "shingles")
     parts = F.greatest(F.ceil(F.count("*") / CLUSTER), F.ceil(F.sum("n") / CLUSTER_SHINGLES))
-    sizes = sets.groupBy("cluster").agg(F.count("*").alias("texts"), parts.alias("chunks")).where("texts > 1").drop("texts")
+    sizes = written(sets.groupBy("cluster").agg(F.count("*").alias("texts"), parts.alias("chunks")).where("texts > 1"), "cluster-sizes")
     last = F.col("chunks") - 1
     # a pair of chunks is compared within the chunks too, so a chunk has a task of its own only where there is no other
     others = F.when(last == 0, F.array(F.lit(0).cast("bigint"))).otherwise(F.filter(F.sequence(F.lit(0).cast("bigint"), last), lambda k: k != F.col("mine")))
     tasks = (
-        sets.join(sizes, "cluster")
+        spread_join(sets, sizes, "cluster", "texts", 2 * CLUSTER)
         .withColumn("mine", F.pmod(F.xxhash64("node", F.lit(2)), F.col("chunks")))
         .withColumn("other", F.explode(others))
         .select("cluster", F.least("mine", "other").alias("i"), F.greatest("mine", "other").alias("j"), "node", "shingles")
@@ -482,9 +482,9 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     least = written(marked.groupBy("node").agg(F.min("doc_id").alias("least")), "nodes")
     one = marked.groupBy("node").agg(F.first("print").alias("print"), F.first("bands").alias("bands"))
     dealt = one.select("node", "print", F.explode("bands").alias("key"))
-    sizes = dealt.groupBy("key").count().where("count > 1").withColumn("chunks", F.ceil(F.col("count") / CHUNK))
+    sizes = written(dealt.groupBy("key").count().where("count > 1").withColumn("chunks", F.ceil(F.col("count") / CHUNK)), "buckets")
     tasks = (
-        dealt.join(sizes, "key")
+        spread_join(dealt, sizes, "key", "count")
         .withColumn("mine", F.pmod(F.xxhash64("node", F.lit(1)), F.col("chunks")))
         .withColumn("other", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("chunks") - 1)))
         .select("key", F.least("mine", "other").alias("i"), F.greatest("mine", "other").alias("j"), "mine", "node", "print")
@@ -502,6 +502,8 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", similarity: float = SIMILARITY, shingle: int = NEAR_SHINGLE) -> DataFrame:
     """docs with one document of each group of near-duplicates: the one with the smallest id. Rows that repeat an id are one
     document. Rows with a null id stay only if no document of their group has an id."""
-    found = near_groups(docs, id_col, text_col, similarity, shingle)
-    kept = found.where("doc_id <=> component_id").select(F.col("doc_id").alias("__kept")).distinct()
-    return docs.join(kept, F.col(f"`{id_col}`").eqNullSafe(F.col("__kept")), "left_semi")
+    rows, names = own_names(docs)
+    found = near_groups(rows, names[id_col], names[text_col], similarity, shingle)
+    kept = found.where("doc_id <=> component_id").select("doc_id").distinct()
+    left = rows.join(kept, F.col(names[id_col]).eqNullSafe(F.col("doc_id")), "left_semi")
+    return left.select(*[F.col(i).alias(c) for c, i in names.items()])

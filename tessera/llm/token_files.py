@@ -10,7 +10,8 @@ bytes (u64) and first exception (u64, one more than blocks); exceptions' places
 blocks of one width lie together in their order, so that they are packed and read at once.
 
 Results: null and empty texts have only the end id; null document ids come first; rows with equal document ids all keep
-their own entry, side by side, ordered by a hash of the text; an empty table makes no file.
+their own entry, side by side, ordered by a hash of the text; an empty table makes no file. A document of more than FILE_IDS ids is a
+file of its own. A task that is repeated writes the same files; what else is in a folder isn't read.
 """
 
 from __future__ import annotations
@@ -26,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .bpe import KEPT_WORDS, PLAIN, PLAIN_TOKENS, Kept, words
+from .bpe import KEPT_WORDS, PLAIN, PLAIN_TOKENS, Kept, by_words, words
 from .common import scratch, upload
 
 MAGIC = b"TSPFOR1\0"
@@ -35,8 +36,8 @@ PERCENTILE = 90
 #: Ids in a file, beyond which the next document starts another one.
 FILE_IDS = 4_000_000
 TEXTS_AT_ONCE = 64
-#: Rows for each file's task.
-TASK_ROWS = 20_000
+#: Bytes of text for a task.
+TASK_BYTES = 32 << 20
 
 
 def _packed(values: np.ndarray, width: int) -> np.ndarray:
@@ -138,7 +139,7 @@ class TokenFile:
 
 
 class Library:
-    """A tokenizer of the tokenizers library that is asked for each word or piece once, where white space parts what it encodes."""
+    """A tokenizer of the tokenizers library. Of vocabularies that part texts by words it is asked for each word or piece once; others encode whole texts."""
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
@@ -147,8 +148,8 @@ class Library:
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
         with open(path, encoding="utf-8") as f:
-            suffix = json.load(f)["model"].get("end_of_word_suffix")
-        self.parted = bool(suffix) and self._encode("ab cd  ef") == self._encode("ab") + self._encode("cd") + self._encode("ef")
+            config = json.load(f)
+        suffix, self.parted = config["model"].get("end_of_word_suffix"), by_words(config)
         size = self.tokenizer.get_vocab_size()
         self.last = np.array([bool(suffix) and (self.tokenizer.id_to_token(i) or "").endswith(suffix) for i in range(size)])
         self.words, self.pieces = Kept(KEPT_WORDS), Kept(KEPT_WORDS)
@@ -197,7 +198,8 @@ def write(docs: DataFrame, path: str, end_id: int, id_col: str = "doc_id", text_
     spark = docs.sparkSession
     to = scratch(spark, "token-files")
     rows = docs.select(F.col(id_col).cast("bigint").alias("key"), F.col(text_col).alias("text"))
-    n = max(spark.sparkContext.defaultParallelism, -(-rows.select("key").count() // TASK_ROWS))
+    size = rows.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0)) + 16 * F.count("*")).head()[0]
+    n = max(spark.sparkContext.defaultParallelism, -(-size // TASK_BYTES))
     placed = rows.repartitionByRange(n, F.col("key").asc_nulls_first()).sortWithinPartitions(F.col("key").asc_nulls_first(), F.xxhash64("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -253,6 +255,8 @@ def _read(spark, folder: str, files: list[tuple[str, int]], field: str, column)
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for name, data in zip(b.column(0).to_pylist(), b.column(1)):
+                if name not in before:
+                    continue
                 f, base = TokenFile(data.as_py()), before[name]
                 ends = f.ends
                 for lo in range(0, len(ends), 4096):

@@ -9,7 +9,8 @@ input's partitions.
    candidates are collected, and no others can matter.
 3. Their scores are resolved exactly; those that reach the cutoff, k a shard at most, are merged.
 
-Queries are sent in waves of at most WAVE, each one pass of both scans, whatever their number.
+Queries are sent in waves of about WAVE, each one pass of both scans. Waves follow each other: of each, the results are written to
+the shared folder and what was sent is dropped before the next one, so neither the driver nor the plan grows with the queries.
 
 Results: integer components floor(scale * x), x as double. Vectors that are null or hold null or non-finite components, and
 rows with a null id, take no part. Only vectors of the query's length are candidates, and none with its id. Rows that repeat
@@ -26,6 +27,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .common import scratch
+
 SLICES = 4
 #: Queries in one broadcast.
 WAVE = 16_384
@@ -165,9 +168,9 @@ def search(vectors: DataFrame, queries: Column, k: int = 5, scale: float = 256,
     asked = vectors.where(queries).select(F.col(id_col).cast("bigint").alias("id"), F.col(vector_col).cast("array<double>").alias("v"))
     asked = asked.where("id is not null and v is not null").distinct()
     waves = -(-asked.count() // WAVE)
-    out = None
+    schema, to = "query_id bigint, rank int, vec_id bigint, score bigint", scratch(spark, "top-k")
     for w in range(waves):
-        part = asked if waves == 1 else asked.where(F.pmod(F.xxhash64("id"), F.lit(waves)) == w)
+        part = asked if waves == 1 else asked.where(F.pmod(F.xxhash64("id", "v"), F.lit(waves)) == w)
         wave = []
         for r in sorted(part.collect(), key=lambda r: (r.id, len(r.v), str(r.v))):
             if all(x is not None and np.isfinite(x) for x in r.v):
@@ -180,5 +183,9 @@ def search(vectors: DataFrame, queries: Column, k: int = 5, scale: float = 256,
         rest = rows.mapInArrow(lambda b, sent=sent, cut=cut: _rest(b, sent.value, cut.value, k, scale), "number bigint, query_id bigint, vec_id bigint, score bigint")
         best = Window.partitionBy("number").orderBy(F.desc("score"), "vec_id")
         ranked = rest.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
-        out = ranked if out is None else out.unionByName(ranked)
-    return spark.createDataFrame([], "query_id bigint, rank int, vec_id bigint, score bigint") if out is None else out
+        if waves == 1:
+            return ranked
+        ranked.write.parquet(f"{to}/wave={w}")
+        sent.destroy()
+        cut.destroy()
+    return spark.read.schema(schema).parquet(to).select("query_id", "rank", "vec_id", "score") if waves else spark.createDataFrame([], schema)

@@ -5,30 +5,39 @@ seekable format: a skippable frame with each frame's compressed and decompressed
 to its frame, its place in the decompressed frame and its length, so one record costs one frame.
 
 Payloads of REVISIT_BYTES and more that are equal are stored once: the record with the largest page id is the response, the
-others are revisit records without a payload, which name it. Rows are dealt by nothing: each task bundles the pages it
-reads. Only digests meet in a shuffle, aggregated before it; a payload that a third of all pages have is one row there.
+others are revisit records without a payload, which name it. Only digests meet in a shuffle, aggregated before it; a payload that a
+third of all pages have is one row there. Digests that repeat are told to all tasks and each task bundles the pages it reads, so no
+payload is shuffled. Where more than TOLD digests repeat, those of the most pages are told, and pages of the others meet theirs in a
+join; pages that have what they need are dealt at random there.
 
-Results: a null html is an empty payload. Rows of the largest id are responses all, if the id repeats. A null page id is
-smaller than any other and is kept; a null url has no target header. An empty table makes no bundle.
+A task writes bundles under names of its own attempt and tells which it wrote; these make the manifest, and only what it names is
+read, by the records' index. So a task that is repeated, in whatever order it reads its rows, leaves nothing that counts twice.
+
+Results: a null html is an empty payload. Rows of the largest id are responses all, if the id repeats; their records have one id, and
+lookup() finds the first. A null page id is smaller than any other and is kept; a null url has no target header. An empty table makes
+no bundle. A record of more than BUNDLE_BYTES is a bundle of its own or ends one.
 """
 
 from __future__ import annotations
 
 import hashlib
 import struct
+import uuid
 from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import scratch, upload
+from .common import fetch, scratch, upload, written
 
 REVISIT_BYTES = 1000
 FRAME_BYTES = 256 << 10
 #: Bytes of records in a bundle, which ends with the record that passes it.
 BUNDLE_BYTES = 32 << 20
 LEVEL = 3
+#: Repeated digests that are told to all tasks.
+TOLD = 500_000
 #: Fixed values of the seekable format: magic numbers of skippable frames and of the seek table's footer.
 SKIPPABLE, SEEKABLE = 0x184D2A5E, 0x8F92EAB1
 #: WARC dates must not depend on the clock.
@@ -124,41 +133,64 @@ class Archive:
     def frame(self, k: int) -> bytes:
         return self.decompressor.decompress(self.data[self.starts[k] : self.starts[k + 1]], max_output_size=self.sizes[k][1])
 
-    def records(self) -> Iterator[tuple[dict[str, str], bytes]]:
-        for k in range(len(self.sizes)):
-            data, at = self.frame(k), 0
-            while at < len(data):
-                fields, block, at = parse(data, at)
-                yield fields, block
+    def records(self, index: bytes) -> Iterator[tuple[dict[str, str], bytes]]:
+        """All records, by their index; each frame is decompressed once."""
+        now, data = -1, b""
+        for _, frame, at, size in entries(index):
+            if frame != now:
+                now, data = frame, self.frame(frame)
+            fields, block, end = parse(data, at)
+            if end - at != size:
+                raise ValueError(f"no record of {size} bytes at {at} of frame {frame}")
+            yield fields, block
 
     def lookup(self, index: bytes, name: str) -> tuple[dict[str, str], bytes]:
-        """The record with an id: one frame is decompressed."""
-        for line in index.decode().splitlines():
-            found, frame, at, _ = line.rsplit("\t", 3)
+        """The (first) record with an id: one frame is decompressed."""
+        for found, frame, at, _ in entries(index):
             if found == name:
-                fields, block, _ = parse(self.frame(int(frame)), int(at))
+                fields, block, _ = parse(self.frame(frame), at)
                 return fields, block
         raise KeyError(name)
 
 
-def write(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> str:
-    """Writes bundles and their indexes to a new shared folder, and gives its path."""
+def entries(index: bytes) -> Iterator[tuple[str, int, int, int]]:
+    """Of each record its id, frame, place in the decompressed frame and size."""
+    for line in index.decode().splitlines():
+        name, frame, at, size = line.rsplit("\t", 3)
+        yield name, int(frame), int(at), int(size)
+
+
+def _linked(rows: DataFrame) -> DataFrame:
+    """rows with refers_to, the largest page of those with the same payload where it is another one."""
+    many = rows.where(F.col("size") >= REVISIT_BYTES).groupBy("digest", "size").agg(F.count("*").alias("n"), F.max("page").alias("largest")).where("n > 1")
+    many = written(many, "repeated-payloads")
+    digests, pages = many.agg(F.count("*"), F.coalesce(F.sum("n"), F.lit(0))).head()
+    border = 0 if digests <= TOLD else pages // TOLD
+    told = many.where(F.col("n") > border).drop("n")
+    out = rows.join(F.broadcast(told), ["digest", "size"], "left")
+    if border:
+        rest = many.where(F.col("n") <= border).select(F.col("digest").alias("of"), F.col("size").alias("of_size"), F.col("largest").alias("other"))
+        done = F.col("largest").isNotNull() | (F.col("size") < REVISIT_BYTES)
+        of = F.when(done, F.concat(F.lit("-"), F.coalesce(F.col("page").cast("string"), F.lit("")))).otherwise(F.col("digest"))
+        out = out.withColumn("of", of).withColumn("of_size", F.col("size")).join(rest, ["of", "of_size"], "left").withColumn("largest", F.coalesce("largest", "other"))
+    return out.select("page", "url", "html", "digest", F.when(~F.col("page").eqNullSafe(F.col("largest")), F.col("largest")).alias("refers_to"))
+
+
+def write(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> tuple[str, DataFrame]:
+    """Writes bundles and their indexes to a new shared folder. Gives its path and the manifest: bundle and records."""
     spark = pages.sparkSession
     to = scratch(spark, "warc")
     html = F.coalesce(F.col(html_col), F.lit(""))
     digest = F.sha1(F.encode(html, "UTF-8"))
     rows = pages.select(F.col(id_col).cast("bigint").alias("page"), F.col(url_col).alias("url"), html.alias("html"), digest.alias("digest"), F.octet_length(html).cast("bigint").alias("size"))
-    many = rows.where(F.col("size") >= REVISIT_BYTES).groupBy("digest", "size").agg(F.count("*").alias("n"), F.max("page").alias("first")).where("n > 1").drop("n")
-    linked = rows.join(many, ["digest", "size"], "left").select("page", "url", "html", "digest", F.when(~F.col("page").eqNullSafe(F.col("first")), F.col("first")).alias("refers_to"))
-
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        task, count, bundle = TaskContext.get().partitionId(), 0, Bundle()
+        task, count, bundle, own = TaskContext.get().partitionId(), 0, Bundle(), uuid.uuid4().hex
 
         def flush() -> pa.RecordBatch:
             nonlocal bundle, count
-            name = f"{task:08d}-{count:06d}"
+            name = f"{task:08d}-{count:06d}-{own}"
             data, index = bundle.finish()
             upload(f"{to}/index/{name}.tsv", index)
             upload(f"{to}/{name}.warc.zst", data)
@@ -174,37 +206,38 @@ def write(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_
         if bundle.index:
             yield flush()
 
-    linked.mapInArrow(run, "bundle string, records bigint").agg(F.sum("records")).collect()
-    return to
+    return to, written(_linked(rows).mapInArrow(run, "bundle string, records bigint"), "manifest")
 
 
-def read(spark: SparkSession, folder: str) -> DataFrame:
-    """The records of all bundles of a folder: page_id, url, html (null in revisits), payload_bytes, payload_digest, record_type,
-    refers_to. Digests of payloads that are there are computed anew and must agree."""
+def read(spark: SparkSession, folder: str, manifest: DataFrame) -> DataFrame:
+    """The records of the bundles that the manifest names: page_id, url, html (null in revisits), payload_bytes, payload_digest,
+    record_type, refers_to. Digests of payloads that are there are computed anew and must agree."""
     schema = "page_id bigint, url string, html string, payload_bytes bigint, payload_digest string, record_type string, refers_to bigint"
     kinds = pa.schema([("page_id", pa.int64()), ("url", pa.string()), ("html", pa.string()), ("payload_bytes", pa.int64()), ("payload_digest", pa.string()), ("record_type", pa.string()), ("refers_to", pa.int64())])
-    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
-    if not path.getFileSystem(spark._jsc.hadoopConfiguration()).exists(path):
-        return spark.createDataFrame([], schema)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for data in b.column(0):
-                rows = []
-                for fields, block in Archive(data.as_py()).records():
+            for bundle, records in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+                index, rows = fetch(f"{folder}/index/{bundle}.tsv"), []
+                for fields, block in Archive(fetch(f"{folder}/{bundle}.warc.zst")).records(index):
                     revisit = fields["WARC-Type"] == "revisit"
                     digest = fields["WARC-Payload-Digest"].removeprefix("sha1:")
                     if not revisit and hashlib.sha1(block).hexdigest() != digest:
                         raise ValueError(f"payload of {fields['WARC-Record-ID']} doesn't have its digest")
                     refers_to = _id(fields["WARC-Refers-To"]) if revisit else None
                     rows.append((_id(fields["WARC-Record-ID"]), fields.get("WARC-Target-URI"), None if revisit else block.decode(), int(fields["WARC-Payload-Length"]) if revisit else len(block), digest, fields["WARC-Type"], refers_to))
+                    records -= 1
                     if len(rows) >= 2000:
                         yield _batch(rows, kinds)
                         rows = []
+                if records:
+                    raise ValueError(f"{bundle} has {records} records fewer than were written")
                 if rows:
                     yield _batch(rows, kinds)
 
-    return spark.read.format("binaryFile").option("pathGlobFilter", "*.warc.zst").load(folder).select("content").mapInArrow(run, schema)
+    # a bundle is much work for a short row: each core gets some
+    n = max(1, min(manifest.count(), 4 * spark.sparkContext.defaultParallelism))
+    return manifest.select("bundle", "records").repartition(n).mapInArrow(run, schema)
 
 
 def _batch(rows: list[tuple], kinds: pa.Schema) -> pa.RecordBatch:

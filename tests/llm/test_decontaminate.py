@@ -91,3 +91,38 @@ def test_empty_tables(spark):
     assert D.overlaps(docs, none).head().n_hit == 0
     assert D.decontaminate(docs, none).count() == 1
     assert D.overlaps(docs.limit(0), docs.select(F.col("doc_id").alias("item_id"), "text")).count() == 0
+
+
+def test_longest_matches_of_a_table(spark, monkeypatch):
+    docs, items = case(3)
+    items = [(i, t) for i, t in items if i is not None and t][:6]
+    df = spark.createDataFrame(list(enumerate(docs)), "doc_id bigint, text string").repartition(3)
+    bench = spark.createDataFrame(items, "item_id bigint, text string")
+    shortest = min(min(10, len(words(t))) for _, t in items)
+    for size in (D.BLOCK_BYTES, 200):
+        monkeypatch.setattr(D, "BLOCK_BYTES", size)
+        found = {(r.item, r.first): r for r in D.longest_matches(df, bench).collect()}
+        texts = [words(t) for t in docs]
+        if size > 200:  # the shortest window is a block's own
+            for name, t in items:
+                w = words(t)
+                for a in range(len(w)):
+                    best = 0
+                    for d in texts:
+                        for p in range(len(d)):
+                            n = 0
+                            while a + n < len(w) and p + n < len(d) and d[p + n] == w[a + n]:
+                                n += 1
+                            best = max(best, n)
+                    assert (found[str(name), a].size if (str(name), a) in found else 0) == (best if best >= shortest else 0)
+        for (name, a), r in found.items():
+            w = words(dict((str(i), t) for i, t in items)[name])
+            assert texts[int(r.doc)][r.word : r.word + r.size] == w[a : a + r.size]
+
+
+def test_long_texts_and_repeated_rows(spark, monkeypatch):
+    monkeypatch.setattr(D, "SHARD_WORDS", 50)
+    docs, items = case(5)
+    docs = [" ".join(t or "" for t in docs) * 20, *docs, docs[3], docs[3]]
+    b = D.Benchmark(items)
+    assert [(n, sum(z - a for a, z in s), sorted(b.names[o] for o in own)) for n, s, own in D.scan(docs, b)] == brute(docs, items)

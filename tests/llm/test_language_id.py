@@ -1,7 +1,10 @@
 """Language ID: held-out accuracy, undetermined texts, small training sets."""
 
+import math
 import random
+from collections import Counter
 
+import numpy as np
 from pyspark.sql import functions as F
 
 from tessera.llm import language_id as L
@@ -53,3 +56,54 @@ def test_every_label_is_learned(spark):
     rows = [(20 * k + j, " ".join(f"{chr(97 + k)}{chr(97 + (k * 7 + i) % 26)}{chr(97 + k)}" for i in range(30)), f"l{k:02}") for k in range(20) for j in range(3)]
     found = L.identify(spark.createDataFrame(rows, "doc_id bigint, text string, lang string"))
     assert found.where("lang <> lang_pred").count() == 0
+
+
+def test_whole_texts_of_a_sample_are_learned():
+    """What is in one place of a long text only is in one of its vectors."""
+    text = "plain words " * 2000 + "qqq" * 40 + " plain words" * 2000
+    found = L.vectors(text)
+    whole, size = L.trigrams(["qqq"])
+    assert len(found) == L.PIECES and sum(n[whole[1]] for _, n in found) >= 38
+    assert abs(sum(size for size, _ in found) - len(text)) < 10 + 4 * len(text) / L.PIECE
+    assert L.vectors(None) == L.vectors("") == L.vectors("12 34") == []
+
+
+def test_the_sample_is_bounded_also_where_one_id_repeats(spark, monkeypatch):
+    monkeypatch.setattr(L, "PER_LANGUAGE", 30)
+    rows = [(7, f"the text of number {k}", "en") for k in range(2000)] + [(k, f"der Text hat die Nummer {k}", "de") for k in range(500)]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string, lang string")
+    langs, size, x = L.sample(df, F.lit(True))
+    assert Counter(langs) == {"en": 30, "de": 30} and len(size) == len(x) == 60
+    assert np.allclose(x.sum(1), 1, atol=1e-5)
+
+
+def test_predictions_against_a_direct_reading_of_the_model():
+    rng = random.Random(5)
+    sounds = {"en": ["the", "and", "ing"], "de": ["der", "und", "ung"], "nl": ["het", "een", "ijk"], "fr": ["les", "eau", "ant"], "es": ["los", "que", "ado"]}
+    text = lambda lang, n: " ".join(rng.choice(sounds[lang]) + rng.choice("aeiou") for _ in range(n))
+    model = L.fit([(lang, text(lang, 60)) for lang in sounds for _ in range(30)])
+    some = [text(lang, n) for lang in sounds for n in (1, 5, 300)] + ["", None, "12 -", "zzz", "the der los " * 3000]
+    langs, scores = model.predict(some)
+    sig = lambda v: 1 / (1 + math.exp(-max(-40, min(40, 2 * v))))
+    for t, lang, score in zip(some, langs, scores):
+        if not t or not L.LETTER.search(t):
+            assert (lang, score) == ("und", 0.0)
+            continue
+        h, _ = L.trigrams([t])
+        h = h[: L.trigrams([t])[1][0]]
+        value = lambda m: float(np.mean(m[0][h].astype(np.float64))) + m[1]
+        margins = [value(m) for m in model.family_models]
+        best = int(np.argmax(margins))
+        own, pair = model.families[best], {p: value(m) for p, m in model.pair_models.items()}
+        of = lambda a, b: pair[a, b] if (a, b) in pair else -pair[b, a]
+        won = {a: (sum(of(a, b) > 0 for b in own if b != a), sum(of(a, b) for b in own if b != a)) for a in own}
+        assert won[lang][0] == max(w for w, _ in won.values())
+        sure = sig(sorted(margins)[-1] - sorted(margins)[-2])
+        assert abs(score - sure * min((sig(of(lang, b)) for b in own if b != lang), default=1.0)) < 1e-4
+    assert sum(a == b for a, b in zip(langs, [lang for lang in sounds for _ in range(3)])) >= 13
+
+
+def test_ties_of_won_pairs_go_to_the_first_name():
+    none = (np.zeros(1 << L.BITS, np.float32), 0.0)
+    model = L.Model([["c", "a", "b"]], [], {("c", "a"): none, ("c", "b"): none, ("a", "b"): none})
+    assert model.predict(["some text"])[0] == ["a"]

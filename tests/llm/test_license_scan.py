@@ -1,5 +1,6 @@
 """License scans against known places and a brute-force window search."""
 
+import random
 from difflib import SequenceMatcher
 
 from tessera.llm import license_scan as L
@@ -68,3 +69,59 @@ def test_a_page_of_many_notices():
     short = [(n, w) for n, w in L.TEMPLATES if len(L.WORD.findall(w)) <= L.NOTICE_WORDS]
     found = L.Scanner().scan(" ".join(w for _, w in short))
     assert sorted(f[0] for f in found) == sorted(n for n, _ in short)
+
+
+def test_an_occurrence_needs_no_certain_word():
+    """Also where a word that all licenses have is the one that differs."""
+    finds = L.Scanner().scan("This is free and unencumbered software released into the common domain.")
+    assert [(f[0], f[3]) for f in finds] == [("Unlicense", 1)]
+
+
+def test_changed_notices_against_brute_force():
+    rng = random.Random(4)
+    s = L.Scanner()
+    short = [w for _, w in L.TEMPLATES if len(L.WORD.findall(w)) <= L.NOTICE_WORDS]
+    for _ in range(60):
+        words = []
+        for w in rng.sample(short, 2):
+            words += rng.choices(["lorem", "the", "license", "is"], k=rng.randint(0, 3))
+            own = w.split()
+            for _ in range(rng.randint(0, 3)):
+                at = rng.randrange(len(own))
+                own[at : at + rng.randint(0, 1)] = [rng.choice(["the", "of", "other"])] * rng.randint(0, 1)
+            words += own
+        text = " ".join(words)
+        wanted, found = brute(text), {f[0] for f in s.scan(text)}
+        assert found <= wanted and (found or not wanted), text
+        # what isn't given overlaps a find that differs less
+        for name in wanted - found:
+            assert any(f[0] != name for f in s.scan(text)), text
+
+
+def test_long_texts_and_places():
+    s = L.Scanner()
+    apache = next(w for n, w in L.TEMPLATES if n == "Apache-2.0" and len(w) > 100)
+    parts = ["İstanbul " + FILLER * 5000, apache, " " + FILLER * 3000, "Released under the MIT License.", " " + "license " * 20_000, apache]
+    text = "".join(parts)
+    finds = s.scan(text)
+    assert [f[0] for f in finds] == ["Apache-2.0", "MIT", "Apache-2.0"]
+    assert [text[f[1] : f[1] + 8] for f in finds] == ["Licensed", "Released", "Licensed"]
+    many = s.scan("Released under the MIT License. " * 3000)
+    assert len(many) == 3000 and {f[0] for f in many} == {"MIT"}
+
+
+def test_overlapping_finds_keep_the_one_that_differs_less():
+    assert [(f[0], f[3]) for f in L.Scanner().scan("Licensed under the BSD 2-Clause License.")] == [("BSD-2-Clause", 0)]
+
+
+def test_query(spark, sf):
+    from tessera.llm.queries import op6_license_scan, table
+
+    s, rows = L.Scanner(), {r.doc_id: r for r in op6_license_scan(spark, sf).collect()}
+    docs = table(spark, sf, "documents").select("doc_id", "text").collect()
+    assert len(rows) == len(docs)
+    for d in docs:
+        finds = s.scan(d.text)
+        assert rows[d.doc_id].n_finds == len(finds) and rows[d.doc_id].names == ",".join(sorted({f[0] for f in finds}))
+        if len(d.text or "") < 1500:
+            assert bool(finds) == bool(brute(d.text))

@@ -25,25 +25,29 @@ def changed(rng, text, n):
     return "".join(out)
 
 
-def brute(docs, most=2, least=40):
-    seen, first, out = [], {}, {}
+def brute(docs, most=2, each=20):
+    first, out = {}, {}
     for key, text in docs:
         for i, line in enumerate(text.split("\n") if text is not None else []):
             if line.strip(" "):
                 first.setdefault(line, (key, i))
-    long = [x for x in first if len(x.encode()) >= least]
-    late = {y for y in long for x in long if first[x] < first[y] and abs(len(x.encode()) - len(y.encode())) <= most and distance(x.encode(), y.encode()) <= most}
+
+    def near(x, y):
+        x, y = x.encode(), y.encode()
+        edits = min(most, min(len(x), len(y)) // each)
+        return edits and abs(len(x) - len(y)) <= edits and distance(x, y) <= edits
+
+    late = {y for y in first for x in first if first[x] < first[y] and near(x, y)}
     for key, text in docs:
         kept = [x for i, x in enumerate(text.split("\n")) if not x.strip(" ") or (x not in late and first[x] == (key, i))] if text is not None else None
         out[key] = kept if kept is None else "\n".join(kept)
-    del seen
     return out
 
 
 def case(seed):
     rng = random.Random(seed)
-    base = ["".join(rng.choice("abcd é") for _ in range(rng.randint(38, 60))) for _ in range(6)]
-    line = lambda: rng.choice(["", " ", "x", "short line"]) if rng.random() < 0.2 else changed(rng, rng.choice(base), rng.randint(0, 3))
+    base = ["".join(rng.choice("abcd é") for _ in range(size)) for size in (17, 20, 21, 30, 40, 40, 41, 60)]
+    line = lambda: rng.choice(["", " ", "x", "short line", "short lime"]) if rng.random() < 0.2 else changed(rng, rng.choice(base), rng.randint(0, 3))
     return [(i, "\n".join(line() for _ in range(10))) for i in range(20)] + [(77, None), (78, "")]
 
 
@@ -80,7 +84,7 @@ def test_probes_find_every_pair(spark):
         pairs.append((a, b) if len(a.encode()) <= len(b.encode()) else (b, a))
     df = spark.createDataFrame([p for p in pairs if len(p[0]) >= 9], "a string, b string")
     size = lambda c: F.octet_length(c).cast("int")
-    met = F.size(F.array_intersect(L.index_keys(F.encode("a", "UTF-8"), size("a")), L.probe_keys(F.encode("b", "UTF-8"), size("b")))) > 0
+    met = F.size(F.array_intersect(L.index_keys(F.encode("a", "UTF-8"), size("a"), 2, 4), L.probe_keys(F.encode("b", "UTF-8"), size("b"), 2, 4))) > 0
     assert all(r.met for r in df.select("a", "b", met.alias("met")).collect() if distance(r.a.encode(), r.b.encode()) <= 2)
 
 
@@ -89,3 +93,35 @@ def test_nulls_repeated_rows_and_no_rows(spark):
     rows = sorted(((r.doc_id, r.text) for r in L.deduplicate(df).collect()), key=str)
     assert rows == sorted([(None, "one\ntwo"), (1, "three"), (1, "three"), (1, "other"), (2, None)], key=str)
     assert L.deduplicate(df.limit(0)).count() == 0
+
+
+def test_hot_keys_are_dealt_without_loss(spark, monkeypatch):
+    docs = case(3)
+    df = spark.createDataFrame(docs, "doc_id bigint, text string")
+    for rows in (1, 3):
+        monkeypatch.setattr(L, "HOT_LINES", rows)
+        assert {r.doc_id: r.text for r in L.deduplicate(df).collect()} == brute(docs)
+
+
+def test_a_segment_that_half_of_all_lines_share(spark, monkeypatch):
+    monkeypatch.setattr(L, "HOT_LINES", 16)
+    rng = random.Random(8)
+    lines = ["the same first words of each line " + "".join(rng.choice("abcdefgh") for _ in range(30)) for _ in range(300)]
+    lines += [changed(rng, x, 1) for x in lines[:20]] + ["".join(rng.choice("klmnopqr") for _ in range(60)) for _ in range(300)]
+    docs = [(i, x) for i, x in enumerate(lines)]
+    assert {r.doc_id: r.text for r in L.deduplicate(spark.createDataFrame(docs, "doc_id bigint, text string")).collect()} == brute(docs)
+
+
+def test_columns_keep_their_values(spark):
+    names = ["n_lines", "hash", "doc", "of", "exact", "near", "__hash", "c0", "key", "first"]
+    df = spark.createDataFrame([(1, "a line\na line", *(f"mine {n}" for n in names))], "doc_id bigint, text string, " + ", ".join(f"`{n}` string" for n in names))
+    r = L.deduplicate(df).head()
+    assert r.text == "a line" and (r.n_lines, r.n_exact, r.n_near) == (2, 1, 0)
+    assert all(r[n] == f"mine {n}" for n in names if n != "n_lines")
+
+
+def test_long_lines(spark):
+    long = "word " * 20_000
+    docs = [(1, long), (2, long + "x"), (3, long.replace("word ", "ward ", 1)), (4, "y" + long[: len(long) // 2])]
+    found = {r.doc_id: r.text for r in L.deduplicate(spark.createDataFrame(docs, "doc_id bigint, text string")).collect()}
+    assert found == {1: long, 2: "", 3: "", 4: docs[3][1]}

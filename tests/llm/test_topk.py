@@ -37,3 +37,18 @@ def test_floats_and_few_candidates(spark):
     few = df.where("vec_id < 3")
     assert sorted(map(tuple, K.search(few, F.col("vec_id") % 50 == 0).collect())) == brute(rows[:3])
     assert K.search(df.limit(0), F.col("vec_id") % 50 == 0).count() == 0
+
+
+def test_query(spark, sf):
+    from tessera.llm.queries import op10_topk, table
+
+    rows = [(r.vec_id, r.embedding) for r in table(spark, sf, "embeddings").collect()]
+    assert sorted((r.query_id, r["rank"], r.vec_id, r.score) for r in op10_topk(spark, sf).collect()) == brute(rows)
+
+
+def test_many_waves_of_one_id(spark, monkeypatch):
+    monkeypatch.setattr(K, "WAVE", 3)
+    rng = random.Random(6)
+    rows = [(50 * (i % 2), [rng.random() for _ in range(40)]) for i in range(30)] + [(i, [rng.random() for _ in range(40)]) for i in range(1, 30)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    assert sorted(map(tuple, K.search(df, F.col("vec_id") % 50 == 0).collect())) == brute(rows)
