@@ -2,7 +2,9 @@
 
 Every stage takes (spark, docs, sf_dir) and works on all documents that its predecessor kept, which are written as Parquet and
 read again in between. All stages but the last keep the columns of documents. Null and empty texts have no letters: language ID
-rejects them. Repeated rows are kept alike up to the near-dedup stage, which keeps one document of each group.
+rejects them. Repeated rows are kept alike up to the near-dedup stage, which keeps one document of each group: of ties, the rows of the
+smallest id. Texts are read whole, however long. Stages that return documents' columns keep any further ones too, with their values and
+whatever their names; the last stage gives its own columns.
 """
 
 from __future__ import annotations
@@ -11,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.llm import bpe, decontaminate, language_id, line_dedup, simhash
-from tessera.llm.common import table, written
+from tessera.llm.common import own_names, table, written
 from tessera.llm.queries import vocabulary
 
 
@@ -22,10 +24,12 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops lines that came earlier, alike or nearly, and counts n_chars anew; documents of which only blank lines are left go."""
-    found = line_dedup.deduplicate(docs)
-    some = (F.trim(F.coalesce("text", F.lit(""))) != "") | (F.col("n_exact") + F.col("n_near") == 0)
-    size = F.length("text").cast("bigint")
-    return found.where(some).select(*[size.alias(c) if c == "n_chars" else F.col(f"`{c}`") for c in docs.columns])
+    rows, names = own_names(docs)
+    found = line_dedup.deduplicate(rows, names["doc_id"], names["text"])
+    text = F.col(names["text"])
+    some = (F.trim(F.coalesce(text, F.lit(""))) != "") | (F.col("n_exact") + F.col("n_near") == 0)
+    size = F.length(text).cast("bigint")
+    return found.where(some).select(*[(size if c == "n_chars" else F.col(i)).alias(c) for c, i in names.items()])
 
 
 def dedup_near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
