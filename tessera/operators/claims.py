@@ -3,65 +3,85 @@
 from __future__ import annotations
 
 from collections import defaultdict
+from dataclasses import dataclass
+from datetime import date
 
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.scores import PAIR_WEIGHTS
+from ..functions.text import is_meta_claim
 from ..session import ship
 
 #: Fixed value: the score from which on a claim joins a group.
 JOIN_AT = 0.35
 
 
-def stars(ids: list, tokens: list[set], threshold: float = JOIN_AT) -> list:
+@dataclass
+class Claim:
+    """What clustering sees of a claim."""
+
+    id: object
+    tokens: frozenset[str]
+    entities: frozenset[str] = frozenset()
+    hints: frozenset[str] = frozenset()
+    day: date | None = None
+
+    def keys(self) -> list[str]:
+        return [*sorted(self.tokens), *sorted(f"e:{e}" for e in self.entities)]
+
+
+def alike(a: Claim, b: Claim) -> float:
+    """reduction.pair_score() of two claims; without days, all are of one day."""
+    if a.day is not None or b.day is not None:
+        if a.day is None or b.day is None or abs((a.day - b.day).days) > 1:
+            return -1.0
+    total = weight = 0.0
+    for w, x, y, always in zip(PAIR_WEIGHTS, (a.tokens, a.entities, a.hints), (b.tokens, b.entities, b.hints), (True, False, False)):
+        if always or (x and y):
+            total += w * (len(x & y) / len(x | y) if x and y else 0.0)
+            weight += w
+    return total / weight
+
+
+def stars(claims: list[Claim], threshold: float = JOIN_AT) -> list:
     """For each claim, in the order of ids, the id of the anchor it joins: the best one of the threshold (ties: the earliest),
-    else itself. Claims meet anchors only, so groups don't chain. Tokens of over a quarter of the claims (20 at least) find nobody."""
-    most = max(20, -(-len(ids) // 4))
-    anchors: list[int] = []
+    else itself. Claims meet anchors only, so groups don't chain. Words and actors of over a quarter of the claims (20 at least) find nobody."""
+    most = max(20, -(-len(claims) // 4))
     having: dict[str, list[int]] = defaultdict(list)
     out = []
-    for i, own in enumerate(tokens):
-        shared: dict[int, int] = defaultdict(int)
-        usable = {a for t in own if len(having[t]) <= most for a in having[t]}
-        for t in own:
-            for a in having[t]:
-                if a in usable:
-                    shared[a] += 1
-        best = max(((n / (len(own) + len(tokens[a]) - n), -a) for a, n in shared.items()), default=(0.0, 0))
-        if best[0] >= threshold:
-            out.append(ids[-best[1]])
+    for i, own in enumerate(claims):
+        met = {a for k in own.keys() if len(having[k]) <= most for a in having[k]}
+        best, at = max(((alike(own, claims[a]), -a) for a in met), default=(-1.0, 0))
+        if best >= threshold:
+            out.append(claims[-at].id)
         else:
-            anchors.append(i)
-            for t in own:
-                having[t].append(i)
-            out.append(ids[i])
+            for k in own.keys():
+                having[k].append(i)
+            out.append(own.id)
     return out
 
 
-def star_clusters(claims: DataFrame, cell: list[str], key: str, tokens: str, threshold: float = JOIN_AT) -> DataFrame:
-    """cell, key, anchor. A cell is what can be one story (theater, track and a window of days), so its size is bounded by it."""
+def star_clusters(claims: DataFrame, cell: list[str], key: str, tokens: str, entities: str | None = None, hints: str | None = None, day: str | None = None, text: str | None = None, threshold: float = JOIN_AT) -> DataFrame:
+    """cell, key, anchor. A cell is what can be one story (theater, track and a window of days), so its size is bounded by it.
+
+    Claims about the document, not the world, are left out where their text is given. Where a column of days is given, undated claims stay alone.
+    """
     ship(claims.sparkSession)
-    schema = claims.select(*cell, key).withColumn("anchor", F.col(key)).schema
+    rows = claims if text is None else claims.where(~is_meta_claim(F.coalesce(F.col(text), F.lit(""))))
+    none = F.array().cast("array<string>")
+    sets = [F.coalesce(F.col(c), none).alias(n) if c else none.alias(n) for c, n in ((tokens, "__t"), (entities, "__e"), (hints, "__h"))]
+    rows = rows.select(*cell, key, *sets, (F.col(day) if day else F.lit("2000-01-01").cast("date")).alias("__d"))
+    schema = rows.select(*cell, key).withColumn("anchor", F.col(key)).schema
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(key)
-        anchors = stars(pdf[key].tolist(), [set(t) for t in pdf[tokens]], threshold)
-        return pdf[[*cell, key]].assign(anchor=anchors)
-
-    return claims.select(*cell, key, tokens).groupBy(*cell).applyInPandas(run, schema)
-
-
-def group_facts(members: DataFrame, group: list[str], doc: str, reliability: str, domain: str) -> DataFrame:
-    """Per group: documents, confidence (mean over distinct documents), the best reliability, independent sources (known domains)."""
-    docs = members.groupBy(*group, doc).agg(F.first(reliability).alias("r"), F.first(domain).alias("d"))
-    rel = F.coalesce("r", F.lit(0.3))
-    return docs.groupBy(*group).agg(F.count("*").alias("docs"), F.round(F.avg(rel), 6).alias("confidence"), F.max(rel).alias("best"), F.count_distinct("d").alias("independent"))
-
+        found = [Claim(i, frozenset(t), frozenset(e), frozenset(h), None if pd.isna(d) else d) for i, t, e, h, d in zip(pdf[key].tolist(), pdf["__t"], pdf["__e"], pdf["__h"], pdf["__d"])]
+        dated = [c if c.day is not None else Claim(c.id, frozenset()) for c in found]
+        return pdf[[*cell, key]].assign(anchor=stars(dated, threshold))
 
-def promoted(strongest, independent):
-    """A claim that two independent sources make counts as confirmed."""
-    return F.when((strongest == "claimed") & (independent >= 2), F.lit("confirmed")).otherwise(strongest)
+    return rows.groupBy(*cell).applyInPandas(run, schema)
 
 
 def pick_mix(adapters: list[str], platforms: list[str], most: int, fraction: float = 0.4) -> list[int]:

@@ -75,3 +75,50 @@ def last_state(events: DataFrame, key: str, state: str, order: list[str], termin
     """The state of each key after its ordered events; a terminal one stays, whatever comes after."""
     first_end = F.min(F.when(F.col(state).isin(terminal), F.struct(*order, state)))
     return events.groupBy(key).agg(F.coalesce(first_end.getField(state), F.max_by(state, F.struct(*order))).alias(state))
+
+
+def compare_and_set(state: DataFrame, attempts: DataFrame, key: str, order: list[str]) -> DataFrame:
+    """state (key, owner, expires) after attempts (key, owner, at, until), one of each key: an attempt takes what is free, its own, or has
+    run out by then; taken tells whether it did. Of a batch's attempts on one key the first by order counts."""
+    first = top_per_group(attempts, [key], [F.col(c) for c in order], 1, "__rn").drop("__rn").withColumnsRenamed({"owner": "__owner"})
+    both = state.join(first, key, "full_outer")
+    free = F.col("owner").isNull() | (F.col("owner") == F.col("__owner")) | (F.col("expires") <= F.col("at"))
+    taken = F.coalesce(F.col("__owner").isNotNull() & free, F.lit(False))
+    return both.select(key, F.when(taken, F.col("__owner")).otherwise(F.col("owner")).alias("owner"), F.when(taken, F.col("until")).otherwise(F.col("expires")).alias("expires"), taken.alias("taken"))
+
+
+def advanced(marks: DataFrame, proposals: DataFrame, key: str, mark: str) -> DataFrame:
+    """Marks that proposals move on, never back; a key's first proposal makes its mark."""
+    both = marks.select(key, mark).unionByName(proposals.select(key, mark))
+    return both.groupBy(key).agg(F.max(mark).alias(mark))
+
+
+def append_and_latest(log: DataFrame, batch: DataFrame, keys: list[str], order: list[str]) -> tuple[DataFrame, DataFrame]:
+    """The log with a batch appended, and of each key the latest row of both: two results of one step, each its own write."""
+    whole = log.unionByName(batch)
+    return whole, latest_per_key(whole, keys, order)
+
+
+def settled(events: DataFrame, key: str, state: str, at: str, as_of: Column, expires_after: Column, steps: dict[str, tuple[str, ...]], first: str) -> DataFrame:
+    """key and state of ledgers after their ordered events: an event counts only where the state before it allows it (steps: state to
+    those that it may follow), and a first state that is older than expires_after by as_of is expired."""
+    ordered = F.array_sort(F.collect_list(F.struct(F.col(at).alias("at"), F.col(state).alias("s"))))
+    allowed = F.lit(False)
+
+    def move(now: Column, e: Column) -> Column:
+        ok = allowed
+        for to, since in steps.items():
+            ok = ok | ((e.getField("s") == to) & now.getField("s").isin(*since))
+        start = now.getField("s").isNull() & (e.getField("s") == first)
+        return F.when(start | F.coalesce(ok, F.lit(False)), F.struct(e.getField("at").alias("at"), e.getField("s").alias("s"))).otherwise(now)
+
+    none = events.schema
+    empty = F.struct(F.lit(None).cast(none[at].dataType).alias("at"), F.lit(None).cast("string").alias("s"))
+    folded = events.groupBy(key).agg(F.aggregate(ordered, empty, move).alias("f"))
+    late = (F.col("f.s") == first) & (F.col("f.at") < as_of - expires_after)
+    return folded.select(key, F.when(late, F.lit("expired")).otherwise(F.col("f.s")).alias(state))
+
+
+def overwrite(df: DataFrame, path: str) -> None:
+    """A full recompute in place of the table at a path."""
+    df.write.mode("overwrite").parquet(path)

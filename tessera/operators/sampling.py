@@ -1,22 +1,46 @@
-"""Deterministic samples."""
+"""Deterministic samples, and numbers in the order of a column."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import written
 
-def every_nth(df: DataFrame, order: str, step: int) -> DataFrame:
-    """Rows 0, step, 2 * step ... in the order of a unique column.
 
-    Rows are numbered by range partitions: each task counts its own rows, and starts come from the counts of the tasks before,
-    so no task sees all rows.
+def numbered(df: DataFrame, order: str, name: str = "n", start: int = 0) -> DataFrame:
+    """df with the place of each row in the order of a unique column, from start on; nulls come first.
+
+    Rows are range-partitioned, numbered in their task and written with the task's number. Then starts come from the counts of the tasks
+    before: one number a task reaches the driver, and no task sees all rows. The written rows are counted, as partitions of the same plan
+    may be cut in another way when it runs again.
     """
-    placed = df.repartitionByRange(F.col(order)).sortWithinPartitions(order).withColumn("__part", F.spark_partition_id())
-    counts = {r["__part"]: r["count"] for r in placed.groupBy("__part").count().collect()}
-    starts, total = {}, 0
-    for p in sorted(counts):
-        starts[p], total = total, total + counts[p]
-    base = F.element_at(F.create_map(*[F.lit(x) for p, s in starts.items() for x in (p, s)]), F.col("__part")) if starts else F.lit(0)
-    at = F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))  # the row's place in its task
-    return placed.withColumn("__at", base + at).where(F.col("__at") % step == 0).drop("__part", "__at")
+    own = F.monotonically_increasing_id()  # the task's number, then the row's place in it
+    placed = df.repartitionByRange(F.asc_nulls_first(order)).sortWithinPartitions(F.asc_nulls_first(order))
+    rows = written(placed.withColumn("__task", F.shiftright(own, 33)).withColumn("__at", own.bitwiseAND(F.lit((1 << 33) - 1))), "numbered")
+    starts, total = [], start
+    for r in sorted(rows.groupBy("__task").count().collect(), key=lambda r: r["__task"]):
+        starts += [F.lit(r["__task"]), F.lit(total)]
+        total += r["count"]
+    base = F.element_at(F.create_map(*starts), F.col("__task")) if starts else F.lit(0)
+    return rows.withColumn(name, (base + F.col("__at")).cast("bigint")).drop("__task", "__at")
+
+
+def every_nth(df: DataFrame, order: str, step: int) -> DataFrame:
+    """Rows 0, step, 2 * step ... in the order of a unique column."""
+    return numbered(df, order, "__n").where(F.col("__n") % step == 0).drop("__n")
+
+
+def get_or_create(known: DataFrame, keys: DataFrame, key: str, number: str) -> DataFrame:
+    """key and number of each different key: the known one's, or the next free ones in the order of new keys."""
+    asked = keys.select(key).distinct()
+    last = known.agg(F.coalesce(F.max(number), F.lit(0))).head()[0]
+    fresh = numbered(asked.join(known.select(key), key, "left_anti"), key, number, last + 1)
+    return known.join(asked, key, "left_semi").select(key, number).unionByName(fresh.select(key, number))
+
+
+def by_turns(df: DataFrame, stratum: str, part: str, order: list[Column], most: int) -> DataFrame:
+    """The first rows by turns of strata, and in a stratum by turns of its parts; a part's rows in their order."""
+    own = df.withColumn("__i", F.row_number().over(Window.partitionBy(stratum, part).orderBy(*order))).where(F.col("__i") <= most)
+    ranked = own.withColumn("__j", F.row_number().over(Window.partitionBy(stratum).orderBy("__i", part))).where(F.col("__j") <= most)
+    return ranked.orderBy("__j", stratum).limit(most).drop("__i", "__j")

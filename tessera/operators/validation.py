@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions import gazetteer
+
 
 def upper_median(df: DataFrame, keys: list[str], value: str, name: str) -> DataFrame:
     """The value at place floor(n / 2) of each group's sorted values, from counts of equal values: groups aren't collected."""
@@ -41,3 +43,36 @@ def coverage(takeaways: DataFrame, matches: DataFrame, key: str) -> DataFrame:
     """Takeaways, how many of them were matched, and the share in percent, in one row."""
     there = takeaways.select(key).join(matches.select(key, F.lit(True).alias("hit")), key, "left")
     return there.agg(F.count("*").alias("takeaways"), F.count("hit").alias("matched"), F.round(F.try_divide(F.count("hit") * 100.0, F.count("*")), 2).alias("coverage_pct"))
+
+
+def keyword_matches(takeaways: DataFrame, claims: DataFrame) -> DataFrame:
+    """Of takeaways (takeaway, places, acts) and claims (claim, places, acts) the best claim of each takeaway that reaches the match score
+    (ties: the smaller claim): takeaway, claim, score. A match shares a place, so they meet over places, regions with their towns."""
+    t = takeaways.select("takeaway", gazetteer.expanded(F.col("places")).alias("t_places"), F.col("acts").alias("t_acts"))
+    c = claims.select("claim", F.col("places").alias("c_places"), F.col("acts").alias("c_acts"))
+    best_of = F.struct("c_places", "c_acts")
+    # claims with one signature score alike: the first of them stands for all
+    c = c.groupBy("c_places", "c_acts").agg(F.min("claim").alias("claim")).select("claim", best_of.alias("sig"), F.explode("c_places").alias("place"))
+    met = t.select("takeaway", "t_places", "t_acts", F.explode("t_places").alias("place")).join(c, "place").drop("place").distinct()
+    score = gazetteer.match_score(F.col("t_places"), F.col("sig.c_places"), F.col("t_acts"), F.col("sig.c_acts"))
+    scored = met.select("takeaway", "claim", F.round(score, 4).alias("score")).where(F.col("score") >= gazetteer.MATCH)
+    return scored.groupBy("takeaway").agg(F.min_by(F.struct("claim", "score"), F.struct(-F.col("score"), "claim")).alias("m")).select("takeaway", "m.claim", "m.score")
+
+
+def digest_score(takeaways: DataFrame, claims: DataFrame, matches: DataFrame, published: Column) -> DataFrame:
+    """One row on how a digest's claims (claim, places, acts, docs, hedging, earliest) cover a report's takeaways: takeaways that can be
+    matched, matched ones, coverage_pct, thin_rate (claims of one document that are only claimed), lead_hours (the upper median of how
+    long before publication evidence came), ours_only."""
+    matchable = takeaways.where((F.size("places") > 0) | (F.size("acts") > 0))
+    hit = matches.join(claims.select("claim", "earliest"), "claim")
+    hours = (F.unix_micros(published.cast("timestamp")) - F.unix_micros(F.col("earliest").cast("timestamp"))) / 3.6e9
+    lead = upper_median(hit.select(F.lit(1).alias("one"), hours.alias("hours")), ["one"], "hours", "lead_hours").select(F.round("lead_hours", 1).alias("lead_hours"))
+    thin = F.count_if((F.col("docs") < 2) & F.col("hedging").isin("claimed", "unverified"))
+    of_claims = claims.agg(F.round(F.coalesce(F.try_divide(thin, F.count("*")), F.lit(0.0)), 4).alias("thin_rate"))
+    named = claims.where((F.size("places") > 0) | (F.size("acts") > 0))
+    ours = named.join(matches.select("claim").distinct(), "claim", "left_anti").agg(F.count("*").alias("ours_only"))
+    counts = matchable.join(matches.select("takeaway", F.lit(1).alias("hit")), "takeaway", "left").agg(F.count("*").alias("takeaways"), F.count("hit").alias("matched"))
+    pct = F.round(F.try_divide(F.col("matched") * 100.0, F.col("takeaways")), 1).cast("double").alias("coverage_pct")
+    one = F.lit(1).alias("one")
+    # each side is one row
+    return counts.select("*", pct, one).join(of_claims.select("*", one), "one").join(lead.select("*", one), "one", "left").join(ours.select("*", one), "one").drop("one")

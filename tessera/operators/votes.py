@@ -13,14 +13,13 @@ from ..session import ship
 SHARED, MOST = 0.5, 12
 
 
-def merge(votes: list[tuple[int, int, str, str, int, list[int]]]) -> list[dict]:
-    """Events that over half of the votes have. A vote's event is (vote, place, title, kind, text size, claim ids).
+def merge(votes: list[tuple[int, int, str, str, int, list[int]]], runs: int) -> list[dict]:
+    """Events that over half of the runs have; a run without any counts too. A vote's event is (vote, place, title, kind, text size, claim ids).
 
     Events join the cluster whose claims so far they share most of; a cluster keeps the claims that over half of the votes have,
     the title of its middle event by text size, and its most frequent kind (ties: the middle event's, then by name).
     """
-    runs = {v[0] for v in votes}
-    over_half = len(runs) // 2 + 1
+    over_half = runs // 2 + 1
     clusters: list[tuple[set[int], list]] = []
     for event in sorted(votes, key=lambda v: v[:2]):
         ids = set(event[5])
@@ -48,16 +47,16 @@ def merge(votes: list[tuple[int, int, str, str, int, list[int]]]) -> list[dict]:
     return sorted(out, key=lambda m: (m["mean_rank"], -m["votes"], m["claims"][0]))[:MOST]
 
 
-def merged_votes(votes: DataFrame, cell: str) -> DataFrame:
-    """cell, title, kind, votes, mean_rank, claims of a table (cell, vote, place, title, kind, size, claims). A cell is one digest: a few
-    runs of a few events."""
+def merged_votes(votes: DataFrame, cell: str, runs: DataFrame) -> DataFrame:
+    """cell, title, kind, votes, mean_rank, claims of a table (cell, vote, place, title, kind, size, claims) and of how many runs (cell, runs)
+    there were. A cell is one digest: a few runs of a few events."""
     ship(votes.sparkSession)
     schema = f"{cell} {dict(votes.dtypes)[cell]}, title string, kind string, votes int, mean_rank double, claims array<bigint>"
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         rows = [(r.vote, r.place, r.title, r.kind, r.size_, list(r.claims)) for r in pdf.rename(columns={"size": "size_"}).itertuples()]
-        found = pd.DataFrame(merge(rows), columns=["title", "kind", "votes", "mean_rank", "claims"])
+        found = pd.DataFrame(merge(rows, int(pdf["runs"].iloc[0])), columns=["title", "kind", "votes", "mean_rank", "claims"])
         found.insert(0, cell, pdf[cell].iloc[0])
         return found
 
-    return votes.select(cell, "vote", "place", "title", "kind", "size", "claims").groupBy(cell).applyInPandas(run, schema)
+    return votes.select(cell, "vote", "place", "title", "kind", "size", "claims").join(runs.select(cell, "runs"), cell).groupBy(cell).applyInPandas(run, schema)

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import scores, text
-from ..operators import claims, freshness, near_duplicates, retrieval, trade, validation
+from ..operators import claims, freshness, near_duplicates, reduction, retrieval, trade, validation
 from ..session import table
 from .registry import query
 
@@ -151,7 +151,76 @@ def lang_counts(spark: SparkSession, sf: str) -> DataFrame:
     return table(spark, sf, "documents").where("text is not null").groupBy("lang", text.detect_language(F.col("text")).alias("script")).agg(F.count("*").alias("n"))
 
 
-@query("neardup_exact", "SELECT doc_id, min(doc_id) OVER (PARTITION BY md5(trim(regexp_replace(text, '\\s+', ' ', 'g')))) AS canonical FROM documents")
+_SCRIPTS = ["Войска наступают у города", "Війська їхні є біля ґанку і їдуть", "قوات الجيش تتقدم", "نیروها گفتند که پهپاد می‌آید", "Troops advance", "12 34", "ӑҫта тата ҫак пулнӑ вӑл", "ҡала ғына һәм ҙур булған", "җир әле өчен үткән", "ӏалам дара нохчийн ӏуьйре", "da да", ""]
+_SCRIPT_SQL = "length(s) - length(regexp_replace(s, '[{0}]', '', 'g'))"
+
+
+@query(
+    "script_languages",
+    "WITH v AS (SELECT unnest(["
+    + ", ".join(f"'{s}'" for s in _SCRIPTS)
+    + f"]) AS s), c AS (SELECT s, {_SCRIPT_SQL.format('Ѐ-ӿ')} AS cy, {_SCRIPT_SQL.format('؀-ۿ')} AS ar, {_SCRIPT_SQL.format('a-zA-Z')} AS la FROM v) "
+    + "SELECT s, CASE WHEN cy < 5 AND la < 5 AND ar < 5 THEN NULL WHEN ar >= 5 AND ar >= cy AND ar >= la THEN CASE WHEN regexp_matches(s, '[پچژگکی]') THEN 'fa' ELSE 'ar' END WHEN cy <= la THEN 'en' "
+    + "WHEN (regexp_matches(lower(s), '[ӑӗӳ]') OR regexp_matches(lower(s), 'ҫак|тата')) AND regexp_matches(s, 'ҫ') THEN 'cv' WHEN regexp_matches(s, '[ҡғҙ]') THEN 'ba' WHEN regexp_matches(s, 'җ') AND regexp_matches(s, '[әөү]') THEN 'tt' WHEN regexp_matches(s, 'ӏ') THEN 'ce' "
+    + f"WHEN {_SCRIPT_SQL.format('іїєґІЇЄҐ')} > {_SCRIPT_SQL.format('ыъэёЫЪЭЁ')} THEN 'uk' ELSE 'ru' END AS lang FROM c",
+)
+def script_languages(spark: SparkSession, sf: str) -> DataFrame:
+    return spark.createDataFrame([(s,) for s in _SCRIPTS], "s string").select("s", text.detect_language(F.col("s")).alias("lang"))
+
+
+_SENTENCES = [
+    "ISW cannot independently verify the claim", "ISW has not yet observed footage", "Unverified footage shows tanks", "The purported letter", "Geolocated footage published on May 3 shows", "Footage posted by a channel confirms it",
+    "a visual confirmation", "Satellite imagery captured the base", "The ministry confirmed it", "ISW continues to assess that", "ISW previously reported it", "They are likely to attack", "He claims victory", "Reportedly, he left", "The channel reported that it fell",
+    "The minister said so", "A source indicated otherwise", "Nothing is said of it here", "It rained", "",
+]
+
+
+@query(
+    "hedging_rules",
+    "WITH v AS (SELECT unnest(["
+    + ", ".join(f"'{s}'" for s in _SENTENCES)
+    + "]) AS s) SELECT s, CASE "
+    + " ".join(f"WHEN regexp_matches(s, '(?i){p}') THEN '{k}'" for k, p in text.HEDGING_RULES)
+    + " ELSE 'unknown' END AS hedging, CASE "
+    + " ".join(f"WHEN regexp_matches(s, '(?i){p}') THEN substring(regexp_extract(s, '(?i){p}', 1), 1, 60)" for _, p in text.HEDGING_RULES)
+    + " END AS cue, CASE "
+    + " ".join(f"WHEN regexp_matches(s, '(?i){p}') THEN {text.HEDGING_WEIGHTS[k]}e0" for k, p in text.HEDGING_RULES)
+    + " ELSE 0.5e0 END AS weight FROM v",
+)
+def hedging_rules(spark: SparkSession, sf: str) -> DataFrame:
+    rows = spark.createDataFrame([(s,) for s in _SENTENCES], "s string")
+    kind = text.hedging(F.col("s"))
+    return rows.select("s", kind.alias("hedging"), text.hedging_cue(F.col("s")).alias("cue"), text.hedging_weight(kind).alias("weight"))
+
+
+@query(
+    "composite_scores",
+    """
+    SELECT o_orderkey, round(coalesce(CASE WHEN o_orderkey % 3 <> 0 THEN o_totalprice / 500000 END, 0.55) * CASE WHEN o_orderkey % 5 = 0 THEN 0.25 ELSE pow(0.5, greatest(date_diff('day', CAST(o_orderdate AS DATE), DATE '1998-06-01'), 0) / 30) END
+      * (0.5 + 0.5 * coalesce(CASE o_orderstatus WHEN 'F' THEN 0.9 WHEN 'O' THEN 0.2 END, 0.5)), 6) AS score FROM orders""",
+)
+def composite_scores(spark: SparkSession, sf: str) -> DataFrame:
+    k = F.col("o_orderkey")
+    found = scores.composite(F.when(k % 3 != 0, F.col("o_totalprice") / 500000), F.when(k % 5 != 0, F.to_date("o_orderdate")), F.when(F.col("o_orderstatus") == "F", 0.9).when(F.col("o_orderstatus") == "O", 0.2), F.lit("1998-06-01").cast("date"))
+    return table(spark, sf, "orders").select("o_orderkey", F.round(found, 6).alias("score"))
+
+
+@query(
+    "profile_scores",
+    """
+    SELECT event_id, round((CASE event_type WHEN 'error' THEN 1.8 WHEN 'purchase' THEN 1.4 ELSE 0.6 END) * (CASE event_id % 3 WHEN 0 THEN 1.5 WHEN 1 THEN 1.0 ELSE 0.7 END) * greatest(CASE event_id % 2 WHEN 0 THEN 1.2 ELSE 0.8 END, CASE event_id % 5 WHEN 0 THEN 1.3 ELSE 0.5 END)
+      * (1 + ln(1 + event_id % 7)) * (0.5 + coalesce(CASE WHEN event_id % 4 <> 0 THEN value / 200 END, 0.4)) * (0.4 + 0.6 * CASE WHEN event_id % 11 = 0 THEN 0.5 WHEN ts > TIMESTAMP '2024-01-20 00:00:00' THEN 1.0 ELSE pow(0.5, date_diff('microsecond', ts, TIMESTAMP '2024-01-20 00:00:00') / 3.6e9 / 48) END), 4) AS score FROM events""",
+)
+def profile_scores(spark: SparkSession, sf: str) -> DataFrame:
+    i, kind = F.col("event_id"), F.col("event_type")
+    track = F.when(kind == "error", 1.8).when(kind == "purchase", 1.4).otherwise(0.6)
+    sort = F.when(i % 3 == 0, 1.5).when(i % 3 == 1, 1.0).otherwise(0.7)
+    platforms = F.array(F.when(i % 2 == 0, 1.2).otherwise(0.8), F.when(i % 5 == 0, 1.3).otherwise(0.5))
+    score = scores.profile_score(track, sort, F.array_max(platforms), i % 7, F.when(i % 4 != 0, F.col("value") / 200), F.when(i % 11 != 0, F.col("ts")), F.lit("2024-01-20 00:00:00").cast("timestamp_ntz"), 48)
+    return table(spark, sf, "events").select("event_id", F.round(score, 4).alias("score"))
+
+
+@query("neardup_exact", "SELECT doc_id, CASE WHEN text IS NULL THEN doc_id ELSE min(doc_id) OVER (PARTITION BY md5(trim(regexp_replace(text, '\\s+', ' ', 'g')))) END AS canonical FROM documents")
 def neardup_exact(spark: SparkSession, sf: str) -> DataFrame:
     return near_duplicates.exact_mirrors(table(spark, sf, "documents").select("doc_id", "text"), "doc_id", "text")
 
@@ -187,8 +256,12 @@ def best_match_takeaway(spark: SparkSession, sf: str) -> DataFrame:
 
 @query("star_clusters")
 def star_clusters(spark: SparkSession, sf: str) -> DataFrame:
-    docs = table(spark, sf, "documents").select("source", "lang", F.floor(F.col("doc_id") / 500).alias("day"), "doc_id", text.token_set(F.col("text")).alias("tokens"))
-    return claims.star_clusters(docs, ["source", "lang", "day"], "doc_id", "tokens")
+    """Claims of a source and language in a window, by their texts, actors (here their sources) and days."""
+    id_ = F.col("doc_id")
+    docs = table(spark, sf, "documents").select(
+        "source", "lang", F.floor(id_ / 500).alias("window"), "doc_id", "text", text.token_set(F.col("text")).alias("tokens"), F.array_compact(F.array("source")).alias("actors"), F.date_add(F.lit("2024-01-01").cast("date"), (id_ % 3).cast("int")).alias("day")
+    )
+    return claims.star_clusters(docs, ["source", "lang", "window"], "doc_id", "tokens", "actors", None, "day", "text")
 
 
 @query("source_mix")
@@ -200,15 +273,29 @@ def source_mix(spark: SparkSession, sf: str) -> DataFrame:
 @query(
     "group_facts",
     """
-    WITH d AS (SELECT md5(trim(regexp_replace(text, '\\s+', ' ', 'g'))) AS h, doc_id, source, CASE WHEN quality = 1 THEN 0.9 WHEN quality = 0 THEN 0.2 END AS r FROM documents LEFT JOIN labels USING (doc_id))
-    SELECT h, count(*) AS docs, round(avg(coalesce(r, 0.3)), 6) AS confidence, max(coalesce(r, 0.3)) AS best, count(DISTINCT source) AS independent,
-      CASE WHEN count(DISTINCT source) >= 2 THEN 'confirmed' ELSE 'claimed' END AS hedging FROM d GROUP BY h""",
+    WITH d AS (SELECT md5(trim(regexp_replace(text, '\\s+', ' ', 'g'))) AS h, doc_id, source, CAST(CASE WHEN quality = 1 THEN 0.9 WHEN quality = 0 THEN 0.2 END AS DOUBLE) AS r FROM documents LEFT JOIN labels USING (doc_id) WHERE text IS NOT NULL)
+    SELECT h, count(*) AS docs, round(avg(coalesce(r, 0.3)), 6) AS confidence, max(coalesce(r, CAST(0.3 AS DOUBLE))) AS best, CASE WHEN count(source) > 0 THEN 1 ELSE 0 END AS independent, 'claimed' AS hedging FROM d GROUP BY h""",
 )
 def group_facts(spark: SparkSession, sf: str) -> DataFrame:
-    quality = table(spark, sf, "labels").select("doc_id", F.when(F.col("quality") == 1, 0.9).when(F.col("quality") == 0, 0.2).alias("r"))
-    docs = table(spark, sf, "documents").select("doc_id", "source", text.content_md5(F.col("text")).alias("h")).join(quality, "doc_id", "left")
-    facts = claims.group_facts(docs, ["h"], "doc_id", "r", "source")
-    return facts.withColumn("hedging", claims.promoted(F.lit("claimed"), F.col("independent")))
+    """Mirrors as groups of claims: however many sources repeat a text, they are one, and nothing is confirmed."""
+    quality = table(spark, sf, "labels").select("doc_id", F.when(F.col("quality") == 1, 0.9).when(F.col("quality") == 0, 0.2).alias("reliability"))
+    docs = table(spark, sf, "documents").where("text is not null").select("doc_id", "source", text.content_md5(F.col("text")).alias("h")).join(quality, "doc_id", "left")
+    none = F.lit(None).cast("string")
+    claims_ = docs.select(
+        "h",
+        F.col("doc_id").alias("claim"),
+        F.col("doc_id").alias("doc"),
+        F.hash("h").alias("canonical"),
+        F.col("source").alias("domain"),
+        "reliability",
+        F.lit("factual").alias("claim_type"),
+        F.lit("claimed").alias("hedging"),
+        F.lit(False).alias("quote_verified"),
+        *[none.alias(c) for c in ("text", "quote", "hint")],
+        F.lit(None).cast("date").alias("day"),
+        F.lit(None).cast("timestamp").alias("published"),
+    )
+    return reduction.groups(claims_, ["h"]).select("h", "docs", "confidence", "best", "independent", "hedging")
 
 
 _THRESHOLDS = [0.2, 0.35, 0.5, 0.65, 0.8]

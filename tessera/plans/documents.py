@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import names, urls
 from ..operators import entities, html_reports, signals
-from ..session import table
+from ..session import shared_dir, table
 from ..streaming import incremental
 from .registry import query
 
@@ -46,22 +46,51 @@ def entity_keys(spark: SparkSession, sf: str) -> DataFrame:
     return table(spark, sf, "customer").select("c_custkey", names.key(F.col("c_name")).alias("key"))
 
 
+_ROLE = "CASE o_orderkey % 4 WHEN 0 THEN 'defendant' WHEN 1 THEN 'target' WHEN 2 THEN 'patron' ELSE 'other' END"
+_SAYS = "CASE o_orderkey % 3 WHEN 0 THEN 'was arrested on Monday' WHEN 1 THEN 'gave a speech' ELSE 'Sanctions were lifted' END"
+
+
 @query(
     "purge_signals",
-    """
-    WITH p AS (SELECT o_orderpriority AS theater, count(DISTINCT o_custkey) AS persons, count(DISTINCT o_orderkey) AS claims FROM orders
-      WHERE o_orderstatus = 'P' AND CAST(o_orderdate AS DATE) >= (SELECT max(CAST(o_orderdate AS DATE)) FROM orders) - 300 GROUP BY 1)
-    SELECT *, CASE WHEN persons >= 6 THEN 'elevated' ELSE 'watch' END AS severity FROM p WHERE persons >= 3""",
+    f"""
+    WITH o AS (SELECT o_orderpriority AS theater, o_orderkey, lower(c_name) AS person, o_orderkey % 5 <> 0 AS human, {_ROLE} AS role, {_SAYS} AS says, o_orderdate FROM orders JOIN customer ON o_custkey = c_custkey),
+    p AS (SELECT theater, count(DISTINCT person) AS persons, count(DISTINCT o_orderkey) AS claims FROM o
+      WHERE CAST(o_orderdate AS DATE) >= (SELECT max(CAST(o_orderdate AS DATE)) FROM orders) - 30 AND human AND (role = 'defendant' OR (role IN ('target', 'other') AND regexp_matches(says, '(?i)\\b(arrest\\w*|sanction\\w*)\\b'))) GROUP BY 1)
+    SELECT *, CASE WHEN persons >= 20 THEN 'elevated' ELSE 'watch' END AS severity FROM p WHERE persons >= 10""",
 )
 def purge_signals(spark: SparkSession, sf: str) -> DataFrame:
-    orders = table(spark, sf, "orders").select("o_orderpriority", "o_custkey", "o_orderkey", "o_orderstatus", F.to_date("o_orderdate").alias("d"))
-    rows = orders.where("o_orderstatus = 'P'").join(F.broadcast(orders.agg(F.max("d").alias("last"))))
-    return signals.purges(rows.withColumnRenamed("o_orderpriority", "theater"), "theater", "o_custkey", "o_orderkey", "d", F.col("last"), 300)
+    k = F.col("o_orderkey")
+    orders = table(spark, sf, "orders").select("o_orderpriority", "o_custkey", "o_orderkey", F.to_date("o_orderdate").alias("d"))
+    who = table(spark, sf, "customer").select(F.col("c_custkey").alias("o_custkey"), "c_name")
+    rows = orders.join(who, "o_custkey").withColumns(
+        {
+            "person": F.when(k % 2 == 0, F.upper("c_name")).otherwise(F.concat(F.lit("Dr. "), "c_name")),  # two spellings of one name
+            "kind": F.when(k % 5 != 0, "person").otherwise("agency"),
+            "role": F.when(k % 4 == 0, "defendant").when(k % 4 == 1, "target").when(k % 4 == 2, "patron").otherwise("other"),
+            "says": F.when(k % 3 == 0, "was arrested on Monday").when(k % 3 == 1, "gave a speech").otherwise("Sanctions were lifted"),
+        }
+    )
+    last = orders.agg(F.max("d")).head()[0]
+    return signals.purges(rows.withColumnRenamed("o_orderpriority", "theater"), "theater", "person", "kind", "role", "says", "o_orderkey", "d", F.lit(last), 30, 10)
+
+
+@query(
+    "dark_signals",
+    """
+    WITH s AS (SELECT user_id % 7 AS t, CASE event_type WHEN 'error' THEN 'gone' WHEN 'click' THEN 'ok' WHEN 'view' THEN 'stale' ELSE 'classified' END AS status, value > 99 AS recent FROM events),
+    d AS (SELECT t, count(*) AS dark, bool_or(recent) AS recent FROM s WHERE status <> 'ok' GROUP BY t)
+    SELECT t AS theater, dark, recent, CASE WHEN recent THEN 'elevated' ELSE 'watch' END AS severity FROM d ORDER BY severity, theater""",
+)
+def dark_signals(spark: SparkSession, sf: str) -> DataFrame:
+    kind = F.col("event_type")
+    status = F.when(kind == "error", "gone").when(kind == "click", "ok").when(kind == "view", "stale").otherwise("classified")
+    series = table(spark, sf, "events").select((F.col("user_id") % 7).alias("theater"), status.alias("status"), (F.col("value") > 99).alias("changed_recently"))
+    found = signals.dark_series(series)
+    return signals.ranked(found.withColumns({"kind": F.lit("dark"), "key": F.col("theater")})).drop("kind", "key")
 
 
 def _checkpoint(spark: SparkSession) -> str:
-    root = spark.sparkContext.getConf().get("spark.checkpoint.dir") or "/tmp/tessera-streams"
-    return f"{root.rstrip('/')}/stream-{uuid.uuid4().hex}"
+    return f"{shared_dir(spark)}/tessera/stream-{uuid.uuid4().hex}"
 
 
 def _events(spark: SparkSession, sf: str) -> DataFrame:

@@ -34,15 +34,22 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return ship(spark).read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def written(df: DataFrame, what: str) -> DataFrame:
-    """Cuts lineage: the rows, written to the folder that the cluster shares (spark.checkpoint.dir) and read back.
+def shared_dir(spark: SparkSession) -> str:
+    """The folder that driver and executors share, as the cluster names it in spark.checkpoint.dir.
 
-    Only where that setting is absent, as in tests, a folder of this machine is made and set.
+    Only where that setting is absent and everything runs on this machine, as in tests, a folder of this machine is made and set.
     """
+    found = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
+    if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that driver and executors share")
+        found = "file://" + tempfile.mkdtemp(prefix="tessera-")
+        spark.conf.set("spark.checkpoint.dir", found)
+    return found.rstrip("/")
+
+
+def written(df: DataFrame, what: str) -> DataFrame:
+    """Cuts lineage: the rows, written to the shared folder and read back."""
     spark = df.sparkSession
-    root = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
-    if not root:
-        root = "file://" + tempfile.mkdtemp(prefix="tessera-")
-        spark.conf.set("spark.checkpoint.dir", root)
-    df.write.parquet(path := f"{root.rstrip('/')}/tessera/{what}-{uuid.uuid4().hex}")
+    df.write.parquet(path := f"{shared_dir(spark)}/tessera/{what}-{uuid.uuid4().hex}")
     return spark.read.schema(df.schema).parquet(path)

@@ -21,10 +21,14 @@ def test_markers(spark):
 
 def test_votes(spark):
     rows = [(1, 0, "A", "strike", 10, [1, 2, 3]), (1, 1, "B", "other", 5, [9]), (2, 0, "A2", "strike", 30, [1, 2]), (3, 2, "A3", "advance", 20, [2, 3, 4])]
-    (m,) = votes.merge(rows)
+    (m,) = votes.merge(rows, 3)
     assert (m["title"], m["kind"], m["votes"], m["claims"]) == ("A3", "strike", 3, [1, 2, 3])
+    assert votes.merge(rows, 7) == []
+    runs = lambda n: spark.createDataFrame([("d", n)], "cell string, runs int")
     df = spark.createDataFrame([("d", *r) for r in rows], "cell string, vote int, place int, title string, kind string, size int, claims array<bigint>")
-    assert [r.title for r in votes.merged_votes(df, "cell").collect()] == ["A3"]
+    assert [r.title for r in votes.merged_votes(df, "cell", runs(3)).collect()] == ["A3"]
+    # two of five runs are no majority, whether the others gave events or none
+    assert votes.merged_votes(df, "cell", runs(7)).count() == 0
 
 
 def test_publication(spark):

@@ -46,12 +46,33 @@ def test_every_nth(spark):
     assert sorted(r.id for r in sampling.every_nth(df, "id", 10).collect()) == list(range(0, 103, 10))
 
 
+def test_every_nth_where_partitions_are_cut_anew(spark):
+    """Wide rows and narrow counts: the plan that counts and the one that numbers may coalesce in other ways."""
+    before = {k: spark.conf.get(k) for k in ("spark.sql.shuffle.partitions", "spark.sql.adaptive.advisoryPartitionSizeInBytes")}
+    spark.conf.set("spark.sql.shuffle.partitions", "40")
+    spark.conf.set("spark.sql.adaptive.advisoryPartitionSizeInBytes", "100k")
+    try:
+        df = spark.range(20_000).selectExpr("id", "repeat('x', 50) AS a", "id * 2 AS b", "uuid() AS c").repartition(9)
+        assert sorted(r.id for r in sampling.every_nth(df, "id", 100).collect()) == list(range(0, 20_000, 100))
+        assert [r.n for r in sampling.numbered(df, "id", "n", 5).orderBy("id").select("n").collect()] == list(range(5, 20_005))
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+
+
+def test_documents_without_text_are_their_own(spark):
+    df = spark.createDataFrame([(1, None), (2, None), (3, "a b c d"), (4, "a  b c d"), (5, "")], "id int, t string")
+    want = [(1, 1), (2, 2), (3, 3), (4, 3), (5, 5)]
+    assert rows(near_duplicates.exact_mirrors(df, "id", "t")) == want
+    assert rows(near_duplicates.near_mirrors(df, "id", "t")) == want
+
+
 def test_stars_do_not_chain():
     t = lambda s: set(s.split())
     chain = [t("a b c d"), t("b c d e"), t("c d e f"), t("d e f g")]
-    found = claims.stars([1, 2, 3, 4], chain, 0.5)
+    found = claims.stars([claims.Claim(i + 1, frozenset(x)) for i, x in enumerate(chain)], 0.5)
     assert found == [1, 1, 3, 3]
-    assert claims.stars([1, 2], [t("x y"), t("p q")]) == [1, 2]
+    assert claims.stars([claims.Claim(1, frozenset(t("x y"))), claims.Claim(2, frozenset(t("p q")))]) == [1, 2]
 
 
 def test_source_mix():
@@ -102,8 +123,15 @@ def test_entities(spark):
 
 
 def test_signals(spark):
-    df = spark.createDataFrame([("ru", f"p{i}", i, "2026-07-10") for i in range(3)] + [("ru", "p9", 9, "2026-01-01"), ("ua", "q", 1, "2026-07-10")], "theater string, person string, claim int, d string").withColumn("d", F.to_date("d"))
-    assert rows(signals.purges(df, "theater", "person", "claim", "d", F.lit("2026-07-15").cast("date"), 30)) == [("ru", 3, 3, "watch")]
+    people = ["Ivan Petrov", "Dr. Ivan Petrov", "Oleg Orlov", "Ilya Ivanov", "Pyotr Kim"]
+    rows_ = [("ru", p, "person", "defendant", "on trial", i, "2026-07-10") for i, p in enumerate(people[:4])]
+    rows_ += [("ru", people[4], "person", "target", "gave a speech", 8, "2026-07-10"), ("ru", people[4], "agency", "defendant", "x", 9, "2026-07-10"), ("ru", people[4], "person", "accused", "x", 7, "2026-01-01")]
+    df = spark.createDataFrame(rows_, "theater string, person string, kind string, role string, says string, claim int, d string").withColumn("d", F.to_date("d"))
+    found = signals.purges(df, "theater", "person", "kind", "role", "says", "claim", "d", F.lit("2026-07-15").cast("date"), 30)
+    assert rows(found) == [("ru", 3, 4, "watch")]  # two spellings of one person, others not under pressure or too long ago
+    flows = spark.createDataFrame([("a", "All goods", True), ("a", "8542", True), ("b", "8542", False)], "k string, hs string, flagged boolean")
+    assert rows(signals.trade_signals(flows, "hs", "All goods").select("n", "severity")) == [(1, "watch")]
+    assert signals.trade_signals(flows.where("hs = 'All goods'"), "hs", "All goods").count() == 0
 
 
 def test_reports():
