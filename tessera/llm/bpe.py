@@ -28,8 +28,8 @@ from pyspark.sql import DataFrame
 from .common import append_columns
 
 #: Words that each worker keeps encoded; beyond it the table starts anew.
-KEPT_WORDS = 400_000
-KEPT_PAIRS = 400_000
+KEPT_WORDS = 200_000
+KEPT_PAIRS = 200_000
 #: Ids that are decoded at once.
 DECODED_AT_ONCE = 500_000
 #: The Unicode white space that the vocabularies' normalizer folds. str.split() knows the four others of ODD too.

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-import tempfile
+import functools
 import uuid
 from collections.abc import Callable
 
@@ -11,19 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..session import ship, table  # noqa: F401  (table: for the queries)
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share, as the cluster names it in spark.checkpoint.dir.
-
-    Only where that setting is absent (tests, a single machine) a folder of this machine is made and set.
-    """
-    found = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
-    if not found:
-        found = "file://" + tempfile.mkdtemp(prefix="tessera-")
-        spark.conf.set("spark.checkpoint.dir", found)
-    return found.rstrip("/")
+from ..session import shared_dir, ship, table  # noqa: F401  (table: for the queries)
 
 
 def scratch(spark: SparkSession, what: str) -> str:
@@ -53,13 +41,32 @@ def delete(spark: SparkSession, path: str) -> None:
     p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
 
 
+def give_back() -> None:
+    """Returns freed memory to the system: Python workers are kept, and later stages need it."""
+    import ctypes
+
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):  # another C library
+        pass
+
+
 def append_columns(df: DataFrame, inputs: list[str], fn: Callable[..., pa.StructArray], fields: str) -> DataFrame:
     """df with the struct fields that fn makes from the input columns; its own columns stay in the JVM.
 
     Columns of df with the name of a new field are replaced (names compare as Spark compares them).
     """
     ship(df.sparkSession)
-    out = F.arrow_udf(fn, fields)
+
+    @functools.wraps(fn)
+    def run(*columns: pa.Array) -> pa.Array:
+        try:
+            return fn(*columns)
+        finally:
+            give_back()
+
+    out = F.arrow_udf(run, fields)
     new = [f.name for f in T._parse_datatype_string(fields).fields]
     kept = [c for c in df.columns if c.lower() not in {n.lower() for n in new}]
     inner = [f"c{i}" for i in range(len(kept))]

@@ -63,7 +63,9 @@ def trigrams(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
     folded = [b" " + b" ".join((t or "").encode().translate(FOLD).split()) + b"  " for t in texts]
     size = np.array([len(f) for f in folded]) if folded else np.zeros(0, np.int64)
     b = np.frombuffer(b"".join(folded) + b"  ", np.uint8).astype(np.uint32)
-    h = b[:-2] * np.uint32(0x9E3779B1) + b[1:-1] * np.uint32(0x85EBCA6B) + b[2:] * np.uint32(0xC2B2AE35)
+    third = b[2:].copy()
+    third[np.cumsum(size) - 1] = 0x20  # not the first letter of the next text
+    h = b[:-2] * np.uint32(0x9E3779B1) + b[1:-1] * np.uint32(0x85EBCA6B) + third * np.uint32(0xC2B2AE35)
     h ^= h >> np.uint32(15)
     h *= np.uint32(0x2C1B3C6D)
     return (h >> np.uint32(32 - BITS)).astype(np.int32), size

@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import append_columns, own_names, spread_join, written
+from .common import append_columns, give_back, own_names, spread_join, written
 from .components import components
 
 RADIUS = 2
@@ -262,7 +262,6 @@ def sketched(docs: DataFrame, text_col: str = "text", shingle: int = NEAR_SHINGL
 
     def run(texts: pa.Array) -> pa.Array:
         prints, keys, nodes = sketches(texts.to_pylist(), shingle)
-        _give_back()
         lists = pa.ListArray.from_arrays(np.arange(0, keys.size + 1, BANDS, dtype=np.int32), keys.ravel())
         return pa.StructArray.from_arrays([pa.array(prints.view(np.int64)), lists, pa.array(nodes)], ["print", "bands", "node"])
 
@@ -428,22 +427,11 @@ def _verified(similarity: float):
         if len(nodes) > 1:
             yield from out(nodes, sets)
         del nodes, sets
-        _give_back()
+        give_back()
 
     return run
 
 
-def _give_back() -> None:
-    """Returns freed memory to the system: workers are kept, and later stages need it."""
-    import ctypes
-
-    pa.default_memory_pool().release_unused()
-    try:
-        ctypes.CDLL("libc.so.6").malloc_trim(0)
-    except (OSError, AttributeError):  # another C library
-        pass
-
-
 def _links(docs: DataFrame, clusters: DataFrame, similarity: float, shingle: int) -> DataFrame:
     """Edges (a, b) of texts of a cluster of candidates that join all of the exact similarity. docs: doc_id, __text; clusters: node, least, component."""
 

@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .bpe import KEPT_WORDS, PLAIN, PLAIN_TOKENS, Kept, by_words, words
+from .bpe import PLAIN, PLAIN_TOKENS, Kept, by_words, words
 from .common import scratch, upload
 
 MAGIC = b"TSPFOR1\0"
@@ -36,6 +36,8 @@ PERCENTILE = 90
 #: Ids in a file, beyond which the next document starts another one.
 FILE_IDS = 4_000_000
 TEXTS_AT_ONCE = 64
+#: Words, and pieces of words, that each worker keeps encoded.
+KEPT_WORDS = 400_000
 #: Bytes of text for a task.
 TASK_BYTES = 32 << 20
 

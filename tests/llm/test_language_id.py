@@ -107,3 +107,8 @@ def test_ties_of_won_pairs_go_to_the_first_name():
     none = (np.zeros(1 << L.BITS, np.float32), 0.0)
     model = L.Model([["c", "a", "b"]], [], {("c", "a"): none, ("c", "b"): none, ("a", "b"): none})
     assert model.predict(["some text"])[0] == ["a"]
+
+
+def test_a_text_is_read_alike_whatever_comes_after_it():
+    h, size = L.trigrams(["one text", "zz", "another"])
+    assert (h[: size[0]] == L.trigrams(["one text", "another"])[0][: size[0]]).all() and (h[: size[0]] == L.trigrams(["one text"])[0][: size[0]]).all()
