@@ -230,6 +230,14 @@ def neardup_minhash(spark: SparkSession, sf: str) -> DataFrame:
     return near_duplicates.near_mirrors(table(spark, sf, "documents").select("doc_id", "text"), "doc_id", "text")
 
 
+@query("dedup_gate")
+def dedup_gate(spark: SparkSession, sf: str) -> DataFrame:
+    """Mirrors of a language's documents within a day; every tenth document is mapped already."""
+    id_ = F.col("doc_id")
+    docs = table(spark, sf, "documents").select("doc_id", "text", F.coalesce("lang", F.lit("none")).alias("lang"), F.date_add(F.lit("2024-01-01").cast("date"), (id_ % 4).cast("int")).alias("day"), (id_ % 10 == 0).alias("mapped"))
+    return near_duplicates.gate(docs, "doc_id", "text", "day", "lang", "mapped")
+
+
 @query("shingle_jaccard_pairs")
 def shingle_jaccard_pairs(spark: SparkSession, sf: str) -> DataFrame:
     return near_duplicates.shingle_pairs(table(spark, sf, "documents").select("doc_id", "text"), "doc_id", "text")

@@ -1,5 +1,6 @@
 """Operators on small tables, with the behaviours that the inventory names."""
 
+import random
 from datetime import datetime
 
 import numpy as np
@@ -67,6 +68,46 @@ def test_documents_without_text_are_their_own(spark):
     assert rows(near_duplicates.near_mirrors(df, "id", "t")) == want
 
 
+def gate_one_by_one(docs, threshold=0.7):
+    """The rule of the gate, document after document."""
+    rows_ = near_duplicates.HASHES // near_duplicates.BANDS
+    accepted, out = [], {}
+    for key, text, day, cell, ref in sorted(docs, key=lambda d: (not d[4], d[0])):
+        squeezed = " ".join(text.split())
+        words = "".join(c if c.isalnum() or c == " " else " " for c in text.lower()).split()
+        sig = near_duplicates.signature(near_duplicates.runs_of(words))
+        near = [a for a in accepted if a[3] == cell and abs((a[2] - day).days) <= 1]
+        hit = next((a for a in near if a[1] == squeezed), None)
+        if hit and not ref:
+            out[key] = (hit[0], "exact")
+            continue
+        found = None
+        for b in range(near_duplicates.BANDS):
+            part = slice(b * rows_, (b + 1) * rows_)
+            found = found or next((a for a in near if (a[4][part] == sig[part]).all() and (a[4] == sig).mean() >= threshold), None)
+        if found and not ref:
+            out[key] = (found[0], "minhash")
+        else:
+            out[key] = (key, "canonical")
+            accepted.append((key, squeezed, day, cell, sig))
+    return out
+
+
+def test_gate_against_one_by_one(spark):
+    rng = random.Random(9)
+    word = lambda: "".join(rng.choices("abcdefgh", k=4))
+    base, docs = [[word() for _ in range(40)] for _ in range(5)], []
+    for k in range(150):
+        own = list(rng.choice(base))
+        for _ in range(rng.choice([0, 0, 1, 2, 4, 8])):
+            own[rng.randrange(40)] = word()
+        docs.append((k, rng.choice([" ", "  "]).join(own), datetime(2024, 1, 1 + rng.randint(0, 4)).date(), rng.choice(["ru", "ua"]), rng.random() < 0.1))
+    df = spark.createDataFrame(docs, "id int, t string, d date, cell string, ref boolean")
+    found = near_duplicates.gate(df, "id", "t", "d", "cell", "ref").collect()
+    assert {r.id: (r.canonical, r.method) for r in found} == gate_one_by_one(docs)
+    assert near_duplicates.gate(df.limit(0), "id", "t", "d", "cell", "ref").count() == 0
+
+
 def test_stars_do_not_chain():
     t = lambda s: set(s.split())
     chain = [t("a b c d"), t("b c d e"), t("c d e f"), t("d e f g")]
