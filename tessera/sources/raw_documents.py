@@ -8,7 +8,7 @@ from html import unescape
 from xml.etree import ElementTree
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -150,3 +150,57 @@ def ingest(table: DataFrame, batch: DataFrame) -> DataFrame:
     key = content_hash(F.col("adapter"), F.col("external_id"), F.col("title"), F.col("content"))
     hashed = batch.withColumn("content_hash", key)
     return insert_ignore(table, hashed, ["content_hash"], [F.col("published_at").asc_nulls_last(), F.col("external_id")])
+
+
+def write_lines(df: DataFrame, path: str, mode: str = "append") -> None:
+    """Records as lines of JSON, added to what is there."""
+    df.write.mode(mode).json(path)
+
+
+def since_marks(messages: DataFrame, marks: DataFrame, channel: str = "channel", number: str = "message_id") -> DataFrame:
+    """Messages above their channel's mark (channel, high_mark); channels without a mark give all."""
+    m = marks.select(F.col(channel).alias("__c"), F.col("high_mark").alias("__m"))
+    known = messages.join(m, F.lower(F.col(channel)) == F.lower("__c"), "left")
+    return known.where(F.col("__m").isNull() | (F.col(number) > F.col("__m"))).drop("__c", "__m")
+
+
+def search_batches(names: list[str], since: int, size: int = 20) -> list[str]:
+    """Search questions for the posts of some accounts each since a time."""
+    return [f"({' OR '.join(f'from:{n}' for n in names[k : k + size])}) since_time:{since}" for k in range(0, len(names), size)]
+
+
+#: The two shapes in which the search gives posts.
+_POSTS = "tweets array<struct<id: string, text: string, createdAt: string, author: struct<userName: string>>>, data struct<tweets: array<struct<id: string, text: string, createdAt: string, author: struct<userName: string>>>>, next_cursor string, has_next_page boolean"
+
+
+def posts(pages: DataFrame, raw: str = "raw") -> DataFrame:
+    """id, text, created_at, author of pages of a post search, in either shape; repeated posts once."""
+    page = F.from_json(raw, _POSTS)
+    found = pages.select(F.explode(F.coalesce(page.getField("tweets"), page.getField("data").getField("tweets"))).alias("p"))
+    return found.select("p.id", "p.text", F.col("p.createdAt").alias("created_at"), F.lower("p.author.userName").alias("author")).where("id is not null and text <> ''").dropDuplicates(["id"])
+
+
+#: How result rows of procurement pages are marked.
+_ROW = r'(?=<div[^>]*class="[^"]*(?:search-registry-entry-block|registry-entry__block))'
+_NUMBER = r'(?is)<a[^>]*href="([^"]*regNumber[^"]*)"[^>]*>(.*?)</a>'
+_SUBJECT = r'(?is)class="[^"]*registry-entry__body-value[^"]*"[^>]*>(.*?)</'
+
+
+def tenders(pages: DataFrame, base: str, html: str = "html") -> DataFrame:
+    """number, url, title of the result rows of procurement pages; rows without a number and a subject are left out."""
+    plain = lambda c: F.trim(F.regexp_replace(F.regexp_replace(c, r"(?s)<[^>]+>", " "), r"\s+", " "))
+    rows = pages.select(F.explode(F.split(html, _ROW)).alias("r")).where(F.col("r").rlike(r'^<div[^>]*class="[^"]*(?:search-registry-entry-block|registry-entry__block)'))
+    number, href, subject = plain(F.regexp_extract("r", _NUMBER, 2)), F.regexp_extract("r", _NUMBER, 1), plain(F.regexp_extract("r", _SUBJECT, 1))
+    found = rows.select(number.alias("number"), F.when(href.startswith("http"), href).otherwise(F.concat(F.lit(base), href)).alias("url"), subject.alias("subject")).where("number <> '' or subject <> ''")
+    return found.select("number", "url", F.when(F.col("subject") != "", F.substring("subject", 1, 300)).otherwise(F.concat(F.lit("Tender "), "number")).alias("title"))
+
+
+def cached_name(url: Column) -> Column:
+    """The name of the file that keeps a fetched page."""
+    return F.concat(F.sha1(url), F.lit(".html"))
+
+
+def cached_pages(spark: SparkSession, folder: str) -> DataFrame:
+    """name, html of a folder of fetched pages."""
+    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.html").load(folder)
+    return files.select(F.element_at(F.split("path", "/"), -1).alias("name"), F.decode("content", "UTF-8").alias("html"))
