@@ -14,6 +14,8 @@ REPUTATIONAL = r"(?i)\b(corrupt|briber|embezzl|fraud|launder|crimin|prosecut|ind
 ATTRIBUTED = (
     r"(?i)\b(claims?|claimed|says?|said|stated?|announced?|reports?|reported(?:ly)?|according to|alleged(?:ly)?|denies|denied|asserts?|asserted|purported(?:ly)?|suggests?|suggested|unverified|unconfirmed)\b|^sources?\b"
 )
+#: Classes that are disputed, with what is put before such claims.
+LABELS = {"claimed": "Sources claim:", "unverified": "Unverified reporting:", "unknown": "Unverified reporting:"}
 #: A disputed allegation against a person needs so many documents.
 LEAST_DOCUMENTS = 2
 #: A rerank that gives fewer than half the ids asked for isn't used; answers keep so many claims at least.
@@ -28,7 +30,7 @@ def governed(text: Column) -> Column:
 
 def publication(text: Column, names_person: Column, hedging: Column, documents: Column) -> Column:
     """drop, attribute or publish: disputed harmful allegations need documents, other disputed ones an attribution that governs."""
-    disputed = ~hedging.isin("confirmed")
+    disputed = hedging.isin(*LABELS)
     return (
         F.when(names_person & disputed & text.rlike(REPUTATIONAL) & (documents < LEAST_DOCUMENTS), "drop")
         .when(names_person & disputed & text.rlike(ALLEGATION) & ~governed(text), "attribute")
@@ -72,3 +74,69 @@ def gate(old: DataFrame, new: DataFrame, recall_points: float = 15.0, honesty: f
 def cells(countries: DataFrame, tracks: str = "tracks") -> DataFrame:
     """Each country with each track that it is configured for."""
     return countries.select("country", F.explode(tracks).alias("track"))
+
+
+#: Words that ask for another theater, time or actor than a conversation's evidence has.
+THEATERS = {"ru": r"(?i)\brussia|russian\b", "ua": r"(?i)\bukraine|ukrainian\b", "ir": r"(?i)\biran|iranian\b", "il": r"(?i)\bisrael|israeli\b"}
+TIMES = (
+    r"(?i)\b(?:january|february|march|april|june|july|august|september|october|november|december)\b|\b(?:in|last|this|early|late|since|during|until|through)\s+may\b|"
+    r"\b\d{4}-\d{2}-\d{2}\b|\b(?:yesterday|today|last week|this week|past \d+ days?)\b"
+)
+ACTORS = r"\b[A-Z][a-z][\p{L}'’-]+(?: [A-Z][\p{L}'’-]+)?\b"
+LEADING = "What Which Who When Where How Why Did Does Has Have Was Were Is Are The Can Could Would".split()
+
+
+def followup_scope(question: Column, theaters: Column, evidence: Column) -> Column:
+    """Whether a further question is answered from the evidence at hand (its theaters, an array, and its text): new, expand or reuse."""
+    other = F.lit(False)
+    for name, words in THEATERS.items():
+        other = other | (question.rlike(words) & ~F.coalesce(F.array_contains(theaters, name), F.lit(False)))
+    actors = F.regexp_extract_all(question, F.lit(ACTORS), F.lit(0))
+    leads = lambda a: F.substring_index(a, " ", 1).isin(LEADING)
+    own = F.filter(F.transform(actors, lambda a: F.when(leads(a), F.when(a.contains(" "), F.regexp_replace(a, r"^\S+ ", ""))).otherwise(a)), lambda a: a.isNotNull())
+    unknown = F.exists(own, lambda a: ~F.contains(F.lower(evidence), F.lower(a)))
+    return F.when(other, "new").when(question.rlike(TIMES) | unknown, "expand").otherwise("reuse")
+
+
+def refusal(apply: Column, acknowledged: Column, complete: Column, covered_from: Column, covered_to: Column, first: Column, last: Column) -> Column:
+    """Why days (first to last, both included) may not be made again yet, or null: the first condition that fails. complete is null without a checkpoint."""
+    return (
+        F.when(~apply, F.lit(None).cast("string"))
+        .when(~acknowledged, "not acknowledged")
+        .when(complete.isNull(), "no checkpoint")
+        .when(~complete, "not complete")
+        .when(first.isNull() | last.isNull(), "invalid dates")
+        .when((covered_from > first) | (covered_to < F.date_add(last, 1)), "not covered")
+    )
+
+
+def guarded(claims: DataFrame, titles: DataFrame) -> DataFrame:
+    """event, title, claims, dropped and rule (rebuilt, labelled, kept) of events (event, title) with their claims (event, claim, text, hedging,
+    documents, person).
+
+    Claims that publication() drops are gone, and those it attributes get a label. An event with a disputed allegation, kept or dropped, gets the text of
+    its longest claim as title, with a label where that is disputed and not attributed; one of disputed claims only, whose title has no
+    attribution, gets a label. Events without claims are gone.
+    """
+    disputed = F.col("hedging").isin(*LABELS)
+    label = F.when(F.col("hedging") == "claimed", LABELS["claimed"]).otherwise(LABELS["unknown"])
+    allegation = disputed & F.col("person") & F.col("text").rlike(ALLEGATION)
+    verdict = publication(F.col("text"), F.col("person"), F.col("hedging"), F.col("documents"))
+    said = F.when(verdict == "attribute", F.concat_ws(" ", label, "text")).otherwise(F.col("text"))
+    rows = claims.select("event", "claim", "hedging", disputed.alias("disputed"), allegation.alias("allegation"), verdict.alias("verdict"), said.alias("text"))
+    copy = F.when(F.col("disputed") & ~governed(F.col("text")), F.concat_ws(" ", label, "text")).otherwise(F.col("text"))
+    stays = F.col("verdict") != "drop"
+    found = rows.groupBy("event").agg(
+        F.sort_array(F.collect_list(F.when(stays, F.col("claim")))).alias("claims"),
+        F.count_if(~stays).alias("dropped"),
+        F.bool_or("allegation").alias("bad"),
+        F.bool_and(F.when(stays, F.col("disputed"))).alias("open"),
+        F.bool_or(stays & (F.col("hedging") == "claimed")).alias("claimed"),
+        F.max_by(copy, F.when(stays, F.struct(F.length("text"), -F.col("claim")))).alias("copy"),
+    )
+    attributed = F.col("title").rlike(ATTRIBUTED)
+    rule = F.when(F.col("bad"), "rebuilt").when(F.col("open") & ~attributed, "labelled").otherwise("kept")
+    whole = F.when(F.col("claimed"), LABELS["claimed"]).otherwise(LABELS["unknown"])
+    title = F.when(rule == "rebuilt", F.col("copy")).when(rule == "labelled", F.concat_ws(" ", whole, "title")).otherwise(F.col("title"))
+    some = found.where(F.size("claims") > 0).join(titles, "event")
+    return some.select("event", title.alias("title"), "claims", "dropped", rule.alias("rule"))

@@ -25,18 +25,25 @@ def majority(votes: DataFrame, keys: list[str], choice: str) -> DataFrame:
     return counts.withColumn("__k", k).where(F.col("votes") >= F.floor(F.col("__k") / 2) + 1).select(*keys, choice, "votes")
 
 
-def best_match(left: DataFrame, right: DataFrame, left_id: str, right_id: str, tokens: str, score: Column, least: float) -> DataFrame:
+def best_match(left: DataFrame, right: DataFrame, left_id: str, right_id: str, tokens: str, score: Column, least: float, share: float = 0.0) -> DataFrame:
     """For each left row the right row of the best score (ties: the smaller id) of at least `least`.
 
     Rows without a shared token can't score, so candidates meet in an inverted index instead of a cross join. score is an
-    expression over shared, left_size and right_size.
+    expression over shared, left_size and right_size. Where a score of `least` needs a share of the left tokens, only so many of the rarest ones
+    must meet that one of them is shared, so frequent tokens, which very many rows have, are left out.
     """
-    a = left.select(left_id, F.size(tokens).alias("left_size"), F.explode(F.array_distinct(tokens)).alias("t"))
-    b = right.select(right_id, F.size(tokens).alias("right_size"), F.explode(F.array_distinct(tokens)).alias("t"))
-    met = a.join(b, "t").groupBy(left_id, right_id, "left_size", "right_size").agg(F.count("*").alias("shared"))
+    a = left.select(left_id, F.array_distinct(tokens).alias("l_tokens"), F.size(tokens).alias("left_size"))
+    b = right.select(right_id, F.array_distinct(tokens).alias("r_tokens"), F.size(tokens).alias("right_size"))
+    own = a.select(left_id, F.explode("l_tokens").alias("t"), F.size("l_tokens").alias("n"))
+    theirs = b.select(right_id, F.explode("r_tokens").alias("t"))
+    df = theirs.join(own.select("t").distinct(), "t", "left_semi").groupBy("t").agg(F.count("*").alias("df"))
+    rarest = F.array_sort(F.collect_list(F.struct(F.coalesce("df", F.lit(0)).alias("df"), "t")))
+    ranked = own.join(df, "t", "left").groupBy(left_id, "n").agg(rarest.alias("o"))
+    prefix = ranked.select(left_id, F.explode(F.slice("o", F.lit(1), F.col("n") - F.greatest(F.ceil(F.col("n") * share), F.lit(1)).cast("int") + 1)).alias("p")).select(left_id, F.col("p.t").alias("t"))
+    pairs = prefix.join(theirs, "t").select(left_id, right_id).distinct()
+    met = pairs.join(a, left_id).join(b, right_id).withColumn("shared", F.size(F.array_intersect("l_tokens", "r_tokens")).cast("bigint"))
     scored = met.withColumn("score", score).where(F.col("score") >= least)
-    best = Window.partitionBy(left_id).orderBy(F.desc("score"), right_id)
-    return scored.withColumn("__rn", F.row_number().over(best)).where("__rn = 1").select(left_id, right_id, "score")
+    return scored.groupBy(left_id).agg(F.min_by(F.struct(right_id, "score"), F.struct(-F.col("score"), right_id)).alias("m")).select(left_id, f"m.{right_id}", "m.score")
 
 
 def coverage(takeaways: DataFrame, matches: DataFrame, key: str) -> DataFrame:

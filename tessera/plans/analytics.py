@@ -196,27 +196,27 @@ def hedging_rules(spark: SparkSession, sf: str) -> DataFrame:
 @query(
     "composite_scores",
     """
-    SELECT o_orderkey, round(coalesce(CASE WHEN o_orderkey % 3 <> 0 THEN o_totalprice / 500000 END, 0.55) * CASE WHEN o_orderkey % 5 = 0 THEN 0.25 ELSE pow(0.5, greatest(date_diff('day', CAST(o_orderdate AS DATE), DATE '1998-06-01'), 0) / 30) END
-      * (0.5 + 0.5 * coalesce(CASE o_orderstatus WHEN 'F' THEN 0.9 WHEN 'O' THEN 0.2 END, 0.5)), 6) AS score FROM orders""",
+    SELECT o_orderkey, round(coalesce(CASE WHEN o_orderkey % 3 <> 0 THEN o_totalprice / 499979 END, 0.55) * CASE WHEN o_orderkey % 5 = 0 THEN 0.25 ELSE pow(0.5, greatest(date_diff('day', CAST(o_orderdate AS DATE), DATE '1998-06-01'), 0) / 30) END
+      * (0.5 + 0.5 * coalesce(CASE o_orderstatus WHEN 'F' THEN 0.9 WHEN 'O' THEN 0.2 END, 0.5)), 5) AS score FROM orders""",
 )
 def composite_scores(spark: SparkSession, sf: str) -> DataFrame:
     k = F.col("o_orderkey")
-    found = scores.composite(F.when(k % 3 != 0, F.col("o_totalprice") / 500000), F.when(k % 5 != 0, F.to_date("o_orderdate")), F.when(F.col("o_orderstatus") == "F", 0.9).when(F.col("o_orderstatus") == "O", 0.2), F.lit("1998-06-01").cast("date"))
-    return table(spark, sf, "orders").select("o_orderkey", F.round(found, 6).alias("score"))
+    found = scores.composite(F.when(k % 3 != 0, F.col("o_totalprice") / 499979), F.when(k % 5 != 0, F.to_date("o_orderdate")), F.when(F.col("o_orderstatus") == "F", 0.9).when(F.col("o_orderstatus") == "O", 0.2), F.lit("1998-06-01").cast("date"))
+    return table(spark, sf, "orders").select("o_orderkey", F.round(found, 5).alias("score"))
 
 
 @query(
     "profile_scores",
     """
     SELECT event_id, round((CASE event_type WHEN 'error' THEN 1.8 WHEN 'purchase' THEN 1.4 ELSE 0.6 END) * (CASE event_id % 3 WHEN 0 THEN 1.5 WHEN 1 THEN 1.0 ELSE 0.7 END) * greatest(CASE event_id % 2 WHEN 0 THEN 1.2 ELSE 0.8 END, CASE event_id % 5 WHEN 0 THEN 1.3 ELSE 0.5 END)
-      * (1 + ln(1 + event_id % 7)) * (0.5 + coalesce(CASE WHEN event_id % 4 <> 0 THEN value / 200 END, 0.4)) * (0.4 + 0.6 * CASE WHEN event_id % 11 = 0 THEN 0.5 WHEN ts > TIMESTAMP '2024-01-20 00:00:00' THEN 1.0 ELSE pow(0.5, date_diff('microsecond', ts, TIMESTAMP '2024-01-20 00:00:00') / 3.6e9 / 48) END), 4) AS score FROM events""",
+      * (1 + ln(1 + event_id % 7)) * (0.5 + coalesce(CASE WHEN event_id % 4 <> 0 THEN value / 197 END, 0.4)) * (0.4 + 0.6 * CASE WHEN event_id % 11 = 0 THEN 0.5 WHEN ts > TIMESTAMP '2024-01-20 00:00:00' THEN 1.0 ELSE pow(0.5, date_diff('microsecond', ts, TIMESTAMP '2024-01-20 00:00:00') / 3.6e9 / 48) END), 4) AS score FROM events""",
 )
 def profile_scores(spark: SparkSession, sf: str) -> DataFrame:
     i, kind = F.col("event_id"), F.col("event_type")
     track = F.when(kind == "error", 1.8).when(kind == "purchase", 1.4).otherwise(0.6)
     sort = F.when(i % 3 == 0, 1.5).when(i % 3 == 1, 1.0).otherwise(0.7)
     platforms = F.array(F.when(i % 2 == 0, 1.2).otherwise(0.8), F.when(i % 5 == 0, 1.3).otherwise(0.5))
-    score = scores.profile_score(track, sort, F.array_max(platforms), i % 7, F.when(i % 4 != 0, F.col("value") / 200), F.when(i % 11 != 0, F.col("ts")), F.lit("2024-01-20 00:00:00").cast("timestamp_ntz"), 48)
+    score = scores.profile_score(track, sort, F.array_max(platforms), i % 7, F.when(i % 4 != 0, F.col("value") / 197), F.when(i % 11 != 0, F.col("ts")), F.lit("2024-01-20 00:00:00").cast("timestamp_ntz"), 48)
     return table(spark, sf, "events").select("event_id", F.round(score, 4).alias("score"))
 
 
@@ -259,7 +259,7 @@ _STOP_SQL = ", ".join(f"'{w}'" for w in text.STOPWORDS)
 def best_match_takeaway(spark: SparkSession, sf: str) -> DataFrame:
     items = table(spark, sf, "benchmark").select("item_id", text.token_set(F.col("text")).alias("t"))
     docs = table(spark, sf, "documents").select("doc_id", text.token_set(F.col("text")).alias("t"))
-    return validation.best_match(items, docs, "item_id", "doc_id", "t", F.round(F.col("shared") / F.col("left_size"), 6), 0.6)
+    return validation.best_match(items, docs, "item_id", "doc_id", "t", F.round(F.col("shared") / F.col("left_size"), 6), 0.6, 0.6)
 
 
 @query("star_clusters")

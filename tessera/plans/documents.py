@@ -108,5 +108,5 @@ def stream_dedupe(spark: SparkSession, sf: str) -> DataFrame:
 
 @query("stream_high_marks", "SELECT user_id, max(event_id) AS high_mark, count(*) AS n FROM events GROUP BY user_id")
 def stream_high_marks(spark: SparkSession, sf: str) -> DataFrame:
-    marks = incremental.high_marks(_events(spark, sf), "user_id", "event_id")
-    return incremental.run_available(marks, f"marks_{uuid.uuid4().hex}", _checkpoint(spark), "complete")
+    to = _checkpoint(spark)
+    return incremental.marks_available(_events(spark, sf), "user_id", "event_id", f"{to}/rows", f"{to}/checkpoint")

@@ -150,18 +150,18 @@ def quote_verification(spark: SparkSession, sf: str) -> DataFrame:
 @query(
     "session_history",
     """
-    SELECT conv_id, string_agg(concat(role, ': ', substring(text, 1, 40)), ' | ' ORDER BY turn, role, text) AS history, max(turn) AS last_turn
+    SELECT conv_id, string_agg(concat(role, ': ', substring(text, 1, 200)), ' | ' ORDER BY turn, role, text) AS history, max(turn) AS last_turn
     FROM conversations WHERE text IS NOT NULL GROUP BY conv_id""",
 )
 def session_history(spark: SparkSession, sf: str) -> DataFrame:
     turns = table(spark, sf, "conversations").where("text is not null")
     items = F.sort_array(F.collect_list(F.struct("turn", "role", "text")))
     grouped = turns.groupBy("conv_id").agg(items.alias("items"), F.max("turn").alias("last_turn"))
-    lines = F.transform("items", lambda x: F.concat(x.getField("role"), F.lit(": "), F.substring(x.getField("text"), 1, 40)))
+    lines = F.transform("items", lambda x: F.concat(x.getField("role"), F.lit(": "), F.substring(x.getField("text"), 1, 200)))
     return grouped.select("conv_id", F.array_join(lines, " | ").alias("history"), "last_turn")
 
 
-@query("running_health", "SELECT event_type, event_id, CAST(sum(CASE WHEN value > 80 THEN 1 ELSE 0 END) OVER (PARTITION BY event_type ORDER BY event_id) AS BIGINT) AS episodes FROM events WHERE event_type = 'error'")
+@query("running_health", "SELECT user_id, event_id, CAST(sum(CASE WHEN value > 80 THEN 1 ELSE 0 END) OVER (PARTITION BY user_id ORDER BY event_id) AS BIGINT) AS episodes FROM events WHERE event_type = 'error'")
 def running_health(spark: SparkSession, sf: str) -> DataFrame:
-    w = Window.partitionBy("event_type").orderBy("event_id").rowsBetween(Window.unboundedPreceding, 0)
-    return table(spark, sf, "events").where("event_type = 'error'").select("event_type", "event_id", F.sum(F.when(F.col("value") > 80, 1).otherwise(0)).over(w).alias("episodes"))
+    w = Window.partitionBy("user_id").orderBy("event_id").rowsBetween(Window.unboundedPreceding, 0)
+    return table(spark, sf, "events").where("event_type = 'error'").select("user_id", "event_id", F.sum(F.when(F.col("value") > 80, 1).otherwise(0)).over(w).alias("episodes"))

@@ -319,12 +319,12 @@ def keyset_resume(spark: SparkSession, sf: str) -> DataFrame:
 
 @query(
     "systematic_sample",
-    "SELECT o_orderkey FROM (SELECT o_orderkey, row_number() OVER (ORDER BY o_orderkey) - 1 AS i FROM orders WHERE o_orderpriority = '1-URGENT') WHERE i % 10 = 0 ORDER BY o_orderkey LIMIT 100",
+    "SELECT o_orderkey FROM (SELECT o_orderkey, row_number() OVER (ORDER BY o_orderkey) - 1 AS i FROM orders) WHERE i % 100 = 0 ORDER BY o_orderkey LIMIT 100",
 )
 def systematic_sample(spark: SparkSession, sf: str) -> DataFrame:
     from ..operators.sampling import every_nth
 
-    return every_nth(table(spark, sf, "orders").where("o_orderpriority = '1-URGENT'").select("o_orderkey"), "o_orderkey", 10).orderBy("o_orderkey").limit(100)
+    return every_nth(table(spark, sf, "orders").select("o_orderkey"), "o_orderkey", 100).orderBy("o_orderkey").limit(100)
 
 
 @query(
@@ -441,12 +441,12 @@ def set_difference(spark: SparkSession, sf: str) -> DataFrame:
 
 @query(
     "roster_union",
-    "SELECT lower(s_name) AS name, 'curated' AS origin FROM supplier WHERE s_suppkey <= 20 UNION ALL SELECT DISTINCT lower(s_name), 'registry' FROM supplier WHERE s_suppkey % 3 = 0 AND lower(s_name) NOT IN (SELECT lower(s_name) FROM supplier WHERE s_suppkey <= 20)",
+    "SELECT lower(s_name) AS name, 'curated' AS origin FROM supplier WHERE s_suppkey <= 20 UNION ALL SELECT DISTINCT lower(s_name), 'registry' FROM supplier WHERE lower(s_name) NOT IN (SELECT lower(s_name) FROM supplier WHERE s_suppkey <= 20)",
 )
 def roster_union(spark: SparkSession, sf: str) -> DataFrame:
     names = table(spark, sf, "supplier").select("s_suppkey", F.lower("s_name").alias("name"))
     curated = names.where("s_suppkey <= 20").select("name")
-    rest = names.where("s_suppkey % 3 = 0").select("name").distinct().join(curated, "name", "left_anti")
+    rest = names.select("name").distinct().join(curated, "name", "left_anti")
     return curated.withColumn("origin", F.lit("curated")).unionByName(rest.withColumn("origin", F.lit("registry")))
 
 
@@ -458,13 +458,13 @@ def null_safe_distinct(spark: SparkSession, sf: str) -> DataFrame:
 @query(
     "majority_vote",
     """
-    WITH v AS (SELECT user_id, event_type, count(*) AS votes, sum(count(*)) OVER (PARTITION BY user_id) AS k FROM events GROUP BY 1, 2)
-    SELECT user_id, event_type, votes FROM v WHERE votes >= floor(k / 2) + 1""",
+    WITH v AS (SELECT o_custkey, o_orderstatus, count(*) AS votes, sum(count(*)) OVER (PARTITION BY o_custkey) AS k FROM orders GROUP BY 1, 2)
+    SELECT o_custkey, o_orderstatus, votes FROM v WHERE votes >= floor(k / 2) + 1""",
 )
 def majority_vote(spark: SparkSession, sf: str) -> DataFrame:
     from ..operators.validation import majority
 
-    return majority(table(spark, sf, "events"), ["user_id"], "event_type")
+    return majority(table(spark, sf, "orders"), ["o_custkey"], "o_orderstatus")
 
 
 @query(

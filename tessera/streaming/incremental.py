@@ -6,7 +6,6 @@ from datetime import datetime, timedelta
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.types import StructType
 
 #: How far a poll reads back before its watermark, how far a first poll, and how far any.
@@ -41,15 +40,20 @@ def unknown_only(stream: DataFrame, known: DataFrame, key: str) -> DataFrame:
 
 
 def high_marks(rows: DataFrame, key: str, mark: str) -> DataFrame:
-    """Per key the largest mark and how many rows came; as a stream, in complete mode."""
+    """Per key the largest mark and how many rows came; as a stream, marks_available() merges them."""
     return rows.groupBy(key).agg(F.max(mark).alias("high_mark"), F.count("*").alias("n"))
 
 
-def run_available(stream: DataFrame, name: str, checkpoint: str, mode: str = "append") -> DataFrame:
-    """Runs a stream over all that is there now, and gives its result as a table of the session."""
-    query: StreamingQuery = stream.writeStream.outputMode(mode).format("memory").queryName(name).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
-    query.awaitTermination()
-    return stream.sparkSession.table(name)
+def marks_available(stream: DataFrame, key: str, mark: str, folder: str, checkpoint: str) -> DataFrame:
+    """high_marks() of what is there now: each batch's own marks are written, under the batch's number, and merged where they are read. A batch that is
+    repeated takes its own place, and no key is kept on the driver."""
+
+    def put(batch: DataFrame, number: int) -> None:
+        high_marks(batch, key, mark).write.mode("overwrite").parquet(f"{folder}/batch={number}")
+
+    stream.writeStream.foreachBatch(put).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
+    parts = stream.sparkSession.read.parquet(folder)
+    return parts.groupBy(key).agg(F.max("high_mark").alias("high_mark"), F.sum("n").alias("n"))
 
 
 def write_available(stream: DataFrame, folder: str, checkpoint: str, partition: str | None = None) -> None:
