@@ -238,7 +238,18 @@ def dedup_gate(spark: SparkSession, sf: str) -> DataFrame:
     return near_duplicates.gate(docs, "doc_id", "text", "day", "lang", "mapped")
 
 
-@query("shingle_jaccard_pairs")
+_NORMAL_SQL = r"trim(regexp_replace(regexp_replace(regexp_replace(lower(text), 'https?://\S+', ' ', 'g'), '[^\p{L}\p{N} ]', ' ', 'g'), ' +', ' ', 'g'))"
+
+
+@query(
+    "shingle_jaccard_pairs",
+    f"""
+    WITH f AS (SELECT min(doc_id) AS doc_id FROM documents WHERE text IS NOT NULL GROUP BY md5(trim(regexp_replace(text, '\\s+', ' ', 'g')))),
+    w AS (SELECT doc_id, list_filter(string_split({_NORMAL_SQL}, ' '), lambda x: x <> '') AS w FROM documents JOIN f USING (doc_id)),
+    s AS (SELECT doc_id, CASE WHEN len(w) >= 3 THEN list_distinct(list_transform(range(1, len(w) - 1), lambda i: concat(w[i], ' ', w[i + 1], ' ', w[i + 2]))) WHEN len(w) > 0 THEN [array_to_string(w, ' ')] ELSE [] END AS s FROM w),
+    u AS (SELECT doc_id, len(s) AS n, unnest(s) AS t FROM s), p AS (SELECT a.doc_id AS "left", b.doc_id AS "right", count(*) / (any_value(a.n) + any_value(b.n) - count(*)) AS j FROM u a JOIN u b ON a.t = b.t AND a.doc_id < b.doc_id GROUP BY 1, 2)
+    SELECT "left", "right", round(j, 6) AS jaccard FROM p WHERE round(j, 6) >= 0.7""",
+)
 def shingle_jaccard_pairs(spark: SparkSession, sf: str) -> DataFrame:
     return near_duplicates.shingle_pairs(table(spark, sf, "documents").select("doc_id", "text"), "doc_id", "text")
 
