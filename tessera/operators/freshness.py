@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -29,6 +31,15 @@ def period_end(label: Column) -> Column:
     return F.when(s.rlike(r"^\d{2}\.\d{2}\."), F.date_add(start, 1)).when(s.rlike(r"^20\d\d$"), F.add_months(start, 12)).otherwise(F.add_months(start, 1))
 
 
+def latest_period(page: Column, pattern: str) -> Column:
+    """The label on a page, of all that match the pattern (its first group, or all of it), that names the latest period; the first one where
+    none can be read."""
+    group = F.lit(1 if re.compile(pattern).groups else 0)
+    labels = F.transform(F.regexp_extract_all(page, F.lit(f"(?iu){pattern}"), group), lambda x: F.trim(x))
+    named = F.filter(F.transform(labels, lambda x, i: F.struct(period_start(x).alias("start"), (-i).alias("i"), x.alias("label"))), lambda x: x.getField("start").isNotNull())
+    return F.coalesce(F.array_max(named).getField("label"), F.get(F.filter(labels, lambda x: x != ""), 0))
+
+
 def series_status(http: Column, size: Column, period: Column, previous: Column, baseline: Column, cadence: Column, unchanged_days: Column, as_of: Column) -> Column:
     """classified, unreachable, gone, stale or ok: the first rule that holds."""
     parsed, stored = period_start(period), period_start(previous)

@@ -5,11 +5,14 @@ from __future__ import annotations
 import calendar
 import re
 from collections.abc import Iterator
+from html import unescape
 from html.parser import HTMLParser
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
+from ..functions.text import hedging, hedging_cue
 from ..session import ship
 
 _MONTHS = {calendar.month_name[i].lower(): i for i in range(1, 13)}
@@ -104,3 +107,53 @@ def parsed(pages: DataFrame, key: str, html: str) -> DataFrame:
             )
 
     return pages.select(key, html).mapInArrow(run, f"{key} {out_type}, title string, report_date string, items array<string>, paragraphs array<string>, links bigint")
+
+
+_HEADING = re.compile(r"(?is)<(h[1-4]|strong|b)\b[^>]*>(?:(?!</\1>).)*key takeaways(?:(?!</\1>).)*</\1>")
+_LABEL = re.compile(r'(?i)aria-label="[^"]*key takeaways[^"]*"')
+_LIST, _ITEM, _TAG = re.compile(r"(?is)<(ul|ol)\b[^>]*>(.*?)</\1>"), re.compile(r"(?is)<li\b[^>]*>(.*?)</li>"), re.compile(r"(?s)<[^>]+>")
+_NOTES = re.compile(r'(?is)<(\w+)[^>]*class="[^"]*endnote-accordion-content[^"]*"[^>]*>(.*?)</\1>')
+_NOTE = re.compile(r"^\s*\[\d{1,4}\]\s*https?://")
+
+
+def _said(html: str) -> str:
+    return " ".join(unescape(_TAG.sub(" ", html)).split())
+
+
+def takeaways(html: str | None) -> list[str]:
+    """The items of the first list after the heading that names the takeaways, or in a block that is labelled so; none without either."""
+    found = _HEADING.search(html or "") or _LABEL.search(html or "")
+    items = _LIST.search(html, found.end()) if found else None
+    return [t for t in map(_said, _ITEM.findall(items[2])) if t] if items else []
+
+
+def report(html: str | None) -> dict:
+    """title, report_date, takeaways, and the citations of a report: (endnote, url, the sentence before its marker)."""
+    html = html or ""
+    block = _NOTES.search(html)
+    parts = page_parts(_NOTES.sub(" ", html))
+    paragraphs = [p for p in parts["paragraphs"] if not (block is None and _NOTE.match(p))]
+    text = _said(block[2]) if block else "\n".join(p for p in parts["paragraphs"] if _NOTE.match(p))
+    contexts = marker_contexts(" ".join(paragraphs))
+    cited = [(n, url, contexts.get(n)) for n, urls in endnotes(text).items() for url in urls]
+    return {"title": parts["title"], "report_date": date_in_title(parts["title"]), "takeaways": takeaways(html), "citations": cited}
+
+
+def reports(pages: DataFrame, key: str, html: str) -> DataFrame:
+    """key, title, report_date, takeaways (array), citations (array of endnote, url, context, hedging, cue) and ok (a date and endnotes) of each page."""
+    ship(pages.sparkSession)
+    cited = pa.list_(pa.struct([("endnote", pa.int64()), ("url", pa.string()), ("context", pa.string())]))
+
+    def run(texts: pa.Array) -> pa.Array:
+        rows = [report(t.as_py()) for t in texts]
+        links = [[{"endnote": n, "url": u, "context": c} for n, u, c in r["citations"]] for r in rows]
+        return pa.StructArray.from_arrays(
+            [pa.array([r["title"] for r in rows], pa.string()), pa.array([r["report_date"] for r in rows], pa.string()), pa.array([r["takeaways"] for r in rows], pa.list_(pa.string())), pa.array(links, cited)],
+            ["title", "report_date", "takeaways", "citations"],
+        )
+
+    made = F.arrow_udf(run, "title string, report_date string, takeaways array<string>, citations array<struct<endnote: bigint, url: string, context: string>>")
+    rows = pages.select(key, made(F.col(html)).alias("r")).select(key, "r.*")
+    said = lambda c: F.coalesce(c.getField("context"), F.lit(""))
+    hedged = F.transform("citations", lambda c: F.struct(c.getField("endnote").alias("endnote"), c.getField("url").alias("url"), c.getField("context").alias("context"), hedging(said(c)).alias("hedging"), hedging_cue(said(c)).alias("cue")))
+    return rows.withColumn("citations", hedged).withColumn("ok", F.col("report_date").isNotNull() & (F.size("citations") > 0))

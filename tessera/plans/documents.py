@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import names, urls
-from ..operators import entities, html_reports, signals
+from ..operators import entities, freshness, html_reports, signals
 from ..session import shared_dir, table
 from ..streaming import incremental
 from .registry import query
@@ -25,6 +25,35 @@ def html_extract(spark: SparkSession, sf: str) -> DataFrame:
     return html_reports.parsed(table(spark, sf, "pages"), "page_id", "html")
 
 
+@query(
+    "page_reports",
+    "SELECT page_id, 'Update, May 3, 2024' AS title, '2024-05-03' AS report_date, ['Troops advance.', 'Quiet elsewhere.'] AS takeaways, CAST(3 AS INTEGER) AS citations, ['claimed', 'claimed', 'confirmed'] AS hedging, true AS ok FROM pages",
+)
+def page_reports(spark: SparkSession, sf: str) -> DataFrame:
+    """Pages made reports of: a dated heading, takeaways, two paragraphs with markers and their endnotes."""
+    dressed = F.concat(
+        F.lit("<h1>Update, May 3, 2024</h1><h2>Key Takeaways</h2><ul><li>Troops advance.</li><li>Quiet elsewhere.</li></ul><p>The ministry claimed it.[1] Geolocated footage shows it.[2]</p>"),
+        "html",
+        F.lit('<div class="endnote-accordion-content">[1] https://a.example/'),
+        F.col("page_id").cast("string"),
+        F.lit(" ; https://b.example [2] https://c.example</div>"),
+    )
+    found = html_reports.reports(table(spark, sf, "pages").select("page_id", dressed.alias("html")), "page_id", "html")
+    return found.select("page_id", "title", "report_date", "takeaways", F.size("citations").alias("citations"), F.transform("citations", lambda c: c.getField("hedging")).alias("hedging"), "ok")
+
+
+_LABELLED = [("данные за 01.02.2024 и 15.03.2024, и 31.02.2024",), ("январь 2023 и май 2024",), ("2021 2023 2022",), ("none",), ("31.02.2024",)]
+
+
+@query(
+    "latest_periods",
+    "SELECT page, label FROM (VALUES ('данные за 01.02.2024 и 15.03.2024, и 31.02.2024', '15.03.2024'), ('январь 2023 и май 2024', 'май 2024'), ('2021 2023 2022', '2023'), ('none', NULL), ('31.02.2024', '31.02.2024')) AS t(page, label)",
+)
+def latest_periods(spark: SparkSession, sf: str) -> DataFrame:
+    rows = spark.createDataFrame(_LABELLED, "page string")
+    return rows.select("page", freshness.latest_period(F.col("page"), r"\d{2}\.\d{2}\.20\d\d|[а-яё]+\s+20\d\d|20\d\d").alias("label"))
+
+
 def _actors(spark: SparkSession, sf: str) -> DataFrame:
     """Suppliers and customers as named actors, some with titles or other spellings."""
     people = table(spark, sf, "customer").select(F.col("c_custkey").alias("id"), F.when(F.col("c_custkey") % 3 == 0, F.concat(F.lit("Dr "), F.col("c_name"))).otherwise(F.upper("c_name")).alias("name"))
