@@ -5,8 +5,9 @@ candidate is taken if it is compatible with the token before it, that is, if byt
 two tokens side by side, else the next shorter token of that place is tried, or the last one is taken back. Each place
 is left for good at most once, so the work is linear in the word. Decoding gathers token strings by an offset table.
 
-Words are independent of each other in such vocabularies (no token spans white space), so the tokens of a word are kept
-in a table of bounded size and long texts cost a lookup for each word.
+Words are independent of each other in such vocabularies (no token spans white space), and so are the pre-tokens of a word, so their
+tokens are kept in tables of bounded size and long texts cost a lookup for each pre-token. Texts of ASCII and Latin letters are cut into
+pre-tokens in one go; others word by word.
 
 Results: null and empty texts have no tokens and decode to the empty string; the strings of added tokens in a text are
 these tokens; repeated rows are encoded alike; columns of the input with the name of a new column are replaced.
@@ -39,6 +40,11 @@ ODD = re.compile("[\x1c-\x1f]")
 PLAIN = re.compile("[!-~\xa1-\u012f]+")
 PLAIN_TOKENS = re.compile("'s|'t|'re|'ve|'m|'ll|'d|[a-z\xaa\xb5\xba\xdf-\xf6\xf8-\u012f]+|[0-9\xb2\xb3\xb9\xbc-\xbe]|[^a-z\xaa\xb5\xba\xdf-\xf6\xf8-\u012f0-9\xb2\xb3\xb9\xbc-\xbe]+")
 
+#: The same pre-tokens in whole texts of such words and white space.
+_WHITE = SPACE.pattern[1:-2]
+PLAIN_TEXT = re.compile(f"[{_WHITE}!-~\xa1-\u012f]*")
+_TEXT_TOKENS = re.compile(PLAIN_TOKENS.pattern[:-2] + _WHITE + "]+")
+_NO_APOSTROPHE = re.compile(_TEXT_TOKENS.pattern.removeprefix("'s|'t|'re|'ve|'m|'ll|'d|"))
 #: The normalizer and pre-tokenizer of vocabularies with word ends, in the library's JSON.
 NORMALIZER = {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": "\\s+"}, "content": " "}, {"type": "Lowercase"}]}
 PRE_TOKENIZER = {
@@ -59,6 +65,11 @@ def by_words(config: dict) -> bool:
     return bool(added and plain and same and model["type"] == "BPE" and model.get("end_of_word_suffix"))
 
 
+def text_tokens(text: str) -> list[str]:
+    """The pre-tokens of a text that PLAIN_TEXT matches, in lower case."""
+    return (_TEXT_TOKENS if "'" in text else _NO_APOSTROPHE).findall(text.lower())
+
+
 def words(text: str) -> list[str]:
     """Runs of what isn't white space."""
     return [w for w in SPACE.split(text) if w] if ODD.search(text) else text.split()
@@ -152,8 +163,8 @@ class WordBpe:
         self.automaton.make_automaton()
         self.ids, self.checked = ids, {}
         self.packed = [array("i", [i]).tobytes() for i in range(len(strings))]
-        self.kept = Kept(KEPT_WORDS)
-        self.pieces = lru_cache(KEPT_WORDS)(self.piece)
+        self.kept, self.kept_pieces = Kept(KEPT_WORDS // 4), Kept(KEPT_WORDS)
+        self.pieces = lru_cache(KEPT_WORDS // 4)(self.piece)
         symbols = [self.pre_tokenize(chr(c))[0][0] if 0x20 < c < 0x7F else "" for c in range(256)]
         for c in range(0x80, 0x800, 0x40):  # each lead byte and, below, each byte that follows one
             lead = self.pre_tokenize(chr(c))
@@ -250,6 +261,8 @@ class WordBpe:
         """Ids as 32-bit integers."""
         if not text:
             return b""
+        if self.plain and PLAIN_TEXT.fullmatch(text) and not any(t in text for t in self.added):
+            return self.kept_pieces.join(text_tokens(text), lambda missing: [self.piece(p if p.isascii() else self.bytewise(p)) for p in missing])
         return self.kept.join(words(text), lambda missing: map(self.word, missing))
 
     def decode(self, ids: np.ndarray, ends: np.ndarray) -> list[bytes]:

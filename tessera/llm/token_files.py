@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .bpe import PLAIN, PLAIN_TOKENS, Kept, by_words, words
+from .bpe import PLAIN, PLAIN_TEXT, PLAIN_TOKENS, Kept, by_words, text_tokens, words
 from .common import scratch, upload
 
 MAGIC = b"TSPFOR1\0"
@@ -154,7 +154,8 @@ class Library:
         suffix, self.parted = config["model"].get("end_of_word_suffix"), by_words(config)
         size = self.tokenizer.get_vocab_size()
         self.last = np.array([bool(suffix) and (self.tokenizer.id_to_token(i) or "").endswith(suffix) for i in range(size)])
-        self.words, self.pieces = Kept(KEPT_WORDS), Kept(KEPT_WORDS)
+        self.added = [t["content"] for t in config["added_tokens"]]
+        self.words, self.pieces = Kept(KEPT_WORDS // 4), Kept(KEPT_WORDS)
 
     def _encode(self, text: str) -> list[int]:
         return self.tokenizer.encode(text, add_special_tokens=False).ids
@@ -168,10 +169,18 @@ class Library:
     def encode_many(self, texts: list[str | None]) -> list[bytes]:
         if not self.parted:
             return [np.array(self._encode(t), "<i4").tobytes() if t else b"" for t in texts]
-        found = [words(t) if t else [] for t in texts]
-        self.words.load({w for ws in found for w in ws}, self._words)
-        kept = self.words.young.__getitem__
-        return [b"".join(map(kept, ws)) for ws in found]
+        plain = [bool(t) and PLAIN_TEXT.fullmatch(t) is not None and not any(a in t for a in self.added) for t in texts]
+        # pre-tokens of texts of ASCII and Latin letters at once; others by words
+        pieces = [text_tokens(t) if p else [] for t, p in zip(texts, plain)]
+        self.pieces.load({x for xs in pieces for x in xs}, self._pieces)
+        kept = self.pieces.young.__getitem__
+        out = [b"".join(map(kept, xs)) for xs in pieces]
+        for i, (t, p) in enumerate(zip(texts, plain)):
+            if t and not p:
+                found = words(t)
+                self.words.load(set(found), self._words)
+                out[i] = b"".join(map(self.words.young.__getitem__, found))
+        return out
 
     def _words(self, missing: list[str]) -> list[bytes]:
         parts = [PLAIN_TOKENS.findall(w.lower()) if PLAIN.fullmatch(w) and "<" not in w else None for w in missing]

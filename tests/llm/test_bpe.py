@@ -6,7 +6,7 @@ import numpy as np
 import pytest
 from tokenizers import Tokenizer
 
-from tessera.llm import bpe
+from tessera.llm import bpe, token_files
 from tessera.llm.queries import vocabulary
 
 CHARACTERS = "abcdefghijklmnopqrstuvwxyz'ABCéßüñÀΣςİ　\xa0\x1c\x85🙂漢字!?.,-_0123456789Ⅷ́ "
@@ -52,3 +52,11 @@ def test_operator(spark, library):
     assert [r.n_tokens for r in found] == [len(w) for w in want]
     assert [r.decoded for r in found] == [library.decode(w, skip_special_tokens=False) for w in want]
     assert bpe.round_trip(df.limit(0), vocabulary()).count() == 0
+
+
+def test_odd_texts_as_the_library_encodes_them():
+    library, m, files = Tokenizer.from_file(vocabulary()), bpe.WordBpe(vocabulary()), token_files.Library(vocabulary())
+    odd = ["it's I'll 've 'RE don't x's", "a\x0bb\x85c\xa0d\u2028e\u3000f", "<|endoftext|> x<|startoftext|>y < | >", "ÀÉß ĮİI", "12½³ a1b2", "\x1c\x1dx", "'s 's'", "“q” …", " ", "\n\n", "e\u0301\u0301 x", "ªº¹ ÷×", "aİb", "don’t 東京 x", "a" * 5000, "ab " * 20_000]
+    for text in odd:
+        ids = library.encode(text, add_special_tokens=False).ids
+        assert np.frombuffer(m.encode(text), "<i4").tolist() == ids and np.frombuffer(files.encode(text), "<i4").tolist() == ids, text[:40]
