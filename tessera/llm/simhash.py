@@ -170,7 +170,9 @@ def links(prints: DataFrame, radius: int = RADIUS) -> DataFrame:
         ends = np.array(edges, np.uint64).reshape(-1, 2).view(np.int64)
         return pa.table({"a": pa.array(ends[:, 0]), "b": pa.array(ends[:, 1])})
 
-    return tasks.groupBy("key", "i", "j").applyInArrow(run, "a bigint, b bigint")
+    # rows are few for the work on them, so partitions aren't joined by their bytes
+    n = max(prints.sparkSession.sparkContext.defaultParallelism, int(prints.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    return tasks.repartition(n, "key", "i", "j").groupBy("key", "i", "j").applyInArrow(run, "a bigint, b bigint")
 
 
 def fingerprinted(docs: DataFrame, text_col: str = "text", shingle: int = SHINGLE) -> DataFrame:
