@@ -14,10 +14,25 @@ from pyspark.sql import types as T
 from ..session import shared_dir, ship, table  # noqa: F401  (table: for the queries)
 
 
+#: Paths that scratch() gave, in their order.
+_MADE: list[str] = []
+
+
 def scratch(spark: SparkSession, what: str) -> str:
     """A new path below the shared folder."""
     ship(spark)
-    return f"{shared_dir(spark)}/tessera/{what}-{uuid.uuid4().hex}"
+    _MADE.append(f"{shared_dir(spark)}/tessera/{what}-{uuid.uuid4().hex}")
+    return _MADE[-1]
+
+
+def kept_only(spark: SparkSession, make: Callable[[], DataFrame], what: str) -> DataFrame:
+    """What make gives, written to the shared folder and read back; the tables that were written on the way are deleted."""
+    before = len(_MADE)
+    out = written(make(), what)
+    for path in _MADE[before:-1]:
+        delete(spark, path)
+    del _MADE[before:-1]
+    return out
 
 
 #: Removes a query's shuffle files when it ends.
