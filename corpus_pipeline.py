@@ -9,11 +9,13 @@ whatever their names; the last stage gives its own columns.
 
 from __future__ import annotations
 
+from functools import partial
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.llm import bpe, decontaminate, language_id, line_dedup, simhash
-from tessera.llm.common import own_names, table, written
+from tessera.llm.common import kept_only, own_names, table
 from tessera.llm.queries import vocabulary
 
 
@@ -63,8 +65,6 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over documents."""
     docs = table(spark, sf_dir, "documents")
-    for k, (name, stage) in enumerate(STAGES):
-        docs = stage(spark, docs, sf_dir)
-        if k < len(STAGES) - 1:
-            docs = written(docs, name)
-    return docs
+    for name, stage in STAGES[:-1]:
+        docs = kept_only(spark, partial(stage, spark, docs, sf_dir), name)
+    return STAGES[-1][1](spark, docs, sf_dir)

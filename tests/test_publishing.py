@@ -7,9 +7,10 @@ from datetime import date, datetime, timedelta
 from pyspark.sql import functions as F
 
 from tessera.functions import days, gazetteer
-from tessera.operators import digests, embeddings, keyed, near_duplicates, publishing, reduction, selection
+from tessera.operators import digests, embeddings, entities, keyed, near_duplicates, publishing, reduction, selection
+from tessera.sources import adapters
 from tessera.sources import raw_documents as sources
-from tessera.streaming import recovery
+from tessera.streaming import incremental, recovery
 
 
 def claim(text="It happened.", **over):
@@ -158,3 +159,32 @@ def test_more_sources(spark, tmp_path):
     name = spark.range(1).select(sources.cached_name(F.lit("http://x")).alias("n")).head().n
     (tmp_path / name).write_text("<p>é</p>")
     assert [tuple(r) for r in sources.cached_pages(spark, str(tmp_path)).collect()] == [(name, "<p>é</p>")]
+
+
+def test_adapters_as_a_data_source(spark):
+    """Batches read all that an adapter has; a stream goes on after what it read, for each channel."""
+    spark.dataSource.register(adapters.AdapterSource)
+    rows = {"a": [[1, "one"], [2, "two"]], "b": [[5, "five"]]}
+    options = {"adapter": "tessera.sources.adapters:Fixture", "fixture": json.dumps(rows)}
+    found = spark.read.format("raw_documents").options(**options).load()
+    assert found.columns == [f.name for f in sources.RAW_DOCUMENT]
+    assert sorted((r.external_id, r.content) for r in found.collect()) == [("a/1", "one"), ("a/2", "two"), ("b/5", "five")]
+    reader = adapters.AdapterStream(options)
+    marks = reader.latestOffset()
+    assert json.loads(marks["marks"]) == {"a": 2, "b": 5}
+    (a, b) = reader.partitions({"marks": json.dumps({"a": 1})}, marks)
+    assert [r[1] for part in (a, b) for r in reader.read(part)] == ["a/2", "b/5"]
+
+
+def test_small_stream_parts(spark, tmp_path):
+    df = spark.createDataFrame([("A", 1), ("b", 2)], "k string, n int")
+    assert [r.k for r in incremental.unknown_only(df, spark.createDataFrame([("a",)], "k string"), "k").collect()] == ["b"]
+    at = spark.createDataFrame([("2026-07-01 10:05:00", "x"), ("2026-07-01 10:55:00", "x"), ("2026-07-01 11:00:00", "x")], "t string, k string").withColumn("t", F.to_timestamp("t"))
+    assert [r.n for r in incremental.tumbling_counts(at, "t", "k").orderBy("start").collect()] == [2, 1]
+    spark.range(5).write.parquet(f"{tmp_path}/in")
+    stream = spark.readStream.schema("id bigint").parquet(f"{tmp_path}/in")
+    writer = stream.writeStream.format("parquet").option("path", f"{tmp_path}/out").option("checkpointLocation", f"{tmp_path}/c")
+    recovery.scheduled(writer, None).start().awaitTermination()
+    assert spark.read.parquet(f"{tmp_path}/out").count() == 5
+    names = spark.createDataFrame([("k", "Ivan Petrov"), ("k", "I. Petrov"), ("k", "A. Petrov")], "key string, name string")
+    assert [r.name for r in entities.representative_names(names).collect()] == ["A. Petrov"]
