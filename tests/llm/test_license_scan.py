@@ -1,6 +1,7 @@
 """License scans against known places and a brute-force window search."""
 
 import random
+from collections import Counter
 from difflib import SequenceMatcher
 
 from tessera.llm import license_scan as L
@@ -14,6 +15,8 @@ def brute(text, differing=L.DIFFERING):
     for name, wording in L.TEMPLATES:
         t = L.WORD.findall(wording.lower())
         most = int(differing * len(t))
+        if (Counter(t) & Counter(words)).total() < len(t) - most:  # no window can match more words than all of the text has
+            continue
         for a in range(len(words)):
             for n in range(len(t) - most, len(t) + most + 1):
                 part = words[a : a + n]
