@@ -5,7 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import HOT_ROWS, spread_join, written
+from .common import spread_join, written
+
+#: Edges of a node, of two numbers each, above which they aren't brought to one task.
+HUB = 5_000_000
 
 
 def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
@@ -18,15 +21,15 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     before, edges_now = None, now.count()
 
     def joined(rows: DataFrame, facts: DataFrame, most: int) -> DataFrame:
-        """No node of fewer edges than HOT_ROWS in all is hot."""
-        return rows.join(facts, "a") if most <= HOT_ROWS else spread_join(rows, written(facts, "stars"), "a", "n")
+        """Where there are no more than HUB edges in all, no node is a hub."""
+        return rows.join(facts, "a") if most <= HUB else spread_join(rows, written(facts, "stars"), "a", "n", HUB)
 
     for _ in range(rounds):
         both = now.unionByName(now.select(F.col("b").alias("a"), F.col("a").alias("b")))
         least = both.groupBy("a").agg(F.min("b").alias("m"), F.count("*").alias("n")).select("a", F.least("a", "m").alias("m"), "n")
         # large star: each larger neighbour of a node goes to the node's smallest neighbour
         large = joined(both.where("b > a"), least, edges_now).select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
-        large = large if edges_now <= HOT_ROWS else written(large, "edges")
+        large = large if 2 * edges_now <= HUB else written(large, "edges")
         # small star: each smaller neighbour, and the node itself, go to the smallest one
         low = large.groupBy("a").agg(F.min("b").alias("m"), F.count("*").alias("n"))
         small = joined(large, low, 2 * edges_now).select(F.col("b").alias("a"), F.col("m").alias("b")).unionByName(low.select("a", F.col("m").alias("b"))).where("a <> b").distinct()

@@ -49,6 +49,8 @@ PIECES = 4
 #: How far below its language's own texts a text is dropped, and the vectors that a language needs for that.
 FAR = 6.0
 JUDGED = 40
+#: Texts whose trigrams are held at once.
+TEXTS_AT_ONCE = 250
 BITS = 12
 EPOCHS = 8
 PENALTY = 1e-5
@@ -251,8 +253,8 @@ def identify(docs: DataFrame, labelled: Column | None = None, id_col: str = "doc
 
     def run(texts: pa.Array) -> pa.Array:
         langs, scores = [], []
-        for k in range(0, len(texts), 1000):  # bounds the memory of trigrams
-            some = texts[k : k + 1000].to_pylist()
+        for k in range(0, len(texts), TEXTS_AT_ONCE):
+            some = texts[k : k + TEXTS_AT_ONCE].to_pylist()
             a, b = sent.value.predict(some)
             if fitting and not sent.value.families:
                 a = [None if t and LETTER.search(t) else UND for t in some]

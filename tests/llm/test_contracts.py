@@ -127,7 +127,6 @@ def test_components_of_a_hub_and_a_chain(spark, monkeypatch):
     edges = [(1000, k) for k in range(500)] + [(k, k + 1) for k in range(2000, 2060)] + [(5, 5)]
     df = spark.createDataFrame(edges, "a bigint, b bigint")
     want = {**{k: 0 for k in [*range(500), 1000]}, **{k: 2000 for k in range(2000, 2061)}}
-    for hot in (C.HOT_ROWS, 20):
-        monkeypatch.setattr(C, "HOT_ROWS", hot)
-        monkeypatch.setattr(common, "HOT_ROWS", hot)
+    for hub in (C.HUB, 20):
+        monkeypatch.setattr(C, "HUB", hub)
         assert {r.node: r.component for r in components(df).collect()} == want
