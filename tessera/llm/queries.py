@@ -106,6 +106,24 @@ def op10_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return search(vectors, F.col("vec_id") % 50 == 0, k=5, scale=256)
 
 
+def op11_centroids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .centroids import cluster
+
+    return cluster(table(spark, sf_dir, "embeddings").select("vec_id", "embedding"), k=16, rounds=3, scale=64, size=64)
+
+
+def op12_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .sharding import shard
+
+    return shard(table(spark, sf_dir, "documents").select("doc_id", "text"), 40)
+
+
+def op13_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .spelling import variants
+
+    return variants(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {name: f for name, f in globals().items() if name.startswith("op") and callable(f)}
 
@@ -155,5 +173,39 @@ SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, score FROM r WHERE rank
 """
 
 
+def _rounds_sql(rounds: int) -> str:
+    """Assignments and centroids of each round, then the last assignment."""
+    parts = []
+    for r in range(rounds + 1):
+        parts.append(f"""
+a{r} AS (
+  SELECT i, q, CAST(c AS INTEGER) AS cluster, d AS distance FROM (
+    SELECT v.i, v.q, k.c, list_sum(list_transform(list_zip(v.q, k.q), lambda z: (z[1] - z[2]) * (z[1] - z[2]))) AS d FROM v CROSS JOIN k{r} k
+  ) QUALIFY row_number() OVER (PARTITION BY i ORDER BY d, c) = 1
+)""")
+        if r < rounds:
+            parts.append(f"""
+m{r} AS (
+  SELECT cluster, list(CAST(s // n AS BIGINT) - CASE WHEN s % n < 0 THEN 1 ELSE 0 END ORDER BY dim) AS q FROM (
+    SELECT cluster, dim, sum(x) AS s, count(*) AS n FROM (SELECT cluster, unnest(q) AS x, unnest(range(64)) AS dim FROM a{r}) GROUP BY cluster, dim
+  ) GROUP BY cluster
+), k{r + 1} AS (SELECT k.c, coalesce(m.q, k.q) AS q FROM k{r} k LEFT JOIN m{r} m ON k.c = m.cluster)""")
+    return ",".join(parts)
+
+
+OP11_SQL = f"""
+WITH v AS (
+  SELECT vec_id, row_number() OVER () AS i, list_transform(embedding, lambda x: CAST(floor(64 * CAST(x AS DOUBLE)) AS BIGINT)) AS q
+  FROM embeddings WHERE len(embedding) = 64 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+), k0 AS (
+  SELECT row_number() OVER (ORDER BY h NULLS LAST, q) - 1 AS c, q FROM (SELECT sha256('1:' || CAST(vec_id AS VARCHAR)) AS h, q FROM v)
+  QUALIFY c < 16
+), {_rounds_sql(3)}, s AS (SELECT cluster, CAST(sum(distance) AS BIGINT) AS cluster_inertia FROM a3 GROUP BY cluster)
+SELECT v.vec_id, a.cluster, CAST(a.distance AS BIGINT) AS distance, s.cluster_inertia,
+  CAST((SELECT sum(distance) FROM a3) AS BIGINT) AS inertia, sha256(array_to_string(k.q, ',')) AS centroid_sha256
+FROM a3 a JOIN v USING (i) JOIN s USING (cluster) JOIN k3 k ON k.c = a.cluster
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op4_line_dedup": OP4_SQL, "op8_warc": OP8_SQL, "op10_topk": OP10_SQL}
+    return {"op4_line_dedup": OP4_SQL, "op8_warc": OP8_SQL, "op10_topk": OP10_SQL, "op11_centroids": OP11_SQL}
