@@ -53,3 +53,9 @@ def written(df: DataFrame, what: str) -> DataFrame:
     spark = df.sparkSession
     df.write.parquet(path := f"{shared_dir(spark)}/tessera/{what}-{uuid.uuid4().hex}")
     return spark.read.schema(df.schema).parquet(path)
+
+
+def delete(spark: SparkSession, path: str) -> None:
+    """Removes a table of the shared folder."""
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
