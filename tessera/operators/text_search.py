@@ -21,6 +21,7 @@ from __future__ import annotations
 
 import re
 import uuid
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -31,7 +32,9 @@ from pyspark.sql import functions as F
 from ..functions.stemming import STOP, stem
 from ..session import delete, shared_dir, ship
 
-BLOCK_DOCS, SHARDS = 128, 64
+BLOCK_DOCS, SHARDS, PARTS = 128, 16, 16
+#: Texts whose words are held at once.
+TEXTS = 200
 #: Words of a query up to which the scan is filtered by them.
 FEW_WORDS = 1000
 POSTINGS = "word string, block bigint, ids array<bigint>, days array<date>, places array<array<int>>, most int, shard int"
@@ -82,29 +85,43 @@ def build(docs: DataFrame, store: str, key: str, text: str, day: str | None = No
     )
     blocks = max(1, -(-rows.count() // BLOCK_DOCS))
     spark.createDataFrame([(blocks,)], "blocks bigint").coalesce(1).write.parquet(f"{store}/about")
-    kind = pa.list_(pa.struct([("word", pa.string()), ("places", pa.list_(pa.int32()))]))
-
-    def words(texts: pa.Array) -> pa.Array:
-        out = []
-        for t in texts.to_pylist():
-            found: dict[str, list[int]] = {"": []}
-            for i, w in enumerate(WORD.findall(t), 1):
-                found.setdefault(w, []).append(i)
-            found.update({w: [] for w in JOINED.findall(t)})
-            out.append([{"word": w, "places": p} for w, p in found.items()])
-        return pa.array(out, kind)
-
-    each = rows.select("id", "day", _block(F.col("id"), blocks).alias("block"), F.explode(F.arrow_udf(words, "array<struct<word: string, places: array<int>>>")("text")).alias("w"))
-    entry = F.struct("id", "day", F.col("w.places").alias("places"))
-    made = each.groupBy(F.col("w.word").alias("word"), "block").agg(F.sort_array(F.collect_list(entry)).alias("e"), F.max(F.size("w.places")).alias("most"))
-    made = made.select(F.pmod(F.xxhash64("word"), F.lit(SHARDS)).cast("int").alias("shard"), "word", "block", *[F.col(f"e.{a}").alias(b) for a, b in (("id", "ids"), ("day", "days"), ("places", "places"))], "most")
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    made.repartitionByRange(parts, "shard", "word", "block").sortWithinPartitions("shard", "word", "block").write.partitionBy("shard").parquet(f"{store}/postings")
+    each = rows.select("id", "day", _block(F.col("id"), blocks).alias("block"), "text").mapInArrow(_words, "id bigint, day date, block bigint, word string, places array<int>")
+    shard = F.pmod(F.xxhash64("word"), F.lit(SHARDS)).cast("int")
+    # a word's blocks are spread over PARTS, so that no task gets all rows of a common word
+    dealt = each.select("*", shard.alias("shard"), (F.col("block") % PARTS).alias("part")).repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "shard", "part")
+    made = dealt.groupBy("shard", "part", "word", "block").agg(F.collect_list(F.struct("id", "day", "places")).alias("e"), F.max(F.size("places")).alias("most"))
+    made = made.select("shard", "word", "block", *[F.col(f"e.{a}").alias(b) for a, b in (("id", "ids"), ("day", "days"), ("places", "places"))], "most")
+    made.sortWithinPartitions("shard", "word", "block").write.partitionBy("shard").parquet(f"{store}/postings")
     stems = F.arrow_udf(lambda w: pa.array([lexeme(x) if WORD.fullmatch(x) else None for x in w.to_pylist()], pa.string()), "string")
     vocabulary = spark.read.schema(POSTINGS).parquet(f"{store}/postings").select("shard", "word").distinct()
     vocabulary.withColumn("lexeme", stems("word")).sortWithinPartitions("lexeme").write.parquet(f"{store}/vocabulary")
 
 
+def _words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Each word of each text with its places; also runs with hyphens, and the empty word."""
+    for b in batches:
+        for at in range(0, b.num_rows, TEXTS):
+            part = b.slice(at, TEXTS)
+            row, word, flat, ends = [], [], [], [0]
+            for r, t in enumerate(part.column(3).to_pylist()):
+                found: dict[str, list[int]] = {"": []}
+                for i, w in enumerate(WORD.findall(t), 1):
+                    if w in found:
+                        found[w].append(i)
+                    else:
+                        found[w] = [i]
+                if "-" in t:
+                    found.update({w: [] for w in JOINED.findall(t)})
+                row += [r] * len(found)
+                word += found
+                for p in found.values():
+                    flat += p
+                    ends.append(len(flat))
+            places = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(flat, pa.int32()))
+            names = ["id", "day", "block", "word", "places"]
+            yield pa.RecordBatch.from_arrays([*(part.column(c).take(pa.array(row, pa.int32())) for c in range(3)), pa.array(word, pa.string()), places], names)
+
+
 def _needed(groups: list[list[Item]]) -> list[str]:
     return sorted({x for g in groups for i in g for x in i.lexemes})
 

@@ -230,6 +230,12 @@ def neardup_minhash(spark: SparkSession, sf: str) -> DataFrame:
     return near_duplicates.near_mirrors(table(spark, sf, "documents").select("doc_id", "text"), "doc_id", "text")
 
 
+@query("first_seen_groups")
+def first_seen_groups(spark: SparkSession, sf: str) -> DataFrame:
+    """Documents grouped with the first one seen, through their candidates' canonical documents."""
+    return near_duplicates.first_seen_groups(table(spark, sf, "documents").select("doc_id", "text"), "doc_id", "text")
+
+
 @query("dedup_gate")
 def dedup_gate(spark: SparkSession, sf: str) -> DataFrame:
     """Mirrors of a language's documents within a day; every tenth document is mapped already."""

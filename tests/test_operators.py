@@ -4,6 +4,7 @@ import random
 from datetime import datetime
 
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from tessera.operators import claims, entities, html_reports, keyed, near_duplicates, retrieval, sampling, signals, trade, validation
@@ -108,6 +109,74 @@ def test_gate_against_one_by_one(spark):
     assert near_duplicates.gate(df.limit(0), "id", "t", "d", "cell", "ref").count() == 0
 
 
+@pytest.mark.parametrize("in_task", [near_duplicates.IN_TASK, 40, 0])
+def test_first_in_order(spark, monkeypatch, in_task):
+    monkeypatch.setattr(near_duplicates, "IN_TASK", in_task)
+    rng = random.Random(4)
+    pairs = {(k, k + 1) for k in range(60)} | {tuple(sorted(rng.sample(range(100, 200), 2))) for _ in range(150)}
+    node = lambda k: (k % 3 > 0, k)
+    pairs = sorted(tuple(sorted((node(a), node(b)))) for a, b in pairs)
+    links = spark.createDataFrame([(dict(late=a[0], key=a[1]), dict(late=b[0], key=b[1])) for a, b in pairs], "o_first struct<late: boolean, key: bigint>, o_second struct<late: boolean, key: bigint>")
+    taken = set()
+    for o in sorted({o for p in pairs for o in p}):
+        if not any(b == o and a in taken for a, b in pairs):
+            taken.add(o)
+    found = [(r.o.late, r.o.key) for r in near_duplicates.first_in_order(links.repartition(3)).collect()]
+    assert sorted(found) == sorted(taken)
+
+
+def first_seen_one_by_one(docs, threshold=0.7):
+    """The rule of groups by the first seen, document after document."""
+    size = near_duplicates.HASHES // near_duplicates.BANDS
+    signatures, canonical, buckets = {}, {}, {}
+    for key, text in sorted(docs):
+        if text is None:
+            canonical[key] = key
+            continue
+        words = "".join(c if c.isalnum() or c == " " else " " for c in text.lower()).split()
+        sig = signatures[key] = near_duplicates.signature(near_duplicates.runs_of(words))
+        met = []
+        for b in range(near_duplicates.BANDS):
+            bucket = buckets.setdefault((b, *sig[b * size : (b + 1) * size].tolist()), [])
+            met += [j for j in bucket if j not in met]
+            bucket.append(key)
+        canonical[key] = next((canonical[j] for j in met if (signatures[canonical[j]] == sig).mean() >= threshold), key)
+    return canonical
+
+
+@pytest.mark.parametrize("in_task", [near_duplicates.IN_TASK, 30, 0])
+def test_first_seen_against_one_by_one(spark, monkeypatch, in_task):
+    monkeypatch.setattr(near_duplicates, "IN_TASK", in_task)
+    rng = random.Random(11)
+    word = lambda: "".join(rng.choices("abcdefgh", k=4))
+    texts = [[word() for _ in range(40)] for _ in range(3)]
+    docs = [(900, None), (901, ""), (902, ""), (903, "one two")]
+    for k in range(120):  # copies of copies: chains in which the canonical is far from the candidate
+        own = list(rng.choice(texts))
+        for _ in range(rng.choice([0, 1, 2, 3])):
+            own[rng.randrange(40)] = word()
+        texts.append(own)
+        docs.append((k, " ".join(own)))
+    df = spark.createDataFrame(docs, "id bigint, t string").repartition(3)
+    found = {r.id: r.canonical for r in near_duplicates.first_seen_groups(df, "id", "t").collect()}
+    want = first_seen_one_by_one(docs)
+    assert found == want and 10 < len(set(want.values())) < 100
+    if in_task > 30:
+        assert near_duplicates.first_seen_groups(df.limit(0), "id", "t").count() == 0
+
+
+def test_first_seen_query(spark, sf):
+    from tessera.plans import registry
+
+    docs = [(r.doc_id, r.text) for r in spark.read.parquet(f"{sf}/documents.parquet").collect()]
+    assert {r.doc_id: r.canonical for r in registry.queries()["first_seen_groups"](spark, sf).collect()} == first_seen_one_by_one(docs)
+
+
+def test_gate_keeps_documents_without_text_or_day(spark):
+    df = spark.createDataFrame([(1, "a b c", datetime(2024, 1, 1).date()), (2, None, datetime(2024, 1, 1).date()), (3, "a b c", None), (4, "a b c", datetime(2024, 1, 1).date())], "id int, t string, d date").withColumn("cell", F.lit("x"))
+    assert rows(near_duplicates.gate(df, "id", "t", "d", "cell").select("id", "canonical", "method")) == [(1, 1, "canonical"), (2, 2, "canonical"), (3, 3, "canonical"), (4, 1, "exact")]
+
+
 def test_stars_do_not_chain():
     t = lambda s: set(s.split())
     chain = [t("a b c d"), t("b c d e"), t("c d e f"), t("d e f g")]
