@@ -2,137 +2,167 @@
 
 from __future__ import annotations
 
-from collections import defaultdict
-from dataclasses import dataclass
-from datetime import date
-
-import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.scores import PAIR_WEIGHTS
 from ..functions.text import is_meta_claim
-from ..session import ship
+from ..session import spread, written
+from .near_duplicates import first_in_order
 
-#: Fixed value: the score from which on a claim joins a group.
-JOIN_AT = 0.35
+#: The score from which on a claim joins a group; a key is of use while no more than this share of a cell's claims (and this many) are anchors with it.
+JOIN_AT, OFTEN, OFTEN_LEAST = 0.35, 0.25, 20
+#: Claims of a cell up to which all its pairs are compared; those of larger cells meet over rare keys.
+SMALL_CELL = 64
 
 
-@dataclass
-class Claim:
-    """What clustering sees of a claim."""
+def _shares(threshold: float, hints: bool) -> float:
+    """The least Jaccard similarity of tokens or of entities of any pair that reaches the threshold."""
+    text, entity, hint = PAIR_WEIGHTS
+    cases = [(text, 0.0), (text + entity, 0.0), *([(text, hint), (text + entity, hint)] if hints else [])]
+    return max(0.0, min((threshold * (w + h) - h) / w for w, h in cases) - 1e-9)
 
-    id: object
-    tokens: frozenset[str]
-    entities: frozenset[str] = frozenset()
-    hints: frozenset[str] = frozenset()
-    day: date | None = None
 
-    def keys(self) -> list[str]:
-        return [*sorted(self.tokens), *sorted(f"e:{e}" for e in self.entities)]
+def _jaccard(a: Column, b: Column) -> Column:
+    shared = F.size(F.array_intersect(a, b))
+    return F.coalesce(F.try_divide(shared, F.size(a) + F.size(b) - shared), F.lit(0.0))
 
 
-def alike(a: Claim, b: Claim) -> float:
-    """reduction.pair_score() of two claims; without days, all are of one day."""
-    if a.day is not None or b.day is not None:
-        if a.day is None or b.day is None or abs((a.day - b.day).days) > 1:
-            return -1.0
-    total = weight = 0.0
-    for w, x, y, always in zip(PAIR_WEIGHTS, (a.tokens, a.entities, a.hints), (b.tokens, b.entities, b.hints), (True, False, False)):
-        if always or (x and y):
-            total += w * (len(x & y) / len(x | y) if x and y else 0.0)
-            weight += w
+def _score(a: str, b: str) -> Column:
+    """reduction.pair_score() of two rows with arrays t, e and h."""
+    total, weight = F.lit(0.0), F.lit(0.0)
+    for w, c in zip(PAIR_WEIGHTS, "teh"):
+        x, y = F.col(f"{a}.{c}"), F.col(f"{b}.{c}")
+        there = F.lit(True) if c == "t" else (F.size(x) > 0) & (F.size(y) > 0)
+        total, weight = total + F.when(there, w * _jaccard(x, y)).otherwise(0.0), weight + F.when(there, w).otherwise(0.0)
     return total / weight
 
 
-def stars(claims: list[Claim], threshold: float = JOIN_AT) -> list:
-    """For each claim, in the order of ids, the id of the anchor it joins: the best one of the threshold (ties: the earliest),
-    else itself. Claims meet anchors only, so groups don't chain. Words and actors of over a quarter of the claims (20 at least) find nobody."""
-    most = max(20, -(-len(claims) // 4))
-    having: dict[str, list[int]] = defaultdict(list)
-    out = []
-    for i, own in enumerate(claims):
-        met = {a for k in own.keys() if len(having[k]) <= most for a in having[k]}
-        best, at = max(((alike(own, claims[a]), -a) for a in met), default=(-1.0, 0))
-        if best >= threshold:
-            out.append(claims[-at].id)
-        else:
-            for k in own.keys():
-                having[k].append(i)
-            out.append(own.id)
-    return out
+def _rarest(rows: DataFrame, column: str, counts: DataFrame, share: float) -> DataFrame:
+    """cell, id, n, key: of each set the rarest elements, so many that sets with that share in common have one of them in common."""
+    each = rows.select("cell", "id", F.size(column).alias("n"), F.explode(column).alias("key")).join(counts, ["cell", "key"])
+    # the number of rarer elements of the same set, by a window: the set of a long text isn't gathered
+    place = F.row_number().over(Window.partitionBy("cell", "id").orderBy("df", "key"))
+    kept = F.col("n") - F.greatest(F.ceil(F.col("n") * share), F.lit(1)) + 1
+    return each.withColumn("place", place).where((F.col("place") <= kept) & (F.col("df") > 1)).select("cell", "id", "n", "key")
+
+
+def claim_links(rows: DataFrame, threshold: float, hints: bool) -> DataFrame:
+    """cell, a, i, score, heavy: pairs of claims (a before i) that reach the threshold, at most a day apart, with a key in common.
+
+    heavy: the hashes of their common keys, where all of these are frequent in the cell, else null. rows has cell, id, t, e, h (hashed sets), d, heavy.
+    In cells of more than SMALL_CELL claims, pairs meet over the rarest tokens or entities of both, and only with sets of a size that can be alike, so frequent words
+    bring nobody together.
+    """
+    share = _shares(threshold, hints)
+    sizes = written(rows.groupBy("cell").agg(F.count("*").alias("claims")), "cell-sizes")
+    ends = [F.col("x.cell").alias("cell"), F.col("x.id").alias("a"), F.col("y.id").alias("i")]
+    ordered = (F.col("x.cell") == F.col("y.cell")) & (F.col("x.id") < F.col("y.id")) & (F.abs(F.datediff("x.d", "y.d")) <= 1)
+    few = rows.select("cell", "id", "d").join(sizes.where(F.col("claims") <= SMALL_CELL), "cell", "left_semi")
+    met = few.alias("x").join(few.alias("y"), ordered).select(*ends)
+    large = sizes.where(F.col("claims") > SMALL_CELL)
+    if not large.isEmpty():
+        many = rows.join(large, "cell", "left_semi")
+        for c in "te":
+            counts = written(many.select("cell", F.explode(c).alias("key")).groupBy("cell", "key").agg(F.count("*").alias("df")), "claim-keys")
+            prefix = written(_rarest(many, c, counts, share).join(many.select("cell", "id", "d"), ["cell", "id"]), "claim-prefixes")
+            alike = (F.col("x.key") == F.col("y.key")) & (F.least("x.n", "y.n") >= share * F.greatest("x.n", "y.n"))
+            met = met.unionByName(prefix.alias("x").join(prefix.alias("y"), ordered & alike).select(*ends))
+        met = met.distinct()
+    side = lambda o: rows.select("cell", F.col("id").alias(o), F.struct("t", "e", "h", "heavy").alias(f"of_{o}"))
+    both = met.join(side("a"), ["cell", "a"]).join(side("i"), ["cell", "i"]).withColumn("score", _score("of_a", "of_i")).where(F.col("score") >= threshold)
+    common = F.array_intersect("of_a.heavy", "of_i.heavy")
+    all_common = F.size(F.array_intersect("of_a.t", "of_i.t")) + F.size(F.array_intersect("of_a.e", "of_i.e"))
+    return both.where(all_common > 0).select("cell", "a", "i", "score", F.when(all_common == F.size(common), common).alias("heavy"))
 
 
 def star_clusters(claims: DataFrame, cell: list[str], key: str, tokens: str, entities: str | None = None, hints: str | None = None, day: str | None = None, text: str | None = None, threshold: float = JOIN_AT) -> DataFrame:
-    """cell, key, anchor. A cell is what can be one story (theater, track and a window of days), so its size is bounded by it.
+    """cell, key, anchor: in the order of keys, each claim joins the best anchor before it that it reaches the threshold with (ties: the earliest), else it is an anchor.
 
+    Claims meet anchors only, so groups don't chain. A word or actor that more anchors of a cell have than a quarter of its claims (20 at least) finds nobody from then on.
     Claims about the document, not the world, are left out where their text is given. Where a column of days is given, undated claims stay alone.
+
+    All pairs that could join are found first; which claims are anchors is then a matter of order (first_in_order). Where pairs have only frequent keys
+    in common, that hangs on how many anchors with a key came before: it is assumed that keys stay of use, then put right by the anchors found, until nothing
+    changes. What comes first is right first, so that ends, mostly at once. Cells may be of any size; keys are unique and never null.
     """
-    ship(claims.sparkSession)
-    rows = claims if text is None else claims.where(~is_meta_claim(F.coalesce(F.col(text), F.lit(""))))
-    none = F.array().cast("array<string>")
-    sets = [F.coalesce(F.col(c), none).alias(n) if c else none.alias(n) for c, n in ((tokens, "__t"), (entities, "__e"), (hints, "__h"))]
-    rows = rows.select(*cell, key, *sets, (F.col(day) if day else F.lit("2000-01-01").cast("date")).alias("__d"))
-    schema = rows.select(*cell, key).withColumn("anchor", F.col(key)).schema
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(key)
-        found = [Claim(i, frozenset(t), frozenset(e), frozenset(h), None if pd.isna(d) else d) for i, t, e, h, d in zip(pdf[key].tolist(), pdf["__t"], pdf["__e"], pdf["__h"], pdf["__d"])]
-        dated = [c if c.day is not None else Claim(c.id, frozenset()) for c in found]
-        return pdf[[*cell, key]].assign(anchor=stars(dated, threshold))
-
-    return rows.groupBy(*cell).applyInPandas(run, schema)
-
-
-def pick_mix(adapters: list[str], platforms: list[str], most: int, fraction: float = 0.4) -> list[int]:
-    """Places of the documents to take, in a best-first list, of each adapter and platform at most a share; if that leaves room, the
-    others by turns of adapters. In the result, adapters take turns."""
-
-    def turns(places: list[int]) -> list[int]:
-        seen: dict[str, int] = defaultdict(int)
-        ranked = []
-        for i in sorted(places):
-            ranked.append((seen[adapters[i]], i))
-            seen[adapters[i]] += 1
-        return [i for _, i in sorted(ranked)]
-
-    if fraction >= 1:
-        return list(range(min(most, len(adapters))))
-    cap = max(1, -int(-most * fraction // 1))
-    used: dict[tuple[str, str], int] = defaultdict(int)
-    taken: list[int] = []
-    later: list[int] = []
-    for i, (a, p) in enumerate(zip(adapters, platforms)):
-        if len(taken) >= most:
+    rows = spread(claims) if text is None else spread(claims).where(~is_meta_claim(F.coalesce(F.col(text), F.lit(""))))
+    hashed = lambda c, kind: F.array_distinct(F.transform(F.coalesce(F.col(c), F.array().cast("array<string>")), lambda x: F.xxhash64(F.lit(kind), x))) if c else F.array().cast("array<bigint>")
+    dated = lambda c: F.when(F.col(day).isNotNull(), c).otherwise(F.array().cast("array<bigint>")) if day else c
+    where = F.md5(F.to_json(F.struct(*cell), {"ignoreNullFields": "false"})).alias("cell")
+    sets = [dated(hashed(c, n)).alias(n) for c, n in ((tokens, "t"), (entities, "e"), (hints, "h"))]
+    facts = written(rows.select(*[F.col(c).alias(f"cell_{i}") for i, c in enumerate(cell)], where, F.col(key).alias("id"), *sets, (F.col(day) if day else F.lit("2000-01-01")).cast("date").alias("d")), "claims")
+    sizes = facts.groupBy("cell").agg(F.greatest(F.lit(OFTEN_LEAST), F.ceil(F.count("*") * OFTEN)).alias("most"), F.count("*").alias("claims")).where(F.col("claims") > OFTEN_LEAST)
+    each = facts.join(sizes, "cell").select("cell", "id", "most", F.explode(F.concat("t", "e")).alias("key"))
+    often = each.groupBy("cell", "key").agg(F.count("*").alias("n"), F.first("most").alias("most")).where("n > most").select("cell", "key", "most")
+    having = written(each.drop("most").join(often, ["cell", "key"]), "frequent-keys")
+    own = having.groupBy("cell", "id").agg(F.collect_list("key").alias("heavy"))
+    full = facts.join(own, ["cell", "id"], "left").withColumn("heavy", F.coalesce("heavy", F.array().cast("array<bigint>")))
+    links = written(claim_links(full, threshold, hints is not None), "claim-links")
+    hanging, ends, usable = not links.where("heavy is not null").isEmpty(), None, links
+    while True:
+        o = lambda c: F.struct("cell", F.col(c).alias("id"))
+        nodes = usable.select(o("a").alias("o_first"), o("i").alias("o_second"))
+        first = written(first_in_order(nodes).select("o.cell", "o.id"), "anchors")
+        joined = written(usable.join(first.withColumnRenamed("id", "i"), ["cell", "i"], "left_anti").join(first.withColumnRenamed("id", "a"), ["cell", "a"], "left_semi"), "joining")
+        if not hanging:
             break
-        if used["a", a] < cap and used["p", p] < cap:
-            used["a", a] += 1
-            used["p", p] += 1
-            taken.append(i)
-        else:
-            later.append(i)
-    taken += turns(later)[: most - len(taken)]
-    return turns(taken)
+        # the anchor with which a frequent key stops being of use, if there is one
+        anchors = having.join(joined.select("cell", F.col("i").alias("id")).distinct(), ["cell", "id"], "left_anti")
+        turn = F.row_number().over(Window.partitionBy("cell", "key").orderBy("id"))
+        now = written(anchors.withColumn("turn", turn).where(F.col("turn") == F.col("most") + 1).select("cell", "key", F.col("id").alias("until")), "key-ends")
+        same = ends is not None and now.exceptAll(ends).isEmpty() and ends.exceptAll(now).isEmpty()
+        if same or (ends is None and now.isEmpty()):
+            break
+        ends = now
+        by_key = links.where("heavy is not null").select("cell", "a", "i", "score", F.explode("heavy").alias("key")).join(ends, ["cell", "key"], "left")
+        some = by_key.where(F.col("until").isNull() | (F.col("i") <= F.col("until"))).select("cell", "a", "i", "score").distinct()
+        usable = written(links.where("heavy is null").select("cell", "a", "i", "score").unionByName(some), "claim-links")
+    best = joined.groupBy("cell", "i").agg(F.min_by("a", F.struct(-F.col("score"), "a")).alias("anchor")).withColumnRenamed("i", "id")
+    found = facts.select(*[F.col(f"cell_{i}").alias(c) for i, c in enumerate(cell)], F.col("cell").alias("__cell"), F.col("id").alias(key))
+    best = best.select(F.col("cell").alias("__cell"), F.col("id").alias(key), "anchor")
+    return found.join(best, ["__cell", key], "left").select(*cell, key, F.coalesce("anchor", key).alias("anchor"))
+
+
+def _within_caps(ordered: Column, cap: int, most: int) -> Column:
+    """Places of the documents of a best-first list (place, adapter, platform) that are taken while none of their adapter or platform is at its cap."""
+    none = F.array().cast("array<struct<place: int, adapter: string, platform: string>>")
+
+    def step(taken: Column, x: Column) -> Column:
+        of = lambda n: F.size(F.filter(taken, lambda t: t.getField(n) == x.getField(n)))
+        return F.when((F.size(taken) < most) & (of("adapter") < cap) & (of("platform") < cap), F.concat(taken, F.array(x))).otherwise(taken)
+
+    return F.aggregate(ordered, none, step)
 
 
 def source_mix(docs: DataFrame, cell: list[str], key: str, adapter: str, platform: str, order: list, most: int, fraction: float = 0.4) -> DataFrame:
-    """cell, key, place of the documents chosen for each cell.
+    """cell, key, place of the documents chosen for each cell: best first, of each adapter and platform at most a share; if that leaves room, those that
+    were passed over, by turns of adapters. In the result, adapters take turns.
 
-    Within one adapter and platform, no document beyond the `most` best can be chosen, so only these go to the cell's task.
+    Within one adapter and platform, no document beyond the `most` best can be chosen, so a cell's list is that long for each of them at most.
     """
-    ship(docs.sparkSession)
-    w = Window.partitionBy(*cell, adapter, platform).orderBy(*order)
-    best = docs.withColumn("__rn", F.row_number().over(w)).where(F.col("__rn") <= most).withColumn("__o", F.struct(*[F.col(c) for c in docs.columns]))
-    ranked = best.withColumn("__place", F.row_number().over(Window.partitionBy(*cell).orderBy(*order)))
-    slim = ranked.select(*cell, key, F.coalesce(adapter, F.lit("unknown")).alias("__a"), F.coalesce(platform, F.lit("unknown")).alias("__p"), "__place")
-    schema = docs.select(*cell, key).withColumn("place", F.lit(0)).schema
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("__place")
-        chosen = pick_mix(pdf["__a"].tolist(), pdf["__p"].tolist(), most, fraction)
-        return pdf.iloc[chosen][[*cell, key]].assign(place=range(len(chosen)))
-
-    return slim.groupBy(*cell).applyInPandas(run, schema)
+    own, turn = Window.partitionBy(*cell, "__a"), F.col("__place")
+    unknown = [F.coalesce(c, F.lit("unknown")).alias(n) for c, n in ((adapter, "__a"), (platform, "__p"))]
+    best = docs.withColumn("__rn", F.row_number().over(Window.partitionBy(*cell, adapter, platform).orderBy(*order))).where(F.col("__rn") <= most)
+    ranked = best.withColumn("__place", F.row_number().over(Window.partitionBy(*cell).orderBy(*order))).select(*cell, key, *unknown, "__place")
+    taken = F.col("__place") <= most
+    if fraction < 1:
+        entry = F.struct(F.col("__place").alias("place"), F.col("__a").alias("adapter"), F.col("__p").alias("platform"))
+        cap = max(1, -int(-most * fraction // 1))
+        listed = ranked.groupBy(*[F.col(c).alias(f"__{c}") for c in cell]).agg(F.array_sort(F.collect_list(entry)).alias("__all"))
+        kept = F.transform(_within_caps(F.col("__all"), cap, most), lambda t: t.getField("place"))
+        choice = listed.select(*[f"__{c}" for c in cell], kept.alias("__kept"))
+        same = F.lit(True)
+        for c in cell:
+            same = same & F.col(c).eqNullSafe(F.col(f"__{c}"))
+        ranked = ranked.join(choice, same).withColumn("__first", F.array_contains("__kept", F.col("__place"))).withColumn("__n", F.size("__kept"))
+        again = F.row_number().over(own.orderBy("__first", "__place"))  # among those passed over, which come before the taken ones here
+        late = ranked.withColumn("__turn", again).withColumn("__late", F.row_number().over(Window.partitionBy(*cell).orderBy("__first", "__turn", "__place")))
+        ranked, taken = late, F.col("__first") | (~F.col("__first") & (F.col("__late") <= most - F.col("__n")))
+    else:
+        return ranked.where(taken).select(*cell, key, (turn - 1).alias("place"))
+    chosen = ranked.where(taken).withColumn("__turn", F.row_number().over(own.orderBy("__place")))
+    return chosen.select(*cell, key, (F.row_number().over(Window.partitionBy(*cell).orderBy("__turn", "__place")) - 1).alias("place"))
 
 
 def threshold_sweep(pairs: DataFrame, score: str, positive: str, thresholds: list[float]) -> DataFrame:

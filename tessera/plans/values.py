@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import days, gazetteer, identity, text
-from ..operators import keyed, publishing, validation
+from ..operators import keyed, publishing, validation, votes
 from ..session import table
 from .registry import query
 
@@ -384,3 +384,21 @@ def settled_ledgers(spark: SparkSession, sf: str) -> DataFrame:
     steps = {"started": ("reserved",), "settled": ("started",), "released": ("reserved", "started")}
     as_of = F.lit("2024-01-10 00:00:00").cast("timestamp_ntz")
     return keyed.settled(rows, "k", "state", "ts", as_of, F.make_dt_interval(days=F.lit(7)), steps, "reserved")
+
+
+def vote_events(spark: SparkSession, sf: str) -> DataFrame:
+    """Documents as events of five runs: twelve places each, with claims about ids of their place, of which some are left out."""
+    i = F.col("doc_id")
+    place = F.floor(F.pmod(i, F.lit(60)) / 5).cast("int")
+    ids = lambda least, most: F.filter(F.sequence(10 * place + least, 10 * place + most), lambda k: (i * 7 + k) % 5 != 0)
+    claim = lambda text, ids: F.struct(F.coalesce(text, F.lit("")).alias("text"), F.transform(ids, lambda k: k.cast("bigint")).alias("ids"))
+    halves = F.array(claim(F.col("text"), ids(0, 3)), claim(F.col("source"), ids(4, 6)))
+    return table(spark, sf, "documents").select(F.floor(i / 60).alias("cell"), (i % 5).cast("int").alias("vote"), place.alias("place"), F.concat(F.lit("event "), i).alias("title"), F.coalesce("lang", F.lit("none")).alias("kind"), halves.alias("claims"))
+
+
+@query("merged_votes")
+def merged_votes(spark: SparkSession, sf: str) -> DataFrame:
+    """Events that most of five runs have, with whole texts as claims, whose lengths name the middle event."""
+    events = vote_events(spark, sf)
+    found = votes.merged_votes(events, "cell", events.select("cell").distinct().withColumn("runs", F.lit(5)))
+    return found.select("cell", "place", "title", "kind", "votes", F.round("mean_rank", 6).alias("mean_rank"), "ids", F.transform("claims", lambda c: c.getField("ids")).alias("claim_ids"))

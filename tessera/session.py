@@ -55,6 +55,12 @@ def written(df: DataFrame, what: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def spread(rows: DataFrame) -> DataFrame:
+    """Rows for work that takes long for each: over all cores, where the input (a scan) has fewer tasks than twice the cores; larger inputs stay as they are."""
+    cores = rows.sparkSession.sparkContext.defaultParallelism
+    return rows.repartition(cores) if rows.rdd.getNumPartitions() < 2 * cores else rows
+
+
 def delete(spark: SparkSession, path: str) -> None:
     """Removes a table of the shared folder."""
     p = spark._jvm.org.apache.hadoop.fs.Path(path)

@@ -177,19 +177,96 @@ def test_gate_keeps_documents_without_text_or_day(spark):
     assert rows(near_duplicates.gate(df, "id", "t", "d", "cell").select("id", "canonical", "method")) == [(1, 1, "canonical"), (2, 2, "canonical"), (3, 3, "canonical"), (4, 1, "exact")]
 
 
-def test_stars_do_not_chain():
-    t = lambda s: set(s.split())
-    chain = [t("a b c d"), t("b c d e"), t("c d e f"), t("d e f g")]
-    found = claims.stars([claims.Claim(i + 1, frozenset(x)) for i, x in enumerate(chain)], 0.5)
-    assert found == [1, 1, 3, 3]
-    assert claims.stars([claims.Claim(1, frozenset(t("x y"))), claims.Claim(2, frozenset(t("p q")))]) == [1, 2]
-
-
-def test_source_mix():
-    picked = claims.pick_mix(["a"] * 8 + ["b", "c"], ["p1"] * 8 + ["p2", "p3"], 5)
-    assert picked[:3] == [0, 8, 9] and sorted(picked) == [0, 1, 2, 8, 9]
-    assert claims.pick_mix(["a", "b", "a"], ["p", "q", "p"], 10) == [0, 1, 2]
-    assert claims.pick_mix(["a"] * 4, ["p"] * 4, 2, 1.0) == [0, 1]
+def stars_one_by_one(rows, dated, threshold=0.35):
+    """The rule of star clusters, claim after claim: rows of (id, tokens, entities, hints, day)."""
+    often, anchors, out = max(20, -(-len(rows) // 4)), {}, {}
+    having = {}
+    for i, t, e, h, d in sorted(rows, key=lambda r: r[0]):
+        t, e, h = (set(x) if not dated or d is not None else set() for x in (t, e, h))
+        keys = {("t", x) for x in t} | {("e", x) for x in e}
+        best = (threshold - 1e-300, 0, None)
+        for a in sorted({a for k in keys if len(having.get(k, ())) <= often for a in having.get(k, ())}):
+            ot, oe, oh, od = anchors[a]
+            if dated and abs((od - d).days) > 1:
+                continue
+            total = weight = 0.0
+            for w, x, y in ((0.6, t, ot), (0.25, e, oe), (0.15, h, oh)):
+                if w == 0.6 or (x and y):
+                    total += w * (len(x & y) / len(x | y) if x | y else 0.0)
+                    weight += w
+            if total / weight >= threshold and (best[2] is None or total / weight > best[0]):
+                best = (total / weight, 0, a)
+        if best[2] is None:
+            anchors[i] = (t, e, h, d)
+            for k in keys:
+                having.setdefault(k, []).append(i)
+        out[i] = i if best[2] is None else best[2]
+    return out
+
+
+def test_stars_do_not_chain(spark):
+    chain = [(i + 1, list(x)) for i, x in enumerate(["abcd", "bcde", "cdef", "defg"])] + [(9, ["x", "y"]), (10, ["p", "q"]), (11, []), (12, None)]
+    df = spark.createDataFrame([("c", *r) for r in chain], "cell string, id int, t array<string>")
+    found = {r.id: r.anchor for r in claims.star_clusters(df, ["cell"], "id", "t", threshold=0.5).collect()}
+    assert found == {1: 1, 2: 1, 3: 3, 4: 3, 9: 9, 10: 10, 11: 11, 12: 12}
+    assert claims.star_clusters(df.limit(0), ["cell"], "id", "t").count() == 0
+
+
+@pytest.mark.parametrize("seed, letters, in_task", [(1, 8, None), (2, 30, None), (3, 12, 5)])
+def test_stars_against_one_by_one(spark, monkeypatch, seed, letters, in_task):
+    """Few letters: most keys are frequent, and end to be of use while claims come."""
+    if in_task is not None:
+        monkeypatch.setattr(near_duplicates, "IN_TASK", in_task)
+        monkeypatch.setattr(claims, "SMALL_CELL", 500)
+    rng = random.Random(seed)
+    pick = lambda most, n=letters: [f"w{rng.randrange(n)}" for _ in range(rng.randrange(most))]
+    day = lambda: rng.choice([None, *(datetime(2024, 1, d).date() for d in (1, 2, 3))])
+    rows_ = [(c, x, i, pick(7), rng.choice([None, pick(3, 4)]), pick(3), day()) for i, (c, x) in enumerate((rng.choice("ab"), rng.choice(["x", None])) for _ in range(500))]
+    df = spark.createDataFrame(rows_, "c string, x string, id bigint, t array<string>, e array<string>, h array<string>, d date").repartition(3)
+    cells = {(r[0], r[1]) for r in rows_}
+    for dated, hints in ((True, "h"), (False, None)):
+        found = {r.id: r.anchor for r in claims.star_clusters(df, ["c", "x"], "id", "t", "e", hints, "d" if dated else None).collect()}
+        want = {}
+        for cell in cells:
+            want |= stars_one_by_one([(i, t, e or [], h if hints else [], d) for c, x, i, t, e, h, d in rows_ if (c, x) == cell], dated)
+        assert found == want
+
+
+def test_stars_of_a_large_cell(spark):
+    """A cell of 100,000 claims of words of which some are very frequent: one claim in four rewords the one before it."""
+    word = lambda n, k: F.concat(F.lit(f"w{k}-"), F.floor(F.pow(F.pmod(F.xxhash64(F.lit(k), n), F.lit(10**6)) / 1e6, 3) * 20_000))
+    n = F.col("id") - F.when(F.col("id") % 4 == 3, 1).otherwise(0)
+    df = spark.range(100_000).select(F.lit("c").alias("cell"), "id", F.array(*[word(n, k) for k in range(9)], word(F.col("id"), 9)).alias("t"))
+    found = claims.star_clusters(df, ["cell"], "id", "t")
+    assert found.where("id % 4 = 3 AND anchor <> id").count() >= 24_990 and found.count() == 100_000
+
+
+def mixed_one_by_one(docs, most, fraction):
+    """The rule of mixes for a best-first list of (id, adapter, platform)."""
+    if fraction >= 1:
+        return [d[0] for d in docs[:most]]
+    cap = max(1, -int(-most * fraction // 1))
+    alternated = lambda some: [d for _, _, d in sorted((sum(o[1] == d[1] for o in some[:k]), k, d) for k, d in enumerate(some))]
+    taken, passed = [], []
+    for d in docs:
+        fits = len(taken) < most and all(sum(t[n] == d[n] for t in taken) < cap for n in (1, 2))
+        (taken if fits else passed).append(d)
+    taken = sorted(taken + alternated(passed)[: most - len(taken)], key=docs.index)
+    return [d[0] for d in alternated(taken)]
+
+
+def test_source_mix(spark):
+    rng = random.Random(8)
+    rows_ = [(rng.choice(["x", "y", None]), i, rng.choice("aaaabbc"), rng.choice(["p", "p", "q", "r"]), rng.randrange(9)) for i in range(300)]
+    rows_ += [("z", 1000 + i, "a", "p", 5) for i in range(8)] + [("z", 1008, "b", "q", 1), ("z", 1009, None, None, 0)]
+    df = spark.createDataFrame(rows_, "cell string, id int, a string, p string, score int")
+    for most, fraction in ((5, 0.4), (40, 0.4), (12, 0.1), (7, 1.0), (1, 0.4)):
+        found = {}
+        for r in claims.source_mix(df, ["cell"], "id", "a", "p", [F.desc("score"), F.col("id")], most, fraction).orderBy("cell", "place").collect():
+            found.setdefault(r.cell, []).append(r.id)
+        for cell in ("x", "y", None, "z"):
+            best = sorted((r for r in rows_ if r[0] == cell), key=lambda r: (-r[4], r[1]))
+            assert found[cell] == mixed_one_by_one([(r[1], r[2] or "unknown", r[3] or "unknown") for r in best], most, fraction)
 
 
 def fnv(s, i):
