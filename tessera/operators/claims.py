@@ -23,18 +23,13 @@ def _shares(threshold: float, hints: bool) -> float:
     return max(0.0, min((threshold * (w + h) - h) / w for w, h in cases) - 1e-9)
 
 
-def _jaccard(a: Column, b: Column) -> Column:
-    shared = F.size(F.array_intersect(a, b))
-    return F.coalesce(F.try_divide(shared, F.size(a) + F.size(b) - shared), F.lit(0.0))
-
-
 def _score(a: str, b: str) -> Column:
-    """reduction.pair_score() of two rows with arrays t, e and h."""
+    """reduction.pair_score() of two rows with arrays t, e and h, by the numbers of what they share (shared_t, shared_e, shared_h)."""
     total, weight = F.lit(0.0), F.lit(0.0)
     for w, c in zip(PAIR_WEIGHTS, "teh"):
-        x, y = F.col(f"{a}.{c}"), F.col(f"{b}.{c}")
-        there = F.lit(True) if c == "t" else (F.size(x) > 0) & (F.size(y) > 0)
-        total, weight = total + F.when(there, w * _jaccard(x, y)).otherwise(0.0), weight + F.when(there, w).otherwise(0.0)
+        x, y, shared = F.size(f"{a}.{c}"), F.size(f"{b}.{c}"), F.col(f"shared_{c}")
+        there = F.lit(True) if c == "t" else (x > 0) & (y > 0)
+        total, weight = total + F.when(there, w * F.coalesce(F.try_divide(shared, x + y - shared), F.lit(0.0))).otherwise(0.0), weight + F.when(there, w).otherwise(0.0)
     return total / weight
 
 
@@ -70,9 +65,10 @@ def claim_links(rows: DataFrame, threshold: float, hints: bool) -> DataFrame:
             met = met.unionByName(prefix.alias("x").join(prefix.alias("y"), ordered & alike).select(*ends))
         met = met.distinct()
     side = lambda o: rows.select("cell", F.col("id").alias(o), F.struct("t", "e", "h", "heavy").alias(f"of_{o}"))
-    both = met.join(side("a"), ["cell", "a"]).join(side("i"), ["cell", "i"]).withColumn("score", _score("of_a", "of_i")).where(F.col("score") >= threshold)
-    common = F.array_intersect("of_a.heavy", "of_i.heavy")
-    all_common = F.size(F.array_intersect("of_a.t", "of_i.t")) + F.size(F.array_intersect("of_a.e", "of_i.e"))
+    both = met.join(side("a"), ["cell", "a"]).join(side("i"), ["cell", "i"])
+    both = both.withColumns({f"shared_{c}": F.size(F.array_intersect(f"of_a.{c}", f"of_i.{c}")) for c in "teh"})
+    both = both.withColumn("score", _score("of_a", "of_i")).where(F.col("score") >= threshold)
+    common, all_common = F.array_intersect("of_a.heavy", "of_i.heavy"), F.col("shared_t") + F.col("shared_e")
     return both.where(all_common > 0).select("cell", "a", "i", "score", F.when(all_common == F.size(common), common).alias("heavy"))
 
 

@@ -24,6 +24,8 @@ _BLOCKS = {"p", "div", "br", "li", "ul", "ol", "h1", "h2", "h3", "h4", "tr", "ta
 _HIDDEN = {"script", "style", "nav", "header", "footer"}
 #: Characters before a marker that are looked at.
 CONTEXT = 350
+#: Fixed value: the class of blocks of endnotes.
+NOTES = "endnote-accordion-content"
 
 
 class _Page(HTMLParser):
@@ -32,21 +34,32 @@ class _Page(HTMLParser):
         self.open: list[str] = []
         self.found: dict[str, list[list[str]]] = {"title": [], "h1": [], "p": [], "li": []}
         self.links = 0
+        #: For each open element whether it is in a block of endnotes; what these say; whether there is one.
+        self.noted: list[bool] = []
+        self.notes: list[str] = []
+        self.has_notes = False
 
     def handle_starttag(self, tag, attrs):
         if tag in ("br", "img", "meta", "link", "input", "hr"):
             return
         self.links += tag == "a"
+        own = NOTES in (dict(attrs).get("class") or "").split()
+        self.has_notes |= own
         self.open.append(tag)
+        self.noted.append(own or self.noted[-1:] == [True])
         if tag in self.found:
             self.found[tag].append([])
 
     def handle_endtag(self, tag):
         if tag in self.open:
             while self.open.pop() != tag:
-                pass
+                self.noted.pop()
+            self.noted.pop()
 
     def handle_data(self, data):
+        if self.noted[-1:] == [True]:
+            self.notes.append(data)
+            return
         if _HIDDEN & set(self.open):
             return
         for tag in self.open:
@@ -58,12 +71,12 @@ class _Page(HTMLParser):
 
 
 def page_parts(html: str | None) -> dict:
-    """title, items of lists, paragraphs and the number of links."""
+    """title, items of lists, paragraphs and the number of links; notes: what blocks of endnotes say, whatever is nested in them, or None without a block. They are no part of the others."""
     p = _Page()
     p.feed(html or "")
     p.close()
     heads = p.texts("h1") or p.texts("title")
-    return {"title": heads[0] if heads else None, "items": p.texts("li"), "paragraphs": p.texts("p"), "links": p.links}
+    return {"title": heads[0] if heads else None, "items": p.texts("li"), "paragraphs": p.texts("p"), "links": p.links, "notes": " ".join(" ".join(p.notes).split()) if p.has_notes else None}
 
 
 def date_in_title(title: str | None) -> str | None:
@@ -112,7 +125,6 @@ def parsed(pages: DataFrame, key: str, html: str) -> DataFrame:
 _HEADING = re.compile(r"(?is)<(h[1-4]|strong|b)\b[^>]*>(?:(?!</\1>).)*key takeaways(?:(?!</\1>).)*</\1>")
 _LABEL = re.compile(r'(?i)aria-label="[^"]*key takeaways[^"]*"')
 _LIST, _ITEM, _TAG = re.compile(r"(?is)<(ul|ol)\b[^>]*>(.*?)</\1>"), re.compile(r"(?is)<li\b[^>]*>(.*?)</li>"), re.compile(r"(?s)<[^>]+>")
-_NOTES = re.compile(r'(?is)<(\w+)[^>]*class="[^"]*endnote-accordion-content[^"]*"[^>]*>(.*?)</\1>')
 _NOTE = re.compile(r"^\s*\[\d{1,4}\]\s*https?://")
 
 
@@ -129,11 +141,10 @@ def takeaways(html: str | None) -> list[str]:
 
 def report(html: str | None) -> dict:
     """title, report_date, takeaways, and the citations of a report: (endnote, url, the sentence before its marker)."""
-    html = html or ""
-    block = _NOTES.search(html)
-    parts = page_parts(_NOTES.sub(" ", html))
-    paragraphs = [p for p in parts["paragraphs"] if not (block is None and _NOTE.match(p))]
-    text = _said(block[2]) if block else "\n".join(p for p in parts["paragraphs"] if _NOTE.match(p))
+    parts = page_parts(html)
+    notes = parts["notes"]
+    paragraphs = [p for p in parts["paragraphs"] if not (notes is None and _NOTE.match(p))]
+    text = notes if notes is not None else "\n".join(p for p in parts["paragraphs"] if _NOTE.match(p))
     contexts = marker_contexts(" ".join(paragraphs))
     cited = [(n, url, contexts.get(n)) for n, urls in endnotes(text).items() for url in urls]
     return {"title": parts["title"], "report_date": date_in_title(parts["title"]), "takeaways": takeaways(html), "citations": cited}

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from ..functions import scores, text
 from ..operators import claims, freshness, near_duplicates, reduction, retrieval, trade, validation
 from ..session import table
-from .registry import query
+from .registry import picked, picked_sql, query
 
 
 def _cents(column: str):
@@ -157,15 +157,16 @@ _SCRIPT_SQL = "length(s) - length(regexp_replace(s, '[{0}]', '', 'g'))"
 
 @query(
     "script_languages",
-    "WITH v AS (SELECT unnest(["
-    + ", ".join(f"'{s}'" for s in _SCRIPTS)
-    + f"]) AS s), c AS (SELECT s, {_SCRIPT_SQL.format('Ѐ-ӿ')} AS cy, {_SCRIPT_SQL.format('؀-ۿ')} AS ar, {_SCRIPT_SQL.format('a-zA-Z')} AS la FROM v) "
-    + "SELECT s, CASE WHEN cy < 5 AND la < 5 AND ar < 5 THEN NULL WHEN ar >= 5 AND ar >= cy AND ar >= la THEN CASE WHEN regexp_matches(s, '[پچژگکی]') THEN 'fa' ELSE 'ar' END WHEN cy <= la THEN 'en' "
+    f"WITH v AS (SELECT doc_id, CASE WHEN doc_id % 4 = 0 THEN text ELSE concat({picked_sql(_SCRIPTS, 'doc_id')}, ' ', source) END AS s FROM documents), c AS (SELECT doc_id, s, {_SCRIPT_SQL.format('Ѐ-ӿ')} AS cy, {_SCRIPT_SQL.format('؀-ۿ')} AS ar, {_SCRIPT_SQL.format('a-zA-Z')} AS la FROM v) "
+    + "SELECT doc_id, CASE WHEN cy < 5 AND la < 5 AND ar < 5 THEN NULL WHEN ar >= 5 AND ar >= cy AND ar >= la THEN CASE WHEN regexp_matches(s, '[پچژگکی]') THEN 'fa' ELSE 'ar' END WHEN cy <= la THEN 'en' "
     + "WHEN (regexp_matches(lower(s), '[ӑӗӳ]') OR regexp_matches(lower(s), 'ҫак|тата')) AND regexp_matches(s, 'ҫ') THEN 'cv' WHEN regexp_matches(s, '[ҡғҙ]') THEN 'ba' WHEN regexp_matches(s, 'җ') AND regexp_matches(s, '[әөү]') THEN 'tt' WHEN regexp_matches(s, 'ӏ') THEN 'ce' "
     + f"WHEN {_SCRIPT_SQL.format('іїєґІЇЄҐ')} > {_SCRIPT_SQL.format('ыъэёЫЪЭЁ')} THEN 'uk' ELSE 'ru' END AS lang FROM c",
 )
 def script_languages(spark: SparkSession, sf: str) -> DataFrame:
-    return spark.createDataFrame([(s,) for s in _SCRIPTS], "s string").select("s", text.detect_language(F.col("s")).alias("lang"))
+    """Whole texts, and sources' names after words of other scripts."""
+    i = F.col("doc_id")
+    s = F.when(i % 4 == 0, F.col("text")).otherwise(F.concat(picked(_SCRIPTS, i), F.lit(" "), "source"))
+    return table(spark, sf, "documents").select("doc_id", text.detect_language(s).alias("lang"))
 
 
 _SENTENCES = [
@@ -177,9 +178,7 @@ _SENTENCES = [
 
 @query(
     "hedging_rules",
-    "WITH v AS (SELECT unnest(["
-    + ", ".join(f"'{s}'" for s in _SENTENCES)
-    + "]) AS s) SELECT s, CASE "
+    f"WITH v AS (SELECT conv_id, turn, concat(text, '. ', {picked_sql(_SENTENCES, 'conv_id + turn')}) AS s FROM conversations WHERE text IS NOT NULL) SELECT conv_id, turn, CASE "
     + " ".join(f"WHEN regexp_matches(s, '(?i){p}') THEN '{k}'" for k, p in text.HEDGING_RULES)
     + " ELSE 'unknown' END AS hedging, CASE "
     + " ".join(f"WHEN regexp_matches(s, '(?i){p}') THEN substring(regexp_extract(s, '(?i){p}', 1), 1, 60)" for _, p in text.HEDGING_RULES)
@@ -188,9 +187,11 @@ _SENTENCES = [
     + " ELSE 0.5e0 END AS weight FROM v",
 )
 def hedging_rules(spark: SparkSession, sf: str) -> DataFrame:
-    rows = spark.createDataFrame([(s,) for s in _SENTENCES], "s string")
+    """Turns of conversations that end in a sentence that hedges."""
+    said = F.concat("text", F.lit(". "), picked(_SENTENCES, F.col("conv_id") + F.col("turn")))
+    rows = table(spark, sf, "conversations").where("text is not null").select("conv_id", "turn", said.alias("s"))
     kind = text.hedging(F.col("s"))
-    return rows.select("s", kind.alias("hedging"), text.hedging_cue(F.col("s")).alias("cue"), text.hedging_weight(kind).alias("weight"))
+    return rows.select("conv_id", "turn", kind.alias("hedging"), text.hedging_cue(F.col("s")).alias("cue"), text.hedging_weight(kind).alias("weight"))
 
 
 @query(

@@ -8,8 +8,7 @@ from pyspark.sql import functions as F
 from ..operators import answers, retrieval
 from ..functions import text
 from ..session import table
-from .registry import query
-from .values import _values
+from .registry import picked, picked_sql, query
 
 _IDS_SQL = "a AS (SELECT user_id, list(event_id ORDER BY value DESC, event_id) AS ids FROM events WHERE event_id % 5 <> 4 GROUP BY user_id), g AS (SELECT user_id, list(event_id ORDER BY ts, event_id) AS given FROM events WHERE event_id % 5 >= 3 GROUP BY user_id)"
 
@@ -94,17 +93,20 @@ _FOLLOWUPS = [
 
 @query(
     "followup_scopes",
-    "WITH q AS (SELECT q, e, CASE WHEN length(q) % 2 = 0 THEN ['ru'] ELSE ['ua'] END AS t FROM " + _values(_FOLLOWUPS, "q, e") + "), "
+    f"WITH q AS (SELECT conv_id, turn, {picked_sql([q for q, _ in _FOLLOWUPS], 'conv_id + turn')} AS q, concat({picked_sql([e for _, e in _FOLLOWUPS], 'conv_id + turn')}, ' ', text) AS e, CASE WHEN conv_id % 2 = 0 THEN ['ru'] ELSE ['ua'] END AS t FROM conversations WHERE text IS NOT NULL), "
     "o AS (SELECT *, list_filter(list_transform(regexp_extract_all(q, '\\b[A-Z][a-z][\\p{L}''’-]+(?: [A-Z][\\p{L}''’-]+)?\\b'), lambda a: CASE WHEN list_contains(["
     + ", ".join(f"'{w}'" for w in answers.LEADING)
-    + "], string_split(a, ' ')[1]) THEN CASE WHEN contains(a, ' ') THEN regexp_replace(a, '^\\S+ ', '') END ELSE a END), lambda a: a IS NOT NULL) AS own FROM q) SELECT q, e, CASE WHEN "
+    + "], string_split(a, ' ')[1]) THEN CASE WHEN contains(a, ' ') THEN regexp_replace(a, '^\\S+ ', '') END ELSE a END), lambda a: a IS NOT NULL) AS own FROM q) SELECT conv_id, turn, CASE WHEN "
     + " OR ".join(f"(regexp_matches(q, '{p}') AND NOT list_contains(t, '{n}'))" for n, p in answers.THEATERS.items())
     + f" THEN 'new' WHEN regexp_matches(q, '{answers.TIMES}') OR len(list_filter(own, lambda a: NOT contains(lower(e), lower(a)))) > 0 THEN 'expand' ELSE 'reuse' END AS scope FROM o",
 )
 def followup_scopes(spark: SparkSession, sf: str) -> DataFrame:
-    rows = spark.createDataFrame(_FOLLOWUPS, "q string, e string")
-    theaters = F.when(F.length("q") % 2 == 0, F.array(F.lit("ru"))).otherwise(F.array(F.lit("ua")))
-    return rows.select("q", "e", answers.followup_scope(F.col("q"), theaters, F.col("e")).alias("scope"))
+    """Questions that follow on turns of conversations, whose texts are what was found."""
+    at = F.col("conv_id") + F.col("turn")
+    found = F.concat(picked([e for _, e in _FOLLOWUPS], at), F.lit(" "), "text")
+    theaters = F.when(F.col("conv_id") % 2 == 0, F.array(F.lit("ru"))).otherwise(F.array(F.lit("ua")))
+    rows = table(spark, sf, "conversations").where("text is not null")
+    return rows.select("conv_id", "turn", answers.followup_scope(picked([q for q, _ in _FOLLOWUPS], at), theaters, found).alias("scope"))
 
 
 _SAID = ["was arrested for fraud", "Sources say he was arrested", "he was arrested, officials said", "gave a speech", "allegedly took bribes", "died in hospital", "the court convicted him of treason", "a quiet day"]

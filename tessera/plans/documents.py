@@ -11,7 +11,7 @@ from ..functions import names, urls
 from ..operators import entities, freshness, html_reports, signals
 from ..session import shared_dir, table
 from ..streaming import incremental
-from .registry import query
+from .registry import picked, query
 
 
 @query("url_sources", "SELECT page_id, regexp_replace(lower(regexp_extract(url, '^https?://([^/?#:]+)', 1)), '^www\\.', '') AS domain, 'other' AS platform FROM pages WHERE url IS NOT NULL")
@@ -25,33 +25,45 @@ def html_extract(spark: SparkSession, sf: str) -> DataFrame:
     return html_reports.parsed(table(spark, sf, "pages"), "page_id", "html")
 
 
+_HEDGED = ["The ministry claimed it.", "Geolocated footage shows it.", "It rained."]
+
+
 @query(
     "page_reports",
-    "SELECT page_id, 'Update, May 3, 2024' AS title, '2024-05-03' AS report_date, ['Troops advance.', 'Quiet elsewhere.'] AS takeaways, CAST(3 AS INTEGER) AS citations, ['claimed', 'claimed', 'confirmed'] AS hedging, true AS ok FROM pages",
+    """
+    SELECT page_id, printf('Update, May %d, 2024', 1 + page_id % 28) AS title, printf('2024-05-%02d', 1 + page_id % 28) AS report_date, [concat('Item ', page_id, '.'), concat('Host ', regexp_extract(url, '^https?://([^/?#:]+)', 1), '.')] AS takeaways,
+      list_transform(range(1, 1 + page_id % 4), lambda j: struct_pack(endnote := j, url := concat('https://a.example/', page_id * 10 + j), hedging := ['claimed', 'confirmed', 'unknown'][1 + (page_id + j) % 3])) AS citations, page_id % 4 > 0 AS ok
+    FROM pages WHERE url IS NOT NULL""",
 )
 def page_reports(spark: SparkSession, sf: str) -> DataFrame:
-    """Pages made reports of: a dated heading, takeaways, two paragraphs with markers and their endnotes."""
+    """Pages made reports of: a dated heading, takeaways, paragraphs with markers, and their endnotes, which are blocks within a block."""
+    i, numbers = F.col("page_id"), F.sequence(F.lit(1), F.lit(3))
+    host = F.regexp_extract("url", "^https?://([^/?#:]+)", 1)
+    day = (1 + i % 28).cast("string")
+    said = F.transform(numbers, lambda j: F.concat(picked(_HEDGED, i + j), F.lit("["), j, F.lit("] ")))
+    notes = F.transform(F.filter(numbers, lambda j: j <= i % 4), lambda j: F.concat(F.lit("<div>["), j, F.lit("] <a>https://a.example/"), i * 10 + j, F.lit("</a></div>")))
     dressed = F.concat(
-        F.lit("<h1>Update, May 3, 2024</h1><h2>Key Takeaways</h2><ul><li>Troops advance.</li><li>Quiet elsewhere.</li></ul><p>The ministry claimed it.[1] Geolocated footage shows it.[2]</p>"),
-        "html",
-        F.lit('<div class="endnote-accordion-content">[1] https://a.example/'),
-        F.col("page_id").cast("string"),
-        F.lit(" ; https://b.example [2] https://c.example</div>"),
-    )
-    found = html_reports.reports(table(spark, sf, "pages").select("page_id", dressed.alias("html")), "page_id", "html")
-    return found.select("page_id", "title", "report_date", "takeaways", F.size("citations").alias("citations"), F.transform("citations", lambda c: c.getField("hedging")).alias("hedging"), "ok")
-
-
-_LABELLED = [("данные за 01.02.2024 и 15.03.2024, и 31.02.2024",), ("январь 2023 и май 2024",), ("2021 2023 2022",), ("none",), ("31.02.2024",)]
+        F.lit("<h1>Update, May "), day, F.lit(", 2024</h1><h2>Key Takeaways</h2><ul><li>Item "), i, F.lit(".</li><li>Host "), host, F.lit(".</li></ul><p>"), F.array_join(said, ""), F.lit("</p>"),
+        F.coalesce("html", F.lit("")), F.lit('<div class="endnote-accordion-content"><div>'), F.array_join(notes, ""), F.lit("</div></div>"),
+    )
+    found = html_reports.reports(table(spark, sf, "pages").where("url is not null").select("page_id", dressed.alias("html")), "page_id", "html")
+    cited = F.transform("citations", lambda c: F.struct(c.getField("endnote").alias("endnote"), c.getField("url").alias("url"), c.getField("hedging").alias("hedging")))
+    return found.select("page_id", "title", "report_date", "takeaways", cited.alias("citations"), "ok")
 
 
 @query(
     "latest_periods",
-    "SELECT page, label FROM (VALUES ('данные за 01.02.2024 и 15.03.2024, и 31.02.2024', '15.03.2024'), ('январь 2023 и май 2024', 'май 2024'), ('2021 2023 2022', '2023'), ('none', NULL), ('31.02.2024', '31.02.2024')) AS t(page, label)",
+    """
+    WITH o AS (SELECT o_orderkey, CAST(o_orderdate + INTERVAL 20 YEAR AS DATE) AS a, CAST(o_orderdate + INTERVAL 20 YEAR AS DATE) + CAST(o_orderkey % 400 AS INTEGER) - 200 AS b FROM orders)
+    SELECT o_orderkey, CASE WHEN o_orderkey % 7 = 0 THEN NULL WHEN o_orderkey % 5 = 0 THEN '2031' WHEN o_orderkey % 5 = 1 THEN 'май 2030' ELSE strftime(greatest(a, b), '%d.%m.%Y') END AS label FROM o""",
 )
 def latest_periods(spark: SparkSession, sf: str) -> DataFrame:
-    rows = spark.createDataFrame(_LABELLED, "page string")
-    return rows.select("page", freshness.latest_period(F.col("page"), r"\d{2}\.\d{2}\.20\d\d|[а-яё]+\s+20\d\d|20\d\d").alias("label"))
+    """Orders as pages that name two days, and some a later month or year."""
+    k, first = F.col("o_orderkey"), F.to_date(F.col("o_orderdate") + F.make_ym_interval(F.lit(20)))
+    shown = lambda d: F.date_format(d, "dd.MM.yyyy")
+    later = F.when(k % 5 == 0, " 2031 2022").when(k % 5 == 1, ", май 2030 и январь 2023").otherwise(" и 31.02.2099")
+    page = F.when(k % 7 == 0, "none").otherwise(F.concat(F.lit("данные за "), shown(first), F.lit(" и "), shown(F.date_add(first, (k % 400).cast("int") - 200)), later))
+    return table(spark, sf, "orders").select("o_orderkey", freshness.latest_period(page, r"\d{2}\.\d{2}\.20\d\d|[а-яё]+\s+20\d\d|20\d\d").alias("label"))
 
 
 def _actors(spark: SparkSession, sf: str) -> DataFrame:

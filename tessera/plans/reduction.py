@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import names, text
 from ..operators import reduction
 from ..session import table
-from .registry import query
+from .registry import picked, picked_sql, query
 
 _MD5 = "md5(trim(regexp_replace(text, '\\s+', ' ', 'g')))"
 _LADDER = "['confirmed', 'claimed', 'unverified', 'assessed', 'unknown']"
@@ -145,13 +145,12 @@ _SAID = [
 
 @query(
     "meta_claims",
-    "SELECT s, regexp_matches(trim(s), '(?i)^no (significant|relevant|specific|notable)\\b.*\\bclaims?\\b') OR (regexp_matches(trim(s), '(?i)^no\\b') AND regexp_matches(trim(s), '(?i)\\bin (this|the) document\\b')) AS meta FROM (VALUES "
-    + ", ".join(f"('{s}')" for s in _SAID)
-    + ") AS t(s)",
+    "SELECT conv_id, turn, regexp_matches(trim(s), '(?i)^no (significant|relevant|specific|notable)\\b.*\\bclaims?\\b') OR (regexp_matches(trim(s), '(?i)^no\\b') AND regexp_matches(trim(s), '(?i)\\bin (this|the) document\\b')) AS meta FROM "
+    + f"(SELECT conv_id, turn, concat({picked_sql(_SAID, 'conv_id + turn')}, ' ', text) AS s FROM conversations WHERE text IS NOT NULL)",
 )
 def meta_claims(spark: SparkSession, sf: str) -> DataFrame:
-    rows = spark.createDataFrame([(s,) for s in _SAID], "s string")
-    return rows.select("s", text.is_meta_claim(F.col("s")).alias("meta"))
+    said = F.concat(picked(_SAID, F.col("conv_id") + F.col("turn")), F.lit(" "), "text")
+    return table(spark, sf, "conversations").where("text is not null").select("conv_id", "turn", text.is_meta_claim(said).alias("meta"))
 
 
 _NAMES = [("Moscow", "person"), ("Su-34", "person"), ("unnamed official", "person"), ("three men", "person"), ("Russian soldiers", "agency"), ("courts in Kyiv", "person"), ("Ivan Petrov", "person"), ("IRGC", "agency"), ("former mayor", "person")]
@@ -159,12 +158,14 @@ _NAMES = [("Moscow", "person"), ("Su-34", "person"), ("unnamed official", "perso
 
 @query(
     "junk_names",
-    """SELECT name, kind, CASE WHEN lower(name) = 'irgc' THEN NULL WHEN lower(name) IN ('moscow', 'kyiv') THEN 'geography' WHEN regexp_matches(lower(name), '^(su|mig|tu|s|kh|fab|x)-\\d+\\w*$') THEN 'object'
+    f"""SELECT c_custkey, CASE WHEN lower(name) = 'irgc' THEN NULL WHEN lower(name) IN ('moscow', 'kyiv') THEN 'geography' WHEN regexp_matches(lower(name), '^(su|mig|tu|s|kh|fab|x)-\\d+\\w*$') THEN 'object'
       WHEN regexp_matches(lower(name), '^(unnamed|former)\\b') THEN 'unnamed' WHEN regexp_matches(lower(name), '^(three|\\d+)\\s') AND kind = 'person' THEN 'counted' WHEN regexp_matches(lower(name), '\\b(soldiers|courts)$') THEN 'collective'
-      WHEN regexp_matches(lower(name), '\\s+in\\s+') AND kind <> 'agency' THEN 'descriptive' END AS reason FROM (VALUES """
-    + ", ".join(f"('{n}', '{k}')" for n, k in _NAMES)
-    + ") AS t(name, kind)",
+      WHEN regexp_matches(lower(name), '\\s+in\\s+') AND kind <> 'agency' THEN 'descriptive' END AS reason
+      FROM (SELECT c_custkey, CASE WHEN c_custkey % 4 = 3 THEN c_name WHEN c_custkey % 4 = 2 THEN concat({picked_sql([n for n, _ in _NAMES], 'c_custkey')}, ' in ', c_mktsegment) ELSE {picked_sql([n for n, _ in _NAMES], 'c_custkey')} END AS name, {picked_sql([k for _, k in _NAMES], 'c_custkey')} AS kind FROM customer)""",
 )
 def junk_names(spark: SparkSession, sf: str) -> DataFrame:
-    rows = spark.createDataFrame(_NAMES, "name string, kind string")
-    return rows.select("name", "kind", names.junk_reason(F.col("name"), F.col("kind"), ["moscow", "kyiv"]).alias("reason"))
+    """Customers under their own names, under others, and under names with a place."""
+    i = F.col("c_custkey")
+    other = picked([n for n, _ in _NAMES], i)
+    name = F.when(i % 4 == 3, F.col("c_name")).when(i % 4 == 2, F.concat(other, F.lit(" in "), "c_mktsegment")).otherwise(other)
+    return table(spark, sf, "customer").select("c_custkey", names.junk_reason(name, picked([k for _, k in _NAMES], i), ["moscow", "kyiv"]).alias("reason"))

@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 _QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 _SQL: dict[str, str] = {}
@@ -22,6 +23,16 @@ def query(name: str, sql: str | None = None):
     return put
 
 
+def picked(items: list, number: Column) -> Column:
+    """The item of a row, in turns by its number."""
+    return F.get(F.array(*[F.lit(x) for x in items]), F.pmod(number, F.lit(len(items))).cast("int"))
+
+
+def picked_sql(items: list, number: str) -> str:
+    named = ", ".join("NULL" if x is None else f"{x}" if isinstance(x, int) else "'" + x.replace("'", "''") + "'" for x in items)
+    return f"[{named}][CAST(1 + ({number}) % {len(items)} AS BIGINT)]"
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return dict(_QUERIES)
 

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import days, gazetteer, identity, text
 from ..operators import keyed, publishing, validation, votes
 from ..session import table
-from .registry import query
+from .registry import picked, picked_sql, query
 
 
 def _values(rows: list[tuple], names: str) -> str:
@@ -22,14 +22,17 @@ _HOSTS = ["Example.com.", "sub.example.org", "a b", "x:80", "http://x", "", None
 
 @query(
     "strict_identities",
-    "SELECT v, CASE WHEN regexp_matches(lower(trim(v)), '^[a-z0-9][a-z0-9._~-]*$') AND length(lower(trim(v))) <= 100 THEN lower(trim(v)) END AS campaign, "
+    "SELECT page_id, CASE WHEN regexp_matches(lower(trim(v)), '^[a-z0-9][a-z0-9._~-]*$') AND length(lower(trim(v))) <= 100 THEN lower(trim(v)) END AS campaign, "
     "CASE WHEN regexp_replace(lower(trim(v)), '\\.$', '') <> '' AND NOT regexp_matches(regexp_replace(lower(trim(v)), '\\.$', ''), '[\\s/@:?#]') AND length(regexp_replace(lower(trim(v)), '\\.$', '')) <= 253 "
     "AND regexp_matches(regexp_replace(lower(trim(v)), '\\.$', ''), '^([a-z0-9]([a-z0-9-]{0,61}[a-z0-9])?\\.)*[a-z0-9]([a-z0-9-]{0,61}[a-z0-9])?$') THEN regexp_replace(lower(trim(v)), '\\.$', '') END AS host FROM "
-    + _values([(v,) for v in [*_TOKENS, *_HOSTS]], "v"),
+    + f"(SELECT page_id, CASE WHEN page_id % 3 = 0 THEN {picked_sql([*_TOKENS, *_HOSTS], 'page_id // 3')} WHEN page_id % 3 = 1 THEN concat(upper(regexp_extract(url, '^https?://([^/?#:]+)', 1)), '.') ELSE url END AS v FROM pages)",
 )
 def strict_identities(spark: SparkSession, sf: str) -> DataFrame:
-    rows = spark.createDataFrame([(v,) for v in [*_TOKENS, *_HOSTS]], "v string")
-    return rows.select("v", identity.campaign(F.col("v")).alias("campaign"), identity.host(F.col("v")).alias("host"))
+    """Names of campaigns and hosts among pages' hosts, whole addresses and odd values."""
+    i = F.col("page_id")
+    host = F.concat(F.upper(F.regexp_extract("url", "^https?://([^/?#:]+)", 1)), F.lit("."))
+    v = F.when(i % 3 == 0, picked([*_TOKENS, *_HOSTS], F.floor(i / 3))).when(i % 3 == 1, host).otherwise(F.col("url"))
+    return table(spark, sf, "pages").select("page_id", identity.campaign(v).alias("campaign"), identity.host(v).alias("host"))
 
 
 @query(
@@ -71,27 +74,32 @@ def day_ranges(spark: SparkSession, sf: str) -> DataFrame:
 _STOP = ["the", "what", "did", "who", "and", "were", "has"]
 _QUESTIONS = ["What did the navy say about Odesa and the Odesa port?", "Who?", "", "one-two three four five six seven eight nine ten eleven twelve", "Were drones, drones & missiles used?!"]
 
+_ASKED_SQL = f"(SELECT conv_id, turn, concat({picked_sql(_QUESTIONS, 'conv_id + turn')}, ' ', text) AS q FROM conversations WHERE text IS NOT NULL)"
+
+
+def _asked(spark: SparkSession, sf: str) -> DataFrame:
+    """Turns of conversations as questions."""
+    q = F.concat(picked(_QUESTIONS, F.col("conv_id") + F.col("turn")), F.lit(" "), "text")
+    return table(spark, sf, "conversations").where("text is not null").select("conv_id", "turn", q.alias("q"))
+
 
 @query(
     "question_terms",
-    "SELECT q, list_slice(list_distinct_ordered, 1, 8) AS terms FROM (SELECT q, list_transform(list_sort(list_transform(list_distinct(w), lambda x: struct_pack(i := list_position(w, x), w := x))), lambda s: s.w) AS list_distinct_ordered FROM "
-    "(SELECT q, list_filter(string_split_regex(regexp_replace(lower(q), '[^\\p{L}\\p{N}\\s-]', ' ', 'g'), '\\s+'), lambda w: length(w) > 2 AND NOT list_contains(["
+    "SELECT conv_id, turn, list_slice(list_distinct_ordered, 1, 8) AS terms FROM (SELECT conv_id, turn, list_transform(list_sort(list_transform(list_distinct(w), lambda x: struct_pack(i := list_position(w, x), w := x))), lambda s: s.w) AS list_distinct_ordered FROM "
+    "(SELECT conv_id, turn, list_filter(string_split_regex(regexp_replace(lower(q), '[^\\p{L}\\p{N}\\s-]', ' ', 'g'), '\\s+'), lambda w: length(w) > 2 AND NOT list_contains(["
     + ", ".join(f"'{w}'" for w in _STOP)
-    + "], w)) AS w FROM "
-    + _values([(q,) for q in _QUESTIONS], "q")
-    + "))",
+    + f"], w)) AS w FROM {_ASKED_SQL}))",
 )
 def question_terms(spark: SparkSession, sf: str) -> DataFrame:
-    rows = spark.createDataFrame([(q,) for q in _QUESTIONS], "q string")
-    return rows.select("q", text.question_terms(F.col("q"), _STOP).alias("terms"))
+    return _asked(spark, sf).select("conv_id", "turn", text.question_terms(F.col("q"), _STOP).alias("terms"))
 
 
 @query(
     "cache_keys",
-    "SELECT q, sha256('[\"' || regexp_replace(trim(regexp_replace(lower(q), '\\s+', ' ', 'g')), '[?.!]+$', '') || '\",\"v2\",\"60\"]') AS key FROM " + _values([(q,) for q in _QUESTIONS if '"' not in q], "q"),
+    "SELECT conv_id, turn, sha256(CAST(to_json([regexp_replace(trim(regexp_replace(lower(q), '\\s+', ' ', 'g')), '[?.!]+$', ''), 'v2', CAST(turn AS VARCHAR)]) AS VARCHAR)) AS key FROM " + _ASKED_SQL,
 )
 def cache_keys(spark: SparkSession, sf: str) -> DataFrame:
-    return spark.createDataFrame([(q,) for q in _QUESTIONS], "q string").select("q", text.cache_key(F.col("q"), F.lit("v2"), F.lit(60)).alias("key"))
+    return _asked(spark, sf).select("conv_id", "turn", text.cache_key(F.col("q"), F.lit("v2"), F.col("turn")).alias("key"))
 
 
 @query("display_names", "SELECT doc_id, coalesce(nullif(trim(CASE WHEN doc_id % 3 = 0 THEN '  ' ELSE source END), ''), nullif(trim(lang), ''), 'unknown') AS name FROM documents")
@@ -247,20 +255,22 @@ def evidence_lines(spark: SparkSession, sf: str) -> DataFrame:
     return rows.select("doc_id", line.alias("line"))
 
 
-_UNITS = [(s, p, c, r, m) for s in ("answered", "error", "refused") for p in ("openai", "stub") for c in (None, "exact") for r in (True, False) for m in ("auto", "deep")]
-
-
 @query(
     "billing_units",
-    "SELECT state, provider, cache, replayed, mode, CASE WHEN replayed THEN 0 WHEN cache = 'exact' THEN 0 WHEN state IN ('limit', 'error') OR provider IN ('stub', 'budget') THEN 0 WHEN mode = 'deep' THEN 3 ELSE 1 END AS units, "
-    "CASE WHEN replayed OR cache = 'exact' OR state IN ('limit', 'error') OR provider IN ('stub', 'budget') THEN false ELSE mode = 'deep' END AS billable FROM " + _values(_UNITS, "state, provider, cache, replayed, mode").replace("True", "true").replace("False", "false"),
+    """
+    WITH r AS (SELECT doc_id, ['answered', 'error', 'refused', 'answered', 'limit'][CAST(1 + doc_id % 5 AS BIGINT)] AS state, ['openai', 'stub', 'openai'][CAST(1 + n_chars % 3 AS BIGINT)] AS provider, CASE WHEN doc_id // 5 % 3 = 0 THEN 'exact' END AS cache,
+      source = 'src7' AS replayed, CASE WHEN lang = 'en' THEN 'deep' ELSE 'auto' END AS mode FROM documents)
+    SELECT doc_id, CASE WHEN replayed THEN 0 WHEN cache = 'exact' THEN 0 WHEN state IN ('limit', 'error') OR provider IN ('stub', 'budget') THEN 0 WHEN mode = 'deep' THEN 3 ELSE 1 END AS units,
+      CASE WHEN replayed OR cache = 'exact' OR state IN ('limit', 'error') OR provider IN ('stub', 'budget') THEN false ELSE mode = 'deep' END AS billable FROM r""",
 )
 def billing_units(spark: SparkSession, sf: str) -> DataFrame:
-    rows = spark.createDataFrame(_UNITS, "state string, provider string, cache string, replayed boolean, mode string")
-    units = publishing.units(*[F.col(c) for c in ("state", "provider", "cache", "replayed", "mode")])
-    enforced = F.when(F.col("mode") == "deep", "enforce").otherwise("shadow")
-    at = F.lit("2024-02-01 00:00:00").cast("timestamp_ntz")
-    return rows.select("*", units.alias("units"), publishing.billable(units, enforced, at, at).alias("billable"))
+    """Documents as answered questions, by states, providers, cached and replayed answers."""
+    i = F.col("doc_id")
+    mode = F.when(F.col("lang") == "en", "deep").otherwise("auto")
+    of = (picked(["answered", "error", "refused", "answered", "limit"], i), picked(["openai", "stub", "openai"], F.col("n_chars")), F.when(F.floor(i / 5) % 3 == 0, "exact"), F.col("source") == "src7", mode)
+    units = publishing.units(*of)
+    enforced, at = F.when(mode == "deep", "enforce").otherwise("shadow"), F.lit("2024-02-01 00:00:00").cast("timestamp_ntz")
+    return table(spark, sf, "documents").select("doc_id", units.alias("units"), publishing.billable(units, enforced, at, at).alias("billable"))
 
 
 _KINDS = ["run.created", "retrieval.lexical_partial", "retrieval.completed", "answer.started", "run.completed", "run.failed", "other"]

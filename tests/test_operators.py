@@ -359,3 +359,14 @@ def test_streams_take_rows_once(spark, tmp_path):
     run()
     run()
     assert sorted(r.id for r in spark.read.parquet(f"{tmp_path}/out").collect()) == list(range(20))
+
+
+def test_endnotes_of_nested_blocks():
+    html = """<h1>Report, May 3, 2024</h1><p>He claimed it.[1] It is confirmed.[2] So he said.[3]</p>
+      <section class="x endnote-accordion-content y"><div><div>[1] <a href="#">https://a.example/1</a></div><div><p>[2] https://b.example ; https://c.example</p></div></div></section>
+      <div><div class="endnote-accordion-content"><ul><li>[3] https://d.example</li></ul></div></div><p>After.[1]</p>"""
+    found = html_reports.report(html)
+    assert [(n, u) for n, u, _ in found["citations"]] == [(1, "https://a.example/1"), (2, "https://b.example"), (2, "https://c.example"), (3, "https://d.example")]
+    assert [c for _, _, c in found["citations"]] == ["He claimed it.", "It is confirmed.", "It is confirmed.", "So he said."]
+    assert html_reports.report("<p>x</p><p>[1] https://a.example</p>")["citations"][0][1] == "https://a.example"
+    assert html_reports.report('<p>x</p><div class="endnote-accordion-content"></div><p>[1] https://a.example</p>')["citations"] == []
