@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import gazetteer
+from ..session import spread, written
 
 
 def upper_median(df: DataFrame, keys: list[str], value: str, name: str) -> DataFrame:
@@ -32,8 +33,9 @@ def best_match(left: DataFrame, right: DataFrame, left_id: str, right_id: str, t
     expression over shared, left_size and right_size. Where a score of `least` needs a share of the left tokens, only so many of the rarest ones
     must meet that one of them is shared, so frequent tokens, which very many rows have, are left out.
     """
-    a = left.select(left_id, F.array_distinct(tokens).alias("l_tokens"), F.size(tokens).alias("left_size"))
-    b = right.select(right_id, F.array_distinct(tokens).alias("r_tokens"), F.size(tokens).alias("right_size"))
+    hashed = F.array_distinct(F.transform(tokens, lambda t: F.xxhash64(t)))  # made once, and narrower than words
+    a = written(spread(left).select(left_id, hashed.alias("l_tokens"), F.size(tokens).alias("left_size")), "match-left")
+    b = written(spread(right).select(right_id, hashed.alias("r_tokens"), F.size(tokens).alias("right_size")), "match-right")
     own = a.select(left_id, F.explode("l_tokens").alias("t"), F.size("l_tokens").alias("n"))
     theirs = b.select(right_id, F.explode("r_tokens").alias("t"))
     df = theirs.join(own.select("t").distinct(), "t", "left_semi").groupBy("t").agg(F.count("*").alias("df"))
