@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from ..functions import names, urls
 from ..operators import entities, freshness, html_reports, signals
 from ..session import shared_dir, table
-from ..streaming import incremental
+from ..streaming import incremental, tail
 from .registry import picked, query
 
 
@@ -151,3 +151,23 @@ def stream_dedupe(spark: SparkSession, sf: str) -> DataFrame:
 def stream_high_marks(spark: SparkSession, sf: str) -> DataFrame:
     to = _checkpoint(spark)
     return incremental.marks_available(_events(spark, sf), "user_id", "event_id", f"{to}/rows", f"{to}/checkpoint")
+
+
+_RUN_EVENTS = ["run.created", "retrieval.lexical_partial", "retrieval.completed", "answer.started", "run.completed", "run.failed", "other"]
+
+
+@query(
+    "live_run_views",
+    f"""
+    WITH e AS (SELECT user_id AS run, event_id AS seq, [{", ".join(f"'{e}'" for e in _RUN_EVENTS)}][CAST(1 + (event_id * 17 + user_id) % CASE WHEN user_id % 3 = 0 THEN 7 ELSE 4 END AS BIGINT)] AS event FROM events),
+    r AS (SELECT run, max(seq) AS last_seq, max(CASE event WHEN 'run.created' THEN 0 WHEN 'retrieval.lexical_partial' THEN 1 WHEN 'retrieval.completed' THEN 2 WHEN 'answer.started' THEN 3 WHEN 'run.completed' THEN 4 WHEN 'run.failed' THEN 4 END) AS p,
+      arg_min(event, seq) FILTER (WHERE event IN ('run.completed', 'run.failed')) AS e FROM e GROUP BY run)
+    SELECT run, last_seq, CASE WHEN e = 'run.failed' THEN 'failed' ELSE ['starting', 'retrieving', 'selecting', 'answering', 'done'][1 + coalesce(p, 0)] END AS phase FROM r""",
+)
+def live_run_views(spark: SparkSession, sf: str) -> DataFrame:
+    """Views of runs that a stream of events keeps up to date."""
+    u, e = F.col("user_id"), F.col("event_id")
+    kind = F.get(F.array(*[F.lit(k) for k in _RUN_EVENTS]), ((e * 17 + u) % F.when(u % 3 == 0, 7).otherwise(4)).cast("int"))
+    to = _checkpoint(spark)
+    views = tail.live_views(_events(spark, sf).select(u.alias("run"), e.alias("seq"), kind.alias("event")), "run")
+    return tail.views_available(views, "run", f"{to}/rows", f"{to}/checkpoint")

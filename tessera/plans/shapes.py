@@ -377,6 +377,20 @@ def stratified_sample(spark: SparkSession, sf: str) -> DataFrame:
     return sampling.by_turns(firsts, "lang", "source", [F.md5(F.col("doc_id").cast("string")), F.col("doc_id")], 60).select("doc_id", "lang", "source")
 
 
+@query("eval_sample")
+def eval_sample(spark: SparkSession, sf: str) -> DataFrame:
+    """Documents for questions: by turns of languages, and in one of sources and days; with a source and longer ones first, without near copies."""
+    found = sampling.turns_without_copies(eval_candidates(table(spark, sf, "documents")), "lang", "part", [F.desc("score"), F.desc("size"), F.col("doc_id")], "copies", 60)
+    return found.select("lang", "part", "turn", "doc_id")
+
+
+def eval_candidates(docs: DataFrame) -> DataFrame:
+    text_ = F.coalesce("text", F.lit(""))
+    score = F.when(F.col("source").isNotNull(), 2).otherwise(0) + F.when(F.length(text_) > 60, 1).otherwise(0)
+    part = F.concat_ws("|", F.coalesce("source", F.lit("_")), (F.col("doc_id") % 5).cast("string"))
+    return docs.select("doc_id", F.coalesce("lang", F.lit("none")).alias("lang"), part.alias("part"), score.alias("score"), F.length(text_).alias("size"), text.prefix_key(text_, 40).alias("copies"))
+
+
 @query(
     "diverse_six",
     """
