@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import answers, retrieval
+from ..operators import answers, fidelity, retrieval
 from ..functions import text
 from ..session import table
 from .registry import picked, picked_sql, query
@@ -165,3 +165,30 @@ def hybrid_dated(spark: SparkSession, sf: str) -> DataFrame:
 @query("claim_text_keys", "SELECT doc_id, substring(trim(regexp_replace(regexp_replace(regexp_replace(lower(text), 'https?://\\S+', ' ', 'g'), '[^\\p{L}\\p{N} ]', ' ', 'g'), ' +', ' ', 'g')), 1, 60) AS key FROM documents WHERE text IS NOT NULL")
 def claim_text_keys(spark: SparkSession, sf: str) -> DataFrame:
     return table(spark, sf, "documents").where("text is not null").select("doc_id", text.prefix_key(F.col("text")).alias("key"))
+
+
+_ANSWERED = [
+    "Ivan Petrov was convicted [c1]. The Security Council met.", "According to reports, Ivan Petrov was arrested [c1][c2]. Ivan Petrov died.", "Aleksandr Novak is currently sanctioned [c2].", "Nikolai Orlov was killed [c1]. It rained [c2].",
+    "Anna Weber was charged with fraud, according to reports [c2].", "Olga Smirnova spoke [c9]. Olga Smirnova spoke.", "Anna Weber is designated [c1][c2]. Wagner Group is there.", "No names here [c1].", "Ivan Petrov was confirmed dead [c2]!  He was 60.",
+]
+_CLAIMED = [
+    "A court convicted Ivan Petrov in May.", "Ivan Petrov was arrested, sources say.", "Alexander Novak was delisted; sanctions were lifted.", "I. Petrov was not arrested [c7].", "Anna Weber, a possible match, is under sanctions", "Nikolai Orlov was killed near the front.",
+    "The former deputy minister Anna Weber was designated.", "Officials confirmed the death of Ivan Petrov.",
+]
+
+
+def cited_turns(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
+    """Turns of conversations as answers that end in their own texts, and two claims for each, which begin with other ones."""
+    turns = table(spark, sf, "conversations").where("text is not null").groupBy("conv_id", "turn").agg(F.min("text").alias("text"))
+    key, n = F.concat_ws("/", "conv_id", "turn").alias("key"), F.col("conv_id") * 5 + F.col("turn")
+    said = turns.select(key, F.concat(picked(_ANSWERED, n), F.lit(" "), "text").alias("answer"))
+    claim = lambda i: F.struct(F.lit(i).cast("bigint").alias("claim"), F.concat("text", F.lit(" "), picked(_CLAIMED, n * i + F.length("text"))).alias("text"), picked(["claimed", "confirmed", "unverified"], n + i * F.col("turn")).alias("hedging"))
+    claims = turns.select(key, F.explode(F.array(claim(1), claim(2))).alias("c")).select("key", "c.*")
+    return said, claims
+
+
+@query("faithful_answers")
+def faithful_answers(spark: SparkSession, sf: str) -> DataFrame:
+    """Answers whose sentences on persons keep to what they cite, the others in the claims' words."""
+    said, claims = cited_turns(spark, sf)
+    return fidelity.faithful(said, claims, "key")
