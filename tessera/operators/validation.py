@@ -68,6 +68,22 @@ def keyword_matches(takeaways: DataFrame, claims: DataFrame) -> DataFrame:
     return scored.groupBy("takeaway").agg(F.min_by(F.struct("claim", "score"), F.struct(-F.col("score"), "claim")).alias("m")).select("takeaway", "m.claim", "m.score")
 
 
+def divergences(takeaways: DataFrame, claims: DataFrame, matches: DataFrame) -> DataFrame:
+    """kind, takeaway, claim, score (two places), text (of the claim, 200 characters) and hedging: a row for each takeaway that can be matched, with its claim (agreement) or
+    without (isw_only), and for each claim with a place or an act that no takeaway matched (ours_only).
+
+    takeaways has takeaway, places, acts; claims has claim, places, acts, t (text), hedging; matches is keyword_matches() of both.
+    """
+    named = lambda df: df.where((F.size("places") > 0) | (F.size("acts") > 0))
+    said = claims.select("claim", F.substring("t", 1, 200).alias("text"))
+    found = named(takeaways).select("takeaway").join(matches, "takeaway", "left").join(said, "claim", "left")
+    kind = F.when(F.col("claim").isNull(), "isw_only").otherwise("agreement")
+    theirs = found.select(kind.alias("kind"), "takeaway", "claim", F.round("score", 2).alias("score"), "text", F.lit(None).cast("string").alias("hedging"))
+    left = named(claims).join(matches.select("claim").distinct(), "claim", "left_anti")
+    none = {c: F.lit(None).cast(dict(theirs.dtypes)[c]).alias(c) for c in ("takeaway", "score")}
+    return theirs.unionByName(left.select(F.lit("ours_only").alias("kind"), none["takeaway"], "claim", none["score"], F.substring("t", 1, 200).alias("text"), "hedging"))
+
+
 def digest_score(takeaways: DataFrame, claims: DataFrame, matches: DataFrame, published: Column) -> DataFrame:
     """One row on how a digest's claims (claim, places, acts, docs, hedging, earliest) cover a report's takeaways: takeaways that can be
     matched, matched ones, coverage_pct, thin_rate (claims of one document that are only claimed), lead_hours (the upper median of how

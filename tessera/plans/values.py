@@ -190,6 +190,19 @@ def keyword_matches(spark: SparkSession, sf: str) -> DataFrame:
     return validation.keyword_matches(*_signed(spark, sf))
 
 
+@query(
+    "divergence_rows",
+    f"""
+    WITH {_SIGNED_SQL}
+    SELECT CASE WHEN b.claim IS NULL THEN 'isw_only' ELSE 'agreement' END AS kind, k.takeaway, b.claim, round(b.score, 2) AS score, substring(c.t, 1, 200) AS text, CAST(NULL AS VARCHAR) AS hedging
+    FROM k LEFT JOIN b USING (takeaway) LEFT JOIN c ON c.claim = b.claim WHERE len(k.places) > 0 OR len(k.acts) > 0
+    UNION ALL SELECT 'ours_only', NULL, claim, NULL, substring(t, 1, 200), hedging FROM c WHERE (len(places) > 0 OR len(acts) > 0) AND claim NOT IN (SELECT claim FROM b)""",
+)
+def divergence_rows(spark: SparkSession, sf: str) -> DataFrame:
+    takeaways, claims = _signed(spark, sf)
+    return validation.divergences(takeaways, claims, validation.keyword_matches(takeaways, claims))
+
+
 @query(
     "digest_score",
     f"""
