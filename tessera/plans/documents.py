@@ -14,10 +14,22 @@ from ..streaming import incremental, tail
 from .registry import picked, query
 
 
-@query("url_sources", "SELECT page_id, regexp_replace(lower(regexp_extract(url, '^https?://([^/?#:]+)', 1)), '^www\\.', '') AS domain, 'other' AS platform FROM pages WHERE url IS NOT NULL")
+_CITED = ["https://t.me/s/Chan", "https://twitter.com/@User", "https://www.mod.gov.ua/n/", f"http://{urls.STATE_MEDIA[0]}/a?b=", f"https://WWW.{urls.INDEPENDENT_MEDIA[0]}/", f"https://{urls.OWN_HOSTS[0]}/", "https://t.me/", "no address "]
+
+
+@query(
+    "url_sources",
+    f"""
+    WITH p AS (SELECT page_id, page_id % 9 AS k, regexp_replace(lower(regexp_extract(url, '^https?://([^/?#:]+)', 1)), '^www\\.', '') AS host FROM pages WHERE url IS NOT NULL)
+    SELECT page_id, CASE k WHEN 0 THEN concat('t.me/chan', page_id) WHEN 1 THEN concat('x.com/user', page_id) WHEN 2 THEN 'mod.gov.ua' WHEN 3 THEN '{urls.STATE_MEDIA[0]}' WHEN 4 THEN '{urls.INDEPENDENT_MEDIA[0]}' WHEN 6 THEN concat('t.me/', page_id) WHEN 8 THEN host END AS key,
+      CASE k WHEN 0 THEN 't.me' WHEN 1 THEN 'x.com' WHEN 2 THEN 'mod.gov.ua' WHEN 3 THEN '{urls.STATE_MEDIA[0]}' WHEN 4 THEN '{urls.INDEPENDENT_MEDIA[0]}' WHEN 6 THEN 't.me' WHEN 8 THEN host END AS domain,
+      CASE k WHEN 0 THEN 'telegram' WHEN 1 THEN 'x' WHEN 2 THEN 'gov' WHEN 3 THEN 'state_media' WHEN 4 THEN 'independent_media' WHEN 6 THEN 'telegram' WHEN 8 THEN 'other' END AS platform FROM p""",
+)
 def url_sources(spark: SparkSession, sf: str) -> DataFrame:
-    found = table(spark, sf, "pages").where("url is not null").select("page_id", urls.source(F.col("url")).alias("s"))
-    return found.select("page_id", "s.domain", "s.platform")
+    """Who pages cite: channels, accounts, outlets of each kind, their own hosts, and addresses of none."""
+    k = F.col("page_id") % 9
+    cited = F.when(k == 8, F.col("url")).otherwise(F.concat(picked(_CITED, k), F.col("page_id").cast("string")))
+    return table(spark, sf, "pages").where("url is not null").select("page_id", urls.source(cited).alias("s")).select("page_id", "s.key", "s.domain", "s.platform")
 
 
 @query("html_extract")
