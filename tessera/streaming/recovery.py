@@ -3,14 +3,16 @@
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Sequence
-from dataclasses import dataclass, field, replace
+from collections.abc import Callable, Sequence
+from dataclasses import asdict, dataclass, field, replace
 from datetime import date, datetime, timedelta
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import DataStreamWriter
 
+from .commits import Conflict, Lease, Store
+
 
 def scheduled(writer: DataStreamWriter, every: str | None) -> DataStreamWriter:
     """A writer's trigger: by processing time, or once over what is there."""
@@ -72,6 +74,47 @@ def backfill(first: int, last: int, names: Sequence[str], batch_size: int) -> Ba
     return Backfill(first, last, roster_hash(names), batch_size, len(names))
 
 
+def continue_backfill(
+    store: Store, page: Callable[[Sequence[str], str], tuple[DataFrame, str]], first: int, last: int, names: Sequence[str], batch_size: int, most: int, lease: Lease | None = None
+) -> Backfill:
+    """Goes on with the backfill that a store keeps, or begins one: at most so many pages. Where it is then.
+
+    page gives the documents of some names after a cursor ("" at first) and the next cursor ("" at the end). A page's documents and the checkpoint after it are one
+    commit, so a run that ends anywhere loses and repeats nothing. Other arguments than the kept ones are refused (ValueError) until it is complete.
+    """
+    version = store.version()
+    kept = store.manifest(version)["about"].get("backfill")
+    now = Backfill(**kept) if kept else backfill(first, last, names, batch_size)
+    refused = now.refusal(first, last, names, batch_size)
+    if refused and not now.complete:
+        raise ValueError(f"another {refused} is being backfilled")
+    now = backfill(first, last, names, batch_size) if refused else now
+    while most > 0 and not now.complete:
+        docs, cursor = page(names[now.batch * batch_size : (now.batch + 1) * batch_size], now.cursor)
+        after = now.after(cursor, pages=1)
+        version = store.commit(version, {"documents": docs}, about={"backfill": asdict(after)}, lease=lease)
+        now, most = after, most - 1
+    return now
+
+
+def advance(store: Store, name: str, seen: datetime | None, to: datetime, lease: Lease | None = None) -> datetime | None:
+    """Moves a kept watermark to a catch-up's end, if it still is the one that was seen, and never back: what it is then. Other writers' commits in between are no conflict
+    unless they moved it."""
+    while True:
+        version = store.version()
+        marks = store.manifest(version)["about"].get("watermarks", {})
+        now = datetime.fromisoformat(marks[name]) if name in marks else None
+        then = caught_up(now, seen, to)
+        if then == now:
+            return now
+        try:
+            store.commit(version, about={"watermarks": marks | {name: then.isoformat()}}, lease=lease)
+            return then
+        except Conflict:
+            if lease is not None and not lease.holds(store.spark):
+                raise
+
+
 def parked(watermark: datetime | None, now: datetime, after: timedelta) -> bool:
     """Whether a watermark has stood still for so long that catching up is due."""
     return watermark is not None and now - watermark > after
