@@ -280,14 +280,17 @@ def best_match_takeaway(spark: SparkSession, sf: str) -> DataFrame:
     return validation.best_match(items, docs, "item_id", "doc_id", "t", F.round(F.col("shared") / F.col("left_size"), 6), 0.6, 0.6)
 
 
-@query("star_clusters")
-def star_clusters(spark: SparkSession, sf: str) -> DataFrame:
-    """Claims of a source and language in a window, by their texts, actors (here their sources) and days."""
+def claims_of_documents(spark: SparkSession, sf: str) -> DataFrame:
+    """Claims of a source and language in a window, with their texts, actors (here their sources) and days."""
     id_ = F.col("doc_id")
-    docs = table(spark, sf, "documents").select(
+    return table(spark, sf, "documents").select(
         "source", "lang", F.floor(id_ / 500).alias("window"), "doc_id", "text", text.token_set(F.col("text")).alias("tokens"), F.array_compact(F.array("source")).alias("actors"), F.date_add(F.lit("2024-01-01").cast("date"), (id_ % 3).cast("int")).alias("day")
     )
-    return claims.star_clusters(docs, ["source", "lang", "window"], "doc_id", "tokens", "actors", None, "day", "text")
+
+
+@query("star_clusters")
+def star_clusters(spark: SparkSession, sf: str) -> DataFrame:
+    return claims.star_clusters(claims_of_documents(spark, sf), ["source", "lang", "window"], "doc_id", "tokens", "actors", None, "day", "text")
 
 
 @query("source_mix")

@@ -269,6 +269,25 @@ def test_source_mix(spark):
             assert found[cell] == mixed_one_by_one([(r[1], r[2] or "unknown", r[3] or "unknown") for r in best], most, fraction)
 
 
+def test_star_and_mix_queries(spark, sf):
+    from tessera.functions.text import is_meta_claim
+    from tessera.plans import analytics, registry
+
+    kept = analytics.claims_of_documents(spark, sf).where(~is_meta_claim(F.coalesce("text", F.lit("")))).collect()
+    cells, want = {}, {}
+    for r in kept:
+        cells.setdefault((r.source, r.lang, r.window), []).append((r.doc_id, r.tokens or [], r.actors or [], [], r.day))
+    for own in cells.values():
+        want |= stars_one_by_one(own, True)
+    assert {r.doc_id: r.anchor for r in registry.queries()["star_clusters"](spark, sf).collect()} == want
+    docs, found = spark.read.parquet(f"{sf}/documents.parquet").collect(), {}
+    for r in registry.queries()["source_mix"](spark, sf).orderBy("lang", "place").collect():
+        found.setdefault(r.lang, []).append(r.doc_id)
+    for lang in {r.lang for r in docs}:
+        best = sorted((r for r in docs if r.lang == lang), key=lambda r: (-r.n_chars, r.doc_id))
+        assert found[lang] == mixed_one_by_one([(r.doc_id, r.source or "unknown", "long" if r.n_chars > 1000 else "short") for r in best], 120, 0.4)
+
+
 def fnv(s, i):
     h = (0x811C9DC5 ^ (i * 0x9E3779B9 & 0xFFFFFFFF)) & 0xFFFFFFFF
     units = s.encode("utf-16-le")
