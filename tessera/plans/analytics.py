@@ -358,3 +358,25 @@ def hedging_by_source(spark: SparkSession, sf: str) -> DataFrame:
 def content_keys(spark: SparkSession, sf: str) -> DataFrame:
     none = F.lit(None).cast("string")
     return table(spark, sf, "documents").select("doc_id", text.content_hash(F.col("source"), F.col("doc_id").cast("string"), none, F.col("text")).alias("content_hash"), text.content_md5(F.col("text")).alias("squeezed"))
+
+
+@query(
+    "series_states",
+    """
+    WITH o AS (SELECT o_orderkey AS k, CAST(o_orderdate + INTERVAL 20 YEAR AS DATE) AS d FROM orders),
+    r AS (SELECT *, CASE k % 11 WHEN 0 THEN NULL WHEN 1 THEN 404 WHEN 2 THEN 500 ELSE 200 END AS http, CASE WHEN k % 13 = 0 THEN 100 ELSE 1000 END AS size, CASE WHEN k % 7 = 0 THEN NULL WHEN k % 7 = 1 THEN 'odd' WHEN k % 3 = 0 THEN strftime(d, '%Y') ELSE strftime(d, '%d.%m.%Y') END AS period,
+      CASE WHEN k % 5 = 0 THEN strftime(d + 40, '%d.%m.%Y') WHEN k % 5 = 1 THEN 'odd' END AS previous, CASE WHEN k % 17 = 0 THEN 'classified' ELSE 'open' END AS baseline FROM o),
+    t AS (SELECT *, CASE WHEN period = 'odd' OR period IS NULL THEN NULL WHEN length(period) = 4 THEN CAST(date_trunc('year', d) AS DATE) ELSE d END AS begins, CASE WHEN k % 5 = 0 THEN d + 40 END AS stored FROM r),
+    j AS (SELECT *, date_diff('day', CASE WHEN coalesce(begins < stored, false) THEN stored + 1 WHEN length(period) = 4 THEN CAST(begins + INTERVAL 12 MONTH AS DATE) ELSE begins + 1 END, DATE '2016-06-01') AS age FROM t)
+    SELECT k AS o_orderkey, CASE WHEN baseline = 'classified' AND NOT coalesce(http = 200 AND period IS NOT NULL, false) THEN 'classified' WHEN http IS NULL THEN 'unreachable' WHEN http = 404 OR (http = 200 AND size < 500) THEN 'gone' WHEN http >= 400 THEN 'unreachable' WHEN period IS NULL THEN 'ok'
+      WHEN coalesce(CASE WHEN begins IS NOT NULL THEN age > 60 ELSE period = previous AND k % 100 > 60 END, false) THEN 'stale' ELSE 'ok' END AS status FROM j""",
+)
+def series_states(spark: SparkSession, sf: str) -> DataFrame:
+    """Orders as series of statistics: every state, by answers, sizes, periods that are read or not, and periods that went back."""
+    k, d = F.col("o_orderkey"), F.to_date(F.col("o_orderdate") + F.make_ym_interval(F.lit(20)))
+    shown = lambda x: F.date_format(x, "dd.MM.yyyy")
+    period = F.when(k % 7 == 0, None).when(k % 7 == 1, "odd").when(k % 3 == 0, F.date_format(d, "yyyy")).otherwise(shown(d))
+    previous = F.when(k % 5 == 0, shown(F.date_add(d, 40))).when(k % 5 == 1, "odd")
+    http = F.when(k % 11 == 0, None).when(k % 11 == 1, 404).when(k % 11 == 2, 500).otherwise(200)
+    status = freshness.series_status(http, F.when(k % 13 == 0, 100).otherwise(1000), period, previous, F.when(k % 17 == 0, "classified").otherwise("open"), F.lit(30), k % 100, F.lit("2016-06-01").cast("date"))
+    return table(spark, sf, "orders").select("o_orderkey", status.alias("status"))
