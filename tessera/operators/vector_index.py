@@ -1,6 +1,6 @@
 """A kept index for approximate nearest vectors by cosine: inverted lists, product-quantised residuals, exact scores of the best.
 
-Built once: lists' centroids and the codes' letters are fitted on a bounded sample (SAMPLE_BYTES of vectors, those of the smallest hashes of
+Built once: lists' centroids and the codes' letters are fitted on a bounded sample (SAMPLE_BYTES of vectors, by hashes of
 their ids); then every vector is put in its nearest list with a code, one byte for each PART dimensions, of what its centroid leaves over. The table is
 sorted by list and id, so a filter on lists skips row groups, and codes are read without their vectors. More vectors can be added later with the same model.
 
@@ -138,10 +138,12 @@ def build(vectors: DataFrame, store: str, key: str, column: str, dims: int, targ
     """Writes an index and gives its defaults: probes, rerank and the recall that was measured."""
     spark = vectors.sparkSession
     rows = _fit(vectors, key, column, dims)
-    most = max(LETTERS, SAMPLE_BYTES // (8 * dims))
-    sample = rows.orderBy(F.xxhash64("id"), "id").limit(most).toArrow()
+    most, count = max(LETTERS, SAMPLE_BYTES // (8 * dims)), rows.count()
+    # a share of all hashes, so that no task sorts more than the sample
+    some = rows if count <= most else rows.where(F.pmod(F.xxhash64("id"), F.lit(1 << 30)) < int((1 << 30) * most / count)).limit(2 * most)
+    sample = some.orderBy(F.xxhash64("id"), "id").toArrow()
     x = _units(sample.column("v").combine_chunks(), dims) if sample.num_rows else np.zeros((0, dims), np.float32)
-    model = Model.fitted(x, dims, rows.count())
+    model = Model.fitted(x, dims, count)
     _write(rows, model, store, "error")
     found = _tuned(spark, model, store, sample.column("id").to_numpy()[:ASKED] if len(x) else np.zeros(0, np.int64), x[:ASKED], target)
     about = [(dims, model.lists.tobytes(), model.books.tobytes(), model.books.shape[1], *(found[0][n] for n in ("probes", "rerank", "recall")))]

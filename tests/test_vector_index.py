@@ -64,6 +64,14 @@ def test_waves(grouped, monkeypatch):
     assert sorted(map(tuple, V.search(some, store, "id", "v").collect())) == want
 
 
+def test_a_model_of_a_small_sample(grouped, spark, tmp_path, monkeypatch):
+    df, rows, _, _ = grouped
+    monkeypatch.setattr(V, "SAMPLE_BYTES", 2000 * 8 * 32)
+    about = V.build(df, store := f"file://{tmp_path}/d", "id", "v", 32)
+    asked = [i for i in range(0, 20_000, 500) if i % 3]
+    assert recall(V.search(df.where("id % 500 = 0 and id % 3 <> 0"), store, "id", "v").collect(), exact(rows, asked)) >= 0.9 and about["recall"] >= 0.95
+
+
 def test_odd_vectors_and_additions(spark, tmp_path):
     rng = np.random.default_rng(5)
     rows = [(i, rng.normal(0, 1, 6).tolist()) for i in range(40)]
