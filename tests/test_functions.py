@@ -112,3 +112,10 @@ def test_periods_and_states(spark):
     assert status(period="2026") == "ok" and status(period="01.01.2026") == "stale" and status() == "ok"
     assert status(period="2019", previous="01.07.2026") == "ok" and status(baseline="classified") == "classified"
     assert status(period="n/a", previous="n/a", unchanged=61) == "stale"
+
+
+def test_magnitudes_round_by_the_binary_value(spark):
+    shown = lambda v: one(spark, text.magnitude(F.col("v")), v=v)
+    assert [shown(v) for v in (198_500.0, 199_500.0, 2_500_000.0, 3_500_000.0)] == ["198K", "200K", "2M", "4M"]
+    assert [shown(v) for v in (1.25e9, 1.75e9, 1.15e9, 1.05e9, 1.96e9, 9.99e9, 3e25)] == ["1.2B", "1.8B", "1.1B", "1.1B", "2.0B", "10.0B", "30000000000000000.0B"]
+    assert shown(-300.0) == "-0K" and one(spark, text.magnitude(F.lit(None).cast("double"))) is None
