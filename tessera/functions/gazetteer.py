@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from .text import let
+
 #: Places and their spellings.
 TOPONYMS = {
     "pokrovsk": ["pokrovsk", "покровск", "покровськ", "krasnoarmeysk", "красноармейск"],
@@ -68,15 +70,14 @@ MATCH = 0.6
 
 
 def _named(text: Column, lexicon: dict[str, list[str]]) -> Column:
-    low = F.concat(F.lit(" "), F.lower(text), F.lit(" "))
-
-    def any_of(parts: list[str]) -> Column:
+    def any_of(low: Column, parts: list[str]) -> Column:
         found = F.contains(low, F.lit(parts[0]))
         for p in parts[1:]:
             found = found | F.contains(low, F.lit(p))
         return found
 
-    return F.array_compact(F.array(*[F.when(any_of(parts), F.lit(name)) for name, parts in lexicon.items()]))
+    # the lower case once for all words, not once for each
+    return let(F.concat(F.lit(" "), F.lower(text), F.lit(" ")), lambda low: F.array_compact(F.array(*[F.when(any_of(low, parts), F.lit(name)) for name, parts in lexicon.items()])))
 
 
 def toponyms(text: Column) -> Column:

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import gazetteer, scores
+from ..session import spread, written
 from . import keyed, near_duplicates
 
 #: Documents of a gather, and of these of one adapter at most; characters that the words of a track are looked for in, and that signatures are of.
@@ -61,11 +62,12 @@ def extractive(docs: DataFrame, cell: str, key: str, title: str, content: str, r
     keep all documents.
     """
     text = F.substring(whole(F.col(title), F.col(content)), 1, SIGNED_CHARS)
-    rows = docs.select(F.col(cell).alias("cell"), F.col(key).alias("key"), F.coalesce(title, content).alias("said"), scores.reliability(F.col(reliability)).alias("rel"), text.alias("text"))
+    rows = spread(docs).select(F.col(cell).alias("cell"), F.col(key).alias("key"), F.coalesce(title, content).alias("said"), scores.reliability(F.col(reliability)).alias("rel"), text.alias("text"))
     rows = rows.withColumns({"places": gazetteer.toponyms(F.col("text")), "acts": gazetteer.actions(F.col("text"))})
     if track is None:
         start = F.substring("text", 1, LEXICON_CHARS)
         rows = relevant(rows.withColumns({"__p": gazetteer.toponyms(start), "__a": gazetteer.actions(start)}), ["cell"], "__p", "__a").drop("__p", "__a")
+    rows = written(rows, "digest")  # read by the gate, for members and for leads
     found = near_duplicates.gate(rows.withColumn("day", F.lit("2000-01-01").cast("date")), "key", "text", "day", "cell", threshold=similar).select("key", "canonical")
     members = rows.join(found, "key")
     clusters = members.groupBy("cell", "canonical").agg(F.sort_array(F.collect_list("key")).alias("docs"), F.count("*").alias("n"), F.sum("rel").alias("rel"))

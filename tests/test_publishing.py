@@ -188,3 +188,9 @@ def test_small_stream_parts(spark, tmp_path):
     assert spark.read.parquet(f"{tmp_path}/out").count() == 5
     names = spark.createDataFrame([("k", "Ivan Petrov"), ("k", "I. Petrov"), ("k", "A. Petrov")], "key string, name string")
     assert [r.name for r in entities.representative_names(names).collect()] == ["A. Petrov"]
+
+
+def test_gazetteer_lowers_a_text_once(spark):
+    found = spark.createDataFrame([("Near POKROVSK and Lyman a strike",), (None,), ("",)], "t string").select(gazetteer.toponyms(F.col("t")).alias("p"), gazetteer.actions(F.col("t")).alias("a"))
+    assert [(r.p, r.a) for r in found.collect()] == [(["pokrovsk", "lyman"], ["strike"]), ([], []), ([], [])]
+    assert found._jdf.queryExecution().optimizedPlan().toString().count("lower(") == 2  # one for places, one for actions
