@@ -32,6 +32,12 @@ HEDGING_RULES = (
     ("claimed", r"\b(stated|said|announced|asserted|denied|acknowledged|warned|amplified|told)\b"),
     ("claimed", r"\b(sources? (?:reported|indicated))\b"),
 )
+#: Of each rule, parts of words (lower case) of which any match has one: they are looked for first, since most sentences have none.
+HEDGING_PARTS = (
+    ("cannot",), ("has not",), ("unverified", "unconfirmed"), ("purported",), ("geolocated",), ("footage",), ("visual",), ("satellite imagery",), ("confirmed",), ("isw ",), ("isw ",),
+    ("likely", "probably", "almost certainly", "possibly"), ("claim",), ("reportedly", "allegedly", "according to"), ("reported that", "reporting that"),
+    ("stated", "said", "announced", "asserted", "denied", "acknowledged", "warned", "amplified", "told"), ("source",),
+)
 #: How much each hedging class says for a source.
 HEDGING_WEIGHTS = {"confirmed": 1.0, "assessed": 0.75, "unknown": 0.5, "claimed": 0.4, "unverified": 0.15}
 #: Classes from the strongest on.
@@ -91,9 +97,19 @@ def content_hash(adapter: Column, external_id: Column, title: Column, content: C
     return F.sha2(F.concat_ws("|", *parts, F.substring(F.coalesce(content, F.lit("")), 1, 4000)), 256)
 
 
+def ended_sentences(text: Column) -> Column:
+    r"""Matches of [^.\n]+\. by one pass: that pattern itself would be tried anew at each character of a line without an end."""
+    return F.filter(F.regexp_extract_all(text, F.lit(r"[^.\n]+\.?"), F.lit(0)), lambda s: s.endswith("."))
+
+
 def hedging(sentence: Column) -> Column:
     """The class of the first rule that matches, else unknown."""
-    return F.coalesce(*[F.when(sentence.rlike(f"(?i){pattern}"), F.lit(kind)) for kind, pattern in HEDGING_RULES], F.lit("unknown"))
+
+    def matched(low: Column) -> Column:
+        some = lambda parts: reduce(lambda found, p: found | F.contains(low, F.lit(p)), parts[1:], F.contains(low, F.lit(parts[0])))
+        return F.coalesce(*[F.when(some(parts) & sentence.rlike(f"(?i){pattern}"), F.lit(kind)) for (kind, pattern), parts in zip(HEDGING_RULES, HEDGING_PARTS)], F.lit("unknown"))
+
+    return let(F.lower(sentence), matched)
 
 
 def hedging_cue(sentence: Column) -> Column:

@@ -350,7 +350,7 @@ def threshold_sweep(spark: SparkSession, sf: str) -> DataFrame:
       WHEN regexp_matches(s, '(?i)\b(claimed|claims|claiming)\b') THEN 'claimed' WHEN regexp_matches(s, '(?i)\b(stated|said|announced|asserted|denied|acknowledged|warned|amplified|told)\b') THEN 'claimed' ELSE 'unknown' END AS hedging, count(*) AS n FROM s GROUP BY 1, 2""",
 )
 def hedging_by_source(spark: SparkSession, sf: str) -> DataFrame:
-    sentences = table(spark, sf, "documents").select("source", F.explode(F.regexp_extract_all("text", F.lit(r"[^.\n]+\."), F.lit(0))).alias("s"))
+    sentences = table(spark, sf, "documents").select("source", F.explode(text.ended_sentences(F.col("text"))).alias("s"))
     return sentences.groupBy("source", text.hedging(F.col("s")).alias("hedging")).agg(F.count("*").alias("n"))
 
 

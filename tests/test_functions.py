@@ -119,3 +119,23 @@ def test_magnitudes_round_by_the_binary_value(spark):
     assert [shown(v) for v in (198_500.0, 199_500.0, 2_500_000.0, 3_500_000.0)] == ["198K", "200K", "2M", "4M"]
     assert [shown(v) for v in (1.25e9, 1.75e9, 1.15e9, 1.05e9, 1.96e9, 9.99e9, 3e25)] == ["1.2B", "1.8B", "1.1B", "1.1B", "2.0B", "10.0B", "30000000000000000.0B"]
     assert shown(-300.0) == "-0K" and one(spark, text.magnitude(F.lit(None).cast("double"))) is None
+
+
+def test_hedging_looks_for_parts_first(spark):
+    said = ["It CANNOT independently verify it", "He has not yet confirmed", "unconfirmed reports", "Purportedly so", "Geolocated imagery", "footage posted today shows", "Visual confirmation", "satellite imagery shows", "It was confirmed"]
+    said += ["ISW assesses", "ISW has previously noted", "It is Possibly so", "claiming this", "according to him", "reporting that", "He TOLD us", "sources indicated", "nothing", "", None]
+    df = spark.createDataFrame([(s,) for s in said], "s string").select("s", text.hedging(F.col("s")).alias("got"), F.coalesce(*[F.when(F.col("s").rlike(f"(?i){p}"), F.lit(k)) for k, p in text.HEDGING_RULES], F.lit("unknown")).alias("want"))
+    rows = df.collect()
+    assert [r.got for r in rows] == [r.want for r in rows] and [r.s for r in rows if r.got == "unknown"] == ["nothing", "", None]
+    assert len(text.HEDGING_PARTS) == len(text.HEDGING_RULES)
+    assert text.hedging(F.col("s"))._jc.toString().lower().count("contains") >= len(text.HEDGING_RULES)
+
+
+def test_ended_sentences_in_one_pass(spark):
+    import time
+
+    assert one(spark, text.ended_sentences(F.col("t")), t="A b. C..d.\nno end\n. e.\r\nf.g") == ["A b.", " C.", "d.", " e.", "f."]
+    assert one(spark, text.ended_sentences(F.lit(None).cast("string"))) is None
+    start = time.time()
+    assert one(spark, F.size(text.ended_sentences(F.repeat(F.col("t"), 400_000))), t="x ") == 0
+    assert time.time() - start < 20  # minutes, if it were tried anew at each character
