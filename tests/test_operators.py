@@ -4,6 +4,7 @@ import random
 from datetime import datetime
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -389,3 +390,10 @@ def test_endnotes_of_nested_blocks():
     assert [c for _, _, c in found["citations"]] == ["He claimed it.", "It is confirmed.", "It is confirmed.", "So he said."]
     assert html_reports.report("<p>x</p><p>[1] https://a.example</p>")["citations"][0][1] == "https://a.example"
     assert html_reports.report('<p>x</p><div class="endnote-accordion-content"></div><p>[1] https://a.example</p>')["citations"] == []
+
+
+def test_signatures_of_words(spark):
+    rng = random.Random(3)
+    for n in [0, 1, 2, 3, 4, 50, 3000]:
+        words = ["".join(rng.choices("abé\U0001d4b3", k=rng.randint(1, 9))) for _ in range(n)]
+        assert (near_duplicates.signature_of(words) == near_duplicates.signature(near_duplicates.runs_of(words))).all()
