@@ -392,6 +392,23 @@ def test_endnotes_of_nested_blocks():
     assert html_reports.report('<p>x</p><div class="endnote-accordion-content"></div><p>[1] https://a.example</p>')["citations"] == []
 
 
+def _plans(monkeypatch, run):
+    """Plans of the tables that an operator writes, and of what it returns."""
+    plans, kept = [], near_duplicates.written
+    plan = lambda df: df._jdf.queryExecution().executedPlan().toString()
+    monkeypatch.setattr(near_duplicates, "written", lambda df, what: plans.append((what, plan(df))) or kept(df, what))
+    out = run()
+    return [*plans, ("", plan(out))]
+
+
+def test_first_seen_sends_no_table(spark, monkeypatch):
+    """Tables that grow with the documents don't pass the driver, not even while they are small."""
+    monkeypatch.setattr(near_duplicates, "IN_TASK", 0)
+    df = spark.createDataFrame([(k, f"one two three four five six seven {k // 3}") for k in range(30)], "id bigint, t string")
+    plans = _plans(monkeypatch, lambda: near_duplicates.first_seen_groups(df, "id", "t"))
+    assert len(plans) > 5 and not [what for what, p in plans if "Broadcast" in p]
+
+
 def test_signatures_of_words(spark):
     rng = random.Random(3)
     for n in [0, 1, 2, 3, 4, 50, 3000]:
