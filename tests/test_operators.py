@@ -409,6 +409,11 @@ def test_first_seen_sends_no_table(spark, monkeypatch):
     assert len(plans) > 5 and not [what for what, p in plans if "Broadcast" in p]
 
 
+def test_shingle_sets_are_made_once(spark, monkeypatch):
+    df = spark.createDataFrame([(k, f"one two three four five six seven {k // 3}") for k in range(30)], "id bigint, t string")
+    assert [what for what, p in _plans(monkeypatch, lambda: near_duplicates.shingle_pairs(df, "id", "t")) if "array_distinct" in p] == ["shingle-sets"]
+
+
 def test_signatures_of_words(spark):
     rng = random.Random(3)
     for n in [0, 1, 2, 3, 4, 50, 3000]:
