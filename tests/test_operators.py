@@ -419,3 +419,22 @@ def test_signatures_of_words(spark):
     for n in [0, 1, 2, 3, 4, 50, 3000]:
         words = ["".join(rng.choices("abé\U0001d4b3", k=rng.randint(1, 9))) for _ in range(n)]
         assert (near_duplicates.signature_of(words) == near_duplicates.signature(near_duplicates.runs_of(words))).all()
+
+
+def test_html_is_parsed_by_few_pages(spark, monkeypatch):
+    monkeypatch.setattr(html_reports, "PAGES", 3)
+    monkeypatch.setattr(html_reports, "ship", lambda s: s)
+    taken = []
+
+    class Pages:
+        sparkSession, dtypes = None, [("id", "bigint"), ("h", "string")]
+
+        def select(self, *c):
+            return self
+
+        def mapInArrow(self, run, schema):
+            taken.append(run)
+
+    html_reports.parsed(Pages(), "id", "h")
+    batch = pa.RecordBatch.from_arrays([pa.array(range(8)), pa.array(["<p>a</p>"] * 8)], ["id", "h"])
+    assert [b.num_rows for b in taken[0](iter([batch]))] == [3, 3, 2]
