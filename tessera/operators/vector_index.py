@@ -9,7 +9,7 @@ vectors. How many lists and vectors that takes is measured when the index is bui
 doubled numbers of lists, with one pass over the codes; the cheapest pair that reaches the target recall is the index's default. Where vectors have no groups, as
 independent random ones, that takes most lists; where they have, few.
 
-Queries go in waves whose tables are WAVE_BYTES at most. Each task keeps `rerank` rows a query.
+Queries go in waves whose tables are WAVE_BYTES at most, as are the rows that a task keeps: `rerank` a query.
 
 Vectors that are null, of another length, or without a finite direction (null or non-finite components, only zeros) take no part. Ties
 go to smaller ids. An empty table makes an empty index, whose searches find nothing.
@@ -36,6 +36,8 @@ MOST_LISTS, LETTERS, PART = 4096, 256, 4
 ASKED, NEAREST, TARGET = 64, 10, 0.97
 ROUNDS, CHUNK = 8, 4096
 ROWS = "list int, id bigint, code binary, v array<float>"
+#: Bytes of a row that a task keeps for a query: score, id and list.
+KEPT_BYTES = 16
 FOUND = "number int, list int, id bigint, score double"
 
 
@@ -234,7 +236,7 @@ def _tuned(spark: SparkSession, model: Model, store: str, own: np.ndarray, q: np
 
 def _candidates(batches: Iterator[pa.RecordBatch], model: Model, own: np.ndarray, near: np.ndarray, letters: np.ndarray, asked: np.ndarray, rerank: int) -> Iterator[pa.RecordBatch]:
     """The task's `rerank` best estimates for each query among the lists that are asked for it."""
-    n = len(near)
+    n = n_queries = len(near)
     score, ids, lists = np.full((n, rerank), -np.inf, np.float32), np.zeros((n, rerank), np.int64), np.zeros((n, rerank), np.int32)
     for b in batches:
         for a in range(0, b.num_rows, CHUNK):
@@ -252,9 +254,11 @@ def _candidates(batches: Iterator[pa.RecordBatch], model: Model, own: np.ndarray
                     every, named, held = np.append(score[n], e[row, hit]), np.append(ids[n], mine[hit]), np.append(lists[n], at[hit])
                     best = np.lexsort((named, -every))[:rerank]
                     score[n], ids[n], lists[n] = every[best], named[best], held[best]
-    number, place = np.nonzero(score > -np.inf)
-    columns = [pa.array(number, pa.int32()), pa.array(lists[number, place]), pa.array(ids[number, place]), pa.array(score[number, place], pa.float64())]
-    yield pa.RecordBatch.from_arrays(columns, ["number", "list", "id", "score"])
+    for a in range(0, n_queries, ASKED):  # few queries at a time, so that no copy of all is made
+        number, place = np.nonzero(score[a : a + ASKED] > -np.inf)
+        number += a
+        columns = [pa.array(number, pa.int32()), pa.array(lists[number, place]), pa.array(ids[number, place]), pa.array(score[number, place], pa.float64())]
+        yield pa.RecordBatch.from_arrays(columns, ["number", "list", "id", "score"])
 
 
 def search(queries: DataFrame, store: str, key: str, column: str, k: int = NEAREST, probes: int | None = None, rerank: int | None = None, own: bool = False) -> DataFrame:
@@ -263,7 +267,8 @@ def search(queries: DataFrame, store: str, key: str, column: str, k: int = NEARE
     model, found = opened(spark, store)
     probes, rerank = min(probes or found["probes"], len(model.lists)), max(rerank or found["rerank"], k)
     asked = _fit(queries, key, column, model.dims).distinct()
-    waves = -(-asked.count() * len(model.books) * model.books.shape[1] * 4 // WAVE_BYTES)
+    # of a query: its tables of letters, or what a task keeps of it, which grows with `rerank`
+    waves = -(-asked.count() * max(len(model.books) * model.books.shape[1] * 4, rerank * KEPT_BYTES) // WAVE_BYTES)
     rows, out = spark.read.schema(ROWS).parquet(f"{store}/rows"), None
     for w in range(waves):
         part = (asked if waves == 1 else asked.where(F.pmod(F.xxhash64("id", "v"), F.lit(waves)) == w)).orderBy("id").toArrow()

@@ -102,3 +102,17 @@ def test_query(spark, sf):
     rows = [(r.vec_id, r.embedding) for r in spark.read.parquet(f"{sf}/embeddings.parquet").collect()]
     found = registry.queries()["vector_index_topk"](spark, sf).withColumnRenamed("vec_id", "id").collect()
     assert recall(found, exact(rows, [i for i, _ in rows if i % 50 == 0])) >= 0.95
+
+
+def test_waves_bound_what_a_task_keeps(spark, monkeypatch, tmp_path):
+    """Tasks hold no more than WAVE_BYTES of kept rows, however many are compared for a query, and the results are the same."""
+    rng = np.random.default_rng(5)
+    df = spark.createDataFrame([(k, v.tolist()) for k, v in enumerate(rng.normal(size=(300, 8)))], "id bigint, v array<double>")
+    V.build(df, str(tmp_path / "index"), "id", "v", 8)
+    find = lambda: sorted(map(tuple, V.search(df.where("id % 3 = 0"), str(tmp_path / "index"), "id", "v", 5, 4, 200).collect()))
+    want, seen, kept = find(), [], V.Model.tables
+    tables = 2 * 256 * 4  # of a query
+    monkeypatch.setattr(V, "WAVE_BYTES", 100 * tables)
+    monkeypatch.setattr(V.Model, "tables", lambda self, q: seen.append(len(q)) or kept(self, q))
+    assert find() == want and len(want) == 500
+    assert len(seen) > 1 and sum(seen) == 100
