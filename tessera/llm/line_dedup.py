@@ -35,8 +35,8 @@ BYTES_PER_EDIT = 20
 HOT_LINES = 4096
 #: Ids of candidate lines that are sent to all executors; more of them are joined by a shuffle.
 SENT_IDS = 1_000_000
-#: Characters that are counted, modulo 16, for the comparison in the join.
-COUNTED = "etnraoi shldcumf"
+#: Characters that are counted, modulo 16, for the comparison in the join; frequent ones first.
+COUNTED = " etnraoishldcumf"
 
 
 def _let(value: Column, body: Callable[[Column], Column]) -> Column:
@@ -128,13 +128,17 @@ def plausible(a: Column, b: Column, distance: int = DISTANCE) -> Column:
 
 
 def _segment(size: Column, i: int, parts: int) -> tuple[Column, Column]:
-    """Start (from 0) and length of segment i of a line of this size; later segments take what is left over."""
-    even, over = F.floor(size / parts).cast("int"), (size % parts).cast("int")
-    return even * i + F.greatest(F.lit(0), over - (parts - i)), even + F.when(over >= parts - i, F.lit(1)).otherwise(F.lit(0))
+    """Start (from 0) and length of segment i of a line of this size.
+
+    Never null, in integers, and without sums for the ends: Spark puts all keys of a line in one method, which the JVM leaves uncompiled if it is long.
+    """
+    bound = lambda k: F.lit(0) if k == 0 else size if k == parts else F.coalesce(F.call_function("div", size * k if k > 1 else size, F.lit(parts)).cast("int"), F.lit(0))
+    start = bound(i)
+    return start, (bound(i + 1) - start if i else bound(1))
 
 
 def _key(i: int, indexed: Column, text: Column, start: Column, size: Column) -> Column:
-    return F.xxhash64(F.lit(i), indexed, F.substring(text, start + 1, size))
+    return F.xxhash64(indexed * 64 + i, F.substring(text, start + 1, size))
 
 
 def _allows(size: Column, edits: int, distance: int, per_edit: int) -> Column:
@@ -156,12 +160,12 @@ def probe_keys(text: Column, size: Column, distance: int = DISTANCE, per_edit: i
     none, found = F.array().cast("array<bigint>"), []
     for edits in range(1, distance + 1):
         for shorter in range(edits + 1):
-            indexed, keys = (size - shorter).cast("int"), []
+            indexed, keys = (size - shorter if shorter else size), []
             for i in range(edits + 1):
                 start, length = _segment(indexed, i, edits + 1)
                 rest = edits - i
                 for shift in range(max(-i, shorter - rest), min(i, shorter + rest) + 1):
-                    keys.append(_key(i, indexed, text, start + shift, length))
+                    keys.append(_key(i, indexed, text, start + shift if shift else start, length))
             found.append(F.when(_allows(indexed, edits, distance, per_edit), F.array(*keys)).otherwise(none))
     return F.concat(*found)
 
@@ -186,21 +190,21 @@ def distinct_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 
 
 def counted(distinct: DataFrame) -> DataFrame:
-    """distinct with the counts of COUNTED characters in each line, four bits each."""
-    counts = F.lit(0).cast("bigint")
+    """distinct with the counts of COUNTED characters in each line, four bits each. Each is searched in what the ones before it leave of the line."""
+    counts, rest = F.lit(0).cast("bigint"), F.col("text")
     for i, c in enumerate(COUNTED):
-        n = (F.octet_length("text") - F.octet_length(F.replace(F.col("text"), F.lit(c), F.lit("")))).bitwiseAND(F.lit(15)).cast("bigint")
-        counts = counts.bitwiseOR(F.shiftleft(n, 4 * i))
+        left = F.replace(rest, F.lit(c), F.lit(""))
+        n = (F.octet_length(rest) - F.octet_length(left)).bitwiseAND(F.lit(15)).cast("bigint")
+        counts, rest = counts.bitwiseOR(F.shiftleft(n, 4 * i)), left
     return distinct.withColumn("counts", counts)
 
 
 def _dealt(index: DataFrame, probe: DataFrame) -> tuple[DataFrame, DataFrame, list[str]]:
     """index and probe with what else than the key must be equal: for hot keys, a pair of chunks."""
-    counts = written(index.groupBy("key").count(), "line-keys")
-    total, most = counts.agg(F.coalesce(F.sum("count"), F.lit(0)), F.coalesce(F.max("count"), F.lit(0))).head()
-    border = max(HOT_LINES, total // HOT_KEYS)  # so that no more than HOT_KEYS are told
-    if most <= border:
+    counts = written(index.groupBy("key").count().where(F.col("count") > HOT_LINES), "line-keys")
+    if counts.isEmpty():
         return index, probe, []
+    border = max(HOT_LINES, index.count() // HOT_KEYS)  # so that no more than HOT_KEYS are told
     hot = F.broadcast(counts.where(F.col("count") > border).select("key", F.ceil(F.col("count") / HOT_LINES).alias("chunks")))
 
     def cut(rows: DataFrame, own: str, other: str) -> DataFrame:
@@ -214,8 +218,8 @@ def _dealt(index: DataFrame, probe: DataFrame) -> tuple[DataFrame, DataFrame, li
 def links(distinct: DataFrame, distance: int = DISTANCE, per_edit: int = BYTES_PER_EDIT) -> DataFrame:
     """Pairs of different lines (of counted()) within distance: a and b, each a struct of text, n and first; each pair once."""
     long = distinct.where(F.octet_length("text") >= per_edit)
-    data = F.encode("text", "UTF-8")
-    size = F.octet_length("text").cast("int")
+    data = F.coalesce(F.encode("text", "UTF-8"), F.lit(b""))
+    size = F.coalesce(F.octet_length("text"), F.lit(0))
     entry = long.select(F.xxhash64("text").alias("id"), "counts", size.alias("size"), data.alias("data"))
     index = entry.select("id", F.explode(index_keys(F.col("data"), F.col("size"), distance, per_edit)).alias("key"), "counts")
     probe = entry.select("id", F.explode(probe_keys(F.col("data"), F.col("size"), distance, per_edit)).alias("key"), "counts")
@@ -270,10 +274,9 @@ def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     text = F.col(names[text_col])
     joined = rows.join(told, F.col(names[id_col]).eqNullSafe(F.col("doc")) & (F.xxhash64(text) == F.col("of")), "left")
     all_lines = F.split(text, "\n")
-    # a line stays if it isn't in the set of dropped ones: equal pairs of number and line fall out in array_except
-    numbered = F.transform(all_lines, lambda x, i: F.struct(i.alias("i"), x.alias("x")))
-    gone = F.transform(F.concat("exact", "near"), lambda i: F.struct(i.alias("i"), F.get(all_lines, i).alias("x")))
-    left = F.array_join(F.transform(F.array_except(numbered, gone), lambda s: s.getField("x")), "\n")
+    # a text is split once, and the numbers of lines that stay are found by a hash table (array_except of integers), so no text's cost grows with the square of its lines
+    stay = lambda x: F.array_except(F.sequence(F.lit(0), F.size(x) - 1), F.concat("exact", "near"))
+    left = _let(all_lines, lambda x: F.array_join(F.transform(stay(x), lambda i: F.get(x, i)), "\n"))
     kept = {c: i for c, i in names.items() if c.lower() not in {"n_lines", "n_exact", "n_near"}}
     new = F.when(F.col("of").isNull(), text).otherwise(left)
     size = lambda c: F.coalesce(F.size(c), F.lit(0)).cast("bigint")

@@ -1,6 +1,7 @@
 """Line dedup against a brute-force version."""
 
 import random
+import time
 
 from pyspark.sql import functions as F
 
@@ -124,3 +125,22 @@ def test_long_lines(spark):
     docs = [(1, long), (2, long + "x"), (3, long.replace("word ", "ward ", 1)), (4, "y" + long[: len(long) // 2])]
     found = {r.doc_id: r.text for r in L.deduplicate(spark.createDataFrame(docs, "doc_id bigint, text string")).collect()}
     assert found == {1: long, 2: "", 3: "", 4: docs[3][1]}
+
+
+def test_counts_of_characters(spark):
+    texts = ["", "see the sea shells", "e" * 37, "ÀÉ e中\ttnraoi shldcumf", "x" * 300, "no on  no"]
+    for r in L.counted(spark.createDataFrame([(t,) for t in texts], "text string")).collect():
+        got = [r.counts >> 4 * i & 15 for i in range(len(L.COUNTED))]
+        assert got == [r.text.count(c) % 16 for c in L.COUNTED]
+
+
+def test_long_text_of_dropped_lines(spark):
+    """A text is split once, not for each line that it loses."""
+    lines = [f"{i} a line" for i in range(20000)]
+    text = "\n".join(["own"] + lines + ["end"])
+    rows = spark.createDataFrame([(1, "\n".join(lines)), (2, text)], "doc_id long, text string")
+    started = time.time()
+    found = {r.doc_id: r for r in L.deduplicate(rows).collect()}
+    assert time.time() - started < 60
+    assert found[1].text == "\n".join(lines) and found[2].text == "own\nend"
+    assert (found[2].n_lines, found[2].n_exact, found[2].n_near) == (20002, 20000, 0)
