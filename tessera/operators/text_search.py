@@ -1,7 +1,7 @@
 """A kept index for words in texts: positional postings by word, stems, ranks with an early end by block maxima, substrings, names.
 
 Documents are dealt by a hash of their id into blocks of about BLOCK_DOCS. A row of the postings is a word in a block: its documents, their days and
-the word's places in each, and the most places it has in one of them. So no row grows with the documents, however common the word. Postings
+the word's places in each, and the most places it has in one of them (several rows, if the block has very many words). So no row grows with the documents, however common the word. Postings
 are in shards by a hash of the word, sorted by word and block. The vocabulary has each word once, with its lexeme (its stem, but for
 stop-words). Only it is searched for substrings: a term has letters, digits and hyphens only, so it lies within a word, or within a run of
 words and hyphens, which is a word of its own without a lexeme. The empty word has every document. Texts are read when the index is built, and never at query time.
@@ -33,8 +33,8 @@ from ..functions.stemming import STOP, stem
 from ..session import delete, shared_dir, ship
 
 BLOCK_DOCS, SHARDS, PARTS = 128, 16, 16
-#: Texts whose words are held at once.
-TEXTS = 200
+#: Texts that are read at once, and words of a block's texts beyond which rows are made of them.
+TEXTS, PLACES = 200, 2_000_000
 #: Words of a query up to which the scan is filtered by them.
 FEW_WORDS = 1000
 POSTINGS = "word string, block bigint, ids array<bigint>, days array<date>, places array<array<int>>, most int, shard int"
@@ -85,25 +85,41 @@ def build(docs: DataFrame, store: str, key: str, text: str, day: str | None = No
     )
     blocks = max(1, -(-rows.count() // BLOCK_DOCS))
     spark.createDataFrame([(blocks,)], "blocks bigint").coalesce(1).write.parquet(f"{store}/about")
-    each = rows.select("id", "day", _block(F.col("id"), blocks).alias("block"), "text").mapInArrow(_words, "id bigint, day date, block bigint, word string, places array<int>")
+    # texts go to the tasks of their blocks, so that a word's places in a block are gathered there, before words are shuffled
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    sorted_ = rows.select("id", "day", _block(F.col("id"), blocks).alias("block"), "text").repartition(parts, "block").sortWithinPartitions("block")
+    each = sorted_.mapInArrow(_postings, POSTINGS.removesuffix(", shard int"))
     shard = F.pmod(F.xxhash64("word"), F.lit(SHARDS)).cast("int")
     # a word's blocks are spread over PARTS, so that no task gets all rows of a common word
-    dealt = each.select("*", shard.alias("shard"), (F.col("block") % PARTS).alias("part")).repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "shard", "part")
-    made = dealt.groupBy("shard", "part", "word", "block").agg(F.collect_list(F.struct("id", "day", "places")).alias("e"), F.max(F.size("places")).alias("most"))
-    made = made.select("shard", "word", "block", *[F.col(f"e.{a}").alias(b) for a, b in (("id", "ids"), ("day", "days"), ("places", "places"))], "most")
-    made.sortWithinPartitions("shard", "word", "block").write.partitionBy("shard").parquet(f"{store}/postings")
+    dealt = each.select("*", shard.alias("shard"), (F.col("block") % PARTS).alias("part")).repartition(parts, "shard", "part").drop("part")
+    dealt.sortWithinPartitions("shard", "word", "block").write.partitionBy("shard").parquet(f"{store}/postings")
     stems = F.arrow_udf(lambda w: pa.array([lexeme(x) if WORD.fullmatch(x) else None for x in w.to_pylist()], pa.string()), "string")
     vocabulary = spark.read.schema(POSTINGS).parquet(f"{store}/postings").select("shard", "word").distinct()
     vocabulary.withColumn("lexeme", stems("word")).sortWithinPartitions("lexeme").write.parquet(f"{store}/vocabulary")
 
 
-def _words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Each word of each text with its places; also runs with hyphens, and the empty word."""
+def _postings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows of the postings of texts that are sorted by block: each word with its places; also runs with hyphens, and the empty word."""
+    ids, days, row, word, flat, ends, block = [], [], [], [], [], [0], None
+
+    def rows() -> pa.RecordBatch:
+        """What is held, by word."""
+        coded = pa.array(word, pa.string()).dictionary_encode()
+        codes = coded.indices.to_numpy()
+        order, starts = np.argsort(codes, kind="stable"), np.concatenate([[0], np.cumsum(np.bincount(codes))])
+        most = np.maximum.reduceat(np.diff(ends)[order], starts[:-1])
+        of = lambda x: pa.ListArray.from_arrays(pa.array(starts, pa.int32()), x.take(pa.array(order)))
+        each = [pa.array(ids, pa.int64()).take(pa.array(row, pa.int32())), pa.array(days, pa.int32()).cast(pa.date32()).take(pa.array(row, pa.int32()))]
+        places = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(flat, pa.int32()))
+        return pa.RecordBatch.from_arrays([coded.dictionary, pa.array([block] * len(most), pa.int64()), *(of(x) for x in (*each, places)), pa.array(most, pa.int32())], ["word", "block", "ids", "days", "places", "most"])
+
     for b in batches:
         for at in range(0, b.num_rows, TEXTS):
             part = b.slice(at, TEXTS)
-            row, word, flat, ends = [], [], [], [0]
-            for r, t in enumerate(part.column(3).to_pylist()):
+            for id_, day, where, t in zip(part.column(0).to_pylist(), part.column(1).cast(pa.int32()).to_pylist(), part.column(2).to_pylist(), part.column(3).to_pylist()):
+                if ids and (where != block or len(flat) > PLACES):
+                    yield rows()
+                    ids, days, row, word, flat, ends = [], [], [], [], [], [0]
                 found: dict[str, list[int]] = {"": []}
                 for i, w in enumerate(WORD.findall(t), 1):
                     if w in found:
@@ -112,14 +128,16 @@ def _words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                         found[w] = [i]
                 if "-" in t:
                     found.update({w: [] for w in JOINED.findall(t)})
-                row += [r] * len(found)
+                row += [len(ids)] * len(found)
                 word += found
                 for p in found.values():
                     flat += p
                     ends.append(len(flat))
-            places = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(flat, pa.int32()))
-            names = ["id", "day", "block", "word", "places"]
-            yield pa.RecordBatch.from_arrays([*(part.column(c).take(pa.array(row, pa.int32())) for c in range(3)), pa.array(word, pa.string()), places], names)
+                ids.append(id_)
+                days.append(day)
+                block = where
+    if ids:
+        yield rows()
 
 
 def _needed(groups: list[list[Item]]) -> list[str]:

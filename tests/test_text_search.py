@@ -5,6 +5,7 @@ import random
 import re
 from datetime import date
 
+import pyarrow as pa
 import pytest
 
 from tessera.functions.stemming import stem
@@ -107,3 +108,17 @@ def test_stems():
     known = "consignment consign consistency consist conspicuous conspicu knackeries knackeri dying die skies sky happily happili hopping hop hoped hope luxuriated luxuri relational relat generously generous"
     words = known.split()
     assert [stem(w) for w in words[::2]] == words[1::2]
+
+
+def test_postings_gather_a_block_before_words_are_shuffled(monkeypatch):
+    """A word in a block is one row from the first, and more only where the block has very many words."""
+    texts = [(1, 5, 0, "a-b a"), (2, None, 0, "a c"), (3, 7, 1, ""), (4, 7, 1, "c")]
+    columns = [pa.array(x, t) for x, t in zip(zip(*texts), (pa.int64(), pa.int32(), pa.int64(), pa.string()))]
+    batch = pa.RecordBatch.from_arrays([columns[0], columns[1].cast(pa.date32()), *columns[2:]], ["id", "day", "block", "text"])
+    rows = lambda: [r for b in T._postings(iter([batch.slice(0, 1), batch.slice(1)])) for r in b.to_pylist()]
+    found = {(r["word"], r["block"]): (r["ids"], [d and (d - date(1970, 1, 1)).days for d in r["days"]], r["places"], r["most"]) for r in rows()}
+    assert len(rows()) == len(found) == 7
+    assert found["a", 0] == ([1, 2], [5, None], [[1, 3], [1]], 2) and found["c", 1] == ([4], [7], [[1]], 1)
+    assert found["", 1] == ([3, 4], [7, 7], [[], []], 0) and found["a-b", 0] == ([1], [5], [[]], 0)
+    monkeypatch.setattr(T, "PLACES", 1)
+    assert len([r for r in rows() if r["word"] == "a"]) == 2
