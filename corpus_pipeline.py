@@ -15,12 +15,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.llm import bpe, decontaminate, language_id, line_dedup, simhash
-from tessera.llm.common import kept_only, own_names, table
+from tessera.llm.common import kept_only, own_names, small_batches, table
 from tessera.llm.queries import vocabulary
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops documents in which no language is found. The label that a document has stays: it isn't an input of later stages."""
+    small_batches(spark)
     return language_id.filtered(docs)
 
 
@@ -36,16 +37,19 @@ def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def dedup_near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps one document, that of the smallest id, of each group of near-duplicates."""
+    small_batches(spark)
     return simhash.deduplicate(docs)
 
 
 def drop_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops documents that hold a window of a benchmark item."""
+    small_batches(spark)
     return decontaminate.decontaminate(docs, table(spark, sf_dir, "benchmark"))
 
 
 def tokenize(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """doc_id, lang, source, n_tokens, ids_sha256 and decoded_sha256 of what is left."""
+    small_batches(spark)
     rows = bpe.round_trip(docs.select("doc_id", "lang", "source", "text"), vocabulary())
     return rows.select("doc_id", "lang", "source", "n_tokens", "ids_sha256", "decoded_sha256")
 

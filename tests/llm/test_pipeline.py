@@ -3,10 +3,13 @@
 import hashlib
 import random
 
+import pyarrow as pa
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 import corpus_pipeline as C
 from tessera.llm import simhash
+from tessera.llm.common import BATCH_KEY, BATCH_ROWS
 from tessera.llm.queries import vocabulary
 
 from .test_decontaminate import brute as overlaps
@@ -68,3 +71,19 @@ def test_stages_keep_columns_and_take_no_rows(spark, tmp_path):
         assert stage(spark, df, str(tmp_path)).columns == df.columns
         assert stage(spark, df.limit(0), str(tmp_path)).count() == 0
     assert C.STAGES[-1][1](spark, df.limit(0), str(tmp_path)).count() == 0
+
+
+def test_workers_get_few_texts_at_once(spark, tmp_path):
+    docs, items = fixture()
+    spark.createDataFrame(items, "item_id bigint, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    many = spark.range(3 * BATCH_ROWS, numPartitions=1).selectExpr("id AS doc_id", "'a few words of text' AS text", "'en' AS lang", "'s' AS source", "19L AS n_chars")
+    rows = F.arrow_udf(lambda ids: pa.array([len(ids)] * len(ids)), "bigint")
+    for name, stage in C.STAGES:
+        if name == "line_dedup":  # has no Python
+            continue
+        spark.conf.unset(BATCH_KEY)
+        try:
+            stage(spark, many, str(tmp_path))
+            assert many.select(rows("doc_id").alias("n")).agg(F.max("n")).head()[0] <= BATCH_ROWS, name
+        finally:
+            spark.conf.unset(BATCH_KEY)
