@@ -53,19 +53,21 @@ def claim_links(rows: DataFrame, threshold: float, hints: bool) -> DataFrame:
     sizes = written(rows.groupBy("cell").agg(F.count("*").alias("claims")), "cell-sizes")
     ends = [F.col("x.cell").alias("cell"), F.col("x.id").alias("a"), F.col("y.id").alias("i")]
     ordered = (F.col("x.cell") == F.col("y.cell")) & (F.col("x.id") < F.col("y.id")) & (F.abs(F.datediff("x.d", "y.d")) <= 1)
-    few = rows.select("cell", "id", "d").join(sizes.where(F.col("claims") <= SMALL_CELL), "cell", "left_semi")
-    met = few.alias("x").join(few.alias("y"), ordered).select(*ends)
+    of = F.struct("t", "e", "h", "heavy").alias("of")
+    few = rows.select("cell", "id", "d", of).join(sizes.where(F.col("claims") <= SMALL_CELL), "cell", "left_semi")
+    # a small cell's claims are shuffled, with their sets, not its pairs
+    both = few.alias("x").join(few.alias("y").hint("merge"), ordered).select(*ends, F.col("x.of").alias("of_a"), F.col("y.of").alias("of_i"))
     large = sizes.where(F.col("claims") > SMALL_CELL)
     if not large.isEmpty():
-        many = rows.join(large, "cell", "left_semi")
+        many, met = rows.join(large, "cell", "left_semi"), None
         for c in "te":
             counts = written(many.select("cell", F.explode(c).alias("key")).groupBy("cell", "key").agg(F.count("*").alias("df")), "claim-keys")
             prefix = written(_rarest(many, c, counts, share).join(many.select("cell", "id", "d"), ["cell", "id"]), "claim-prefixes")
             alike = (F.col("x.key") == F.col("y.key")) & (F.least("x.n", "y.n") >= share * F.greatest("x.n", "y.n"))
-            met = met.unionByName(prefix.alias("x").join(prefix.alias("y"), ordered & alike).select(*ends))
-        met = met.distinct()
-    side = lambda o: rows.select("cell", F.col("id").alias(o), F.struct("t", "e", "h", "heavy").alias(f"of_{o}"))
-    both = met.join(side("a"), ["cell", "a"]).join(side("i"), ["cell", "i"])
+            by_key = prefix.alias("x").join(prefix.alias("y"), ordered & alike).select(*ends)
+            met = by_key if met is None else met.unionByName(by_key)
+        side = lambda o: many.select("cell", F.col("id").alias(o), of.alias(f"of_{o}"))
+        both = both.unionByName(met.distinct().join(side("a"), ["cell", "a"]).join(side("i"), ["cell", "i"]))
     both = both.withColumns({f"shared_{c}": F.size(F.array_intersect(f"of_a.{c}", f"of_i.{c}")) for c in "teh"})
     both = both.withColumn("score", _score("of_a", "of_i")).where(F.col("score") >= threshold)
     common, all_common = F.array_intersect("of_a.heavy", "of_i.heavy"), F.col("shared_t") + F.col("shared_e")
@@ -93,7 +95,7 @@ def star_clusters(claims: DataFrame, cell: list[str], key: str, tokens: str, ent
     often = each.groupBy("cell", "key").agg(F.count("*").alias("n"), F.first("most").alias("most")).where("n > most").select("cell", "key", "most")
     having = written(each.drop("most").join(often, ["cell", "key"]), "frequent-keys")
     own = having.groupBy("cell", "id").agg(F.collect_list("key").alias("heavy"))
-    full = facts.join(own, ["cell", "id"], "left").withColumn("heavy", F.coalesce("heavy", F.array().cast("array<bigint>")))
+    full = written(facts.join(own, ["cell", "id"], "left").withColumn("heavy", F.coalesce("heavy", F.array().cast("array<bigint>"))), "full-claims")
     links = written(claim_links(full, threshold, hints is not None), "claim-links")
     hanging, ends, usable = not links.where("heavy is not null").isEmpty(), None, links
     while True:
