@@ -438,3 +438,11 @@ def test_html_is_parsed_by_few_pages(spark, monkeypatch):
     html_reports.parsed(Pages(), "id", "h")
     batch = pa.RecordBatch.from_arrays([pa.array(range(8)), pa.array(["<p>a</p>"] * 8)], ["id", "h"])
     assert [b.num_rows for b in taken[0](iter([batch]))] == [3, 3, 2]
+
+
+def test_star_pairs_of_small_cells_meet_with_their_sets(spark):
+    kind = "cell string, id bigint, t array<bigint>, e array<bigint>, h array<bigint>, d date, heavy array<bigint>"
+    rows = spark.createDataFrame([("c", i, [i, 1], [2], [3], __import__("datetime").date(2024, 1, 1 + i), [1]) for i in range(5)], kind)
+    plan = claims.claim_links(rows, 0.35, False)._jdf.queryExecution().executedPlan().toString().splitlines()
+    pairs = next(i for i, line in enumerate(plan) if "Join" in line and "datediff" in line)
+    assert not any("Join" in line for line in plan[:pairs])  # nothing is joined to pairs, so nothing of them is shuffled
