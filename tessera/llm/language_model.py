@@ -21,6 +21,9 @@ frequent ones of at most WORD_BYTES are sent to the executors; all other words o
 Results: null and empty texts are one end. Rows are scored each by itself, repeated ones alike. Without training texts N and V
 are 0, base_score is 0 and every byte costs log10(256). Columns of the input with the name of a new column are replaced. A long text
 is handled in pieces of BYTES_AT_ONCE.
+
+A worker holds, beside the rows it was given, the words of about BYTES_AT_ONCE of texts (or of one longer text) and at most about WORDS_AT_ONCE
+words or GRAMS_AT_ONCE grams or what was sent, whatever its task has to read. Counts that were passed on early are added up in the shuffle.
 """
 
 from __future__ import annotations
@@ -30,11 +33,12 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import scratch, spread_join, written
+from .common import give_back, scratch, smaller_batches, spread_join, written
 
 ORDER = 5
 #: Grams whose code lengths are sent to executors, and words whose counts are (and these words' bytes at most).
@@ -43,8 +47,13 @@ FREQUENT = 131_072
 WORD_BYTES = 64
 #: Bytes handled at once.
 BYTES_AT_ONCE = 1 << 18
-#: Different grams that a task keeps before it passes them on.
+#: Grams and their counts, and different words, that a task keeps before it passes them on.
 GRAMS_AT_ONCE = 1 << 20
+WORDS_AT_ONCE = 1 << 17
+#: Characters of texts whose words are counted before they are passed on, since words can be long.
+TEXT_AT_ONCE = 1 << 24
+#: Keys put into a table at once.
+KEYS_AT_ONCE = 1 << 16
 END = "\n"
 #: What precedes a text as context; white space is in no word, so neither it nor the end is taken for text.
 START = b"\n" * ORDER
@@ -55,6 +64,18 @@ def tokens(text: str | None) -> list[bytes]:
     return [*(text.encode().lower().split() if text else []), b"\n"]
 
 
+def cuts(texts: pa.Array) -> Iterator[tuple[int, int]]:
+    """Where runs of texts of about BYTES_AT_ONCE begin and end."""
+    first, size = 0, 0
+    for k, n in enumerate(pc.binary_length(texts).to_pylist(), 1):
+        size += n or 0
+        if size >= BYTES_AT_ONCE:
+            yield first, k
+            first, size = k, 0
+    if first < len(texts):
+        yield first, len(texts)
+
+
 def codes(texts: list[list[bytes]]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """Packed (ORDER + 1)-grams that end in a text's own byte, with the text's place, in pieces of about BYTES_AT_ONCE."""
     first = 0
@@ -79,8 +100,12 @@ def codes(texts: list[list[bytes]]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
 
 
 def _merged(found: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
-    u, at = np.unique(np.concatenate([np.zeros(0, np.int64), *(c for c, _ in found)]), return_inverse=True)
-    return u, np.bincount(at, np.concatenate([np.zeros(0, np.int64), *(n for _, n in found)]), len(u)).astype(np.int64)
+    keys = np.concatenate([np.zeros(0, np.int64), *(c for c, _ in found)])
+    n = np.concatenate([np.zeros(0, np.int64), *(n for _, n in found)])
+    order = np.argsort(keys, kind="stable")
+    keys, n = keys[order], n[order]
+    first = np.flatnonzero(np.append(True, keys[1:] != keys[:-1])[: len(keys)])
+    return keys[first], np.add.reduceat(n, first) if len(n) else n
 
 
 def grams(texts: list[list[bytes]]) -> tuple[np.ndarray, np.ndarray]:
@@ -96,15 +121,16 @@ class Hashed:
         self.shift, self.mask = np.uint64(64 - bits), (1 << bits) - 1
         self.rows = np.full((1 << bits, 2), -1, np.int64)
         raw = np.ascontiguousarray(values, np.float64).view(np.int64)
-        todo, slot = np.arange(len(keys)), self._slot(keys)
-        while len(todo):
-            free = np.nonzero(self.rows[slot, 0] < 0)[0]
-            _, first = np.unique(slot[free], return_index=True)
-            put = free[first]
-            self.rows[slot[put], 0], self.rows[slot[put], 1] = keys[todo[put]], raw[todo[put]]
-            rest = np.ones(len(todo), bool)
-            rest[put] = False
-            todo, slot = todo[rest], slot[rest] + 1 & self.mask
+        for a in range(0, len(keys), KEYS_AT_ONCE):
+            todo, slot = np.arange(a, min(a + KEYS_AT_ONCE, len(keys))), self._slot(keys[a : a + KEYS_AT_ONCE])
+            while len(todo):
+                free = np.nonzero(self.rows[slot, 0] < 0)[0]
+                _, first = np.unique(slot[free], return_index=True)
+                put = free[first]
+                self.rows[slot[put], 0], self.rows[slot[put], 1] = keys[todo[put]], raw[todo[put]]
+                rest = np.ones(len(todo), bool)
+                rest[put] = False
+                todo, slot = todo[rest], slot[rest] + 1 & self.mask
 
     def _slot(self, keys: np.ndarray) -> np.ndarray:
         h = keys.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
@@ -135,24 +161,41 @@ _KEPT: dict[str, tuple[Hashed, dict[bytes, float]]] = {}
 
 def _sent(key: str, sent) -> tuple[Hashed, dict[bytes, float]]:
     if key not in _KEPT:
+        _forget()
         keys, lengths, words, logs = sent.value
-        _KEPT.clear()
         _KEPT[key] = Hashed(keys, lengths), dict(zip(words, logs.tolist()))
     return _KEPT[key]
 
 
+def _forget() -> None:
+    """Frees what an earlier model left in this worker."""
+    _KEPT.clear()
+    give_back()
+
+
 def word_counts(docs: DataFrame, text_col: str = "text") -> DataFrame:
     """key (the word's bytes) and n over all texts."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            c: Counter[bytes] = Counter()
-            for t in b.column(0):
-                c.update(tokens(t.as_py()))
+        def out() -> Iterator[pa.RecordBatch]:
             keys, counts = pa.array(c.keys(), pa.binary()), pa.array(c.values(), pa.int64())
+            c.clear()
             for k in range(0, len(keys), 100_000):
                 yield pa.RecordBatch.from_arrays([keys[k : k + 100_000], counts[k : k + 100_000]], ["key", "n"])
 
+        _forget()
+        c: Counter[bytes] = Counter()
+        size = 0
+        for b in batches:
+            for t in b.column(0):
+                c.update(tokens(t.as_py()))
+                size += len(t.as_py() or "")
+                if len(c) > WORDS_AT_ONCE or size > TEXT_AT_ONCE:
+                    yield from out()
+                    size = 0
+        yield from out()
+        give_back()
+
     return docs.select(F.col(f"`{text_col}`")).mapInArrow(run, "key binary, n bigint").groupBy("key").agg(F.sum("n").alias("n"))
 
 
@@ -165,16 +208,20 @@ def gram_counts(docs: DataFrame, text_col: str = "text") -> DataFrame:
             for k in range(0, len(keys), 100_000):
                 yield pa.RecordBatch.from_arrays([pa.array(keys[k : k + 100_000]), pa.array(n[k : k + 100_000])], ["key", "n"])
 
+        _forget()
         found: list[tuple[np.ndarray, np.ndarray]] = []
         for b in batches:
-            for code, _ in codes([tokens(t.as_py()) for t in b.column(0)]):
-                found.append(np.unique(code, return_counts=True))
-                if sum(len(c) for c, _ in found) > GRAMS_AT_ONCE:
-                    found = [_merged(found)]
-                    if len(found[0][0]) > GRAMS_AT_ONCE // 2:
-                        yield from out(found)
-                        found = []
+            for first, last in cuts(b.column(0)):
+                for code, _ in codes([tokens(t) for t in b.column(0)[first:last].to_pylist()]):
+                    found.append(np.unique(code, return_counts=True))
+                    if sum(len(c) for c, _ in found) > GRAMS_AT_ONCE:
+                        found = [_merged(found)]
+                        if len(found[0][0]) > GRAMS_AT_ONCE * 3 // 4:
+                            yield from out(found)
+                            found = []
         yield from out(found)
+        found.clear()
+        give_back()
 
     return docs.select(F.col(f"`{text_col}`")).mapInArrow(run, "key bigint, n bigint").groupBy("key").agg(F.sum("n").alias("n"))
 
@@ -270,9 +317,10 @@ def _most(counts: DataFrame, most: int) -> Column:
 def score(docs: DataFrame, train: DataFrame, text_col: str = "text") -> DataFrame:
     """docs with n_tokens, n_known, train_tokens, base_score and score, learned from train."""
     spark = docs.sparkSession
-    words = written(word_counts(train, text_col), "word-counts")
+    with smaller_batches(spark):
+        words = written(word_counts(train, text_col), "word-counts")
+        counts = written(known_lengths(gram_counts(train, text_col)), "grams")
     total, kinds = words.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).head()
-    counts = written(known_lengths(gram_counts(train, text_col)), "grams")
     often = counts.where(_most(counts, SENT)).select("key", "value").toArrow()
     short = F.octet_length("key") <= WORD_BYTES
     frequent = short & _most(words.where(short), FREQUENT)
@@ -293,8 +341,8 @@ def score(docs: DataFrame, train: DataFrame, text_col: str = "text") -> DataFram
         lengths, log = _sent(key, sent)
         row = TaskContext.get().partitionId() << 40
         for whole in batches:
-            for k in range(0, whole.num_rows, 2000):
-                b = whole.slice(k, 2000)
+            for first, last in cuts(whole.column(whole.num_columns - 1)):
+                b = whole.slice(first, last - first)
                 texts = [tokens(t) for t in b.column(b.num_columns - 1).to_pylist()]
                 sizes, known, base, rare = [], [], [], []
                 for t in texts:
@@ -312,8 +360,10 @@ def score(docs: DataFrame, train: DataFrame, text_col: str = "text") -> DataFram
                 arrays = [ids, pa.array(sizes, pa.int64()), pa.array(known, pa.int64()), pa.array(base, pa.float64()), pa.array(bits), pa.array(rare, pa.list_(pa.struct([("word", pa.binary()), ("n", pa.int64())]))), others]
                 row += len(texts)
                 yield pa.RecordBatch.from_arrays([*b.columns[:-1], *arrays], [*names, *(f.name for f in extra.fields)])
+        give_back()
 
-    scored = written(rows.mapInArrow(run, T.StructType([*inner, *extra.fields])), "scored")
+    with smaller_batches(spark):
+        scored = written(rows.mapInArrow(run, T.StructType([*inner, *extra.fields])), "scored")
     sent.destroy()
     each = scored.select("row", F.explode("rare").alias("r")).select("row", F.col("r.word").alias("key"), F.col("r.n").alias("times"))
     by_word = each.join(words.where(~frequent), "key").select("row", F.col("times").alias("more"), (F.col("times") * F.log10(F.col("n") + 1)).alias("gain"), F.lit(0.0).alias("bits"))

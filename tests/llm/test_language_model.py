@@ -2,11 +2,14 @@
 
 import math
 import random
+import tracemalloc
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
+from tessera.llm import common
 from tessera.llm import language_model as M
 
 
@@ -116,3 +119,72 @@ def test_no_training_and_no_rows(spark):
     r = M.score(df, df.limit(0)).head()
     assert (r.train_tokens, r.n_known, r.base_score) == (0, 0, 0.0) and math.isclose(r.score, -3 * math.log10(256))
     assert M.score(df.limit(0), df).count() == 0
+
+
+class Taken:
+    """Stands for a table and keeps what its workers would run."""
+
+    def select(self, *_):
+        return self
+
+    groupBy = agg = select
+
+    def mapInArrow(self, run, _):
+        self.run = run
+        return self
+
+
+@pytest.mark.parametrize("count", [M.word_counts, M.gram_counts])
+def test_a_worker_holds_little_of_what_its_task_reads(spark, monkeypatch, count):
+    """400,000 different words in one batch, after a task that had a model."""
+    for bound in ("GRAMS_AT_ONCE", "WORDS_AT_ONCE"):
+        monkeypatch.setattr(M, bound, 1 << 14, raising=False)
+    monkeypatch.setitem(M._KEPT, "earlier", None)
+    some = [" ".join(f"{k:07x}" for k in range(a, a + 200)) for a in range(0, 400_000, 200)]
+    batch = pa.RecordBatch.from_pydict({"text": [*some, None, ""]})
+    count(taken := Taken())
+    tracemalloc.start()
+    try:
+        n = sum(sum(b.column(1).to_pylist()) for b in taken.run(iter([batch])))
+        most = tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+    assert n == (400_000 + 2002 if count is M.word_counts else 400_000 * 8 + 2)
+    assert most < 24e6 and not M._KEPT
+
+
+def test_texts_are_cut_by_size_and_none_is_lost(monkeypatch):
+    monkeypatch.setattr(M, "BYTES_AT_ONCE", 10)
+    column = pa.array(["", None, "x" * 25, "ab", "é" * 4, "c", None])
+    assert list(M.cuts(column)) == [(0, 3), (3, 5), (5, 7)] and list(M.cuts(column[:0])) == []
+    assert list(M.cuts(column[3:])) == [(0, 2), (2, 4)]
+
+
+@pytest.mark.parametrize("bound", [("WORDS_AT_ONCE", 3), ("TEXT_AT_ONCE", 100)])
+def test_counts_passed_on_early_are_added_up(spark, monkeypatch, bound):
+    monkeypatch.setattr(M, "GRAMS_AT_ONCE", 40)
+    monkeypatch.setattr(M, *bound)
+    monkeypatch.setattr(M, "BYTES_AT_ONCE", 64)
+    some = texts(13)
+    column = pa.RecordBatch.from_pydict({"text": some})
+    for count, whole in ((M.word_counts, Counter(w for t in some for w in M.tokens(t))), (M.gram_counts, dict(zip(*(x.tolist() for x in M.grams([M.tokens(t) for t in some])))))):
+        count(taken := Taken())
+        found = Counter()
+        for b in taken.run(iter([column, column[:0], column])):
+            for k, n in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+                found[k] += n
+        assert found == {k: 2 * n for k, n in whole.items()}
+
+
+def test_a_table_of_many_keys_has_them_all(monkeypatch):
+    monkeypatch.setattr(M, "KEYS_AT_ONCE", 100)
+    keys = np.unique(np.random.default_rng(1).integers(0, 1 << 48, 5_000))
+    kept = M.Hashed(keys, keys * 0.5)
+    assert (kept.get(keys) == keys * 0.5).all() and np.isnan(kept.get(keys + 1)[~np.isin(keys + 1, keys)]).all()
+
+
+def test_the_session_keeps_its_number_of_rows(spark):
+    before = spark.conf.get(common.BATCH_KEY)
+    with common.smaller_batches(spark):
+        assert spark.conf.get(common.BATCH_KEY) in (str(common.BATCH_ROWS), before)
+    assert spark.conf.get(common.BATCH_KEY) == before
