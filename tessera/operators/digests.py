@@ -9,8 +9,8 @@ from ..functions import gazetteer, scores
 from ..session import spread, written
 from . import keyed, near_duplicates
 
-#: Documents of a gather, and of these of one adapter at most; characters that the words of a track are looked for in, and that signatures are of.
-GATHERED, ADAPTER_SHARE, LEXICON_CHARS, SIGNED_CHARS = 600, 0.4, 1500, 2000
+#: Documents of a gather, and of these of one adapter at most; characters that the words of a track are looked for in.
+GATHERED, ADAPTER_SHARE, LEXICON_CHARS = 600, 0.4, 1500
 #: A cell keeps documents without places or actions only where fewer than so many have some; clusters of a digest.
 ENOUGH, CLUSTERS = 15, 12
 #: Words (patterns) by which tracks choose documents.
@@ -59,14 +59,12 @@ def extractive(docs: DataFrame, cell: str, key: str, title: str, content: str, r
     """cell, place, lead, docs (of the cluster), score: of each cell the best clusters of near copies.
 
     A cluster counts by its documents, their reliability, and the places and actions that its first document names. Tracks with words of their own
-    keep all documents.
+    keep all documents. Places, actions and signatures are of whole texts; the lead is the start of a title.
     """
-    text = F.substring(whole(F.col(title), F.col(content)), 1, SIGNED_CHARS)
-    rows = spread(docs).select(F.col(cell).alias("cell"), F.col(key).alias("key"), F.coalesce(title, content).alias("said"), scores.reliability(F.col(reliability)).alias("rel"), text.alias("text"))
+    rows = spread(docs).select(F.col(cell).alias("cell"), F.col(key).alias("key"), F.coalesce(title, content).alias("said"), scores.reliability(F.col(reliability)).alias("rel"), whole(F.col(title), F.col(content)).alias("text"))
     rows = rows.withColumns({"places": gazetteer.toponyms(F.col("text")), "acts": gazetteer.actions(F.col("text"))})
     if track is None:
-        start = F.substring("text", 1, LEXICON_CHARS)
-        rows = relevant(rows.withColumns({"__p": gazetteer.toponyms(start), "__a": gazetteer.actions(start)}), ["cell"], "__p", "__a").drop("__p", "__a")
+        rows = relevant(rows, ["cell"], "places", "acts")
     rows = written(rows, "digest")  # read by the gate, for members and for leads
     found = near_duplicates.gate(rows.withColumn("day", F.lit("2000-01-01").cast("date")), "key", "text", "day", "cell", threshold=similar).select("key", "canonical")
     members = rows.join(found, "key")

@@ -137,6 +137,15 @@ def test_extractive_digest(spark):
     assert near_duplicates.BANDS == 16
 
 
+def test_extractive_digest_reads_whole_texts(spark):
+    words = lambda a: " ".join(f"{a}{i}" for i in range(700))
+    docs = [(1, "ru", "A", words("w") + " strike near Pokrovsk", 0.5), (2, "ru", "B", words("w") + " " + words("x"), 0.5), (3, "ru", "C", words("y"), 0.5), *((k, "ru", f"{k}", f"strike {words(chr(87 + k))}", 0.5) for k in range(10, 25))]
+    df = spark.createDataFrame(docs, "id int, cell string, title string, content string, rel double")
+    found = {tuple(r.docs): r.score for r in digests.extractive(df, "cell", "id", "title", "content", "rel").collect()}
+    assert found[1,] == 3.5  # a place and an action at the end count, and a text that goes on otherwise is no copy
+    assert len(found) == 12 and not {2, 3} & {k for d in found for k in d}  # 16 name an action, so those without any are left out
+
+
 def test_match_scores(spark):
     rows = [("Pokrovsk drone", "Покровськ атака", 0.875), ("Pokrovsk", "pokrovsk and kupyansk and Kupiansk", 0.625), ("pokrovsk kupyansk strike", "kupyansk pokrovsk hit", 1.0), ("a strike", "an attack", 0.25), ("a", "b", 0.0)]
     df = spark.createDataFrame(rows, "a string, b string, score double")
