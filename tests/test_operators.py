@@ -421,6 +421,38 @@ def test_signatures_of_words(spark):
         assert (near_duplicates.signature_of(words) == near_duplicates.signature(near_duplicates.runs_of(words))).all()
 
 
+def test_signatures_of_several_texts(spark, monkeypatch):
+    rng = random.Random(4)
+    texts = [["".join(rng.choices("abé\U0001d4b3", k=rng.choice([1, 5, 9, 90]))) for _ in range(n)] for n in (0, 1, 700, 2, 0, 3, 40, 900, 0)]
+    want = [near_duplicates.signature(near_duplicates.runs_of(words)).tolist() for words in texts]
+    for at_once in (8192, 7):
+        monkeypatch.setattr(near_duplicates, "RUNS_AT_ONCE", at_once)
+        assert near_duplicates.signatures_of(texts).tolist() == want
+    assert near_duplicates.signatures_of([]).shape == (0, near_duplicates.HASHES)
+    docs = [(k, None if not words and k else " ".join(words).replace("\U0001d4b3", "z")) for k, words in enumerate(texts)]
+    found = near_duplicates.with_signatures(spark.createDataFrame(docs, "id int, t string").coalesce(1), "t").collect()
+    assert all(r.signature == near_duplicates.signature_of((docs[r.id][1] or "").split()).tolist() for r in found)
+
+
+def test_first_seen_candidates_that_cannot_join(spark, monkeypatch):
+    """Texts that share bands only by a passage: most pairs of them can't join, and no document waits for them."""
+    monkeypatch.setattr(near_duplicates, "IN_TASK", 0)
+    rng = random.Random(1)
+    words = lambda n: " ".join("".join(rng.choices("abcdefgh", k=4)) for _ in range(n))
+    passage = words(40)
+    docs = [(k, f"{passage} {words(60)}") for k in range(40)]
+    df, kept = spark.createDataFrame(docs, "id bigint, t string"), []
+    monkeypatch.setattr(near_duplicates, "written", lambda d, what, f=near_duplicates.written: kept.append((what, f(d, what))) or kept[-1][1])
+    found = {r.id: r.canonical for r in near_duplicates.first_seen_groups(df, "id", "t").collect()}
+    assert found == first_seen_one_by_one(docs)
+    open_ = next(d for what, d in kept if what == "first-open")
+    signed = {r.o: np.array(r.signature) for r in kept[0][1].collect()}
+    band = near_duplicates.HASHES // near_duplicates.BANDS
+    met = [(i, j) for i in signed for j in signed if j < i and (signed[i] == signed[j]).reshape(-1, band).all(1).any()]
+    can_join = sum((signed[i] != signed[j]).sum() <= 2 * near_duplicates.most_differing(0.7) for i, j in met)
+    assert len(met) > 20 and can_join <= open_.count() < len(met) / 2
+
+
 def test_html_is_parsed_by_few_pages(spark, monkeypatch):
     monkeypatch.setattr(html_reports, "PAGES", 3)
     monkeypatch.setattr(html_reports, "ship", lambda s: s)
