@@ -8,12 +8,15 @@ from pyspark.sql import functions as F
 from ..functions.scores import PAIR_WEIGHTS
 from ..functions.text import is_meta_claim
 from ..session import spread, written
+from . import star_blocks
 from .near_duplicates import first_in_order
 
 #: The score from which on a claim joins a group; a key is of use while no more than this share of a cell's claims (and this many) are anchors with it.
 JOIN_AT, OFTEN, OFTEN_LEAST = 0.35, 0.25, 20
 #: Claims of a cell up to which all its pairs are compared; those of larger cells meet over rare keys.
 SMALL_CELL = 64
+#: A larger cell goes by blocks if its claims have more tokens than so many on average, or if its entities bring more pairs than so many for each claim.
+LONG_CLAIM, MANY_PAIRS = 64, 64
 
 
 def _shares(threshold: float, hints: bool) -> float:
@@ -83,6 +86,8 @@ def star_clusters(claims: DataFrame, cell: list[str], key: str, tokens: str, ent
     All pairs that could join are found first; which claims are anchors is then a matter of order (first_in_order). Where pairs have only frequent keys
     in common, that hangs on how many anchors with a key came before: it is assumed that keys stay of use, then put right by the anchors found, until nothing
     changes. What comes first is right first, so that ends, mostly at once. Cells may be of any size; keys are unique and never null.
+
+    In large cells of long texts, or of entities that very many claims share, most claims would meet: there claims meet anchors only (star_blocks).
     """
     rows = spread(claims) if text is None else spread(claims).where(~is_meta_claim(F.coalesce(F.col(text), F.lit(""))))
     hashed = lambda c, kind: F.array_distinct(F.transform(F.coalesce(F.col(c), F.array().cast("array<string>")), lambda x: F.xxhash64(F.lit(kind), x))) if c else F.array().cast("array<bigint>")
@@ -92,11 +97,16 @@ def star_clusters(claims: DataFrame, cell: list[str], key: str, tokens: str, ent
     facts = written(rows.select(*[F.col(c).alias(f"cell_{i}") for i, c in enumerate(cell)], where, F.col(key).alias("id"), *sets, (F.col(day) if day else F.lit("2000-01-01")).cast("date").alias("d")), "claims")
     sizes = facts.groupBy("cell").agg(F.greatest(F.lit(OFTEN_LEAST), F.ceil(F.count("*") * OFTEN)).alias("most"), F.count("*").alias("claims")).where(F.col("claims") > OFTEN_LEAST)
     each = facts.join(sizes, "cell").select("cell", "id", "most", F.explode(F.concat("t", "e")).alias("key"))
-    often = each.groupBy("cell", "key").agg(F.count("*").alias("n"), F.first("most").alias("most")).where("n > most").select("cell", "key", "most")
+    often = written(each.groupBy("cell", "key").agg(F.count("*").alias("n"), F.first("most").alias("most")).where("n > most").select("cell", "key", "most"), "often")
     having = written(each.drop("most").join(often, ["cell", "key"]), "frequent-keys")
     own = having.groupBy("cell", "id").agg(F.collect_list("key").alias("heavy"))
     full = written(facts.join(own, ["cell", "id"], "left").withColumn("heavy", F.coalesce("heavy", F.array().cast("array<bigint>"))), "full-claims")
-    links = written(claim_links(full, threshold, hints is not None), "claim-links")
+    named = full.select("cell", F.explode("e").alias("key")).groupBy("cell", "key").count().groupBy("cell").agg(F.sum(F.col("count") * (F.col("count") - 1) / 2).alias("pairs"))
+    long_ = full.groupBy("cell").agg(F.count("*").alias("claims"), F.avg(F.size("t")).alias("tokens")).where(F.col("claims") > SMALL_CELL).join(named, "cell", "left")
+    blocks = written(long_.where((F.col("tokens") > LONG_CLAIM) | (F.col("pairs") > F.col("claims") * MANY_PAIRS)).select("cell"), "block-cells")
+    whole = blocks.isEmpty()
+    apart = None if whole else star_blocks.joined(full.join(blocks, "cell", "left_semi"), often.join(blocks, "cell", "left_semi"), threshold, hints is not None)
+    links = written(claim_links(full if whole else full.join(blocks, "cell", "left_anti"), threshold, hints is not None), "claim-links")
     hanging, ends, usable = not links.where("heavy is not null").isEmpty(), None, links
     while True:
         o = lambda c: F.struct("cell", F.col(c).alias("id"))
@@ -117,6 +127,7 @@ def star_clusters(claims: DataFrame, cell: list[str], key: str, tokens: str, ent
         some = by_key.where(F.col("until").isNull() | (F.col("i") <= F.col("until"))).select("cell", "a", "i", "score").distinct()
         usable = written(links.where("heavy is null").select("cell", "a", "i", "score").unionByName(some), "claim-links")
     best = joined.groupBy("cell", "i").agg(F.min_by("a", F.struct(-F.col("score"), "a")).alias("anchor")).withColumnRenamed("i", "id")
+    best = best if apart is None else best.unionByName(apart)
     found = facts.select(*[F.col(f"cell_{i}").alias(c) for i, c in enumerate(cell)], F.col("cell").alias("__cell"), F.col("id").alias(key))
     best = best.select(F.col("cell").alias("__cell"), F.col("id").alias(key), "anchor")
     return found.join(best, ["__cell", key], "left").select(*cell, key, F.coalesce("anchor", key).alias("anchor"))

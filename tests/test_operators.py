@@ -8,7 +8,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from tessera.operators import claims, entities, html_reports, keyed, near_duplicates, retrieval, sampling, signals, trade, validation
+from tessera.operators import claims, entities, html_reports, keyed, near_duplicates, retrieval, sampling, signals, star_blocks, trade, validation
 from tessera.streaming import incremental
 
 
@@ -233,6 +233,35 @@ def test_stars_against_one_by_one(spark, monkeypatch, seed, letters, in_task):
         assert found == want
 
 
+@pytest.mark.parametrize("seed, letters, in_order", [(1, 8, 4096), (2, 30, 40), (3, 12, 16)])
+def test_stars_by_blocks_against_one_by_one(spark, monkeypatch, seed, letters, in_order):
+    """Cells in which claims meet anchors only: few or many decided at once, in groups of few claims."""
+    for name, value in (("SMALL_CELL", 3), ("LONG_CLAIM", -1)):
+        monkeypatch.setattr(claims, name, value)
+    for name, value in (("BLOCK", 4), ("AT_ONCE", 7), ("IN_ORDER", in_order), ("GROUP", 40)):
+        monkeypatch.setattr(star_blocks, name, value)
+    rng = random.Random(seed)
+    pick = lambda most, n=letters: [f"w{rng.randrange(n)}" for _ in range(rng.randrange(most))]
+    day = lambda: rng.choice([None, *(datetime(2024, 1, d).date() for d in (1, 2, 3))])
+    rows_ = [("a", rng.choice(["x", "x", "x", None]), f"{i:03}", pick(7), rng.choice([None, pick(3, 4)]), pick(3), day()) for i in range(240)]
+    df = spark.createDataFrame(rows_, "c string, x string, id string, t array<string>, e array<string>, h array<string>, d date").repartition(3)
+    for dated, hints in ((True, "h"), (False, None)):
+        found = {r.id: r.anchor for r in claims.star_clusters(df, ["c", "x"], "id", "t", "e", hints, "d" if dated else None).collect()}
+        want = {}
+        for cell in {(r[0], r[1]) for r in rows_}:
+            want |= stars_one_by_one([(i, t, e or [], h if hints else [], d) for c, x, i, t, e, h, d in rows_ if (c, x) == cell], dated)
+        assert found == want
+
+
+def test_star_query_leaves_out_no_pair(spark, tmp_path):
+    """Documents of a source and language meet however far apart their ids are."""
+    from tessera.plans import registry
+
+    docs = [(i, f"one two three four {'five six' if i % 2 else 'nine ten'}", "en", "s", 30) for i in (0, 2, 700, 90_001)]
+    spark.createDataFrame(docs, "doc_id bigint, text string, lang string, source string, n_chars bigint").write.parquet(f"{tmp_path}/documents.parquet")
+    assert {r.doc_id: r.anchor for r in registry.queries()["star_clusters"](spark, str(tmp_path)).collect()} == {0: 0, 2: 0, 700: 0, 90_001: 0}
+
+
 def test_stars_of_a_large_cell(spark):
     """A cell of 100,000 claims of words of which some are very frequent: one claim in four rewords the one before it."""
     word = lambda n, k: F.concat(F.lit(f"w{k}-"), F.floor(F.pow(F.pmod(F.xxhash64(F.lit(k), n), F.lit(10**6)) / 1e6, 3) * 20_000))
