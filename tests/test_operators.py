@@ -443,6 +443,20 @@ def test_shingle_sets_are_made_once(spark, monkeypatch):
     assert [what for what, p in _plans(monkeypatch, lambda: near_duplicates.shingle_pairs(df, "id", "t")) if "array_distinct" in p] == ["shingle-sets"]
 
 
+def test_shingle_pairs_send_a_set_to_few_tasks(spark, monkeypatch):
+    """Of 100 near copies there are 4,950 pairs; a set goes to each group of sets once."""
+    rng, words = random.Random(6), [f"w{k}" for k in range(80)]
+    texts = [[f"x{i}" if k == at else w for k, w in enumerate(words)] for i, at in ((i, rng.randrange(80)) for i in range(100))]
+    docs = [(f"{i:03}", " ".join(t)) for i, t in enumerate(texts)] + [("c", " ".join(texts[0])), ("d", "one  two"), ("e", "one two"), ("f", "one two!"), ("n", None), ("o", None), ("p", "")]
+    seen, kind = [], type(spark.range(1))
+    monkeypatch.setattr(kind, "mapInArrow", lambda self, *a, f=kind.mapInArrow: seen.append(self.count()) or f(self, *a))
+    found = {(r.left, r.right): r.jaccard for r in near_duplicates.shingle_pairs(spark.createDataFrame(docs, "id string, t string").repartition(3), "id", "t").collect()}
+    sets = {k: set(near_duplicates.runs_of(t.replace("!", "").split())) for k, t in docs if t and k not in ("c", "e")}
+    want = {(a, b): round(len(sets[a] & sets[b]) / len(sets[a] | sets[b]), 6) for a in sets for b in sets if a < b}
+    assert found == {p: j for p, j in want.items() if j >= 0.7} and len(found) > 4000
+    assert seen[0] < 1_500
+
+
 def test_signatures_of_words(spark):
     rng = random.Random(3)
     for n in [0, 1, 2, 3, 4, 50, 3000]:
