@@ -496,6 +496,16 @@ def test_first_seen_candidates_that_cannot_join(spark, monkeypatch):
     assert len(met) > 20 and can_join <= open_.count() < len(met) / 2
 
 
+def test_first_seen_near_copies_make_no_pairs(spark, monkeypatch):
+    """Of 60 near copies with 1,770 pairs, nearly all are decided by the first one before pairs are made."""
+    words, kept = [f"w{k}" for k in range(200)], []
+    docs = [(i, " ".join(f"x{i}" if k == 3 * i else w for k, w in enumerate(words))) for i in range(60)]
+    monkeypatch.setattr(near_duplicates, "written", lambda d, what, f=near_duplicates.written: kept.append((what, f(d, what))) or kept[-1][1])
+    found = {r.id: r.canonical for r in near_duplicates.first_seen_groups(spark.createDataFrame(docs, "id bigint, t string"), "id", "t").collect()}
+    assert found == first_seen_one_by_one(docs) and len(set(found.values())) < 5
+    assert next(d for what, d in kept if what == "first-open").count() < 200
+
+
 def test_html_is_parsed_by_few_pages(spark, monkeypatch):
     monkeypatch.setattr(html_reports, "PAGES", 3)
     monkeypatch.setattr(html_reports, "ship", lambda s: s)
